@@ -187,3 +187,7 @@ def q_metadata_matrix(spark, d):
     _, matrix, _, names = feat.metadata_matrix(order_items(spark, d), ["release_year", "lines", "explicit"],
                                                required="lines")
     return matrix.select("row_id", *[rnd(c, 6).alias(c) for c in names])
+
+
+# bindings kept in sibling modules register themselves on import
+from featurelens.plans import ingest_queries  # noqa: E402,F401

@@ -257,3 +257,6 @@ med AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}' for c in _META)} F
 f AS (SELECT row_id, {', '.join(f'coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}' for c in _META)}
       FROM order_items, med)
 {_zscore_sql('(SELECT * FROM f WHERE lines IS NOT NULL)', _META)}"""
+
+
+from featurelens.plans import oracle_ingest  # noqa: E402,F401
