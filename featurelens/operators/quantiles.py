@@ -19,6 +19,7 @@ DuckDB's ``quantile_cont``.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -28,7 +29,7 @@ MAX_PASSES = 40
 
 
 def exact_percentiles(df: DataFrame, value: str, probs, group_cols=(), buckets: int = 4096,
-                      max_collect: int = 100_000, prefix: str = "p") -> DataFrame:
+                      max_collect: int = 20_000, prefix: str = "p") -> DataFrame:
     """One row per group: group columns, ``n`` and one column per probability.
 
     Column names are ``f"{prefix}{i}"`` in the order of ``probs``. Groups
@@ -36,6 +37,8 @@ def exact_percentiles(df: DataFrame, value: str, probs, group_cols=(), buckets:
     """
     group_cols = list(group_cols)
     probs = [float(p) for p in probs]
+    if not group_cols:
+        return _global_percentiles(df, value, probs, buckets, max_collect, prefix)
     data = df.select(*group_cols, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     data = data.filter(~F.isnan("_v"))
 
@@ -99,6 +102,52 @@ def exact_percentiles(df: DataFrame, value: str, probs, group_cols=(), buckets:
     return res.groupBy(*group_cols, "n").agg(*aggs)
 
 
+def _global_percentiles(df: DataFrame, value: str, probs, buckets: int, max_collect: int,
+                        prefix: str) -> DataFrame:
+    """Ungrouped case: the brackets are plain literals, so each pass is one
+    filtered scan with a partial aggregate and no join."""
+    data = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    st = data.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("mn"), F.max("_v").alias("mx")).first()
+    spark = df.sparkSession
+    schema = "n long, " + ", ".join(f"{prefix}{i} double" for i in range(len(probs)))
+    n = int(st["n"])
+    if n == 0:
+        return spark.createDataFrame([], schema)
+    cache: dict[int, float] = {}
+
+    def order_stat(rank: int) -> float:
+        if rank in cache:
+            return cache[rank]
+        lo, hi, below, cnt = float(st["mn"]), float(st["mx"]), 0, n
+        for _ in range(MAX_PASSES):
+            if lo == hi:
+                cache[rank] = lo
+                return lo
+            inside = data.filter((F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi)))
+            if cnt <= max_collect:
+                vals = sorted(r[0] for r in inside.collect())
+                cache[rank] = vals[rank - below]
+                return cache[rank]
+            b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(hi - lo) * buckets), F.lit(buckets - 1))
+            hist = inside.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("bmn"),
+                                                    F.max("_v").alias("bmx")).orderBy("b").collect()
+            cum = below
+            for h in hist:
+                if cum <= rank < cum + h["c"]:
+                    lo, hi, below, cnt = float(h["bmn"]), float(h["bmx"]), cum, int(h["c"])
+                    break
+                cum += h["c"]
+        raise RuntimeError("exact_percentiles did not converge")
+
+    row = [n]
+    for p in probs:
+        r = p * (n - 1)
+        rlo, rhi = math.floor(r), math.ceil(r)
+        vlo, vhi = order_stat(rlo), order_stat(rhi)
+        row.append(vlo + (vhi - vlo) * (r - rlo))
+    return spark.createDataFrame([tuple(row)], schema)
+
+
 def exact_percentile_scalars(df: DataFrame, value: str, probs) -> list:
     """Global percentiles as Python floats (None when the column is all null)."""
     rows = exact_percentiles(df, value, probs).collect()

@@ -192,3 +192,4 @@ def q_metadata_matrix(spark, d):
 # bindings kept in sibling modules register themselves on import
 from featurelens.plans import ingest_queries  # noqa: E402,F401
 from featurelens.plans import explore_queries  # noqa: E402,F401
+from featurelens.plans import similarity_queries  # noqa: E402,F401
