@@ -136,31 +136,33 @@ def covariance(df: DataFrame, columns) -> np.ndarray:
     return cov
 
 
-def pca(df: DataFrame, columns, k: int = 2, keep=("row_id",)):
-    """M5: centred PCA. Returns ``(coords, explained_variance_ratio)``.
-
-    The covariance is a distributed aggregate; only the d x d matrix is
-    decomposed on the driver. Component signs are fixed so the loading with
-    the largest magnitude is positive. Coordinates are a projection with
-    literal weights (no UDF).
+def pca(df: DataFrame, columns=None, k: int = 2, keep=("row_id",), vec_col: str | None = None):
+    """M5: centred PCA. Returns ``(coords, explained_variance_ratio, loadings)``.
+
+    Components come from ``pyspark.ml.feature.PCA`` (a distributed Gramian
+    pass; only the d x d matrix is decomposed on the driver). Its transform
+    projects uncentred rows, so the projection here subtracts the column
+    means first; it is one flat array expression with literal weights.
+    Component signs are fixed so the largest-magnitude loading is positive.
     """
-    cols = list(columns)
-    mom = moments(df, cols)
-    cov = covariance(df, cols)
-    vals, vecs = np.linalg.eigh(cov)
-    order = np.argsort(vals)[::-1]
-    vals, vecs = vals[order], vecs[:, order]
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    arr = F.col(vec_col).cast("array<double>") if vec_col else F.array(*[F.col(c).cast("double") for c in columns])
+    data = df.select(*keep, arr.alias("_arr")).filter(F.col("_arr").isNotNull())
+    d = len(columns) if columns else len(data.select("_arr").first()["_arr"])
+    means = data.select(*[F.avg(F.col("_arr")[i]).alias(f"m{i}") for i in range(d)]).first()
+    mean = np.array([float(means[f"m{i}"]) for i in range(d)])
+    model = PCA(k=k, inputCol="_vec").fit(data.select(array_to_vector("_arr").alias("_vec")))
+    vecs = model.pc.toArray().copy()
     for j in range(vecs.shape[1]):
         if vecs[np.argmax(np.abs(vecs[:, j])), j] < 0:
             vecs[:, j] = -vecs[:, j]
-    total = float(np.sum(np.clip(vals, 0, None)))
-    ratio = [float(v) / total if total > 0 else 0.0 for v in vals[:k]]
+    ratio = [float(v) for v in model.explainedVariance.toArray()[:k]]
+    centred = F.zip_with("_arr", F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: x - m)
     exprs = []
     for j in range(k):
-        terms = [(F.col(c).cast("double") - F.lit(float(mom[c][0] or 0.0))) * F.lit(float(vecs[i, j]))
-                 for i, c in enumerate(cols)]
-        e = terms[0]
-        for t in terms[1:]:
-            e = e + t
-        exprs.append(e.alias(f"pc{j + 1}"))
-    return df.select(*keep, *exprs), ratio, vecs[:, :k]
+        w = F.array(*[F.lit(float(vecs[i, j])) for i in range(d)])
+        exprs.append(F.aggregate(F.zip_with(centred, w, lambda a, b: a * b), F.lit(0.0),
+                                 lambda acc, v: acc + v).alias(f"pc{j + 1}"))
+    return data.select(*keep, *exprs), ratio, vecs
