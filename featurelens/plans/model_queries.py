@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from featurelens.functions.columns import rnd
 from featurelens.operators import cluster, features as feat
+from featurelens.operators.density import dbscan
 from featurelens.operators.forest import isolation_forest
 from featurelens.plans.catalogue import query
 from featurelens.sources.tables import ITEM_FEATURES, load, order_items
@@ -63,3 +64,25 @@ def q_isolation_forest(spark, d):
     matrix, cols = feat.outlier_matrix(order_items(spark, d), ITEM_FEATURES, keep=("row_id",))
     res = isolation_forest(matrix, "row_id", cols, n_trees=200, max_samples=256, contamination=0.05, seed=SEED)
     return res.select("row_id", rnd("anomaly_score", 6).alias("anomaly_score"), "outlier_label")
+
+
+DBSCAN_EPS = 0.07
+DBSCAN_MIN = 3
+
+
+def part_points(spark, d):
+    part = load(spark, d, "part")
+    scaled, _ = feat.standardise(part, ["p_size", "p_retailprice"], keep=["p_partkey"])
+    return scaled
+
+
+@query("dbscan")
+def q_dbscan(spark, d):
+    return dbscan(part_points(spark, d), "p_partkey", ["p_size", "p_retailprice"], DBSCAN_EPS, DBSCAN_MIN)
+
+
+@query("dbscan_summary")
+def q_dbscan_summary(spark, d):
+    lab = dbscan(part_points(spark, d), "p_partkey", ["p_size", "p_retailprice"], DBSCAN_EPS, DBSCAN_MIN)
+    return lab.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"),
+                   F.count(F.when(F.col("cluster") == -1, 1)).alias("n_noise"))
