@@ -11,6 +11,7 @@ from featurelens.functions.columns import rnd
 from featurelens.operators import cluster, features as feat
 from featurelens.operators.density import dbscan
 from featurelens.operators.forest import isolation_forest
+from featurelens.operators.hierarchy import agglomerative
 from featurelens.plans.catalogue import query
 from featurelens.sources.tables import ITEM_FEATURES, load, order_items
 
@@ -86,3 +87,16 @@ def q_dbscan_summary(spark, d):
     lab = dbscan(part_points(spark, d), "p_partkey", ["p_size", "p_retailprice"], DBSCAN_EPS, DBSCAN_MIN)
     return lab.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"),
                    F.count(F.when(F.col("cluster") == -1, 1)).alias("n_noise"))
+
+
+AGG_K = 6
+
+
+@query("agglomerative")
+def q_agglomerative(spark, d):
+    """Ward clusters over about 60 aggregated (size, price) cells of the parts."""
+    part = load(spark, d, "part")
+    cell = (F.floor(F.col("p_size") / 5) * 100 + F.floor((F.col("p_retailprice") - 900) / 20)).cast("long")
+    scaled, _ = feat.standardise(part.withColumn("cell", cell), ["p_size", "p_retailprice"],
+                                 keep=["p_partkey", "cell"])
+    return agglomerative(scaled, "p_partkey", ["p_size", "p_retailprice"], AGG_K, "ward", micro_col="cell")
