@@ -194,3 +194,4 @@ from featurelens.plans import ingest_queries  # noqa: E402,F401
 from featurelens.plans import explore_queries  # noqa: E402,F401
 from featurelens.plans import similarity_queries  # noqa: E402,F401
 from featurelens.plans import model_queries  # noqa: E402,F401
+from featurelens.plans import sink_queries  # noqa: E402,F401

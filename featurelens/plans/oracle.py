@@ -262,3 +262,4 @@ f AS (SELECT row_id, {', '.join(f'coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}' f
 from featurelens.plans import oracle_ingest  # noqa: E402,F401
 from featurelens.plans import oracle_explore  # noqa: E402,F401
 from featurelens.plans import oracle_similarity  # noqa: E402,F401
+from featurelens.plans import oracle_sinks  # noqa: E402,F401
