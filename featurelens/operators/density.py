@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from featurelens.operators import blocks
 from featurelens.operators.positions import dense_index
+from featurelens.session import shared_dir
 
 MAX_ROUNDS = 60
 BUCKET_ROWS = 50_000     # rows per pandas call when batching small work groups
@@ -164,18 +165,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """(``_id``, ``comp`` = smallest id in the component) for every node of ``edges``.
 
     Min-label propagation along edges followed by pointer jumping
-    (label <- label of label), checkpointed each round.
+    (label <- label of label); each round's labels are written to the shared
+    folder and read back, which cuts the lineage.
     """
     und = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")) \
         .unionByName(edges.select(F.col(dst).alias("u"), F.col(src).alias("v"))).distinct().checkpoint()
     labels = und.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")).withColumnRenamed("u", "_id").checkpoint()
+    spark = edges.sparkSession
+    scratch = shared_dir(spark, "components")
+    rounds = 0
     for _ in range(MAX_ROUNDS):
         prop = und.join(labels.withColumnRenamed("_id", "v").withColumnRenamed("l", "lv"), "v") \
             .groupBy("u").agg(F.min("lv").alias("m"))
         step = labels.join(prop.withColumnRenamed("u", "_id"), "_id", "left") \
             .select("_id", F.least("l", F.coalesce("m", "l")).alias("l"))
         jump = step.join(step.select(F.col("_id").alias("l"), F.col("l").alias("ll")), "l", "left") \
-            .select("_id", F.least(F.col("l"), F.coalesce("ll", "l")).alias("l")).checkpoint()
+            .select("_id", F.least(F.col("l"), F.coalesce("ll", "l")).alias("l"))
+        # a written table cuts the lineage and starts the next round from a plain file relation
+        rounds += 1
+        jump.write.mode("overwrite").parquet(f"{scratch}/r{rounds}")
+        jump = spark.read.parquet(f"{scratch}/r{rounds}")
         changed = jump.join(labels.withColumnRenamed("l", "old"), "_id").filter(F.col("l") != F.col("old")).limit(1).count()
         labels = jump
         if changed == 0:

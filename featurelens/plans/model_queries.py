@@ -100,3 +100,16 @@ def q_agglomerative(spark, d):
     scaled, _ = feat.standardise(part.withColumn("cell", cell), ["p_size", "p_retailprice"],
                                  keep=["p_partkey", "cell"])
     return agglomerative(scaled, "p_partkey", ["p_size", "p_retailprice"], AGG_K, "ward", micro_col="cell")
+
+
+UMAP_NEIGHBORS = 15
+UMAP_MIN_DIST = 0.1
+UMAP_METRIC = "euclidean"
+
+
+@query("embed2d")
+def q_embed2d(spark, d):
+    from featurelens.operators.embed import embed_2d
+    res = embed_2d(load(spark, d, "embeddings"), "vec_id", "embedding", UMAP_NEIGHBORS, UMAP_MIN_DIST, UMAP_METRIC,
+                   seed=SEED)
+    return res.select("vec_id", rnd("umap_x", 6).alias("umap_x"), rnd("umap_y", 6).alias("umap_y"))

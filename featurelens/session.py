@@ -22,6 +22,7 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "16g",
 }
 
 
@@ -64,3 +65,4 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     if sub is None:
         return base
     return os.path.join(base, "featurelens", f"{sub}-{uuid.uuid4().hex[:12]}")
+
