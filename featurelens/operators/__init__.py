@@ -1,0 +1 @@
+"""Relational, statistical and feature-space operators (DataFrame in, DataFrame out)."""

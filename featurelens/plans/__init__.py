@@ -1,0 +1 @@
+"""The query catalogue bound to the benchmark tables and its SQL twins."""

@@ -14,7 +14,11 @@ from featurelens.sources.tables import load, order_items
 PAGE_SIZE = 100           # items per landed page
 BATCH = 10                # ids per feature request
 LINK_BASE = "https://api.example.org/v1/track/"
-WITHHELD = (F.col("event_type") == "view") & (F.col("value") < 5.0)
+
+
+def withheld():
+    """Responses missing from a batch: views with a small value."""
+    return (F.col("event_type") == "view") & (F.col("value") < 5.0)
 
 
 def conversation_pages(spark, d):
@@ -106,7 +110,7 @@ def q_batch_number(spark, d):
 def q_positional_fallback(spark, d):
     ev = positions.batch_numbers(load(spark, d, "events").select("event_id", "event_type", "value"), "event_id", BATCH)
     requests = ev.select("event_id", F.col("event_id").cast("string").alias("id"), "batch_no", "pos_in_batch")
-    kept = ev.filter(~WITHHELD)
+    kept = ev.filter(~withheld())
     href = F.when(F.col("event_type") != "error", F.concat(F.lit(LINK_BASE), F.col("event_id").cast("string")))
     rw = Window.partitionBy("batch_no").orderBy(F.col("event_id").desc())
     responses = kept.select("batch_no", (F.row_number().over(rw) - 1).alias("resp_pos"),
