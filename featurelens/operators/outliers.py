@@ -32,3 +32,11 @@ def most_anomalous(df: DataFrame, score: str = "anomaly_score", label: str = "ou
     """Flagged rows, most anomalous (lowest score) first, at most ``n``."""
     flagged = df.filter(F.col(label) == -1)
     return flagged.orderBy(F.col(score).asc(), F.col(pos).asc()).limit(n).select(*columns)
+
+
+def outlier_share(df: DataFrame, label: str = "outlier_label", decimals: int = 1) -> DataFrame:
+    """Number of flagged rows and their percentage of all rows."""
+    from featurelens.functions.columns import rnd
+
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(label) == -1, 1)).alias("n_outliers")) \
+        .withColumn("pct_outliers", rnd(F.try_divide(F.col("n_outliers") * 100.0, F.col("n")), decimals))

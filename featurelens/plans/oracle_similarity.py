@@ -137,3 +137,8 @@ WHERE l.outlier_label = -1 ORDER BY l.s ASC, o.pos ASC LIMIT {OUTLIER_TOP}"""
 SQL["positional_attach"] = f"""{_scores()}
 SELECT o.row_id, o.name, o.cluster, {R('l.s', 6)} AS anomaly_score, l.outlier_label
 FROM order_items o LEFT JOIN lab l ON o.row_id = l.row_id"""
+
+SQL["outlier_share"] = f"""{_scores()}
+SELECT count(*) AS n, count(*) FILTER (WHERE outlier_label = -1) AS n_outliers,
+       {R('(count(*) FILTER (WHERE outlier_label = -1)) * 100.0 / count(*)', 1)} AS pct_outliers
+FROM lab"""

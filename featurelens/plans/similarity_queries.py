@@ -122,3 +122,8 @@ def q_positional_attach(spark, d):
     scores = outliers.rethreshold(item_scores(spark, d), "anomaly_score", PCT)
     out = positions.attach(oi.select("row_id", "name"), labels, scores)
     return out.select("row_id", "name", "cluster", rnd("anomaly_score", 6).alias("anomaly_score"), "outlier_label")
+
+
+@query("outlier_share")
+def q_outlier_share(spark, d):
+    return outliers.outlier_share(outliers.rethreshold(item_scores(spark, d), "anomaly_score", PCT))

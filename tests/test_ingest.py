@@ -66,3 +66,16 @@ def test_streaming_landing(spark, tmp_path):
     assert landed.count() == 2
     items = json_scan.page_items(landed, ["source_file"])
     assert items.count() == 5
+
+
+def test_resolve_feature_batches(spark):
+    requested = spark.createDataFrame([(f"id{i}", i) for i in range(12)], "id string, pos long")
+    b0 = ('{"content": [{"href": "https://x/track/id1", "energy": 0.1}, {"energy": 0.5},'
+          ' {"href": "https://x/track/id0", "energy": 0.9}]}')
+    b1 = '[{"energy": 0.7}]'
+    responses = spark.createDataFrame([(0, b0), (1, b1)], "batch_no long, payload string")
+    out = {r.id: (r.energy, r.matched_by) for r in json_scan.resolve_feature_batches(requested, responses).collect()}
+    assert out["id0"] == (0.9, "link") and out["id1"] == (0.1, "link")
+    assert out["id2"] == (0.9, "position")            # position 2 of batch 0
+    assert out["id3"] == (None, "none") and out["id10"] == (0.7, "position") and out["id11"] == (None, "none")
+    assert len(out) == 12
