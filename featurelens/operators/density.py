@@ -164,29 +164,48 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(``_id``, ``comp`` = smallest id in the component) for every node of ``edges``.
 
-    Min-label propagation along edges followed by pointer jumping
-    (label <- label of label); each round's labels are written to the shared
-    folder and read back, which cuts the lineage.
+    Alternating large-star / small-star rounds (O(log^2 n) rounds). Each step
+    is a ``min`` aggregate per node joined back to the edges - no neighbour
+    list is ever collected, so a hub node with millions of edges is just a
+    large partial aggregate. Each round's edges are written to the shared
+    folder and read back (lineage cut); the loop stops when a round leaves
+    the edge set unchanged (exact anti-join test).
     """
-    und = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")) \
-        .unionByName(edges.select(F.col(dst).alias("u"), F.col(src).alias("v"))).distinct().checkpoint()
-    labels = und.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")).withColumnRenamed("u", "_id").checkpoint()
     spark = edges.sparkSession
     scratch = shared_dir(spark, "components")
+    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter(F.col("u") != F.col("v"))
+    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    nodes = edges.select(F.col(src).alias("_id")).unionByName(edges.select(F.col(dst).alias("_id"))).distinct()
     rounds = 0
-    for _ in range(MAX_ROUNDS):
-        prop = und.join(labels.withColumnRenamed("_id", "v").withColumnRenamed("l", "lv"), "v") \
-            .groupBy("u").agg(F.min("lv").alias("m"))
-        step = labels.join(prop.withColumnRenamed("u", "_id"), "_id", "left") \
-            .select("_id", F.least("l", F.coalesce("m", "l")).alias("l"))
-        jump = step.join(step.select(F.col("_id").alias("l"), F.col("l").alias("ll")), "l", "left") \
-            .select("_id", F.least(F.col("l"), F.coalesce("ll", "l")).alias("l"))
-        # a written table cuts the lineage and starts the next round from a plain file relation
+
+    def persist(df: DataFrame) -> DataFrame:
+        nonlocal rounds
         rounds += 1
-        jump.write.mode("overwrite").parquet(f"{scratch}/r{rounds}")
-        jump = spark.read.parquet(f"{scratch}/r{rounds}")
-        changed = jump.join(labels.withColumnRenamed("l", "old"), "_id").filter(F.col("l") != F.col("old")).limit(1).count()
-        labels = jump
+        df.write.mode("overwrite").parquet(f"{scratch}/r{rounds}")
+        return spark.read.parquet(f"{scratch}/r{rounds}")
+
+    def undirected(pairs: DataFrame) -> DataFrame:
+        p = pairs.filter(F.col("u") != F.col("v"))
+        return p.unionByName(p.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+
+    def large_star(g: DataFrame) -> DataFrame:
+        m = g.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        return undirected(g.filter(F.col("v") > F.col("u")).join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+
+    def small_star(g: DataFrame) -> DataFrame:
+        low = g.filter(F.col("v") <= F.col("u"))
+        m = low.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        moved = low.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        own = m.select("u", F.col("m").alias("v"))
+        return undirected(moved.unionByName(own))
+
+    e = persist(e)
+    for _ in range(MAX_ROUNDS):
+        nxt = persist(small_star(persist(large_star(e))))
+        changed = nxt.join(e, ["u", "v"], "left_anti").limit(1).count() + \
+            e.join(nxt, ["u", "v"], "left_anti").limit(1).count()
+        e = nxt
         if changed == 0:
-            return labels.withColumnRenamed("l", "comp")
+            comp = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("comp")).withColumnRenamed("u", "_id")
+            return nodes.join(comp, "_id", "left").select("_id", F.coalesce("comp", "_id").alias("comp"))
     raise RuntimeError("connected components did not converge")
