@@ -201,9 +201,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     e = persist(e)
     for _ in range(MAX_ROUNDS):
-        nxt = persist(small_star(persist(large_star(e))))
-        changed = nxt.join(e, ["u", "v"], "left_anti").limit(1).count() + \
-            e.join(nxt, ["u", "v"], "left_anti").limit(1).count()
+        nxt = persist(small_star(large_star(e)))
+        diff = nxt.withColumn("_new", F.lit(1)).join(e.withColumn("_old", F.lit(1)), ["u", "v"], "full_outer")
+        changed = diff.filter(F.col("_new").isNull() | F.col("_old").isNull()).limit(1).count()
         e = nxt
         if changed == 0:
             comp = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("comp")).withColumnRenamed("u", "_id")

@@ -26,13 +26,34 @@ _DEFAULTS = {
 }
 
 
+# Settings for a large cluster (hundreds of TB): many initial shuffle
+# partitions that AQE coalesces to ~256 MB, 256 MB scan splits, skew-join
+# splitting, and broadcasts only under AQE's runtime size check.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "featurelens", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the settings the operators assume."""
+                app_name: str = "featurelens", extra: dict | None = None,
+                cluster: bool = False) -> SparkSession:
+    """Build (or reuse) a session with the settings the operators assume.
+
+    ``cluster=True`` adds ``CLUSTER_CONF`` (without a driver-memory default).
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULTS)
+    if cluster:
+        conf.pop("spark.driver.memory", None)
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
