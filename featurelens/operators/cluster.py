@@ -208,13 +208,13 @@ def optimal_k(df: DataFrame, id_col: str, cols, ks=range(2, 11), n_init: int = 1
     spark = df.sparkSession
     if not usable:
         return spark.createDataFrame([], "k int, silhouette double, davies_bouldin double, inertia double, best boolean")
-    sil = {r["labelling"]: r["silhouette"] for r in
-           silhouette(labelled, "_id", [f"k{k}" for k in usable], "_x").collect()}
+    names = [f"k{k}" for k in usable]
+    sil = {r["labelling"]: r["silhouette"] for r in silhouette(labelled, "_id", names, "_x").collect()}
+    dbi = {r["labelling"]: r["davies_bouldin"] for r in davies_bouldin(labelled, names, "_x").collect()}
     rows = []
     for k in usable:
-        db = davies_bouldin(labelled, f"k{k}", "_x").first()["davies_bouldin"]
         inertia = float(np.rint(best[k][1] * 100) / 100)
-        rows.append((k, sil[f"k{k}"], db, inertia))
+        rows.append((k, sil[f"k{k}"], dbi[f"k{k}"], inertia))
     res = spark.createDataFrame(rows, "k int, silhouette double, davies_bouldin double, inertia double")
     top = max(rows, key=lambda r: (r[1] if r[1] is not None else -math.inf, -r[0]))[0]
     return res.withColumn("best", F.col("k") == F.lit(top))

@@ -37,21 +37,38 @@ def inertia(df: DataFrame, label: str, vec_col: str, decimals: int = 2) -> DataF
     return j.agg(rnd(F.sum(d * d), decimals).alias("inertia"))
 
 
-def davies_bouldin(df: DataFrame, label: str, vec_col: str, decimals: int = 4) -> DataFrame:
-    """Mean over clusters of max_j (S_i + S_j) / |c_i - c_j|."""
-    j, cents = _with_centroid(df, label, vec_col)
-    spread = j.groupBy(label).agg(F.avg(_euclid(F.col("_v"), F.col("centroid"))).alias("s"))
-    c = cents.select(label, "centroid").join(spread, label)
-    # all labels as one list (k entries), exploded into k*(k-1) equi-join keys
-    labels = c.select(F.collect_list(label).alias("all"))
-    lhs = c.select(F.col(label).alias("a"), F.col("centroid").alias("ca"), F.col("s").alias("sa"),
-                   labels.scalar().alias("all"))
-    lhs = lhs.select("a", "ca", "sa", F.explode("all").alias("b")).filter(F.col("a") != F.col("b"))
-    rhs = c.select(F.col(label).alias("b"), F.col("centroid").alias("cb"), F.col("s").alias("sb"))
-    r = lhs.join(rhs, "b").select("a", F.try_divide(F.col("sa") + F.col("sb"), _euclid(F.col("ca"), F.col("cb")))
-                                  .alias("r"))
-    worst = r.groupBy("a").agg(F.max("r").alias("m"))
-    return worst.agg(rnd(F.avg("m"), decimals).alias("davies_bouldin"))
+def davies_bouldin(df: DataFrame, label, vec_col: str, decimals: int = 4) -> DataFrame:
+    """Mean over clusters of max_j (S_i + S_j) / |c_i - c_j|.
+
+    ``label`` may be a list of labellings: all are evaluated in the same jobs
+    (rows are exploded to (labelling, cluster) once) and the result has one
+    row per labelling with columns ``labelling``, ``davies_bouldin``.
+    """
+    many = not isinstance(label, str)
+    labels = list(label) if many else [label]
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("lab"), F.col(c).cast("long").alias("cl"))
+                                for c in labels])).alias("p")
+    long = df.select(to_double_array(vec_col).alias("_v"), pairs).select("_v", "p.lab", "p.cl")
+    key = ["lab", "cl"]
+    ex = long.select(*key, F.posexplode("_v").alias("_i", "_x"))
+    per_dim = ex.groupBy(*key, "_i").agg(F.avg("_x").alias("_m"))
+    cents = per_dim.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_c")) \
+        .select(*key, F.transform("_c", lambda s: s["_m"]).alias("centroid"))
+    spread = long.join(cents, key).groupBy(*key).agg(F.avg(_euclid(F.col("_v"), F.col("centroid"))).alias("s"))
+    c = cents.join(spread, key)
+    # per labelling, the list of its cluster ids (k entries) exploded into equi-join keys
+    ids = c.groupBy("lab").agg(F.collect_list("cl").alias("all"))
+    lhs = c.join(ids, "lab").select("lab", F.col("cl").alias("a"), F.col("centroid").alias("ca"),
+                                    F.col("s").alias("sa"), F.explode("all").alias("b"))
+    lhs = lhs.filter(F.col("a") != F.col("b"))
+    rhs = c.select("lab", F.col("cl").alias("b"), F.col("centroid").alias("cb"), F.col("s").alias("sb"))
+    r = lhs.join(rhs, ["lab", "b"]).select(
+        "lab", "a", F.try_divide(F.col("sa") + F.col("sb"), _euclid(F.col("ca"), F.col("cb"))).alias("r"))
+    worst = r.groupBy("lab", "a").agg(F.max("r").alias("m"))
+    res = worst.groupBy("lab").agg(rnd(F.avg("m"), decimals).alias("davies_bouldin"))
+    if many:
+        return res.withColumnRenamed("lab", "labelling")
+    return res.select("davies_bouldin")
 
 
 def silhouette_sums(df: DataFrame, id_col: str, label_cols, vec_col: str,
