@@ -263,3 +263,4 @@ from featurelens.plans import oracle_ingest  # noqa: E402,F401
 from featurelens.plans import oracle_explore  # noqa: E402,F401
 from featurelens.plans import oracle_similarity  # noqa: E402,F401
 from featurelens.plans import oracle_sinks  # noqa: E402,F401
+from featurelens.plans import oracle_models  # noqa: E402,F401
