@@ -11,6 +11,7 @@ AQE's size-checked choice).
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +55,18 @@ def staged(spark: SparkSession, name: str, inputs, build) -> DataFrame:
     base = shared_dir(spark)
     path = f"{base.rstrip('/')}/featurelens/stage/{name}-{fingerprint(spark, inputs)}"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
-        build().write.mode("overwrite").parquet(path)
+    Path = jvm.org.apache.hadoop.fs.Path
+    target = Path(path)
+    fs = target.getFileSystem(conf)
+    if not fs.exists(Path(f"{path}/_SUCCESS")):
+        # write aside, then publish with one rename; a concurrent writer that
+        # lost the race simply reads the published table
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+        build().write.mode("overwrite").parquet(tmp)
+        if fs.exists(target) and not fs.exists(Path(f"{path}/_SUCCESS")):
+            fs.delete(target, True)                       # leftover of an interrupted publish
+        if not fs.rename(Path(tmp), target):
+            fs.delete(Path(tmp), True)
     return spark.read.parquet(path)
 
 
