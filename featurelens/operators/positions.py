@@ -2,9 +2,9 @@
 
 A dense 0..n-1 index over a sort key is the one place a naive plan would use
 an unpartitioned window (all rows in one task). ``dense_index`` instead
-cuts the key range into buckets of about ``rows_per_bucket`` rows, counts
-each bucket, turns the (small) count table into offsets, and numbers rows
-inside their bucket only.
+cuts the key range at approximate quantiles into buckets of about
+``rows_per_bucket`` rows, counts each bucket, turns the (small) count table
+into offsets, and numbers rows inside their bucket only.
 """
 
 from __future__ import annotations
@@ -17,15 +17,25 @@ def dense_index(df: DataFrame, key: str, out: str = "idx", tiebreak=(),
                 rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Add ``out`` = 0-based position of each row ordered by numeric ``key``
     (then ``tiebreak``). Rows with a NULL key are dropped."""
+    from pyspark.ml.feature import Bucketizer
+
     data = df.filter(F.col(key).isNotNull())
-    st = data.agg(F.min(key).alias("mn"), F.max(key).alias("mx"), F.count(F.lit(1)).alias("n")).first()
-    if st["n"] == 0:
+    n = data.count()
+    if n == 0:
         return data.withColumn(out, F.lit(None).cast("long"))
-    mn, mx, n = float(st["mn"]), float(st["mx"]), int(st["n"])
     nb = max(1, -(-n // rows_per_bucket))
-    width = (mx - mn) / nb if mx > mn else 1.0
-    bucket = F.least(F.floor((F.col(key).cast("double") - F.lit(mn)) / F.lit(width)), F.lit(nb - 1)).cast("long")
-    b = data.withColumn("_bk", bucket)
+    if nb == 1:
+        b = data.withColumn("_bk", F.lit(0).cast("long"))
+    else:
+        # boundaries at approximate quantiles (a bounded-memory sketch), so every
+        # bucket holds about n / nb rows however the key values are spread out
+        probs = [i / nb for i in range(1, nb)]
+        cuts = sorted(set(data.select(F.col(key).cast("double").alias("_k"))
+                          .approxQuantile("_k", probs, 1.0 / (10 * nb))))
+        splits = [-float("inf")] + cuts + [float("inf")]
+        b = Bucketizer(splits=splits, inputCol="_kd", outputCol="_bkd", handleInvalid="keep") \
+            .transform(data.withColumn("_kd", F.col(key).cast("double"))) \
+            .withColumn("_bk", F.col("_bkd").cast("long")).drop("_kd", "_bkd")
     counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
     # the count table has one row per bucket (about n / rows_per_bucket rows)
     offsets = counts.withColumn("_off", F.sum("_c").over(Window.orderBy("_bk")) - F.col("_c")).drop("_c")
