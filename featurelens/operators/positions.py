@@ -70,13 +70,16 @@ def resolve_by_link_or_position(requests: DataFrame, responses: DataFrame, batch
     keeps the later response.
     """
     by_link = dedupe_last(responses.filter(F.col(resp_link_id).isNotNull()), [batch, resp_link_id], resp_pos)
-    by_link = by_link.select(F.col(batch), F.col(resp_link_id).alias(req_id), F.col(payload).alias("_p_link"))
-    by_pos = responses.select(F.col(batch), F.col(resp_pos).alias(req_pos), F.col(payload).alias("_p_pos"))
+    by_link = by_link.select(F.col(batch), F.col(resp_link_id).alias(req_id), F.col(payload).alias("_p_link"),
+                             F.lit(True).alias("_hit_link"))
+    by_pos = responses.select(F.col(batch), F.col(resp_pos).alias(req_pos), F.col(payload).alias("_p_pos"),
+                              F.lit(True).alias("_hit_pos"))
     j = requests.join(by_link, [batch, req_id], "left").join(by_pos, [batch, req_pos], "left")
-    how = (F.when(F.col("_p_link").isNotNull(), F.lit("link"))
-           .when(F.col("_p_pos").isNotNull(), F.lit("position")).otherwise(F.lit("none")))
-    return j.withColumn(payload, F.coalesce("_p_link", "_p_pos")).withColumn("matched_by", how) \
-        .drop("_p_link", "_p_pos")
+    link = F.col("_hit_link").isNotNull()
+    how = (F.when(link, F.lit("link")).when(F.col("_hit_pos").isNotNull(), F.lit("position"))
+           .otherwise(F.lit("none")))
+    return j.withColumn(payload, F.when(link, F.col("_p_link")).otherwise(F.col("_p_pos"))) \
+        .withColumn("matched_by", how).drop("_p_link", "_p_pos", "_hit_link", "_hit_pos")
 
 
 def attach(items: DataFrame, *parts: DataFrame, key: str = "row_id") -> DataFrame:

@@ -79,8 +79,9 @@ resp AS (SELECT batch_no,
 bl AS (SELECT batch_no, link_id, payload FROM (
          SELECT *, row_number() OVER (PARTITION BY batch_no, link_id ORDER BY resp_pos DESC) AS k
          FROM resp WHERE link_id IS NOT NULL) WHERE k = 1)
-SELECT r.event_id, r.batch_no, r.pos_in_batch, coalesce(bl.payload, bp.payload) AS payload,
-       CASE WHEN bl.payload IS NOT NULL THEN 'link' WHEN bp.payload IS NOT NULL THEN 'position' ELSE 'none' END AS matched_by
+SELECT r.event_id, r.batch_no, r.pos_in_batch,
+       CASE WHEN bl.batch_no IS NOT NULL THEN bl.payload ELSE bp.payload END AS payload,
+       CASE WHEN bl.batch_no IS NOT NULL THEN 'link' WHEN bp.batch_no IS NOT NULL THEN 'position' ELSE 'none' END AS matched_by
 FROM req2 r
 LEFT JOIN bl ON r.batch_no = bl.batch_no AND r.id = bl.link_id
 LEFT JOIN resp bp ON r.batch_no = bp.batch_no AND r.pos_in_batch = bp.resp_pos"""
