@@ -87,6 +87,16 @@ def artist_genres(artist_pages: DataFrame) -> DataFrame:
                     F.coalesce(F.col("a.genres"), F.array().cast("array<string>")).alias("genres"))
 
 
+def read_artist_genres(spark: SparkSession, path: str) -> DataFrame:
+    """S3 from landed artist pages; an absent source gives an empty lookup
+    with the right schema (genres then default to [] downstream), not an error."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    if not hp.getFileSystem(conf).exists(hp):
+        return spark.createDataFrame([], "artist_id string, genres array<string>")
+    return artist_genres(read_json(spark, path, ARTIST_PAGE))
+
+
 def unwrap_envelope(payload, item_type: str, keys=ENVELOPE_KEYS) -> Column:
     """A JSON list as is; an object's first non-empty list among ``keys``; else []."""
     p = F.col(payload) if isinstance(payload, str) else payload

@@ -79,3 +79,13 @@ def test_resolve_feature_batches(spark):
     assert out["id2"] == (0.9, "position")            # position 2 of batch 0
     assert out["id3"] == (None, "none") and out["id10"] == (0.7, "position") and out["id11"] == (None, "none")
     assert len(out) == 12
+
+
+def test_absent_genre_source_is_empty_not_an_error(spark, tmp_path):
+    g = json_scan.read_artist_genres(spark, str(tmp_path / "no-such-folder"))
+    assert g.count() == 0 and g.columns == ["artist_id", "genres"]
+    items = _items(spark)
+    feats = spark.createDataFrame([], "id string, feature_pos int, energy double")
+    t = assemble_tracks(items, feats, g, ["energy"]).collect()
+    assert len(t) == 5 and all(r.primary_genre == "Unknown" and r.genres == "Unknown" for r in t)
+    assert all(r.bpm == 0.0 for r in t)                       # no tempo column -> constant 0.0
