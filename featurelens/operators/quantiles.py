@@ -53,12 +53,13 @@ def exact_percentiles(df: DataFrame, value: str, probs, group_cols=(), buckets:
                                    (r - F.floor(r)).alias("frac")))
     plan = stats.select(*group_cols, "n", "_mn", "_mx", F.explode(F.array(*rank_exprs)).alias("t"))
     plan = plan.select(*group_cols, "n", "_mn", "_mx", "t.pi", "t.rlo", "t.rhi", "t.frac")
-    targets = (plan.select(*group_cols, "_mn", "_mx", F.col("rlo").alias("rank"))
-               .union(plan.select(*group_cols, "_mn", "_mx", F.col("rhi").alias("rank")))
+    targets = (plan.select(*group_cols, "n", "_mn", "_mx", F.col("rlo").alias("rank"))
+               .union(plan.select(*group_cols, "n", "_mn", "_mx", F.col("rhi").alias("rank")))
                .distinct())
+    # the first bracket is the whole group: small groups go straight to the final sort
     state = targets.select(*group_cols, "rank", F.col("_mn").alias("lo"), F.col("_mx").alias("hi"),
                            F.lit(0).cast("long").alias("below"),
-                           F.lit(None).cast("long").alias("cnt")).checkpoint()
+                           F.col("n").cast("long").alias("cnt")).checkpoint()
 
     for _ in range(MAX_PASSES):
         open_ = state.filter((F.col("lo") < F.col("hi")) & (F.col("cnt").isNull() | (F.col("cnt") > max_collect)))
