@@ -17,11 +17,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featurelens.session import ensure_code
+
 DEFAULT_BLOCK_ROWS = 2048
 
 
 def with_cells(df: DataFrame, key: str, n: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, int]:
     """Add ``_blk`` (the row's block) and ``_cell`` (one row per cell it joins)."""
+    ensure_code(df.sparkSession)
     nb = max(1, math.ceil(n / block_rows))
     blk = F.pmod(F.xxhash64(F.col(key)), F.lit(nb))
     other = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelens.operators.positions import dense_index
+from featurelens.session import ensure_code
 
 _M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -45,6 +46,7 @@ def uniform(seed: int, a: int, b: int, ids: np.ndarray) -> np.ndarray:
 
 
 def _points(df: DataFrame, id_col: str, cols) -> DataFrame:
+    ensure_code(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("_id"),
                      F.array(*[F.col(c).cast("double") for c in cols]).alias("_x")).dropna()
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from featurelens.operators import blocks
 from featurelens.operators.positions import dense_index
-from featurelens.session import shared_dir
+from featurelens.session import ensure_code, shared_dir
 
 MAX_ROUNDS = 60
 BUCKET_ROWS = 50_000     # rows per pandas call when batching small work groups
@@ -67,6 +67,7 @@ def _split(pdf: pd.DataFrame):
 def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int = 3,
            block_rows: int = 1024) -> DataFrame:
     """M8 + J7: (id, cluster) with noise as -1."""
+    ensure_code(df.sparkSession)
     if eps is None or eps <= 0 or min_samples is None or min_samples < 1:
         raise ValueError("eps must be > 0 and min_samples >= 1")
     cols = list(cols)

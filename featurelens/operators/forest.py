@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelens.operators.quantiles import exact_percentile_scalars
+from featurelens.session import ensure_code
 
 _EULER = 0.5772156649015329
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size long, depth int"
@@ -67,6 +68,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int, tree: int) ->
 def fit_forest(df: DataFrame, id_col: str, cols, n_trees: int = 200, max_samples: int = 256,
                seed: int = 42) -> tuple[DataFrame, int]:
     """Grow the forest; returns (node table, psi)."""
+    ensure_code(df.sparkSession)
     cols = list(cols)
     pts = df.select(F.col(id_col).cast("long").alias("_id"),
                     F.array(*[F.col(c).cast("double") for c in cols]).alias("_x")).dropna()
@@ -95,6 +97,7 @@ def fit_forest(df: DataFrame, id_col: str, cols, n_trees: int = 200, max_samples
 
 def score_forest(df: DataFrame, id_col: str, cols, nodes: DataFrame, psi: int) -> DataFrame:
     """Raw score ``-2^(-E[h(x)] / c(psi))`` per row (lower = more anomalous)."""
+    ensure_code(df.sparkSession)
     cols = list(cols)
     tab = nodes.toPandas()           # bounded: trees * (2 * psi - 1) rows
     n_trees = int(tab["tree"].max()) + 1

@@ -62,6 +62,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     shared_dir(spark)
+    ensure_code(spark)
     return spark
 
 
@@ -87,3 +88,27 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
         return base
     return os.path.join(base, "featurelens", f"{sub}-{uuid.uuid4().hex[:12]}")
 
+
+def ensure_code(spark: SparkSession) -> None:
+    """Ship this package to the executors once per SparkContext.
+
+    Operators that run numpy inside tasks (``applyInPandas`` / ``mapInPandas``)
+    need ``featurelens`` importable in every Python worker. The package is
+    zipped on the driver and distributed with ``SparkContext.addPyFile``.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_featurelens_code", None):
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="featurelens-code-"), "featurelens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._featurelens_code = out
