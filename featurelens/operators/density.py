@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from featurelens.operators import blocks
 from featurelens.operators.positions import dense_index
-from featurelens.session import ensure_code, shared_dir
+from featurelens.session import ensure_code, remove_path, shared_dir
 
 MAX_ROUNDS = 60
 BUCKET_ROWS = 50_000     # rows per pandas call when batching small work groups
@@ -185,6 +185,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         df.write.mode("overwrite").parquet(f"{scratch}/r{rounds}")
         return spark.read.parquet(f"{scratch}/r{rounds}")
 
+    def drop_round(i: int) -> None:
+        if i > 0:
+            remove_path(spark, f"{scratch}/r{i}")
+
     def undirected(pairs: DataFrame) -> DataFrame:
         p = pairs.filter(F.col("u") != F.col("v"))
         return p.unionByName(p.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
@@ -202,10 +206,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     e = persist(e)
     for _ in range(MAX_ROUNDS):
+        prev = rounds
         nxt = persist(small_star(large_star(e)))
         diff = nxt.withColumn("_new", F.lit(1)).join(e.withColumn("_old", F.lit(1)), ["u", "v"], "full_outer")
         changed = diff.filter(F.col("_new").isNull() | F.col("_old").isNull()).limit(1).count()
         e = nxt
+        drop_round(prev)                                  # the superseded round is no longer read
         if changed == 0:
             comp = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("comp")).withColumnRenamed("u", "_id")
             return nodes.join(comp, "_id", "left").select("_id", F.coalesce("comp", "_id").alias("comp"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from featurelens.functions.columns import to_double_array
 from featurelens.operators import blocks
 from featurelens.operators.positions import dense_index
-from featurelens.session import shared_dir
+from featurelens.session import remove_path, shared_dir
 
 METRICS = ("euclidean", "manhattan", "cosine")
 
@@ -151,6 +151,7 @@ def embed_2d(df: DataFrame, id_col: str, vec_col: str, n_neighbors: int = 15, mi
     n = pos.count()
     spark = df.sparkSession
     scratch = shared_dir(spark, "embed-positions")
+    last = None
     for epoch in range(n_epochs):
         lr = 1.0 - epoch / n_epochs
         pj = pos.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
@@ -177,6 +178,9 @@ def embed_2d(df: DataFrame, id_col: str, vec_col: str, n_neighbors: int = 15, mi
             # a written table cuts lineage and gives the next round a fresh file relation
             pos.write.mode("overwrite").parquet(f"{scratch}/e{epoch}")
             pos = spark.read.parquet(f"{scratch}/e{epoch}")
+            if last is not None:
+                remove_path(spark, last)                      # superseded positions
+            last = f"{scratch}/e{epoch}"
         if progress:
             progress(epoch, pos)
     return pos.select(F.col("i").alias(id_col), F.col("x").alias("umap_x"), F.col("y").alias("umap_y"))

@@ -23,6 +23,7 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -112,3 +113,12 @@ def ensure_code(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     sc._featurelens_code = out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder written by an earlier round (works on any Hadoop filesystem)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if fs.exists(p):
+        fs.delete(p, True)
