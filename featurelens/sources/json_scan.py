@@ -48,12 +48,15 @@ ARTIST_PAGE = T.StructType([
     T.StructField("artists", T.ArrayType(T.StructType([
         T.StructField("id", T.StringType()), T.StructField("genres", T.ArrayType(T.StringType()))]))),
 ])
+# --- fixed values that must equal the analysed program's -----------------
+# The nine feature fields of a feature record, in record order.
 FEATURE_NAMES = ["danceability", "energy", "loudness", "speechiness", "acousticness",
                  "instrumentalness", "liveness", "valence", "tempo"]
+# Envelope keys tried in this order when a feature payload is an object.
+ENVELOPE_KEYS = ("content", "data", "audioFeatures")
+# ---------------------------------------------------------------------------
 FEATURE_RECORD = T.StructType([T.StructField("href", T.StringType())]
                               + [T.StructField(f, T.DoubleType()) for f in FEATURE_NAMES])
-# envelope keys tried in order when the payload is an object
-ENVELOPE_KEYS = ("content", "data", "audioFeatures")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:

@@ -64,31 +64,42 @@ def export_points(df: DataFrame, base: str | None = None) -> str:
     return out
 
 
+# --- fixed values that must equal the analysed program's -----------------
+# Report layout: 60-character rules, section headings and summary labels.
+REPORT_RULE = "=" * 60
+REPORT_SUMMARY_HEADING = "── Summary " + "─" * 50
+REPORT_PROFILE_HEADING = "── Cluster profiles " + "─" * 41
+REPORT_LABELS = ["Tracks", "Unique artists", "Year range", "Avg BPM", "Avg energy", "Avg valence",
+                 "Total duration", "Diversity score"]
+# ---------------------------------------------------------------------------
+
+
 def report_lines(title: str, generated_at: str, name: str, owner: str, stats: DataFrame,
                  diversity: DataFrame, profile: DataFrame, profile_cols) -> DataFrame:
     """S8 content: fixed header, summary lines from the stats row, one line per cluster."""
     spark = stats.sparkSession
-    rule = "=" * 60
+    rule = REPORT_RULE
     head = [rule, f"  {title}", f"  {generated_at}", rule, "", f"Collection : {name}", f"Owner      : {owner}", "",
-            "── Summary " + "─" * 50]
+            REPORT_SUMMARY_HEADING]
     fixed = spark.createDataFrame([(i, s) for i, s in enumerate(head)], "ord int, line string")
     s = stats.select("*", diversity.scalar().alias("diversity"))
+    lab = [f"  {t:<16}: " for t in REPORT_LABELS]
     summary = [
-        F.format_string("  Tracks          : %d", "total_tracks"),
-        F.format_string("  Unique artists  : %d", "unique_artists"),
-        F.concat(F.lit("  Year range      : "), F.coalesce(F.col("year_min").cast("string"), F.lit("N/A")),
+        F.format_string(lab[0] + "%d", "total_tracks"),
+        F.format_string(lab[1] + "%d", "unique_artists"),
+        F.concat(F.lit(lab[2]), F.coalesce(F.col("year_min").cast("string"), F.lit("N/A")),
                  F.lit(" – "), F.coalesce(F.col("year_max").cast("string"), F.lit("N/A"))),
-        F.concat(F.lit("  Avg BPM         : "), F.coalesce(F.format_string("%.1f", "avg_bpm"), F.lit("N/A"))),
-        F.concat(F.lit("  Avg energy      : "), F.coalesce(F.format_string("%.3f", "avg_energy"), F.lit("N/A"))),
-        F.concat(F.lit("  Avg valence     : "), F.coalesce(F.format_string("%.3f", "avg_valence"), F.lit("N/A"))),
-        F.format_string("  Total duration  : %.1f min", "total_duration_min"),
-        F.format_string("  Diversity score : %.4f", "diversity"),
+        F.concat(F.lit(lab[3]), F.coalesce(F.format_string("%.1f", "avg_bpm"), F.lit("N/A"))),
+        F.concat(F.lit(lab[4]), F.coalesce(F.format_string("%.3f", "avg_energy"), F.lit("N/A"))),
+        F.concat(F.lit(lab[5]), F.coalesce(F.format_string("%.3f", "avg_valence"), F.lit("N/A"))),
+        F.format_string(lab[6] + "%.1f min", "total_duration_min"),
+        F.format_string(lab[7] + "%.4f", "diversity"),
     ]
     n0 = len(head)
     lines = s.select(F.explode(F.array(*[F.struct(F.lit(n0 + i).alias("ord"), e.alias("line"))
                                           for i, e in enumerate(summary)])).alias("l")).select("l.*")
     n1 = n0 + len(summary)
-    mid = spark.createDataFrame([(n1, ""), (n1 + 1, "── Cluster profiles " + "─" * 41)], "ord int, line string")
+    mid = spark.createDataFrame([(n1, ""), (n1 + 1, REPORT_PROFILE_HEADING)], "ord int, line string")
     from featurelens.operators.positions import dense_index
     fmt = "  %3d | n=%d" + "".join(f" | {c}=%.3f" for c in profile_cols)
     prof = dense_index(profile, "cluster", out="_r").select(
