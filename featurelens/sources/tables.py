@@ -11,6 +11,7 @@ AQE's size-checked choice).
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,14 +47,20 @@ def fingerprint(spark: SparkSession, paths) -> str:
 
 def staged(spark: SparkSession, name: str, inputs, build) -> DataFrame:
     """S6 stage table: the plan ``build()`` written once below the shared
-    folder, keyed by a fingerprint of its input files, then read back.
+    folder, keyed by a fingerprint of its input files and of the plan, then
+    read back.
 
     Queries that scan a derived table several times (guards, moments,
     percentile passes) then read compact Parquet instead of re-running the
     aggregation over the raw tables each time.
     """
     base = shared_dir(spark)
-    path = f"{base.rstrip('/')}/featurelens/stage/{name}-{fingerprint(spark, inputs)}"
+    plan = build()
+    # the key covers the inputs and the plan itself (expression ids removed), so a
+    # changed definition never reuses an old table
+    text = re.sub(r"#\d+L?", "", plan._jdf.queryExecution().analyzed().toString())
+    key = hashlib.sha1((fingerprint(spark, inputs) + text).encode()).hexdigest()[:16]
+    path = f"{base.rstrip('/')}/featurelens/stage/{name}-{key}"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     Path = jvm.org.apache.hadoop.fs.Path
     target = Path(path)
@@ -62,7 +69,7 @@ def staged(spark: SparkSession, name: str, inputs, build) -> DataFrame:
         # write aside, then publish with one rename; a concurrent writer that
         # lost the race simply reads the published table
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
-        build().write.mode("overwrite").parquet(tmp)
+        plan.write.mode("overwrite").parquet(tmp)
         if fs.exists(target) and not fs.exists(Path(f"{path}/_SUCCESS")):
             fs.delete(target, True)                       # leftover of an interrupted publish
         if not fs.rename(Path(tmp), target):

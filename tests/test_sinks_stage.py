@@ -11,21 +11,31 @@ from featurelens.sources.tables import staged
 
 
 def test_stage_table_is_reused_and_invalidated(spark, tmp_path):
+    from featurelens.session import shared_dir
+
     src = str(tmp_path / "src")
     spark.range(10).write.parquet(src)
-    calls = []
+    stage_root = os.path.join(shared_dir(spark), "featurelens", "stage")
+
+    def published():
+        if not os.path.isdir(stage_root):
+            return set()
+        return {d for d in os.listdir(stage_root) if d.startswith("probe-") and ".tmp-" not in d}
+
+    before = published()
 
     def build():
-        calls.append(1)
         return spark.read.parquet(src).withColumn("twice", F.col("id") * 2)
 
     a = staged(spark, "probe", [src], build)
     b = staged(spark, "probe", [src], build)
-    assert a.count() == b.count() == 10 and len(calls) == 1       # second call reads the stage
+    assert a.count() == b.count() == 10 and len(published() - before) == 1    # reused
     time.sleep(1.1)
-    spark.range(12).write.mode("overwrite").parquet(src)          # new input version
+    spark.range(12).write.mode("overwrite").parquet(src)                        # new input version
     c = staged(spark, "probe", [src], build)
-    assert c.count() == 12 and len(calls) == 2
+    assert c.count() == 12 and len(published() - before) == 2
+    d = staged(spark, "probe", [src], lambda: build().withColumn("thrice", F.col("id") * 3))
+    assert "thrice" in d.columns and len(published() - before) == 3             # new definition
 
 
 def test_csv_and_report_round_trip(spark, tmp_path):
