@@ -21,6 +21,7 @@ point itself, noise -1) as Spark jobs.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -35,23 +36,55 @@ MAX_ROUNDS = 60
 BUCKET_ROWS = 50_000     # rows per pandas call when batching small work groups
 
 
-def _work_groups(pts: DataFrame, eps: float, d: int, block_rows: int) -> DataFrame:
-    """(work key, _id, _x, _unit) rows: each point once per work group it joins."""
-    cell = F.array(*[F.floor(F.col("_x")[i] / F.lit(float(eps))).cast("long") for i in range(d)])
+def _fine_side(eps: float, d: int) -> float:
+    return float(eps) / math.sqrt(d)
+
+
+def needs_dense_cells(pts: DataFrame, eps: float, d: int, limit: int) -> bool:
+    """True when some cell of side eps/sqrt(d) holds more than ``limit`` points
+    (a hot spot whose pair work would be quadratic on the plain eps grid)."""
+    if d > 3:
+        return False
+    side = _fine_side(eps, d)
+    cell = F.array(*[F.floor(F.col("_x")[i] / F.lit(side)).cast("long") for i in range(d)])
+    top = pts.groupBy(cell.alias("_c")).count().agg(F.max("count").alias("m")).first()["m"]
+    return bool(top and top > limit)
+
+
+def _work_groups(pts: DataFrame, eps: float, d: int, block_rows: int, min_samples: int, shortcut: bool):
+    """Rows (work key, point, unit, flags): each point once per work group it joins.
+
+    Plain mode: cells of side eps and 3^d neighbour cells. Dense-cell mode
+    (``shortcut``): cells of side eps/sqrt(d), so every pair inside a cell is
+    within eps; a cell with at least ``min_samples`` points is all core and
+    one connected unit and needs no pair work at all.
+    Returns ``(groups, dense_points, n_offsets)`` where ``dense_points`` lists
+    points of dense cells with their cell representative (smallest id).
+    """
+    side = _fine_side(eps, d) if shortcut else float(eps)
+    r = math.ceil(math.sqrt(d)) if shortcut else 1
+    cell = F.array(*[F.floor(F.col("_x")[i] / F.lit(side)).cast("long") for i in range(d)])
     p = pts.withColumn("_cell", cell)
-    cells = p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")) \
-        .withColumn("_nblk", F.ceil(F.col("_n") / F.lit(block_rows)).cast("long")).drop("_n")
+    cells = (p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_rep"))
+             .withColumn("_dense", F.lit(shortcut) & (F.col("_n") >= min_samples))
+             .withColumn("_nblk", F.ceil(F.col("_n") / F.lit(block_rows)).cast("long")).drop("_n"))
     p = p.join(cells, "_cell").withColumn("_sb", F.pmod(F.xxhash64("_id"), F.col("_nblk")))
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
+    dense_points = p.filter("_dense").select("_id", "_rep")
+    # neighbour cells that can hold a point within eps (boundary distance <= eps)
+    offsets = [o for o in itertools.product(range(-r, r + 1), repeat=d)
+               if side * side * sum(max(abs(v) - 1, 0) ** 2 for v in o) <= float(eps) ** 2 * (1 + 1e-12)]
     off = F.explode(F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in offsets]))
     nb = p.withColumn("_off", off).withColumn("_ncell", F.zip_with("_cell", "_off", lambda a, b: a + b))
     nb = nb.join(cells.select(F.col("_cell").alias("_ncell"), F.col("_nblk").alias("_nnblk")), "_ncell")
+    # inside a dense cell every pair is within eps: no work group is needed there
+    nb = nb.filter(~(F.col("_dense") & (F.col("_ncell") == F.col("_cell"))))
     nb = nb.withColumn("_nsb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nnblk") - 1)))
     me = F.struct(F.col("_cell").alias("c"), F.col("_sb").alias("b"))
     other = F.struct(F.col("_ncell").alias("c"), F.col("_nsb").alias("b"))
     key = F.struct(F.least(me, other).alias("lo"), F.greatest(me, other).alias("hi"))
-    return nb.select(F.xxhash64(key).alias("_wk"), key.alias("_key"), "_id", "_x", me.alias("_unit"), *(
-        [c for c in pts.columns if c not in ("_id", "_x")]))
+    groups = nb.select(F.xxhash64(key).alias("_wk"), key.alias("_key"), "_id", "_x", me.alias("_unit"),
+                       "_dense", "_rep")
+    return groups, dense_points, len(offsets)
 
 
 def _split(pdf: pd.DataFrame):
@@ -64,9 +97,16 @@ def _split(pdf: pd.DataFrame):
     return a, b, lo_t == hi_t
 
 
+def _is_dense(part: pd.DataFrame) -> bool:
+    return bool(len(part)) and bool(part["_dense"].iloc[0])
+
+
 def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int = 3,
-           block_rows: int = 1024) -> DataFrame:
-    """M8 + J7: (id, cluster) with noise as -1."""
+           block_rows: int = 1024, dense_cells: bool | None = None) -> DataFrame:
+    """M8 + J7: (id, cluster) with noise as -1.
+
+    ``dense_cells`` forces the dense-cell mode on or off (default: chosen from
+    the data by ``needs_dense_cells``)."""
     ensure_code(df.sparkSession)
     if eps is None or eps <= 0 or min_samples is None or min_samples < 1:
         raise ValueError("eps must be > 0 and min_samples >= 1")
@@ -75,10 +115,11 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
     pts = df.select(F.col(id_col).cast("long").alias("_id"),
                     F.array(*[F.col(c).cast("double") for c in cols]).alias("_x")).dropna().checkpoint()
     n = pts.count()
+    shortcut = needs_dense_cells(pts, eps, d, block_rows) if dense_cells is None else (dense_cells and d <= 3)
+    groups, dense_points, n_off = _work_groups(pts, eps, d, max(block_rows, min_samples), min_samples, shortcut)
     # many small work groups share one pandas call: bucket = hash of the group key
-    nbuckets = max(pts.sparkSession.sparkContext.defaultParallelism, -(-(n * 3 ** d) // BUCKET_ROWS))
-    groups = _work_groups(pts, eps, d, block_rows).withColumn("_bkt", F.pmod(F.col("_wk"), F.lit(nbuckets))) \
-        .checkpoint()
+    nbuckets = max(pts.sparkSession.sparkContext.defaultParallelism, -(-(n * n_off) // BUCKET_ROWS))
+    groups = groups.withColumn("_bkt", F.pmod(F.col("_wk"), F.lit(nbuckets))).checkpoint()
     e2 = float(eps) * float(eps)
 
     def per_group(fn, empty):
@@ -88,67 +129,93 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
             return pd.concat(outs, ignore_index=True) if outs else empty()
         return run
 
+    no_deg = lambda: pd.DataFrame({"_id": pd.Series(dtype="int64"), "cnt": pd.Series(dtype="int64")})
+
     def degrees(pdf: pd.DataFrame) -> pd.DataFrame:
+        # only points of sparse cells need a degree: dense-cell points are core
         a, b, same = _split(pdf)
+        da, db = _is_dense(a), _is_dense(b)
+        if (da and db) or len(a) == 0 or len(b) == 0:
+            return no_deg()
         xa, xb = blocks.stack(a["_x"]), blocks.stack(b["_x"])
+        near = blocks.euclidean(xa, xb) ** 2 <= e2
         out = []
-        if same:
-            near = blocks.euclidean(xa, xa) ** 2 <= e2
-            out.append(pd.DataFrame({"_id": a["_id"].to_numpy(), "cnt": near.sum(axis=1)}))
-        elif len(a) and len(b):
-            near = blocks.euclidean(xa, xb) ** 2 <= e2
+        if not da:
             out.append(pd.DataFrame({"_id": a["_id"].to_numpy(), "cnt": near.sum(axis=1)}))
+        if not db and not same:
             out.append(pd.DataFrame({"_id": b["_id"].to_numpy(), "cnt": near.sum(axis=0)}))
-        if not out:
-            return pd.DataFrame({"_id": pd.Series(dtype="int64"), "cnt": pd.Series(dtype="int64")})
-        return pd.concat(out, ignore_index=True)
+        return pd.concat(out, ignore_index=True) if out else no_deg()
 
-    no_deg = lambda: pd.DataFrame({"_id": pd.Series(dtype="int64"), "cnt": pd.Series(dtype="int64")})
     deg = groups.groupBy("_bkt").applyInPandas(per_group(degrees, no_deg), "_id long, cnt long") \
         .groupBy("_id").agg(F.sum("cnt").alias("deg"))
-    core = deg.select("_id", (F.col("deg") >= min_samples).alias("_core")).checkpoint()
+    flags = groups.select("_id", "_dense").distinct()
+    core = flags.join(deg, "_id", "left").select(
+        "_id", (F.col("_dense") | (F.coalesce(F.col("deg"), F.lit(0)) >= min_samples)).alias("_core")).checkpoint()
     g2 = groups.join(core, "_id")
+    no_edge = lambda: pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"),
+                                    "kind": pd.Series(dtype="int32")})
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, same = _split(pdf)
+        da, db = _is_dense(a), _is_dense(b)
+        if len(a) == 0 or len(b) == 0:
+            return no_edge()
+        if da and db:
+            # two dense cells: one edge between their representatives if any pair is close
+            xa, xb = blocks.stack(a["_x"]), blocks.stack(b["_x"])
+            for s0 in range(0, len(xa), 256):
+                if (blocks.euclidean(xa[s0:s0 + 256], xb) ** 2 <= e2).any():
+                    return pd.DataFrame({"src": [int(a["_rep"].iloc[0])], "dst": [int(b["_rep"].iloc[0])],
+                                         "kind": np.array([0], dtype=np.int32)})
+            return no_edge()
         allp = a if same else pd.concat([a, b], ignore_index=True)
         x = blocks.stack(allp["_x"])
         ids = allp["_id"].to_numpy()
         is_core = allp["_core"].to_numpy().astype(bool)
         near = blocks.euclidean(x, x) ** 2 <= e2
+        na = len(a)
+        in_a = np.arange(len(allp)) < na
+        dense_mask = (in_a & da) | (~in_a & db)
         if not same:
-            na = len(a)
             near[:na, :na] = False          # pairs inside one unit belong to that unit's own group
             near[na:, na:] = False
-            np.fill_diagonal(near, True)
         out_src, out_dst, kinds = [], [], []
         ci = np.flatnonzero(is_core)
         if len(ci):
             adj = near[np.ix_(ci, ci)]
-            lab = ids[ci].copy()
+            lab = np.where(dense_mask[ci], allp["_rep"].fillna(-1).to_numpy().astype(np.int64)[ci], ids[ci])
+            dm = dense_mask[ci]
             for _ in range(len(ci) + 1):
                 new = np.where(adj, lab[None, :], np.iinfo(np.int64).max).min(axis=1)
                 new = np.minimum(new, lab)
+                if dm.any():
+                    new[dm] = new[dm].min()          # a dense cell is one connected unit
                 if np.array_equal(new, lab):
                     break
                 lab = new
-            out_src += list(ids[ci])
-            out_dst += list(lab)
-            kinds += [0] * len(ci)
+            sparse_core = ~dm
+            out_src += list(ids[ci][sparse_core])
+            out_dst += list(lab[sparse_core])
+            kinds += [0] * int(sparse_core.sum())
+            if dm.any():
+                rep = int(allp["_rep"].to_numpy()[ci][dm][0])
+                out_src.append(rep)
+                out_dst.append(int(lab[dm][0]))
+                kinds.append(0)
         nc = np.flatnonzero(~is_core)
         if len(nc) and len(ci):
             sub = near[np.ix_(nc, ci)]
-            r, c = np.nonzero(sub)
-            out_src += list(ids[nc][r])
-            out_dst += list(ids[ci][c])
-            kinds += [1] * len(r)
+            r_, c_ = np.nonzero(sub)
+            out_src += list(ids[nc][r_])
+            out_dst += list(ids[ci][c_])
+            kinds += [1] * len(r_)
         return pd.DataFrame({"src": np.asarray(out_src, dtype=np.int64), "dst": np.asarray(out_dst, dtype=np.int64),
                              "kind": np.asarray(kinds, dtype=np.int32)})
 
-    no_edge = lambda: pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"),
-                                    "kind": pd.Series(dtype="int32")})
     edges = g2.groupBy("_bkt").applyInPandas(per_group(links, no_edge), "src long, dst long, kind int").checkpoint()
-    star = edges.filter("kind = 0").select("src", "dst").distinct()
+    # every point of a dense cell hangs off its cell representative (one edge per point)
+    cell_star = dense_points.select(F.col("_id").alias("src"), F.col("_rep").alias("dst"))
+    star = edges.filter("kind = 0").select("src", "dst").unionByName(cell_star).distinct()
     border = edges.filter("kind = 1").select(F.col("src").alias("_id"), F.col("dst").alias("core_id")).distinct()
     comp = connected_components(star)
     firsts = comp.groupBy("comp").agg(F.min("_id").alias("_first"))

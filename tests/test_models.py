@@ -48,8 +48,9 @@ def test_dbscan_equals_brute_force_with_tiny_blocks(spark):
     pdf = pd.DataFrame({"id": np.arange(len(x)), "a": x[:, 0], "b": x[:, 1]})
     df = spark.createDataFrame(pdf)
     want = brute_dbscan(x, 0.1, 3)
-    for block_rows, parts in ((16, 3), (1024, 7)):            # dense cell split into many sub-blocks
-        got = dbscan(df.repartition(parts), "id", ["a", "b"], eps=0.1, min_samples=3, block_rows=block_rows)
+    for block_rows, parts, dense in ((16, 3, None), (1024, 7, None), (16, 4, False), (1024, 2, True)):
+        got = dbscan(df.repartition(parts), "id", ["a", "b"], eps=0.1, min_samples=3, block_rows=block_rows,
+                     dense_cells=dense)
         got = got.toPandas().sort_values("id")["cluster"].to_numpy()
         assert (got == want).all()
 
