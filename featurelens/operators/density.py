@@ -148,9 +148,13 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
 
     deg = groups.groupBy("_bkt").applyInPandas(per_group(degrees, no_deg), "_id long, cnt long") \
         .groupBy("_id").agg(F.sum("cnt").alias("deg"))
-    flags = groups.select("_id", "_dense").distinct()
-    core = flags.join(deg, "_id", "left").select(
-        "_id", (F.col("_dense") | (F.coalesce(F.col("deg"), F.lit(0)) >= min_samples)).alias("_core")).checkpoint()
+    if shortcut:
+        flags = groups.select("_id", "_dense").distinct()
+        core = flags.join(deg, "_id", "left").select(
+            "_id", (F.col("_dense") | (F.coalesce(F.col("deg"), F.lit(0)) >= min_samples)).alias("_core"))
+    else:
+        core = deg.select("_id", (F.col("deg") >= min_samples).alias("_core"))
+    core = core.checkpoint()
     g2 = groups.join(core, "_id")
     no_edge = lambda: pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"),
                                     "kind": pd.Series(dtype="int32")})
@@ -214,8 +218,10 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
 
     edges = g2.groupBy("_bkt").applyInPandas(per_group(links, no_edge), "src long, dst long, kind int").checkpoint()
     # every point of a dense cell hangs off its cell representative (one edge per point)
-    cell_star = dense_points.select(F.col("_id").alias("src"), F.col("_rep").alias("dst"))
-    star = edges.filter("kind = 0").select("src", "dst").unionByName(cell_star).distinct()
+    star = edges.filter("kind = 0").select("src", "dst")
+    if shortcut:
+        star = star.unionByName(dense_points.select(F.col("_id").alias("src"), F.col("_rep").alias("dst")))
+    star = star.distinct()
     border = edges.filter("kind = 1").select(F.col("src").alias("_id"), F.col("dst").alias("core_id")).distinct()
     comp = connected_components(star)
     firsts = comp.groupBy("comp").agg(F.min("_id").alias("_first"))
@@ -241,9 +247,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     spark = edges.sparkSession
     scratch = shared_dir(spark, "components")
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter(F.col("u") != F.col("v"))
-    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    nodes = edges.select(F.col(src).alias("_id")).unionByName(edges.select(F.col(dst).alias("_id"))).distinct()
     rounds = 0
 
     def persist(df: DataFrame) -> DataFrame:
@@ -271,7 +274,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         own = m.select("u", F.col("m").alias("v"))
         return undirected(moved.unionByName(own))
 
-    e = persist(e)
+    given = persist(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")))   # evaluated once
+    nodes = given.select(F.col("u").alias("_id")).unionByName(given.select(F.col("v").alias("_id"))).distinct()
+    e = given.filter(F.col("u") != F.col("v"))
+    e = persist(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     for _ in range(MAX_ROUNDS):
         prev = rounds
         nxt = persist(small_star(large_star(e)))
