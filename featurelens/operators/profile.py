@@ -19,7 +19,14 @@ from featurelens.operators.quantiles import exact_percentiles, unpivot
 def collection_stats(df: DataFrame, artist="artist", album="album", year="release_year",
                      tempo="tempo", energy="energy", dance="danceability", valence="valence",
                      duration="duration_min") -> DataFrame:
-    """A1 + A22: one summary row; unusable numeric columns give NULL."""
+    """A1 + A22: one summary row; absent or all-NULL numeric columns give NULL
+    (the analysed program's "N/A")."""
+    def col(c):
+        return F.col(c) if c in df.columns else F.lit(None).cast("double")
+
+    tempo, energy, dance, valence, year = col(tempo), col(energy), col(dance), col(valence), col(year)
+    total_duration = (rnd(F.coalesce(F.sum(duration), F.lit(0.0)), 1) if duration in df.columns
+                      else F.lit(None).cast("double"))
     return df.agg(
         F.count(F.lit(1)).alias("total_tracks"),
         F.count_distinct(F.col(artist)).alias("unique_artists"),
@@ -30,7 +37,7 @@ def collection_stats(df: DataFrame, artist="artist", album="album", year="releas
         rnd(F.avg(energy), 3).alias("avg_energy"),
         rnd(F.avg(dance), 3).alias("avg_danceability"),
         rnd(F.avg(valence), 3).alias("avg_valence"),
-        rnd(F.coalesce(F.sum(duration), F.lit(0.0)), 1).alias("total_duration_min"),
+        total_duration.alias("total_duration_min"),
     )
 
 

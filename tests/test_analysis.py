@@ -24,3 +24,14 @@ def test_analyse_collection_end_to_end(spark, tmp_path):
     for key in ("csv", "report", "points"):
         assert res["paths"][key]
     assert os.path.isdir(res["paths"]["items_scored"])
+
+
+def test_analyse_collection_other_algorithms(spark, tmp_path):
+    items = order_items(spark, SF_SMALL)
+    for algo in ("dbscan", "hierarchical"):
+        res = analyse_collection(items, ITEM_FEATURES, algo=algo, n_clusters=3, eps=0.5, n_epochs=3,
+                                 stage_dir=str(tmp_path / algo))
+        n = res["items_clean"].count()
+        assert res["labels"].count() == n and "optimal_k" not in res
+        if algo == "hierarchical":
+            assert res["labels"].select("cluster").distinct().count() == 3

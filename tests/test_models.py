@@ -146,3 +146,9 @@ def test_diversity_closed_form_equals_pairs(spark):
     iu = np.triu_indices(120, 1)
     want = round(float((1 - sims[iu]).mean()), 4)
     assert diversity(df, "v").first()["diversity"] == want
+
+
+def test_agglomerative_compresses_above_limit(spark):
+    df, truth = _blobs(spark)
+    got = agglomerative(df, "id", ["a", "b"], k=3, limit=40).toPandas().sort_values("id")["cluster"].to_numpy()
+    assert (got == truth).all()                              # 40 k-means micro-clusters, then ward merges
