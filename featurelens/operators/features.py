@@ -112,7 +112,7 @@ def metadata_matrix(df: DataFrame, columns=("release_year", "duration_min", "exp
     return filled, matrix, scaler, cols
 
 
-def outlier_matrix(df: DataFrame, columns, keep=("row_id",)) -> DataFrame:
+def outlier_matrix(df: DataFrame, columns, keep=("row_id",)) -> tuple[DataFrame, list[str]]:
     """M4: usable columns only, median-filled, own standardisation."""
     cols = available_columns(df, columns)
     if not cols:
