@@ -17,6 +17,9 @@ MONTH_SHORT = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
 QUADRANT_LABELS = ["Happy & Intense", "Dark & Intense", "Happy & Calm", "Dark & Calm"]
 # Trend arrows: rising, falling, flat; and the text used when undefined.
 ARROW_UP, ARROW_DOWN, ARROW_FLAT, NOT_AVAILABLE = "↑", "↓", "→", "N/A"
+# Link patterns: collection id in a collection link, item id in an item link.
+COLLECTION_LINK_PATTERN = r"playlist/([A-Za-z0-9]+)"
+ITEM_LINK_PATTERN = r"track/([A-Za-z0-9]+)"
 # ---------------------------------------------------------------------------
 
 
@@ -64,7 +67,7 @@ def cosine(a, b, zero_norm: float = 0.0) -> Column:
     return F.when(denom == 0, F.lit(float(zero_norm))).otherwise(dot(a, b) / denom)
 
 
-def collection_id(s, pattern: str = r"playlist/([A-Za-z0-9]+)", uri_prefix: str = "urn:") -> Column:
+def collection_id(s, pattern: str = COLLECTION_LINK_PATTERN, uri_prefix: str = "urn:") -> Column:
     """Id from a URI (``<prefix>...:<id>``), a link matching ``pattern``, or the trimmed input."""
     s = _c(s)
     hit = F.regexp_extract(s, pattern, 1)
@@ -73,7 +76,7 @@ def collection_id(s, pattern: str = r"playlist/([A-Za-z0-9]+)", uri_prefix: str
             .otherwise(F.trim(s)))
 
 
-def link_id(s, pattern: str = r"track/([A-Za-z0-9]+)") -> Column:
+def link_id(s, pattern: str = ITEM_LINK_PATTERN) -> Column:
     """Id captured from a link; NULL when the link does not match."""
     hit = F.regexp_extract(F.coalesce(_c(s), F.lit("")), pattern, 1)
     return F.when(hit != "", hit)

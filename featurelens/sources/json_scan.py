@@ -122,16 +122,17 @@ def normalise_features(rec, requested_id, names=FEATURE_NAMES, null_ints=("key",
 
 def resolve_feature_batches(requested: DataFrame, responses: DataFrame, id_col: str = "id",
                             order_col: str = "pos", batch: int = 10, payload: str = "payload",
-                            link_pattern: str = r"track/([A-Za-z0-9]+)") -> DataFrame:
+                            link_pattern: str | None = None) -> DataFrame:
     """S4 end to end: requested ids are cut into batches of ``batch`` in
     ``order_col`` order (W2); each batch's response ``payload`` (a JSON string
     in any envelope, P3) is exploded with positions; every requested id takes
     the record whose link carries it, else the record at its position, else
     nothing (J3); records are normalised (P4). ``responses`` has
     ``batch_no`` and ``payload``. One row per requested id."""
-    from featurelens.functions.columns import link_id
+    from featurelens.functions.columns import ITEM_LINK_PATTERN, link_id
     from featurelens.operators.positions import batch_numbers, resolve_by_link_or_position
 
+    link_pattern = link_pattern or ITEM_LINK_PATTERN
     req = batch_numbers(requested, order_col, batch).select(id_col, "batch_no", "pos_in_batch")
     item_type = FEATURE_RECORD.simpleString()
     recs = responses.select("batch_no", F.posexplode(unwrap_envelope(payload, item_type)).alias("resp_pos", "rec"))
