@@ -115,8 +115,12 @@ def _lloyd_pass(pts: DataFrame, centres: dict) -> dict:
             yield pd.DataFrame(rows, columns=["run", "cl", "n", "s", "sse"])
 
     part = pts.mapInPandas(partial, "run int, cl int, n long, s array<double>, sse double")
-    agg = part.groupBy("run", "cl").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"),
-                                        F.array(*[F.sum(F.col("s")[i]) for i in range(_dim(snap))]).alias("s"))
+    # partials are summed as DECIMAL: exact, so the merge order across partitions
+    # (and task retries) cannot change a centre in its last bits
+    dec = "decimal(38,12)"
+    agg = part.groupBy("run", "cl").agg(
+        F.sum("n").alias("n"), F.sum(F.col("sse").cast(dec)).cast("double").alias("sse"),
+        F.array(*[F.sum(F.col("s")[i].cast(dec)).cast("double") for i in range(_dim(snap))]).alias("s"))
     out: dict = {}
     for row in agg.collect():
         out.setdefault(row["run"], []).append((row["cl"], row["n"], np.asarray(row["s"]), row["sse"]))

@@ -152,3 +152,12 @@ def test_agglomerative_compresses_above_limit(spark):
     df, truth = _blobs(spark)
     got = agglomerative(df, "id", ["a", "b"], k=3, limit=40).toPandas().sort_values("id")["cluster"].to_numpy()
     assert (got == truth).all()                              # 40 k-means micro-clusters, then ward merges
+
+
+def test_kmeans_is_identical_under_repartitioning(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 2))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(300), "a": x[:, 0], "b": x[:, 1]}))
+    a = kmeans(df.repartition(1), "id", ["a", "b"], k=4, n_init=3).toPandas().sort_values("id")["cluster"].to_numpy()
+    b = kmeans(df.repartition(6), "id", ["a", "b"], k=4, n_init=3).toPandas().sort_values("id")["cluster"].to_numpy()
+    assert (a == b).all()
