@@ -169,7 +169,11 @@ def embed_2d(df: DataFrame, id_col: str, vec_col: str, n_neighbors: int = 15, mi
         cr = (2.0 * b) / ((0.001 + d2) * (1.0 + a * F.pow(d2, b)))
         rep = neg.select("i", F.least(F.greatest(cr * dx, F.lit(-4.0)), F.lit(4.0)).alias("gx"),
                          F.least(F.greatest(cr * dy, F.lit(-4.0)), F.lit(4.0)).alias("gy"))
-        grad = att.unionByName(rep).groupBy("i").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
+        # exact DECIMAL sums: the same seed gives the same layout under any partitioning
+        dec = "decimal(38,18)"
+        grad = att.unionByName(rep).groupBy("i").agg(
+            F.sum(F.col("gx").cast(dec)).cast("double").alias("gx"),
+            F.sum(F.col("gy").cast(dec)).cast("double").alias("gy"))
         pos = pos.join(grad, "i", "left").select(
             "i", "idx",
             F.round(F.col("x") + F.lit(lr) * F.coalesce("gx", F.lit(0.0)), 9).alias("x"),

@@ -161,3 +161,14 @@ def test_kmeans_is_identical_under_repartitioning(spark):
     a = kmeans(df.repartition(1), "id", ["a", "b"], k=4, n_init=3).toPandas().sort_values("id")["cluster"].to_numpy()
     b = kmeans(df.repartition(6), "id", ["a", "b"], k=4, n_init=3).toPandas().sort_values("id")["cluster"].to_numpy()
     assert (a == b).all()
+
+
+def test_embedding_is_identical_under_repartitioning(spark):
+    from featurelens.operators.embed import embed_2d
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(120, 6))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(120), "v": list(x)}))
+    a = embed_2d(df.repartition(1), "id", "v", n_neighbors=6, n_epochs=4).toPandas().sort_values("id")
+    b = embed_2d(df.repartition(5), "id", "v", n_neighbors=6, n_epochs=4).toPandas().sort_values("id")
+    assert np.array_equal(a[["umap_x", "umap_y"]].to_numpy(), b[["umap_x", "umap_y"]].to_numpy())
