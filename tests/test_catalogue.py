@@ -77,3 +77,17 @@ def test_plans(spark):
     for key in ("yearly_trend", "correlation_long", "positional_fallback", "histogram", "knn_one"):
         p = QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "PythonUDF" not in p and "ArrowEvalPython" not in p and "FlatMapGroupsInPandas" not in p
+
+
+def test_kmeans_inertia_not_above_label_partition(spark):
+    from pyspark.sql import functions as F
+
+    from featurelens.operators import quality
+    from featurelens.plans.model_queries import embeddings_2d
+
+    coords = embeddings_2d(spark, SF_SMALL).withColumn("v", F.array("pc1", "pc2"))
+    by_label = quality.inertia(coords, "label", "v").first()["inertia"]
+    scan = {r.k: r for r in QUERIES["optimal_k"](spark, SF_SMALL).collect()}
+    assert scan[10].inertia <= by_label
+    assert sum(1 for r in scan.values() if r.best) == 1
+    assert scan[2].inertia >= scan[10].inertia
