@@ -172,3 +172,22 @@ def test_embedding_is_identical_under_repartitioning(spark):
     a = embed_2d(df.repartition(1), "id", "v", n_neighbors=6, n_epochs=4).toPandas().sort_values("id")
     b = embed_2d(df.repartition(5), "id", "v", n_neighbors=6, n_epochs=4).toPandas().sort_values("id")
     assert np.array_equal(a[["umap_x", "umap_y"]].to_numpy(), b[["umap_x", "umap_y"]].to_numpy())
+
+
+def test_pca_equals_numpy(spark):
+    from featurelens.operators.features import pca
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4))
+    df = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(200), **{f"c{i}": x[:, i] for i in range(4)}}))
+    coords, ratio, vecs = pca(df, [f"c{i}" for i in range(4)], k=2)
+    xc = x - x.mean(axis=0)
+    vals, v = np.linalg.eigh(np.cov(xc, rowvar=False))
+    order = np.argsort(vals)[::-1]
+    assert np.allclose(ratio, (vals[order] / vals.sum())[:2], atol=1e-9)
+    got = coords.toPandas().sort_values("row_id")[["pc1", "pc2"]].to_numpy()
+    want = xc @ v[:, order[:2]]
+    for j in range(2):                                        # same axis up to the sign convention
+        assert np.allclose(np.abs(got[:, j]), np.abs(want[:, j]), atol=1e-8)
+        big = np.argmax(np.abs(vecs[:, j]))
+        assert vecs[big, j] > 0                               # largest loading is positive
