@@ -131,7 +131,7 @@ def fuzzy_graph(knn: DataFrame, id_col: str, k: int) -> DataFrame:
 
 def embed_2d(df: DataFrame, id_col: str, vec_col: str, n_neighbors: int = 15, min_dist: float = 0.1,
              metric: str = "euclidean", seed: int = 42, n_epochs: int = 20, negatives: int = 5,
-             checkpoint_every: int = 1, progress=None) -> DataFrame:
+             checkpoint_every: int = 1, progress=None, exact_sums: bool = True) -> DataFrame:
     """M6: (id, umap_x, umap_y)."""
     from featurelens.operators.features import pca
 
@@ -171,9 +171,9 @@ def embed_2d(df: DataFrame, id_col: str, vec_col: str, n_neighbors: int = 15, mi
                          F.least(F.greatest(cr * dy, F.lit(-4.0)), F.lit(4.0)).alias("gy"))
         # exact DECIMAL sums: the same seed gives the same layout under any partitioning
         dec = "decimal(38,18)"
-        grad = att.unionByName(rep).groupBy("i").agg(
-            F.sum(F.col("gx").cast(dec)).cast("double").alias("gx"),
-            F.sum(F.col("gy").cast(dec)).cast("double").alias("gy"))
+        gx, gy = (F.col("gx").cast(dec), F.col("gy").cast(dec)) if exact_sums else (F.col("gx"), F.col("gy"))
+        grad = att.unionByName(rep).groupBy("i").agg(F.sum(gx).cast("double").alias("gx"),
+                                                     F.sum(gy).cast("double").alias("gy"))
         pos = pos.join(grad, "i", "left").select(
             "i", "idx",
             F.round(F.col("x") + F.lit(lr) * F.coalesce("gx", F.lit(0.0)), 9).alias("x"),
