@@ -114,37 +114,38 @@ def _global_percentiles(df: DataFrame, value: str, probs, buckets: int, max_coll
     n = int(st["n"])
     if n == 0:
         return spark.createDataFrame([], schema)
-    cache: dict[int, float] = {}
-
-    def order_stat(rank: int) -> float:
-        if rank in cache:
-            return cache[rank]
-        lo, hi, below, cnt = float(st["mn"]), float(st["mx"]), 0, n
+    def narrow(ranks, lo, hi, below, cnt) -> dict:
+        """Values at the given ranks (all inside the bracket [lo, hi])."""
         for _ in range(MAX_PASSES):
             if lo == hi:
-                cache[rank] = lo
-                return lo
+                return {r: lo for r in ranks}
             inside = data.filter((F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi)))
             if cnt <= max_collect:
                 vals = sorted(r[0] for r in inside.collect())
-                cache[rank] = vals[rank - below]
-                return cache[rank]
+                return {r: vals[r - below] for r in ranks}
             b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(hi - lo) * buckets), F.lit(buckets - 1))
             hist = inside.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("bmn"),
                                                     F.max("_v").alias("bmx")).orderBy("b").collect()
-            cum = below
+            homes, cum = {}, below
             for h in hist:
-                if cum <= rank < cum + h["c"]:
-                    lo, hi, below, cnt = float(h["bmn"]), float(h["bmx"]), cum, int(h["c"])
-                    break
+                for r in ranks:
+                    if cum <= r < cum + h["c"]:
+                        homes[r] = (float(h["bmn"]), float(h["bmx"]), cum, int(h["c"]))
                 cum += h["c"]
+            if len(set(homes.values())) > 1:        # ranks now in different slices: go on separately
+                out: dict = {}
+                for r in ranks:
+                    out.update(narrow([r], *homes[r]))
+                return out
+            lo, hi, below, cnt = homes[ranks[0]]
         raise RuntimeError("exact_percentiles did not converge")
 
     row = [n]
     for p in probs:
         r = p * (n - 1)
         rlo, rhi = math.floor(r), math.ceil(r)
-        vlo, vhi = order_stat(rlo), order_stat(rhi)
+        got = narrow(sorted({rlo, rhi}), float(st["mn"]), float(st["mx"]), 0, n)
+        vlo, vhi = got[rlo], got[rhi]
         row.append(vlo + (vhi - vlo) * (r - rlo))
     return spark.createDataFrame([tuple(row)], schema)
 
