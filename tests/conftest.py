@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,8 +14,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from featurelens.session import get_session
 
-    ckpt = tempfile.mkdtemp(prefix="featurelens-test-ckpt-")
-    s = get_session("local[*]", shuffle_partitions=8,
-                    extra={"spark.driver.memory": "8g", "spark.checkpoint.dir": ckpt})
+    # the checkpoint folder comes from the session's configuration; get_session
+    # registers a private one only when none is configured
+    s = get_session("local[*]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     yield s
     s.stop()
