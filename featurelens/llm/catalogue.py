@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelens.llm import bpe, exact_dedup, sharding
+from featurelens.llm import bpe, exact_dedup, language, sharding, toxicity
 
 SHARDS = 8
 
@@ -30,6 +30,23 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), ranks_path()))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(language.fold("doc_id", 4) == 2, F.lit(False))
+    model = language.train(docs.where(~held))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held = F.coalesce(language.fold("doc_id", 3) == 1, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held)
+    field = toxicity.train(docs.where(~held).join(labels, "doc_id"))
+    found = toxicity.score(docs, field)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(documents(spark, sf_dir), SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -38,6 +55,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_language": op6_language,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
 }
 
