@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelens.llm import bpe, exact_dedup, language, sharding, toxicity
+from featurelens.llm import bpe, exact_dedup, language, ngram_join, sharding, toxicity
 
 SHARDS = 8
 
@@ -52,12 +52,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(documents(spark, sf_dir).select("doc_id", "text"), n=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_language": op6_language,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -86,4 +91,14 @@ SQL: dict[str, str] = {
              p AS (SELECT *, row_number() OVER (ORDER BY f, coalesce(source, ''), source IS NULL, h, doc_id, text_crc32, size) - 1 AS position FROM r)
         SELECT doc_id, size, text_crc32, 'rows' AS law, (position * 8 // n)::INTEGER AS shard,
                position - ((position * 8 // n) * n + 7) // 8 AS slot, NULL::INTEGER AS grown_shard FROM p""",
+    "op10_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
+             g AS (SELECT doc_id, list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+                       ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END) AS s FROM w),
+             e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+             l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+                   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+             r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT g.doc_id, len(s)::BIGINT AS n_shingles, c.component_id FROM g
+        JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)""",
 }
