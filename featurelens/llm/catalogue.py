@@ -78,14 +78,15 @@ SQL: dict[str, str] = {
                      SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k:
                          CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c
                      FROM (SELECT unnest(range(256)) AS i))),
-             b AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x FROM documents),
-             d AS (SELECT doc_id, source, length(x) // 2 + 1 AS size,
-                          xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2),
-                              lambda j: (16 * (instr('0123456789ABCDEF', x[2 * j + 1]) - 1)
-                                         + instr('0123456789ABCDEF', x[2 * j + 2]) - 1)::BIGINT)),
+             b AS (SELECT doc_id, source, string_split(hex(encode(coalesce(text, ''))), '') AS x FROM documents),
+             v AS (SELECT doc_id, source, CASE WHEN x = [''] THEN [] ELSE
+                          list_transform(x, lambda c: ascii(c) - CASE WHEN ascii(c) > 57 THEN 55 ELSE 48 END) END AS x FROM b),
+             w AS (SELECT doc_id, source, list_transform(range(len(x) // 2), lambda j: (16 * x[2 * j + 1] + x[2 * j + 2])::BIGINT) AS x FROM v),
+             d AS (SELECT doc_id, source, len(x) + 1 AS size,
+                          xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, x),
                               lambda a, v: xor(a // 256, t[xor(a % 256, v) + 1]))) AS text_crc32,
                           ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
-                   FROM b, table256),
+                   FROM w, table256),
              r AS (SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1) + 1)::DOUBLE
                              / (2 * count(*) OVER (PARTITION BY source)) AS f, count(*) OVER () AS n FROM d),
              p AS (SELECT *, row_number() OVER (ORDER BY f, coalesce(source, ''), source IS NULL, h, doc_id, text_crc32, size) - 1 AS position FROM r)
