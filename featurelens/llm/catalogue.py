@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelens.llm import bpe, exact_dedup, language, ngram_join, sharding, toxicity
+from featurelens.llm import bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, ngram_join, sharding, token_counts, toxicity
 
 SHARDS = 8
 
@@ -22,6 +22,19 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id", F.lit(True).alias("is_target")).distinct()
+    models = lm_score.train(docs.join(good, "doc_id", "left"), "is_target")
+    return lm_score.score(docs, models).drop("text")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir), keep="max")
 
@@ -30,6 +43,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), ranks_path()))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(documents(spark, sf_dir).select("doc_id", "text"), pieces_path()).drop("text")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.per_document(docs, line_dedup.matches(docs))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.coalesce(language.fold("doc_id", 4) == 2, F.lit(False))
@@ -38,6 +60,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item that a document holds."""
+    return decontaminate.matches(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held = F.coalesce(language.fold("doc_id", 3) == 1, F.lit(False))
@@ -56,13 +83,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(documents(spark, sf_dir).select("doc_id", "text"), n=3, percent=90)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_token_counts": op4_token_counts,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language": op6_language,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_ngram_join": op10_ngram_join,
+    "pipeline": pipeline,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -72,6 +110,19 @@ SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op5_line_dedup": """
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
+             w AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(lower(line), '[ \\t\\r\\f\\x0B]+'), lambda x: x <> '') AS t FROM l),
+             g AS (SELECT doc_id, line_no, list_sort(list_distinct(CASE WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+                       ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END)) AS s FROM w WHERE len(t) > 0),
+             u AS (SELECT s, min((doc_id, line_no)) AS place, row_number() OVER () AS id FROM g GROUP BY s),
+             e AS (SELECT id, place, len(s) AS n, unnest(s) AS x FROM u),
+             m AS (SELECT DISTINCT id FROM (
+                     SELECT b.id FROM e a JOIN e b ON a.x = b.x AND a.place < b.place
+                     GROUP BY a.id, b.id, a.n, b.n HAVING 180 * count(*) >= 80 * (a.n + b.n)))
+        SELECT d.doc_id, count(g.line_no) AS n_lines,
+               coalesce(sum(CASE WHEN m.id IS NOT NULL OR (g.doc_id, g.line_no) <> u.place THEN 1 ELSE 0 END) FILTER (WHERE g.line_no IS NOT NULL), 0)::BIGINT AS n_removed
+        FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN u ON g.s = u.s LEFT JOIN m ON u.id = m.id GROUP BY d.doc_id""",
     "op9_sharding": """
         WITH table256 AS (
                  SELECT list(c ORDER BY i) AS t FROM (
