@@ -8,11 +8,15 @@ result is each document's component under links.
    next band visit it too. Linked sets of a band differ in at most H elements,
    so of H + 1 + z parts of the hash space at least z + 1 are equal. A set
    gives a key (band, part, hash of the part) for each part that is not small
-   (fewer than up to ``LEAST_IN_PART`` elements, by band); a set with more than
-   z small parts gives keys for those too. So linked sets always share a key, and others hardly do.
-2. *Clusters.* Keys with several distinct sets, found by an aggregation that
-   combines before the shuffle, join sets into candidate clusters; links exist
-   only inside one.
+   (fewer than up to ``LEAST_IN_PART`` elements, by band). Elements that very
+   many sets share (found by counts of 2^18 hash buckets over all documents)
+   are left out of these parts, so that a common passage makes no key of its
+   own. A set with more than z small parts also gives keys of parts with all
+   elements, and for small ones too if more than z are small again. So linked
+   sets always share a key, whatever the data, and others hardly do.
+2. *Clusters.* Keys are combined per slice before they are shuffled (one row
+   per key and slice; the rest become edges at once), matched after one
+   shuffle, and join sets into candidate clusters; links exist only inside.
 3. *Tiles.* A cluster is cut into tiles by size band and slot so that a tile
    holds a bounded number of rows and n-grams; each pair of tiles whose sizes
    can link is compared once. In a tile every set has a hashed bitmap:
@@ -20,10 +24,10 @@ result is each document's component under links.
    are not yet connected are verified by intersecting the sorted hash arrays.
    A tile gives the edges of a spanning forest, never all pairs.
 
-Texts are read twice (keys; texts of clustered sets) and only texts of one
-document per distinct clustered set are shuffled. Sets are named by a 64-bit
-hash of their elements (expected clashes among N distinct sets: N^2 / 2^65),
-verified in the tile against the recomputed set.
+Texts are scanned for counts, for names, for keys and for the tiles; of texts
+only those of one document per distinct clustered set are moved to tiles. Sets
+are named by a 64-bit hash of their elements (expected clashes among N
+distinct sets: N^2 / 2^65), verified in the tile against the recomputed set.
 
 Defined results: null, empty and blank texts have no set and stand alone (their
 component is their own id). Texts with fewer than n words have their whole
@@ -42,12 +46,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelens.llm.columns import SLICE_BYTES, lower_ascii, mix, run_hashes, runs, slices, utf8
-from featurelens.llm.staging import cut, prepare, text_or_empty, written
+from featurelens.llm.columns import lower_ascii, mix, ranges_index, run_hashes, runs, slices, utf8
+from featurelens.llm.staging import cut, prepare, text_or_empty
 from featurelens.operators.density import connected_components
 
 LEAST_IN_PART = 3
-BAND_RATIO = 1.5
+HEAVY_BITS = 18
+PACK_GRAMS = 8_000_000
 BITMAP_WORDS = 64
 TILE_ROWS = 512
 TILE_GRAMS = 1_000_000
@@ -104,8 +109,9 @@ class Bands:
     def __init__(self, percent: int, top: int):
         self.percent = percent
         edges = [1]
+        ratio = 1.5 if percent >= 90 else 1.25  # wide bands have fewer visitors, narrow ones larger parts
         while edges[-1] <= top * 2:
-            edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * BAND_RATIO)))
+            edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * ratio)))
         self.edges = np.array(edges, np.int64)
         plan = [self._plan(int(a), int(b) - 1) for a, b in zip(edges[:-1], edges[1:])]
         self.parts, self.spare, self.least = (np.array(x, np.int64) for x in zip(*plan))
@@ -128,22 +134,31 @@ class Bands:
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, sizes, side="right") - 1
 
-    def keys(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of all sets and the set each belongs to."""
+    def keys(self, values: np.ndarray, at: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all sets and the set each belongs to; ``heavy`` marks buckets of very common elements.
+
+        Where linked sets cannot differ (H = 0) they have one name and need no key.
+        """
         sizes = np.diff(at)
         rows = np.flatnonzero(sizes)
         own = self.of(sizes[rows])
-        largest = sizes[rows] * 100 // self.percent
-        visit = largest >= self.edges[own + 1]
+        visit = sizes[rows] * 100 // self.percent >= self.edges[own + 1]
         rows, band = np.concatenate([rows, rows[visit]]), np.concatenate([own, own[visit] + 1])
-        parts = self.parts[band]
-        base = np.cumsum(parts) - parts
-        lens = sizes[rows]
+        several = self.parts[band] > 1
+        rows, band = rows[several], band[several]
+        light = ~heavy[(values >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)]
+        light_at = np.concatenate([[0], np.cumsum(light)])[at]
+        keys, owner, many = self._parts(values[light], light_at, rows, band, 0)
+        again, its, _ = self._parts(values, at, rows[many], band[many], 1)
+        return np.concatenate([keys, again]), np.concatenate([owner, its])
+
+    def _parts(self, values, at, rows, band, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, their sets, and which entries have too many small parts (of kind 1 these give keys for them)."""
         if not len(rows):
-            return np.zeros(0, np.uint64), rows
-        ends = np.cumsum(lens)
-        index = np.arange(ends[-1]) + np.repeat(at[rows] - (ends - lens), lens)
-        element = mix(values[index] ^ np.repeat(mix(band.astype(np.uint64) + _K[1]), lens))
+            return np.zeros(0, np.uint64), rows, np.zeros(0, bool)
+        parts, lens = self.parts[band], np.diff(at)[rows]
+        base = np.cumsum(parts) - parts
+        element = mix(values[ranges_index(at[rows], lens)] ^ np.repeat(mix(band.astype(np.uint64) + _K[1]), lens))
         slot = np.repeat(base, lens) + ((element >> np.uint64(33)).astype(np.int64) % np.repeat(parts, lens))
         total = int(parts.sum())
         count = np.bincount(slot, minlength=total)
@@ -152,22 +167,16 @@ class Bands:
             np.add.at(sums, slot, mix(element ^ _K[2]))
             entry = np.repeat(np.arange(len(rows)), parts)
             number = np.arange(total) - np.repeat(base, parts)
-            small = (count < np.repeat(self.least[band], parts)) & (np.repeat(parts, parts) > 1)
-            needs = np.bincount(entry[small], minlength=len(rows)) > self.spare[band]
-            emit = ~small | needs[entry]
-            name = mix((band.astype(np.uint64) << np.uint64(32))[entry] + number.astype(np.uint64) + _K[3])
+            small = count < np.repeat(self.least[band], parts)
+            many = np.bincount(entry[small], minlength=len(rows)) > self.spare[band]
+            emit = ~small | many[entry] if kind else ~small
+            name = mix((band.astype(np.uint64) << np.uint64(32))[entry] + number.astype(np.uint64) + _K[3 - kind])
             keys = mix(sums + name * _K[4])
-        return keys[emit], rows[entry[emit]]
-
-
-def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
-    order = np.argsort(owner, kind="stable")
-    at = np.searchsorted(owner[order], np.arange(rows + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(values[order].view(np.int64)))
+        return keys[emit], rows[entry[emit]], many
 
 
 def compare(texts: pa.Array, sids: np.ndarray, tiles: np.ndarray, sides: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (set, smaller set of its group, tile) of a spanning forest of each tile's links.
+    """Edges (set, smallest set it is connected to, tile) within each tile's links.
 
     ``sides`` tells the two halves of a pair of tiles; pairs within a half are
     another tile's work. Side -1 compares all pairs.
@@ -200,7 +209,6 @@ def _tile(group, values, at, sizes, sids, sides, percent, tile) -> list[tuple[in
         np.bitwise_or.at(bits[i], (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
     size, side = sizes[group], sides[group]
     parent = np.arange(m)
-    edges = []
     for i in range(m - 1):
         last = np.searchsorted(size, size[i] * 100 // percent, side="right")
         if last <= i + 1:
@@ -219,68 +227,137 @@ def _tile(group, values, at, sizes, sids, sides, percent, tile) -> list[tuple[in
             place[place == len(theirs)] = 0
             overlap = int((theirs[place] == mine).sum())
             if overlap * 100 >= percent * (len(mine) + len(theirs) - overlap):
-                edges.append((int(sids[group[i]]), int(sids[group[j]]), tile))
                 parent[parent == parent[j]] = parent[i]
-    return edges
+    names = sids[group]
+    heads = np.unique(parent)
+    least = {int(h): int(names[parent == h].min()) for h in heads[np.bincount(parent, minlength=m)[heads] > 1]}
+    return [(int(x), least[int(p)], tile) for x, p in zip(names, parent) if int(p) in least and int(x) != least[int(p)]]
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """Slim rows with set size, set name, text hash and keys."""
+def _named(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Slim rows: id, text hash, set size and set name."""
     source = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_text"), text_or_empty(text_col).alias("_t"))
-    fields = [f for f in source.schema.fields if f.name != "_t"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "n long, sid long, keys array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = None
         for batch in batches:
-            for part in slices(batch, "_t", SLICE_BYTES):
+            for part in slices(batch, "_t"):
+                values, at = gram_sets(part.column("_t"), n)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_text"), pa.array(np.diff(at)),
+                                                  pa.array(set_ids(values, at).view(np.int64))], names=["_id", "_text", "n", "sid"])
+
+    return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, _text long, n long, sid long")
+
+
+def _heavy_buckets(texts: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Hash buckets with far more elements than most, and the number of elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << HEAVY_BITS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "_t"):
+                values, _ = gram_sets(part.column("_t"), n)
+                counts += np.bincount((values >> np.uint64(64 - HEAVY_BITS)).astype(np.int64), minlength=len(counts))
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], names=["bucket", "n"])
+
+    rows = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2^18 at most
+    counts = np.zeros(1 << HEAVY_BITS, np.int64)
+    counts[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    middle = np.median(counts)
+    spread = 1.4826 * np.median(np.abs(counts - middle))
+    return counts > middle + 8 * spread + 20, int(counts.sum())
+
+
+def _clusters(df: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
+    """(sid, cluster) of all sets that share a key with another set."""
+    spark = df.sparkSession
+    texts = df.select(text_or_empty(text_col).alias("_t"))
+    heavy, grams = _heavy_buckets(texts, n)
+    shared = spark.sparkContext.broadcast(heavy)  # 2^18 flags
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grams // PACK_GRAMS)
+    bits = max(4, (4 * partitions - 1).bit_length())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, turn = None, 0
+        for batch in batches:
+            for part in slices(batch, "_t"):
                 values, at = gram_sets(part.column("_t"), n)
                 top = int(np.diff(at).max(initial=1))
                 if bands is None or bands.edges[-1] <= top * 2:
                     bands = Bands(percent, max(top, 1 << 16))
-                keys, owner = bands.keys(values, at)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), part.column("_text"), pa.array(np.diff(at)), pa.array(set_ids(values, at).view(np.int64)),
-                     _lists(keys, owner, part.num_rows)], names=["_id", "_text", "n", "sid", "keys"])
+                keys, owner = bands.keys(values, at, shared.value)
+                keys, sids, edges = _combined(keys, set_ids(values, at).view(np.int64)[owner])
+                ends = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(1, (1 << bits) + 1).astype(np.uint64))
+                rows = [(i, False, keys[a:b].tobytes(), sids[a:b].tobytes()) for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)) if b > a]
+                if len(edges):
+                    turn += 1
+                    rows.append((turn * 7919 % (1 << bits), True, edges[:, 0].tobytes(), edges[:, 1].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary()))],
+                                                 names=["part", "edge", "keys", "sids"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sids, edges = [], [], []
+        for batch in batches:
+            for edge, k, v in zip(batch.column("edge").to_pylist(), batch.column("keys").to_pylist(), batch.column("sids").to_pylist()):
+                if edge:
+                    edges.append(np.stack([np.frombuffer(k, np.int64), np.frombuffer(v, np.int64)], axis=1))
+                else:
+                    keys.append(np.frombuffer(k, np.uint64))
+                    sids.append(np.frombuffer(v, np.int64))
+        if keys:
+            edges.append(_combined(np.concatenate(keys), np.concatenate(sids))[2])
+        found = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    packs = texts.mapInArrow(pack, "part int, edge boolean, keys binary, sids binary")
+    edges = packs.repartition(partitions, "part").mapInArrow(match, "a long, b long").distinct()
+    return cut(connected_components(edges, "a", "b").select(F.col("_id").alias("sid"), F.col("comp").alias("cluster")))
 
-    return source.mapInArrow(run, schema)
 
+def _combined(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted keys with their smallest set, and edges from the other sets of a key to that one."""
+    order = np.lexsort((sids, keys))
+    keys, sids = keys[order], sids[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    head = sids[first][np.cumsum(first) - 1] if len(keys) else sids
+    other = head != sids
+    return keys[first], sids[first], np.unique(np.stack([sids[other], head[other]], axis=1), axis=0)
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90,
-               tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS) -> DataFrame:
-    """One row per document: id, ``n_shingles`` and ``component_id`` (smallest id reachable by links)."""
+
+def _classes(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, tile_rows: int, tile_grams: int) -> DataFrame:
+    """Slim rows with the root set of their component and its smallest id (both null for rows without a set)."""
     if not 50 <= percent <= 100:
         raise ValueError(f"percent must be from 50 to 100: {percent}")
     prepare(df.sparkSession)
-    with written(_sets(df, id_col, text_col, n, percent), "gram-sets") as table:
-        sets = cut(table.drop("keys"))
-        members = _clusters(table)
-    edges = _tile_edges(df, sets, members, id_col, text_col, n, percent, tile_rows, tile_grams)
-    roots = cut(connected_components(edges, "a", "b").select(F.col("_id").alias("sid"), F.col("comp").alias("root")))
+    sets = cut(_named(df, id_col, text_col, n))
+    members = _clusters(df, text_col, n, percent)
+    roots = _linked(df, sets, members, id_col, text_col, n, percent, tile_rows, tile_grams)
     full = sets.where("n > 0")
     least = full.groupBy("sid").agg(F.min("_id").alias("_least")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = cut(least)
-    named = least.join(least.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("sid", "component_id")
-    found = full.join(named, "sid").select("_id", "n", "component_id")
-    alone = sets.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"))
-    return found.unionByName(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    named = least.join(least.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("sid", "root", "component_id")
+    alone = sets.where("n = 0").withColumns({"root": F.lit(None).cast("long"), "component_id": F.lit(None).cast(sets.schema["_id"].dataType)})
+    return full.join(named, "sid").select("_id", "_text", "n", "root", "component_id").unionByName(
+        alone.select("_id", "_text", "n", "root", "component_id"))
 
 
-def _clusters(table: DataFrame) -> DataFrame:
-    """(sid, cluster) of all sets that share a key with another set."""
-    keyed = table.where("n > 0").select("sid", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key", "low")
-    edges = keyed.join(shared, "key").where("sid != low").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
-    return cut(connected_components(edges, "a", "b").select(F.col("_id").alias("sid"), F.col("comp").alias("cluster")))
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90,
+               tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS) -> DataFrame:
+    """One row per document: id, ``n_shingles`` and ``component_id`` (smallest id reachable by links)."""
+    found = _classes(df, id_col, text_col, n, percent, tile_rows, tile_grams)
+    return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
+                        F.when(F.col("root").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _tile_edges(df, sets, members, id_col, text_col, n, percent, tile_rows, tile_grams) -> DataFrame:
+def _linked(df, sets, members, id_col, text_col, n, percent, tile_rows, tile_grams) -> DataFrame:
+    """(sid, root) of all sets that link with another one."""
     one = sets.where("n > 0").join(members, "sid").groupBy("sid", "cluster", "n").agg(F.min(F.struct("_text", "_id")).alias("_doc"))
     one = cut(one.withColumn("band", F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent)) if percent < 100 else F.col("n")).cast("long")))
     sizes = one.groupBy("cluster").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_grams"))
     whole = (F.col("_rows") <= tile_rows) & (F.col("_grams") <= tile_grams)
     sizes = sizes.withColumn("_whole", whole)
-    small = one.join(sizes.where("_whole"), "cluster").select("sid", "_doc", F.xxhash64("cluster").alias("tile"), F.lit(-1).alias("side"))
+    small = one.join(sizes.where("_whole"), "cluster").select("sid", "_doc", F.xxhash64("cluster").alias("tile"), F.lit(-1).alias("side"), F.lit(True).alias("whole"))
     # larger clusters: (band, slot) tiles; each pair of tiles in the same or neighbouring bands once
     wide = one.join(sizes.where("NOT _whole").select("cluster"), "cluster")
     slots = wide.groupBy("cluster", "band").agg(F.greatest(F.ceil(2 * F.count(F.lit(1)) / tile_rows), F.ceil(2 * F.sum("n") / tile_grams)).cast("long").alias("_slots"))
@@ -301,26 +378,40 @@ def _tile_edges(df, sets, members, id_col, text_col, n, percent, tile_rows, tile
         F.col("band") - 1, j, F.col("band"), F.col("slot"), F.lit(1))))
     none = F.array().cast("array<struct<tile:bigint,side:int>>")
     paired = placed.select("sid", "_doc", F.explode(F.concat(own, F.coalesce(up, none), F.coalesce(down, none))).alias("_p")).select(
-        "sid", "_doc", "_p.tile", "_p.side")
+        "sid", "_doc", "_p.tile", "_p.side", F.lit(False).alias("whole"))
     work = cut(small.unionByName(paired))
     rows = work.count()
     docs = df.select(F.col(id_col).alias("_k"), F.xxhash64(text_or_empty(text_col)).alias("_h"), text_or_empty(text_col).alias("_t"))
     wanted = work.select("sid", "_doc").distinct()
     texts = docs.join(wanted, (docs["_h"] == wanted["_doc._text"]) & docs["_k"].eqNullSafe(wanted["_doc._id"])).select("sid", "_t")
     groups = max(1, rows // 400)
-    work = work.select("sid", "tile", "side").join(texts.dropDuplicates(["sid"]), "sid").withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(groups)))
+    work = work.select("sid", "tile", "side", "whole").join(texts.dropDuplicates(["sid"]), "sid").withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         text = table.column("_t").chunk(0) if table.num_rows else pa.array([], pa.string())
-        a, b, _ = compare(text, *(table.column(c).to_numpy() for c in ("sid", "tile", "side")), n, percent)
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        tiles = table.column("tile").to_numpy()
+        a, b, tile = compare(text, *(table.column(c).to_numpy() for c in ("sid", "tile", "side")), n, percent)
+        whole = np.isin(tile, tiles[table.column("whole").to_numpy()])
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "whole": pa.array(whole)})
 
-    return cut(work.groupBy("bucket").applyInArrow(run, "a long, b long"))
+    edges = cut(work.groupBy("bucket").applyInArrow(run, "a long, b long, whole boolean"))
+    # a whole cluster's edges lead to its root; those of pairs of tiles are joined up here
+    found = edges.where("whole").select(F.col("a").alias("sid"), F.col("b").alias("root"))
+    if not edges.where("NOT whole").isEmpty():
+        joined = connected_components(edges.where("NOT whole"), "a", "b")
+        found = found.unionByName(joined.select(F.col("_id").alias("sid"), F.col("comp").alias("root")))
+    return found
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the document with the smallest id."""
-    found = components(df, id_col, text_col, n, percent)
-    dropped = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL").distinct()
-    return df.join(dropped, df[id_col] == dropped["_gone"], "left_anti")
+    """The rows of ``df`` that stay, as they are: of each component the document with the smallest id.
+
+    Rows that agree in id and text are one document; null ids come after all others.
+    """
+    found = cut(_classes(df, id_col, text_col, n, percent, TILE_ROWS, TILE_GRAMS).where("root IS NOT NULL").select("_id", "_text", "root"))
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_text")).alias("_stay"))
+    same = F.col("_id").eqNullSafe(F.col("_stay._id")) & (F.col("_text") == F.col("_stay._text"))
+    gone = found.join(stays, "root").where(~same).select(F.col("_id").alias("_gone_id"), F.col("_text").alias("_gone_text")).distinct()
+    match = (F.xxhash64(text_or_empty(text_col)) == F.col("_gone_text")) & F.col(id_col).eqNullSafe(F.col("_gone_id"))
+    return df.join(gone, match, "left_anti")
