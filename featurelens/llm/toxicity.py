@@ -39,7 +39,7 @@ from featurelens.llm.language import sample
 from featurelens.llm.staging import prepare
 
 BITS = 18
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 
 
 @dataclass
