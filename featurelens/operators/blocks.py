@@ -67,6 +67,6 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / safe[:, None]
 
 
-def round6(x: np.ndarray) -> np.ndarray:
-    """Same rounding as ``functions.rnd(x, 6)``: half-even on the scaled value."""
-    return np.rint(x * 1e6) / 1e6
+def rounded(x: np.ndarray, decimals: int) -> np.ndarray:
+    """Same rounding as ``functions.rnd(x, decimals)``: half-even on the scaled value."""
+    return np.rint(x * 10.0 ** decimals) / 10.0 ** decimals

@@ -84,7 +84,7 @@ def category_index(df: DataFrame, column: str, order_by: str | None = None, out:
     optional palette colour (cycled)."""
     key = order_by or column
     firsts = df.groupBy(column).agg(F.min(key).alias("_k"))
-    ranks = dense_index(firsts, "_k", out=out).drop("_k")
+    ranks = dense_index(firsts.filter(F.col("_k").isNotNull()), "_k", out=out).drop("_k")
     res = df.join(ranks, column, "left")
     if color_out:
         pal = F.array(*[F.lit(p) for p in palette])

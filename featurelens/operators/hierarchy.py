@@ -1,13 +1,13 @@
 """Agglomerative clustering (M9): ward / average / complete / single.
 
-1. Summary on Spark: rows are reduced to at most ``limit`` weighted
-   micro-clusters ``(size, centroid)`` - given cells (``micro_col``), the
-   rows themselves when there are few, or k-means centres otherwise.
-2. Merging on the summary (bounded by ``limit``): the nearest-neighbour
-   chain algorithm with Lance-Williams updates (all four linkages are
-   reducible, so sorting the chain's merges by height gives the greedy
-   dendrogram); the k-1 highest merges are cut.
-3. Labels: micro-cluster -> cluster is a ``limit``-row table joined back
+1. Summary on Spark: rows are summed up in weighted micro-clusters
+   ``(size, centroid)``, which the caller names (``micro_col``) or k-means
+   makes (``micro_clusters`` of them).
+2. Merging the summary (as many rows as that parameter says) in one task: the
+   nearest-neighbour chain algorithm with Lance-Williams updates (all four
+   linkages are reducible, so sorting the chain's merges by height gives the
+   greedy dendrogram); the k-1 highest merges are cut.
+3. Labels: micro-cluster -> cluster is a table of the summary's size joined back
    to the rows on the micro-cluster id; clusters are renumbered by their
    smallest member id.
 """
@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,34 +90,38 @@ def merge_tree(centroids: np.ndarray, sizes: np.ndarray, linkage: str = "ward")
 
 
 def agglomerative(df: DataFrame, id_col: str, cols, k: int = 6, linkage: str = "ward",
-                  micro_col: str | None = None, limit: int = 2000, seed: int = 42) -> DataFrame:
-    """(id, cluster) for ``k`` clusters."""
+                  micro_clusters: int | None = None, micro_col: str | None = None, seed: int = 42) -> DataFrame:
+    """(id, cluster) for ``k`` clusters, merged from micro-clusters.
+
+    Points are first summed up in micro-clusters: ``micro_col`` names them, or
+    k-means makes ``micro_clusters`` of them (a point each, if there are no
+    more points). One of the two is required, and the way is the same at every
+    size. The micro-clusters' means and sizes, whose number that parameter
+    sets, are merged in one task; points get their labels by a join.
+    """
     if k is None or k < 1:
         raise ValueError("k must be a positive number of clusters")
+    if (micro_clusters is None) == (micro_col is None):
+        raise ValueError("give either micro_clusters or micro_col")
     cols = list(cols)
     pts = df.select(F.col(id_col).cast("long").alias("_id"), *(F.col(c).cast("double").alias(c) for c in cols),
                     *([F.col(micro_col).alias("_micro")] if micro_col else [])).dropna()
-    n = pts.count()
     if micro_col is None:
-        if n <= limit:
-            pts = pts.withColumn("_micro", F.col("_id"))
-        else:
-            best, kp = km.kmeans_runs(pts, "_id", cols, [limit], n_init=1, seed=seed)
-            lab = km.assign(kp, best[limit][0], out="_micro")
-            pts = pts.join(lab, "_id")
-    summary = pts.groupBy("_micro").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).checkpoint()
-    m = summary.count()
-    if m > limit:
-        raise ValueError(f"{m} micro-clusters exceed the limit of {limit}")
-    rows = summary.orderBy("_micro").collect()          # at most ``limit`` rows
-    ids = [r["_micro"] for r in rows]
-    sizes = np.array([r["_n"] for r in rows], float)
-    cents = np.array([[r[c] for c in cols] for r in rows], float)
-    merges = merge_tree(cents, sizes, linkage)
-    roots = cut_by_heights(len(ids), merges, min(k, len(ids)))
-    spark = df.sparkSession
-    mapping = spark.createDataFrame([(ids[i], int(roots[i])) for i in range(len(ids))],
-                                    f"_micro {summary.schema['_micro'].dataType.simpleString()}, cluster int")
+        n = pts.select(*cols).distinct().limit(micro_clusters).count()  # no more centres than distinct points
+        if n == 0:
+            return pts.select(F.col("_id").alias(id_col), F.lit(None).cast("int").alias("cluster"))
+        best, kp = km.kmeans_runs(pts, "_id", cols, [n], n_init=1, seed=seed)
+        pts = pts.join(km.assign(kp, best[n][0], out="_micro"), "_id")
+    summary = pts.groupBy("_micro").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_micro", kind="stable")
+        merges = merge_tree(pdf[cols].to_numpy(float), pdf["_n"].to_numpy(float), linkage)
+        roots = cut_by_heights(len(pdf), merges, min(k, len(pdf)))
+        return pd.DataFrame({"_micro": pdf["_micro"], "cluster": roots.astype("int32")})
+
+    schema = f"_micro {pts.schema['_micro'].dataType.simpleString()}, cluster int"
+    mapping = summary.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda key, pdf: merge(pdf), schema)
     labels = pts.select("_id", "_micro").join(mapping, "_micro").select("_id", "cluster")
     return km.relabel_by_first(labels, "_id", "cluster").withColumnRenamed("_id", id_col)
 

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 def dense_index(df: DataFrame, key: str, out: str = "idx", tiebreak=(),
                 rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Add ``out`` = 0-based position of each row ordered by numeric ``key``
-    (then ``tiebreak``). Rows with a NULL key are dropped."""
+    (then ``tiebreak``). Rows with a NULL key come last."""
     from pyspark.ml.feature import Bucketizer
 
-    data = df.filter(F.col(key).isNotNull())
+    data = df
     n = data.count()
     if n == 0:
         return data.withColumn(out, F.lit(None).cast("long"))
@@ -32,14 +32,14 @@ def dense_index(df: DataFrame, key: str, out: str = "idx", tiebreak=(),
         probs = [i / nb for i in range(1, nb)]
         cuts = sorted(set(data.select(F.col(key).cast("double").alias("_k"))
                           .approxQuantile("_k", probs, 1.0 / (10 * nb))))
-        splits = [-float("inf")] + cuts + [float("inf")]
+        splits = [-float("inf")] + cuts + [float("inf")]  # NULL keys get the bucket after the last
         b = Bucketizer(splits=splits, inputCol="_kd", outputCol="_bkd", handleInvalid="keep") \
             .transform(data.withColumn("_kd", F.col(key).cast("double"))) \
-            .withColumn("_bk", F.col("_bkd").cast("long")).drop("_kd", "_bkd")
+            .withColumn("_bk", F.coalesce(F.col("_bkd").cast("long"), F.lit(len(splits)))).drop("_kd", "_bkd")
     counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
     # the count table has one row per bucket (about n / rows_per_bucket rows)
     offsets = counts.withColumn("_off", F.sum("_c").over(Window.orderBy("_bk")) - F.col("_c")).drop("_c")
-    local = F.row_number().over(Window.partitionBy("_bk").orderBy(key, *tiebreak)) - 1
+    local = F.row_number().over(Window.partitionBy("_bk").orderBy(F.col(key).asc_nulls_last(), *tiebreak)) - 1
     return b.withColumn("_loc", local).join(offsets, "_bk") \
         .withColumn(out, (F.col("_off") + F.col("_loc")).cast("long")).drop("_bk", "_loc", "_off")
 

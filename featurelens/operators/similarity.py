@@ -6,6 +6,8 @@ representatives and collection diversity.
   ``TakeOrderedAndProject``. No join at all.
 * all-rows kNN (J8 exact): blocked cells (``blocks.py``), numpy per cell,
   per-row top-k merged with a grouped window limit.
+* ranking uses the similarity itself; differences below 1e-12 (the order of a
+  floating-point sum) are ties. Only what is returned is rounded.
 * diversity (A19): closed form over unit vectors, one aggregate, no pairs.
 """
 
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from featurelens.functions.columns import cosine, dot, norm, rnd, to_double_array
 from featurelens.operators import blocks
 
+TIE_DECIMALS = 12
+
 
 def query_vector(df: DataFrame, id_col: str, vec_col: str, query_id) -> list | None:
     """The vector of one row (a bounded, single-row fetch)."""
@@ -36,17 +40,17 @@ def similar_to(df: DataFrame, id_col: str, vec_col: str, query_id, n: int = 5, z
     qv = F.array(*[F.lit(x) for x in q])
     sim = F.when(F.col(id_col) == F.lit(query_id), F.lit(-2.0)) \
         .otherwise(cosine(to_double_array(vec_col), qv, zero_norm))
-    scored = df.select(F.col(id_col), *keep, rnd(sim, 6).alias("similarity"))
-    top = scored.orderBy(F.col("similarity").desc(), F.col(id_col).asc()).limit(n)
-    w = Window.orderBy(F.col("similarity").desc(), F.col(id_col).asc())
-    return top.withColumn("rank", F.row_number().over(w))
+    scored = df.select(F.col(id_col), *keep, sim.alias("similarity")).withColumn("_key", rnd("similarity", TIE_DECIMALS))
+    top = scored.orderBy(F.col("_key").desc(), F.col(id_col).asc()).limit(n)
+    w = Window.orderBy(F.col("_key").desc(), F.col(id_col).asc())
+    return top.withColumn("rank", F.row_number().over(w)).withColumn("similarity", rnd("similarity", 6)).drop("_key")
 
 
 def knn_all(df: DataFrame, id_col: str, vec_col: str, k: int = 5, block_rows: int = blocks.DEFAULT_BLOCK_ROWS,
             zero_norm: float = 0.0) -> DataFrame:
     """Exact k nearest neighbours (cosine) of every row: (id, rank, nbr, similarity).
 
-    Ranking key: similarity rounded to 6 decimals (desc), then neighbour id.
+    Ranking key: similarity (desc), then neighbour id.
     """
     data = df.select(F.col(id_col).cast("long").alias("_id"), to_double_array(vec_col).alias("_v")) \
         .filter(F.col("_v").isNotNull())
@@ -66,7 +70,7 @@ def knn_all(df: DataFrame, id_col: str, vec_col: str, k: int = 5, block_rows: in
             zb = (ub * ub).sum(axis=1) == 0
             sim[za, :] = zero_norm
             sim[:, zb] = zero_norm
-            sim = blocks.round6(sim)
+            sim = blocks.rounded(sim, TIE_DECIMALS)
             ida, idb = a["_id"].to_numpy(), b["_id"].to_numpy()
             sim[ida[:, None] == idb[None, :]] = -np.inf       # never your own neighbour
             kk = min(k, len(b))
@@ -86,7 +90,7 @@ def knn_all(df: DataFrame, id_col: str, vec_col: str, k: int = 5, block_rows: in
     cand = cells.groupBy("_cell").applyInPandas(per_cell, "_id long, nbr long, similarity double")
     w = Window.partitionBy("_id").orderBy(F.col("similarity").desc(), F.col("nbr").asc())
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("_id").alias(id_col), "rank", "nbr", "similarity")
+    return top.select(F.col("_id").alias(id_col), "rank", "nbr", rnd("similarity", 6).alias("similarity"))
 
 
 def centroids(df: DataFrame, group: str, vec_col: str) -> DataFrame:
@@ -108,7 +112,7 @@ def representatives(df: DataFrame, group: str, id_col: str, vec_col: str, noise=
     data = df.filter(F.col(group) != F.lit(noise)) if noise is not None else df
     cents = centroids(data, group, vec_col)
     j = data.select(group, id_col, to_double_array(vec_col).alias("_v")).join(cents, group)
-    sim = rnd(cosine(F.col("_v"), F.col("centroid")), 6)
+    sim = rnd(cosine(F.col("_v"), F.col("centroid")), TIE_DECIMALS)
     scored = j.select(group, id_col, "size", sim.alias("sim"))
     best = scored.groupBy(group).agg(
         F.max_by(F.struct(F.col(id_col), F.col("sim")), F.struct(F.col("sim"), -F.col(id_col))).alias("b"),

@@ -64,16 +64,17 @@ def derived_units(duration_ms: Column, tempo: Column, has_tempo: bool) -> list[C
 
 
 def assemble_tracks(items: DataFrame, features: DataFrame, genres: DataFrame,
-                    feature_cols, order_col: str = "feature_pos") -> DataFrame:
+                    feature_cols, order_col: str = "feature_pos", service: str = "web") -> DataFrame:
     """J1 + J2 + P5-P13: one row per valid item.
 
     ``items`` has a struct column ``t`` (the track) plus ``added_at``,
     ``added_by`` and position keys; ``features`` has ``id``, ``order_col``
     and feature columns (the last record per id wins); ``genres`` has
-    ``artist_id`` and ``genres``.
+    one row per ``artist_id`` with ``genres``. ``service`` names the link that
+    becomes ``source_url``.
     """
     feats = dedupe_last(features, "id", order_col).drop(order_col)
-    g = genres.dropDuplicates(["artist_id"])
+    g = genres.select("artist_id", "genres")
     base = items.select("*", F.col("t.id").alias("id"), *first_artist(F.col("t.artists")))
     j = base.join(feats, "id", "left").join(g, "artist_id", "left")
     has_tempo = "tempo" in feature_cols and j.filter(F.col("tempo").isNotNull()).limit(1).count() > 0
@@ -85,7 +86,7 @@ def assemble_tracks(items: DataFrame, features: DataFrame, genres: DataFrame,
         release_year(F.col("t.album.release_date")),
         F.coalesce(F.col("t.duration_ms"), F.lit(0)).alias("duration_ms"),
         flag_int(F.col("t.explicit")).alias("explicit"),
-        F.coalesce(F.get(F.map_values(F.col("t.external_urls")), 0), F.lit("")).alias("source_url"),
+        F.coalesce(F.try_element_at(F.col("t.external_urls"), F.lit(service)), F.lit("")).alias("source_url"),
         "added_at", "added_by",
         *genre_columns(F.col("genres")),
         *[F.col(c) for c in feature_cols],

@@ -34,7 +34,7 @@ ALGOS = ("kmeans", "dbscan", "hierarchical")
 
 def analyse_collection(items: DataFrame, core, *, meta=("release_year",), include_meta: bool = True,
                        algo: str = "kmeans", n_clusters: int = 6, eps: float = 0.5, min_samples: int = 3,
-                       linkage: str = "ward", n_neighbors: int = 15, min_dist: float = 0.1,
+                       linkage: str = "ward", micro_clusters: int = 500, n_neighbors: int = 15, min_dist: float = 0.1,
                        metric: str = "euclidean", contamination: float = 0.05, seed: int = 42,
                        stats_columns: dict | None = None, profile_columns=None, export: bool = False,
                        stage_dir: str | None = None, n_epochs: int = 20) -> dict:
@@ -75,7 +75,7 @@ def analyse_collection(items: DataFrame, core, *, meta=("release_year",), includ
     elif algo == "dbscan":
         labels = dbscan(emb, "row_id", ["umap_x", "umap_y"], eps, min_samples)
     else:
-        labels = agglomerative(emb, "row_id", ["umap_x", "umap_y"], n_clusters, linkage)
+        labels = agglomerative(emb, "row_id", ["umap_x", "umap_y"], n_clusters, linkage, micro_clusters=micro_clusters)
     labels = stage("labels", labels)
 
     # 4. outliers on the usable core features, summaries
@@ -104,8 +104,8 @@ def analyse_collection(items: DataFrame, core, *, meta=("release_year",), includ
         out["paths"]["csv"] = sinks.export_clustered_csv(csv_cols)
         lines = sinks.report_lines("Collection Analysis Report", "", "collection", "?", stats,
                                    out["diversity"].select("diversity"),
-                                   profile.cluster_profile(table, prof_cols[:2]),
-                                   [f"{c}_mean" for c in prof_cols[:2]])
+                                   profile.cluster_profile(table, prof_cols),
+                                   [f"{c}_{s}" for c in prof_cols for s in ("mean", "std")])
         out["paths"]["report"] = sinks.write_report(lines)
         out["paths"]["points"] = sinks.export_points(
             explore.presentation(table, ["umap_x", "umap_y"], text=["name", "artist"], keep=["row_id", "cluster"]))

@@ -40,10 +40,15 @@ def conversation_pages(spark, d):
             (x["role"] == "assistant").alias("explicit"),
             F.array(F.struct(x["role"].alias("id"), x["role"].alias("name"))).alias("artists"),
             F.struct(x["role"].alias("name"), F.lit("").alias("release_date")).alias("album"),
-            F.create_map(F.lit("web"), F.concat(F.lit("https://chat.example.org/c/"), x["conv_id"].cast("string"))
-                         ).alias("external_urls"))
-        return F.struct(F.lit("").alias("added_at"), F.struct(x["role"].alias("id")).alias("added_by"),
-                        F.when(x["role"] == "user", track).alias("item"),
+            F.create_map(F.lit("app"), F.lit("app:other"), F.lit("web"),
+                         F.concat(F.lit("https://chat.example.org/c/"), x["conv_id"].cast("string"))).alias("external_urls"))
+        empty = F.lit(None).cast(json_scan.TRACK)
+        empty = F.struct(*[empty[f].alias(f) for f in json_scan.TRACK.fieldNames()])
+        added = F.when(x["turn"] % 2 == 0, F.concat(F.lit("2024-03-0"), (x["turn"] % 7 + 1).cast("string"),
+                                                    F.lit("T10:00:00Z"))).otherwise(F.lit(""))
+        return F.struct(added.alias("added_at"), F.struct(x["role"].alias("id")).alias("added_by"),
+                        # what is not a user turn has an empty wrapper, or none
+                        F.when(x["role"] == "user", track).when(x["turn"] % 3 == 0, empty).alias("item"),
                         F.when(x["role"] != "user", track).alias("track"))
 
     body = F.struct(F.col("n").cast("int").alias("total"), F.lit(None).cast("string").alias("next"),
@@ -63,6 +68,66 @@ def q_explode_items(spark, d):
                         tracks.flag_int(F.col("t.explicit")).alias("explicit"))
 
 
+ARTIST_PAGE_SIZE = 50
+
+
+def artist_pages(spark, d):
+    """Artist records landed as JSON pages of ARTIST_PAGE_SIZE in part order; an
+    artist (a brand) comes again on many pages, some records have no genres."""
+    p = load(spark, d, "part").withColumn("page_no", F.floor((F.col("p_partkey") - 1) / ARTIST_PAGE_SIZE).cast("long"))
+    genres = F.when(F.col("p_size") % 5 != 0, F.split("p_type", " "))
+    rec = F.struct("p_partkey", F.col("p_brand").alias("id"), genres.alias("genres"))
+    pages = p.groupBy("page_no").agg(F.sort_array(F.collect_list(rec)).alias("r"))  # one page a row
+    body = F.struct(F.transform("r", lambda x: F.struct(x["id"].alias("id"), x["genres"].alias("genres"))).alias("artists"))
+    landed = pages.select("page_no", F.to_json(body).alias("payload"))
+    return landed.select("page_no", F.from_json("payload", json_scan.ARTIST_PAGE).alias("p")).select("page_no", "p.artists")
+
+
+@query("artist_batches")
+def q_artist_batches(spark, d):
+    items = load(spark, d, "part").select(F.col("p_name").alias("artist_id"), F.col("p_partkey").alias("pos"))
+    return json_scan.artist_requests(items, size=ARTIST_PAGE_SIZE)
+
+
+@query("artist_genres")
+def q_artist_genres(spark, d):
+    found = json_scan.artist_genres(artist_pages(spark, d), "page_no")
+    return found.select("artist_id", F.size("genres").alias("n_genres"), *tracks.genre_columns(F.col("genres")))
+
+
+@query("feature_batches")
+def q_feature_batches(spark, d):
+    """Feature requests for events in batches; responses lack the withheld ones,
+    come in reverse order and in a different envelope for every batch."""
+    ev = load(spark, d, "events").select("event_id", "event_type", "value", F.col("event_id").cast("string").alias("id"))
+    numbered = positions.batch_numbers(ev, "event_id", BATCH).filter(~withheld())
+    href = F.when(F.col("event_type") != "error", F.concat(F.lit(LINK_BASE), "id"))
+    values = [(F.col("value") * (i + 1)).alias(f) for i, f in enumerate(json_scan.FEATURE_NAMES)]
+    rec = F.struct((-F.col("event_id")).alias("o"), F.struct(href.alias("href"), *values).alias("r"))
+    lists = numbered.groupBy("batch_no").agg(F.transform(F.sort_array(F.collect_list(rec)), lambda x: x["r"]).alias("l"))
+    body = F.to_json("l")
+    kind = F.col("batch_no") % 3
+    payload = (F.when(kind == 0, body).when(kind == 1, F.concat(F.lit('{"content": '), body, F.lit("}")))
+               .otherwise(F.concat(F.lit('{"content": [], "data": '), body, F.lit("}"))))
+    return json_scan.resolve_feature_batches(ev.select("id", F.col("event_id").alias("pos")), lists.select("batch_no", payload.alias("payload")))
+
+
+@query("assemble_tracks")
+def q_assemble_tracks(spark, d):
+    """The track table from landed pages, features (two records for some ids,
+    none for others) and artist genres."""
+    pages = conversation_pages(spark, d).select("conv_id", "page_no", F.from_json("payload", json_scan.PAGE).alias("p"))
+    items = json_scan.page_items(pages.select("conv_id", "page_no", "p.items"), ["conv_id", "page_no"])
+    c = load(spark, d, "conversations").filter("turn % 4 <> 3")
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    first = c.select(key.alias("id"), F.lit(0).alias("feature_pos"), F.length("text").cast("double").alias("tempo"))
+    again = c.filter("role = 'user'").select(key.alias("id"), F.lit(1).alias("feature_pos"), (F.length("text") / 7).alias("tempo"))
+    roles = json_scan.artist_genres(artist_pages(spark, d), "page_no").withColumn(
+        "artist_id", F.when(F.col("artist_id") == "Brand#11", F.lit("user")).otherwise(F.col("artist_id")))
+    out = tracks.assemble_tracks(items, first.unionByName(again), roles, ["tempo"], service="web")
+    return out.drop("added_at_dt").withColumn("tempo", rnd("tempo", 6))
+
+
 @query("first_of_array")
 def q_first_of_array(spark, d):
     c = load(spark, d, "conversations").withColumn("page_no", F.floor(F.col("turn") / PAGE_SIZE).cast("long"))
@@ -156,7 +221,7 @@ def q_genre_left_join(spark, d):
               .select("artist_id", F.transform("g", lambda x: x["n_name"]).alias("genres")))
     cust = load(spark, d, "customer").join(F.broadcast(nation.select("n_nationkey", "n_regionkey")),
                                            F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    j = cust.select("c_custkey", F.col("n_regionkey").alias("artist_id")).join(F.broadcast(genres), "artist_id", "left")
+    j = cust.select("c_custkey", F.col("n_regionkey").alias("artist_id")).join(genres, "artist_id", "left")
     return j.select("c_custkey", "artist_id", *tracks.genre_columns(F.col("genres")))
 
 

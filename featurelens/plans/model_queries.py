@@ -90,16 +90,14 @@ def q_dbscan_summary(spark, d):
 
 
 AGG_K = 6
+AGG_MICRO = 60
 
 
 @query("agglomerative")
 def q_agglomerative(spark, d):
-    """Ward clusters over about 60 aggregated (size, price) cells of the parts."""
-    part = load(spark, d, "part")
-    cell = (F.floor(F.col("p_size") / 5) * 100 + F.floor((F.col("p_retailprice") - 900) / 20)).cast("long")
-    scaled, _ = feat.standardise(part.withColumn("cell", cell), ["p_size", "p_retailprice"],
-                                 keep=["p_partkey", "cell"])
-    return agglomerative(scaled, "p_partkey", ["p_size", "p_retailprice"], AGG_K, "ward", micro_col="cell")
+    """Ward clusters of the parts, merged from AGG_MICRO micro-clusters of all of them."""
+    scaled, _ = feat.standardise(load(spark, d, "part"), ["p_size", "p_retailprice"], keep=["p_partkey"])
+    return agglomerative(scaled, "p_partkey", ["p_size", "p_retailprice"], AGG_K, "ward", micro_clusters=AGG_MICRO)
 
 
 UMAP_NEIGHBORS = 15

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from featurelens.plans.ingest_queries import BATCH, LINK_BASE, PAGE_SIZE
+from featurelens.plans.ingest_queries import ARTIST_PAGE_SIZE, BATCH, LINK_BASE, PAGE_SIZE
 from featurelens.plans.oracle import R, SQL, WITH_ITEMS
+from featurelens.sources.json_scan import FEATURE_NAMES
 
 MONTHS = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
 PAGED = f"c AS (SELECT *, CAST(floor(turn / {PAGE_SIZE}) AS BIGINT) AS page_no FROM conversations)"
@@ -136,3 +137,40 @@ FROM part"""
 
 SQL["month_names"] = f"""SELECT month, n, ({MONTHS})[month] AS month_name FROM (
   SELECT CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n FROM orders GROUP BY 1)"""
+
+SQL["artist_batches"] = f"""WITH f AS (SELECT p_name AS artist_id, min(p_partkey) AS first_pos FROM part WHERE coalesce(p_name, '') <> '' GROUP BY p_name),
+r AS (SELECT *, row_number() OVER (ORDER BY first_pos, artist_id) - 1 AS rn FROM f)
+SELECT artist_id, first_pos, CAST(rn // {ARTIST_PAGE_SIZE} AS BIGINT) AS batch_no, CAST(rn % {ARTIST_PAGE_SIZE} AS INTEGER) AS pos_in_batch FROM r"""
+
+LAST_GENRES = """lg AS (SELECT p_brand AS artist_id, CASE WHEN p_size % 5 <> 0 THEN string_split(p_type, ' ') ELSE [] END AS genres FROM (
+  SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS k FROM part) WHERE k = 1)"""
+_PRIMARY = "coalesce(genres[1], 'Unknown')"
+_GENRES = "CASE WHEN len(coalesce(genres, [])) > 0 THEN array_to_string(genres[1:3], ' | ') ELSE 'Unknown' END"
+
+SQL["artist_genres"] = f"""WITH {LAST_GENRES}
+SELECT artist_id, CAST(len(genres) AS INTEGER) AS n_genres, {_PRIMARY} AS primary_genre, {_GENRES} AS genres FROM lg"""
+
+_FEATURES = ", ".join(f"payload * {i + 1} AS {f}" for i, f in enumerate(FEATURE_NAMES))
+SQL["feature_batches"] = f"""WITH pf AS ({SQL['positional_fallback']})
+SELECT CAST(event_id AS VARCHAR) AS id, {_FEATURES}, NULL::INTEGER AS key, NULL::INTEGER AS mode, NULL::INTEGER AS time_signature,
+       batch_no, pos_in_batch, matched_by FROM pf"""
+
+SQL["assemble_tracks"] = f"""WITH {PAGED}, {LAST_GENRES},
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, page_no ORDER BY turn) - 1 AS INTEGER) AS item_pos FROM c),
+t AS (SELECT *, CASE WHEN turn % 4 <> 3 THEN CASE WHEN role = 'user' THEN length(text) / 7 ELSE length(text)::DOUBLE END END AS tp,
+             CASE WHEN turn % 2 = 0 THEN '2024-03-0' || CAST(turn % 7 + 1 AS VARCHAR) || 'T10:00:00Z' ELSE '' END AS added_at
+      FROM r WHERE role <> 'system'),
+h AS (SELECT count(tp) > 0 AS has_tempo FROM t),
+x AS (SELECT t.*, lg.genres AS g, try_strptime(added_at, '%Y-%m-%dT%H:%M:%SZ') AS ts FROM t LEFT JOIN lg
+      ON t.role = CASE WHEN lg.artist_id = 'Brand#11' THEN 'user' ELSE lg.artist_id END)
+SELECT conv_id, page_no, item_pos, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, text AS name,
+       role AS artist, role AS all_artists, role AS artist_id, role AS album, NULL::INTEGER AS release_year,
+       length(text)::BIGINT AS duration_ms, CAST(role = 'assistant' AS INTEGER) AS explicit,
+       'https://chat.example.org/c/' || CAST(conv_id AS VARCHAR) AS source_url, added_at, role AS added_by,
+       coalesce(g[1], 'Unknown') AS primary_genre,
+       CASE WHEN len(coalesce(g, [])) > 0 THEN array_to_string(g[1:3], ' | ') ELSE 'Unknown' END AS genres,
+       {R('tp', 6)} AS tempo, {R('length(text) / 60000', 2)} AS duration_min,
+       CASE WHEN h.has_tempo THEN {R('tp', 1)} ELSE 0.0::DOUBLE END AS bpm,
+       CAST(year(ts) AS INTEGER) AS added_year, CAST(month(ts) AS INTEGER) AS added_month,
+       ({MONTHS})[month(ts)] AS month_name, coalesce(strftime(ts, '%Y-%m-%d'), '?') AS added_date
+FROM x, h"""

@@ -23,9 +23,10 @@ def _knn_one(zero):
     sim = f"CASE WHEN e.vec_id = {QUERY_VEC} THEN -2.0::DOUBLE ELSE {_cos('e', 'q', zero)} END"
     return f"""WITH {VEC},
 q AS (SELECT * FROM e WHERE vec_id = {QUERY_VEC} LIMIT 1),
-s AS (SELECT e.vec_id, {R(sim, 6)} AS similarity FROM e, q)
-SELECT CAST(row_number() OVER (ORDER BY similarity DESC, vec_id ASC) AS INTEGER) AS rank, vec_id, similarity
-FROM s ORDER BY similarity DESC, vec_id ASC LIMIT {K}"""
+s AS (SELECT e.vec_id, {sim} AS raw FROM e, q),
+o AS (SELECT vec_id, raw, {R('raw', 12)} AS key FROM s)
+SELECT CAST(row_number() OVER (ORDER BY key DESC, vec_id ASC) AS INTEGER) AS rank, vec_id, {R('raw', 6)} AS similarity
+FROM o ORDER BY key DESC, vec_id ASC LIMIT {K}"""
 
 
 SQL["knn_one"] = _knn_one("0.0")
@@ -38,16 +39,16 @@ SQL["similar_by_name"] = f"""WITH p AS (SELECT p_partkey, p_name, p_size, p_reta
 hit AS (SELECT p_partkey AS qk FROM part WHERE coalesce(regexp_matches(lower(p_name), '{SEARCH}'), false)
         ORDER BY p_partkey LIMIT 1),
 q AS (SELECT zs AS qs, zp AS qp FROM p JOIN hit ON p.p_partkey = hit.qk),
-s AS (SELECT p.*, {R(f"CASE WHEN p.p_partkey = hit.qk THEN -2.0::DOUBLE WHEN {_QN} = 0 THEN 0.0::DOUBLE ELSE (zs * qs + zp * qp) / ({_QN}) END", 6)} AS sim
+s AS (SELECT p.*, {R(f"CASE WHEN p.p_partkey = hit.qk THEN -2.0::DOUBLE WHEN {_QN} = 0 THEN 0.0::DOUBLE ELSE (zs * qs + zp * qp) / ({_QN}) END", 12)} AS sim
       FROM p, q, hit)
 SELECT CAST(row_number() OVER (ORDER BY sim DESC, p_partkey ASC) AS INTEGER) AS rank, p_partkey, p_name,
-       {R('sim', 3)} AS similarity, p_size, p_retailprice
+       {R(R('sim', 6), 3)} AS similarity, p_size, p_retailprice
 FROM s ORDER BY sim DESC, p_partkey ASC LIMIT {SIMILAR_N}"""
 
 SQL["knn_all"] = f"""WITH {VEC},
-p AS (SELECT a.vec_id, b.vec_id AS nbr, {R(_cos('a', 'b'), 6)} AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+p AS (SELECT a.vec_id, b.vec_id AS nbr, {R(_cos('a', 'b'), 12)} AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, nbr ASC) AS rk FROM p)
-SELECT vec_id, CAST(rk AS INTEGER) AS rank, nbr, similarity FROM r WHERE rk <= {K}"""
+SELECT vec_id, CAST(rk AS INTEGER) AS rank, nbr, {R('similarity', 6)} AS similarity FROM r WHERE rk <= {K}"""
 
 UNNESTED = """x AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v,
               unnest(generate_series(1, len(embedding))) AS i FROM embeddings WHERE embedding IS NOT NULL),
@@ -56,7 +57,7 @@ c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY label, i)"""
 SQL["representatives"] = f"""WITH {UNNESTED.replace('WHERE embedding IS NOT NULL', 'WHERE embedding IS NOT NULL AND label <> -1')},
 d AS (SELECT x.vec_id, x.label, sum(x.v * c.m) AS dt, sqrt(sum(x.v * x.v)) AS nx, sqrt(sum(c.m * c.m)) AS nc
       FROM x JOIN c ON x.label = c.label AND x.i = c.i GROUP BY x.vec_id, x.label),
-s AS (SELECT vec_id, label, {R('CASE WHEN nx * nc = 0 THEN 0.0::DOUBLE ELSE dt / (nx * nc) END', 6)} AS sim FROM d),
+s AS (SELECT vec_id, label, {R('CASE WHEN nx * nc = 0 THEN 0.0::DOUBLE ELSE dt / (nx * nc) END', 12)} AS sim FROM d),
 sz AS (SELECT label, count(*) AS cluster_size FROM embeddings WHERE label <> -1 GROUP BY label),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id ASC) AS rn FROM s)
       WHERE rn = 1)

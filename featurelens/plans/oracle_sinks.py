@@ -4,7 +4,7 @@ oracle: the twin computes what should have been written)."""
 from __future__ import annotations
 
 from featurelens.plans.oracle import R, SQL, WITH_ITEMS
-from featurelens.plans.sink_queries import REPORT_PROFILE, REPORT_TITLE
+from featurelens.plans.sink_queries import REPORT_COLUMNS, REPORT_PROFILE, REPORT_TITLE
 
 SQL["header_read"] = """SELECT c.c_name AS name, c.c_mktsegment AS description, n.n_name AS owner_name,
        CAST(1 AS INTEGER) AS n_images, CAST(floor(c.c_acctbal) AS BIGINT) AS followers
@@ -49,8 +49,8 @@ def _report():
     n1 = n0 + len(summary)
     parts.append(f"SELECT {n1} AS ord, '' AS line")
     parts.append(f"SELECT {n1 + 1} AS ord, '── Cluster profiles {'─' * 41}' AS line")
-    fmt = "  %3d | n=%d" + "".join(f" | {c}_mean=%.3f" for c in REPORT_PROFILE)
-    args = ", ".join(f"{c}_mean" for c in REPORT_PROFILE)
+    fmt = "  %3d | n=%d" + "".join(f" | {c}=%.3f" for c in REPORT_COLUMNS)
+    args = ", ".join(REPORT_COLUMNS)
     parts.append(f"SELECT CAST({n1 + 2} + row_number() OVER (ORDER BY cluster) - 1 AS INTEGER) AS ord, "
                  f"printf('{fmt}', cluster, cnt, {args}) AS line FROM prof")
     parts.append(f"SELECT CAST({n1 + 2} + (SELECT count(*) FROM prof) AS INTEGER) AS ord, '' AS line")
@@ -65,7 +65,7 @@ st AS (SELECT count(*) AS total_tracks, count(DISTINCT artist) AS unique_artists
               {R('avg(explicit)', 3)} AS avg_valence, {R('coalesce(sum(lines), 0.0)', 1)} AS total_duration_min,
               (SELECT diversity FROM dv) AS diversity
        FROM order_items),
-prof AS (SELECT cluster, count(*) AS cnt, {', '.join(f"{R(f'avg({c})', 3)} AS {c}_mean" for c in REPORT_PROFILE)}
+prof AS (SELECT cluster, count(*) AS cnt, {', '.join(f"{R(f'avg({c})', 3)} AS {c}_mean, {R(f'stddev_samp({c})', 3)} AS {c}_std" for c in REPORT_PROFILE)}
          FROM order_items GROUP BY cluster)
 SELECT CAST(ord AS INTEGER) AS ord, line FROM ({' UNION ALL '.join(parts)})"""
 

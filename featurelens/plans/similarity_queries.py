@@ -13,7 +13,7 @@ QUERY_VEC = 0          # vec_id of the query row
 K = 5
 SEARCH = "blue b.lt"
 SIMILAR_N = 10
-ANOVA_DIMS = 8
+ANOVA_DIMS = 64         # the whole vector
 PCT = 5.0
 OUTLIER_TOP = 30
 

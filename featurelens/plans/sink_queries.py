@@ -13,10 +13,11 @@ from featurelens.operators import profile, similarity
 from featurelens.plans.catalogue import QUERIES, query
 from featurelens.session import shared_dir
 from featurelens.sources import json_scan, sinks
-from featurelens.sources.tables import load, order_items
+from featurelens.sources.tables import ITEM_FEATURES, load, order_items
 
 REPORT_TITLE = "Collection Analysis Report"
-REPORT_PROFILE = ["qty", "price"]
+REPORT_PROFILE = ITEM_FEATURES
+REPORT_COLUMNS = [f"{c}_{s}" for c in REPORT_PROFILE for s in ("mean", "std")]
 
 
 @query("header_read")
@@ -76,6 +77,6 @@ def q_report_lines(spark, d):
     prof = profile.cluster_profile(oi, REPORT_PROFILE)
     when = load(spark, d, "orders").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd HH:mm").alias("t")).first()["t"]
     lines = sinks.report_lines(REPORT_TITLE, when, "orders", "?", stats, div, prof,
-                               [f"{c}_mean" for c in REPORT_PROFILE])
+                               REPORT_COLUMNS)
     path = sinks.write_report(lines)
     return sinks.read_report(spark, path)

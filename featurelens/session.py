@@ -76,6 +76,8 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         # Unset only in local tests: a private folder stands in for the shared one.
         base = tempfile.mkdtemp(prefix="featurelens-ckpt-")

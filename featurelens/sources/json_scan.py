@@ -23,7 +23,7 @@ TRACK = T.StructType([
     T.StructField("artists", T.ArrayType(ARTIST)),
     T.StructField("album", T.StructType([T.StructField("name", T.StringType()),
                                          T.StructField("release_date", T.StringType())])),
-    # link per service name; the first value becomes ``source_url``
+    # link per service name
     T.StructField("external_urls", T.MapType(T.StringType(), T.StringType())),
 ])
 PAGE_ITEM = T.StructType([
@@ -74,7 +74,9 @@ def page_items(pages: DataFrame, page_keys=("page_no",), items: str = "items") -
     keep only valid tracks, attach the wrapper's ``added_at`` / ``added_by``."""
     keys = list(page_keys)
     ex = pages.select(*keys, F.posexplode_outer(items).alias("item_pos", "w"))
-    track = F.coalesce(F.col("w.item"), F.col("w.track"))
+    # an empty object counts as missing, like null
+    some = F.greatest(*[F.col(f"w.item.{f}").isNotNull() for f in TRACK.fieldNames()])
+    track = F.when(some, F.col("w.item")).otherwise(F.col("w.track"))
     ex = ex.select(*keys, "item_pos", track.alias("t"),
                    F.coalesce(F.col("w.added_at"), F.lit("")).alias("added_at"),
                    F.coalesce(F.col("w.added_by.id"), F.lit("")).alias("added_by"))
@@ -82,12 +84,23 @@ def page_items(pages: DataFrame, page_keys=("page_no",), items: str = "items") -
     return ex.filter(valid)
 
 
-def artist_genres(artist_pages: DataFrame) -> DataFrame:
+def artist_requests(items: DataFrame, artist_id: str = "artist_id", order_col: str = "pos", size: int = 50) -> DataFrame:
+    """S3: distinct artist ids in first-seen order, in requests of ``size``; missing and empty ids are not asked for."""
+    from featurelens.operators.positions import batch_numbers
+
+    firsts = items.filter(F.coalesce(F.col(artist_id), F.lit("")) != "").groupBy(artist_id).agg(F.min(order_col).alias("first_pos"))
+    return batch_numbers(firsts, "first_pos", size, tiebreak=[artist_id])
+
+
+def artist_genres(artist_pages: DataFrame, page_col: str | None = None) -> DataFrame:
     """S3: (artist_id, genres) from artist pages; null artists dropped,
-    missing genres -> []. One row per artist id (last page wins)."""
-    a = artist_pages.select(F.explode("artists").alias("a")).filter(F.col("a").isNotNull())
-    return a.select(F.col("a.id").alias("artist_id"),
-                    F.coalesce(F.col("a.genres"), F.array().cast("array<string>")).alias("genres"))
+    missing genres -> []. One row per artist id: its last record on the last
+    page (``page_col``; without it the records of one page are meant)."""
+    page = F.col(page_col) if page_col else F.lit(0)
+    a = artist_pages.select(page.alias("_page"), F.posexplode("artists").alias("_pos", "a")).filter(F.col("a").isNotNull())
+    genres = F.coalesce(F.col("a.genres"), F.array().cast("array<string>"))
+    last = F.max_by(genres, F.struct("_page", "_pos")).alias("genres")
+    return a.groupBy(F.col("a.id").alias("artist_id")).agg(last)
 
 
 def read_artist_genres(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +110,8 @@ def read_artist_genres(spark: SparkSession, path: str) -> DataFrame:
     hp = jvm.org.apache.hadoop.fs.Path(path)
     if not hp.getFileSystem(conf).exists(hp):
         return spark.createDataFrame([], "artist_id string, genres array<string>")
-    return artist_genres(read_json(spark, path, ARTIST_PAGE))
+    pages = read_json(spark, path, ARTIST_PAGE).withColumn("_file", F.input_file_name())  # landed names sort by page
+    return artist_genres(pages, "_file")
 
 
 def unwrap_envelope(payload, item_type: str, keys=ENVELOPE_KEYS) -> Column:

@@ -66,11 +66,19 @@ def export_points(df: DataFrame, base: str | None = None) -> str:
 
 # --- fixed values that must equal the analysed program's -----------------
 # Report layout: 60-character rules, section headings and summary labels.
-REPORT_RULE = "=" * 60
-REPORT_SUMMARY_HEADING = "── Summary " + "─" * 50
-REPORT_PROFILE_HEADING = "── Cluster profiles " + "─" * 41
-REPORT_LABELS = ["Tracks", "Unique artists", "Year range", "Avg BPM", "Avg energy", "Avg valence",
-                 "Total duration", "Diversity score"]
+REPORT_RULE = "============================================================"
+REPORT_SUMMARY_HEADING = "── Summary ──────────────────────────────────────────────────"
+REPORT_PROFILE_HEADING = "── Cluster profiles ─────────────────────────────────────────"
+REPORT_LABELS = [
+    "  Tracks          : ",
+    "  Unique artists  : ",
+    "  Year range      : ",
+    "  Avg BPM         : ",
+    "  Avg energy      : ",
+    "  Avg valence     : ",
+    "  Total duration  : ",
+    "  Diversity score : ",
+]
 # ---------------------------------------------------------------------------
 
 
@@ -83,7 +91,7 @@ def report_lines(title: str, generated_at: str, name: str, owner: str, stats: Da
             REPORT_SUMMARY_HEADING]
     fixed = spark.createDataFrame([(i, s) for i, s in enumerate(head)], "ord int, line string")
     s = stats.select("*", diversity.scalar().alias("diversity"))
-    lab = [f"  {t:<16}: " for t in REPORT_LABELS]
+    lab = REPORT_LABELS
     summary = [
         F.format_string(lab[0] + "%d", "total_tracks"),
         F.format_string(lab[1] + "%d", "unique_artists"),

@@ -95,7 +95,7 @@ def _blobs(spark, seed=5):
 
 def test_agglomerative_and_kmeans_recover_blobs(spark):
     df, truth = _blobs(spark)
-    for res in (agglomerative(df, "id", ["a", "b"], k=3), kmeans(df, "id", ["a", "b"], k=3, n_init=3)):
+    for res in (agglomerative(df, "id", ["a", "b"], k=3, micro_clusters=30), kmeans(df, "id", ["a", "b"], k=3, n_init=3)):
         got = res.toPandas().sort_values("id")["cluster"].to_numpy()
         assert (got == truth).all()                          # numbered by smallest member id
 
@@ -120,7 +120,7 @@ def test_blocked_knn_and_silhouette_equal_brute_force(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(150), "v": list(x), "l": lab}))
     got = knn_all(df, "id", "v", k=3, block_rows=32).toPandas()
     u = blocks.unit_rows(x)
-    s = blocks.round6(u @ u.T)
+    s = blocks.rounded(u @ u.T, 6)
     np.fill_diagonal(s, -np.inf)
     for i in range(150):
         order = sorted(range(150), key=lambda j: (-s[i, j], j))[:3]
@@ -148,9 +148,9 @@ def test_diversity_closed_form_equals_pairs(spark):
     assert diversity(df, "v").first()["diversity"] == want
 
 
-def test_agglomerative_compresses_above_limit(spark):
+def test_agglomerative_from_few_micro_clusters(spark):
     df, truth = _blobs(spark)
-    got = agglomerative(df, "id", ["a", "b"], k=3, limit=40).toPandas().sort_values("id")["cluster"].to_numpy()
+    got = agglomerative(df, "id", ["a", "b"], k=3, micro_clusters=40).toPandas().sort_values("id")["cluster"].to_numpy()
     assert (got == truth).all()                              # 40 k-means micro-clusters, then ward merges
 
 
