@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from featurelens.functions.columns import rnd
 from featurelens.operators.positions import dense_index
+from featurelens.operators.sizes import broadcast_if_small
 
 # --- fixed values that must equal the analysed program's -----------------
 # Categorical palette (cycled) for clusters and artists.
@@ -84,7 +85,7 @@ def category_index(df: DataFrame, column: str, order_by: str | None = None, out:
     optional palette colour (cycled)."""
     key = order_by or column
     firsts = df.groupBy(column).agg(F.min(key).alias("_k"))
-    ranks = dense_index(firsts.filter(F.col("_k").isNotNull()), "_k", out=out).drop("_k")
+    ranks = broadcast_if_small(dense_index(firsts.filter(F.col("_k").isNotNull()), "_k", out=out).drop("_k"))
     res = df.join(ranks, column, "left")
     if color_out:
         pal = F.array(*[F.lit(p) for p in palette])

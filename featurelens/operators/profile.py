@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelens.functions.columns import rnd
-from featurelens.operators.quantiles import exact_percentiles, unpivot
+from featurelens.operators.quantiles import column_percentiles, unpivot
 
 
 def collection_stats(df: DataFrame, artist="artist", album="album", year="release_year",
@@ -48,8 +48,9 @@ def describe_long(df: DataFrame, columns, decimals: int = 3) -> DataFrame:
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
-    q = exact_percentiles(long, "value", [0.25, 0.5, 0.75], group_cols=["feature"]).drop("n")
-    out = base.join(q, "feature", "left")
+    found = column_percentiles(df, columns, [0.25, 0.5, 0.75])
+    q = df.sparkSession.createDataFrame([(c, *v) for c, v in found.items()], "feature string, p0 double, p1 double, p2 double")
+    out = base.join(F.broadcast(q), "feature", "left")  # a row a column
     return out.select("feature", "count",
                       *[rnd(F.col(a), decimals).alias(b) for a, b in
                         [("mean", "mean"), ("std", "std"), ("min", "min"), ("p0", "p25"),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from featurelens.functions.columns import rnd, to_double_array
 from featurelens.operators import blocks
 from featurelens.operators.similarity import centroids
+from featurelens.operators.sizes import broadcast_if_small
 
 
 def _euclid(a, b):
@@ -25,7 +26,7 @@ def _euclid(a, b):
 
 
 def _with_centroid(df: DataFrame, label: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
-    cents = centroids(df, label, vec_col)
+    cents = broadcast_if_small(centroids(df, label, vec_col), "centroid")
     j = df.select(label, to_double_array(vec_col).alias("_v")).join(cents.select(label, "centroid"), label)
     return j, cents
 
@@ -54,6 +55,7 @@ def davies_bouldin(df: DataFrame, label, vec_col: str, decimals: int = 4) -> Dat
     per_dim = ex.groupBy(*key, "_i").agg(F.avg("_x").alias("_m"))
     cents = per_dim.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_c")) \
         .select(*key, F.transform("_c", lambda s: s["_m"]).alias("centroid"))
+    cents = broadcast_if_small(cents, "centroid")
     spread = long.join(cents, key).groupBy(*key).agg(F.avg(_euclid(F.col("_v"), F.col("centroid"))).alias("s"))
     c = cents.join(spread, key)
     # per labelling, the list of its cluster ids (k entries) exploded into equi-join keys

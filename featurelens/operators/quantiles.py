@@ -20,11 +20,11 @@ DuckDB's ``quantile_cont``.
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from featurelens.operators.sizes import broadcast_if_small
+
 MAX_PASSES = 40
 
 
@@ -65,17 +65,17 @@ def exact_percentiles(df: DataFrame, value: str, probs, group_cols=(), buckets:
         open_ = state.filter((F.col("lo") < F.col("hi")) & (F.col("cnt").isNull() | (F.col("cnt") > max_collect)))
         if open_.isEmpty():
             break
-        j = data.join(open_.select(*group_cols, "rank", "lo", "hi", "below"), on=group_cols) \
-            .filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
+        brackets = broadcast_if_small(open_.select(*group_cols, "lo", "hi", "below").distinct())
+        j = data.join(brackets, on=group_cols).filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
         b = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
                     F.lit(buckets - 1))
         hist = (j.withColumn("_b", b)
-                .groupBy(*group_cols, "rank", "below", "_b")
+                .groupBy(*group_cols, "below", "_b")
                 .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("bmn"), F.max("_v").alias("bmx")))
-        w = Window.partitionBy(*group_cols, "rank").orderBy("_b")
+        w = Window.partitionBy(*group_cols, "below").orderBy("_b")
         hist = hist.withColumn("cum", F.sum("c").over(w) - F.col("c"))
-        picked = hist.filter((F.col("below") + F.col("cum") <= F.col("rank"))
-                             & (F.col("rank") < F.col("below") + F.col("cum") + F.col("c")))
+        picked = hist.join(open_.select(*group_cols, "rank", "below"), group_cols + ["below"]).filter(
+            (F.col("below") + F.col("cum") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("cum") + F.col("c")))
         picked = picked.select(*group_cols, "rank", F.col("bmn").alias("lo"), F.col("bmx").alias("hi"),
                                (F.col("below") + F.col("cum")).alias("below"), F.col("c").alias("cnt"))
         done = state.join(open_.select(*group_cols, "rank"), on=group_cols + ["rank"], how="left_anti")
@@ -86,12 +86,12 @@ def exact_percentiles(df: DataFrame, value: str, probs, group_cols=(), buckets:
     # resolve each rank: a single-valued bracket is its value; else sort the few values
     single = state.filter(F.col("lo") == F.col("hi")).select(*group_cols, "rank", F.col("lo").alias("val"))
     multi = state.filter(F.col("lo") < F.col("hi"))
-    few = (data.join(multi, on=group_cols)
-           .filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-           .groupBy(*group_cols, "rank", "below")
-           .agg(F.sort_array(F.collect_list("_v")).alias("vals"))
-           .select(*group_cols, "rank",
-                   F.element_at("vals", (F.col("rank") - F.col("below") + 1).cast("int")).alias("val")))
+    brackets = broadcast_if_small(multi.select(*group_cols, "lo", "hi", "below").distinct())
+    lists = (data.join(brackets, on=group_cols)
+             .filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
+             .groupBy(*group_cols, "below").agg(F.sort_array(F.collect_list("_v")).alias("vals")))
+    few = lists.join(multi.select(*group_cols, "rank", "below"), group_cols + ["below"]).select(
+        *group_cols, "rank", F.element_at("vals", (F.col("rank") - F.col("below") + 1).cast("int")).alias("val"))
     vals = single.unionByName(few)
 
     lo_v = vals.select(*group_cols, F.col("rank").alias("rlo"), F.col("val").alias("vlo"))
@@ -158,15 +158,74 @@ def exact_percentile_scalars(df: DataFrame, value: str, probs) -> list:
     return [rows[0][f"p{i}"] for i in range(len(probs))]
 
 
+def column_percentiles(df: DataFrame, columns, probs, buckets: int = 4096, max_collect: int = 20_000) -> dict:
+    """Exact percentiles of whole columns: column -> list of floats (None where it has no value).
+
+    All columns advance together: a pass is one scan in which each value is
+    put into a slice of the open brackets of its column (literals, no join),
+    with a partial aggregate; ranks in the same bracket share it. What comes
+    back is ``buckets`` rows a bracket, and at the end at most
+    ``max_collect`` values a bracket.
+    """
+    cols, probs = list(columns), [float(p) for p in probs]
+    if not cols:
+        return {}
+    clean = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(cols)]
+    data = df.select(*clean)
+    aggs = []
+    for i in range(len(cols)):
+        aggs += [F.count(f"_{i}").alias(f"n{i}"), F.min(f"_{i}").alias(f"a{i}"), F.max(f"_{i}").alias(f"b{i}")]
+    row = data.agg(*aggs).first()
+    values: dict[tuple[int, int], float] = {}
+    state = {}  # (column, rank) -> lo, hi, values below, values inside
+    for i in range(len(cols)):
+        n = row[f"n{i}"]
+        for p in probs if n else []:
+            for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
+                state[i, r] = (row[f"a{i}"], row[f"b{i}"], 0, n)
+    for _ in range(MAX_PASSES):
+        values |= {k: s[0] for k, s in state.items() if s[0] == s[1]}
+        state = {k: s for k, s in state.items() if s[0] < s[1]}
+        if not state:
+            break
+        brackets = sorted({(k[0], *s) for k, s in state.items()})
+        few = all(b[4] <= max_collect for b in brackets)
+
+        def cell(number: int, bracket) -> F.Column:
+            i, lo, hi, _, _ = bracket
+            v = F.col(f"_{i}")
+            at = v if few else F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * buckets), F.lit(buckets - 1)).cast("double")
+            return F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.struct(F.lit(number).alias("k"), at.alias("at"), v.alias("v")))
+
+        cells = data.select(F.explode(F.array(*[cell(j, b) for j, b in enumerate(brackets)])).alias("c")).where("c IS NOT NULL").select("c.*")
+        rows = cells.groupBy("k", "at").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k", "at").collect()
+        homes: dict[int, list] = {}
+        for r in rows:
+            homes.setdefault(r["k"], []).append(r)
+        for key in list(state):
+            number = brackets.index((key[0], *state[key]))
+            below = state[key][2]
+            for r in homes[number]:
+                if below <= key[1] < below + r["c"]:
+                    state[key] = (r["lo"], r["hi"], below, r["c"])
+                    break
+                below += r["c"]
+    if state:
+        raise RuntimeError("column_percentiles did not converge")
+    out = {}
+    for i, c in enumerate(cols):
+        n, found = row[f"n{i}"], []
+        for p in probs:
+            r = p * (n - 1) if n else 0.0
+            lo = values.get((i, math.floor(r))) if n else None
+            found.append(None if lo is None else lo + (values[i, math.ceil(r)] - lo) * (r - math.floor(r)))
+        out[c] = found
+    return out
+
+
 def exact_medians(df: DataFrame, columns) -> dict:
     """Median of each column (global), as a dict of Python floats."""
-    cols = list(columns)
-    long = unpivot(df, cols, "feature", "value")
-    rows = exact_percentiles(long, "value", [0.5], group_cols=["feature"]).collect()
-    out = {c: None for c in cols}
-    for r in rows:
-        out[r["feature"]] = r["p0"]
-    return out
+    return {c: v[0] for c, v in column_percentiles(df, columns, [0.5]).items()}
 
 
 def unpivot(df: DataFrame, columns, name_col: str = "feature", value_col: str = "value",
@@ -176,6 +235,3 @@ def unpivot(df: DataFrame, columns, name_col: str = "feature", value_col: str =
     return df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns]) \
         .unpivot(ids, list(columns), name_col, value_col)
 
-
-def union_all(frames):
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from featurelens.functions.columns import cosine, dot, norm, rnd, to_double_array
 from featurelens.operators import blocks
+from featurelens.operators.sizes import broadcast_if_small
 
 TIE_DECIMALS = 12
 
@@ -110,7 +111,7 @@ def representatives(df: DataFrame, group: str, id_col: str, vec_col: str, noise=
     """Per group the row most cosine-similar to the group mean (first id
     on ties), the group size and the similarity (3 decimals); noise skipped."""
     data = df.filter(F.col(group) != F.lit(noise)) if noise is not None else df
-    cents = centroids(data, group, vec_col)
+    cents = broadcast_if_small(centroids(data, group, vec_col), "centroid")
     j = data.select(group, id_col, to_double_array(vec_col).alias("_v")).join(cents, group)
     sim = rnd(cosine(F.col("_v"), F.col("centroid")), TIE_DECIMALS)
     scored = j.select(group, id_col, "size", sim.alias("sim"))

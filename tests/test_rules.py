@@ -50,3 +50,20 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_column_percentiles_equal_numpy(spark):
+    import numpy as np
+
+    from featurelens.operators.quantiles import column_percentiles
+
+    rng = np.random.default_rng(3)
+    cols = {"a": rng.normal(size=500), "b": np.r_[np.zeros(400), rng.exponential(1e6, 100)], "c": np.full(500, 7.0), "d": np.full(500, np.nan)}
+    rows = [(*(float(cols[c][i]) if i % 9 or c == "c" else None for c in "abcd"),) for i in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(4)
+    probs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    for buckets, few in ((4096, 20_000), (5, 3)):
+        got = column_percentiles(df, "abcd", probs, buckets, few)
+        for k, c in enumerate("abc"):
+            assert got[c] == pytest.approx(list(np.percentile([r[k] for r in rows if r[k] is not None], [p * 100 for p in probs])))
+        assert got["d"] == [None] * len(probs)
