@@ -75,9 +75,13 @@ def fit_forest(df: DataFrame, id_col: str, cols, n_trees: int = 200, max_samples
     n = pts.count()
     psi = min(max_samples, n)
     keep = min(1.0, 4.0 * psi / max(n, 1))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("tree"), F.col("_id")), 11).cast("double") / float(1 << 53)
-    pairs = pts.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn("_u", u)
-    pairs = pairs.filter(F.col("_u") < F.lit(keep)) if keep < 1.0 else pairs
+
+    def draw(tree):
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), tree, F.col("_id")), 11).cast("double") / float(1 << 53)
+
+    # a row comes out only for the trees whose sample it may be in
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < F.lit(keep) if keep < 1.0 else F.lit(True))
+    pairs = pts.withColumn("tree", F.explode(trees)).withColumn("_u", draw(F.col("tree")))
     from pyspark.sql import Window
     w = Window.partitionBy("tree").orderBy("_u", "_id")
     sample = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).drop("_r", "_u")

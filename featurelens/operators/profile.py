@@ -80,14 +80,23 @@ def correlation_long(df: DataFrame, columns, decimals: int = 2) -> DataFrame:
     """Pairwise-complete Pearson matrix as (x, y, value); constants give NULL.
 
     One aggregate computes every pair; the d*d long rows are exploded from it.
+    The covariance leaves out incomplete pairs by itself; a deviation is taken
+    over complete pairs only where the other column has NULLs.
     """
     cols = list(columns)
+    if not cols:
+        return df.select(F.lit("").alias("x"), F.lit("").alias("y"), F.lit(0.0).alias("value")).limit(0)
+    some_null = df.agg(*[F.max(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    has_null = {c: bool(some_null[f"_{i}"]) for i, c in enumerate(cols)}
+
+    def deviation(c: str, other: str):
+        v = F.col(c).cast("double")
+        return F.stddev_pop(F.when(F.col(other).isNotNull(), v) if has_null[other] and other != c else v)
+
     aggs = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            ca, cb = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-            r = F.try_divide(F.covar_pop(ca, cb), F.stddev_pop(ca) * F.stddev_pop(cb))
+            r = F.try_divide(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")), deviation(a, b) * deviation(b, a))
             aggs.append(r.alias(f"{a}\u0001{b}"))
     row_df = df.agg(*aggs)
     cells = []
