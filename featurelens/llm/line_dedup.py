@@ -54,7 +54,8 @@ def with_tokens(lines: DataFrame, n: int) -> DataFrame:
 
 def bucket_ranks(lines: DataFrame) -> list[int]:
     """Rank of every bucket by the count of its tokens over all lines (ties by number)."""
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(_buckets(F.col("t")).cast("int").alias("b")).count().collect()  # 2^16 at most
+    # explode() would add a filter on the array, which repeats its whole expression for every element
+    counts = lines.select(F.explode_outer("tokens").alias("t")).groupBy(_buckets(F.col("t")).cast("int").alias("b")).count().collect()  # 2^16 at most
     found = {r["b"]: r["count"] for r in counts}
     order = sorted(range(1 << BUCKET_BITS), key=lambda b: (found.get(b, 0), b))
     ranks = [0] * (1 << BUCKET_BITS)
