@@ -36,6 +36,9 @@ MAX_ROUNDS = 60
 BUCKET_ROWS = 50_000     # rows per pandas call when batching small work groups
 
 
+LOW, HIGH, BOTH = 0, 1, 2
+
+
 def _fine_side(eps: float, d: int) -> float:
     return float(eps) / math.sqrt(d)
 
@@ -82,19 +85,18 @@ def _work_groups(pts: DataFrame, eps: float, d: int, block_rows: int, min_sample
     me = F.struct(F.col("_cell").alias("c"), F.col("_sb").alias("b"))
     other = F.struct(F.col("_ncell").alias("c"), F.col("_nsb").alias("b"))
     key = F.struct(F.least(me, other).alias("lo"), F.greatest(me, other).alias("hi"))
-    groups = nb.select(F.xxhash64(key).alias("_wk"), key.alias("_key"), "_id", "_x", me.alias("_unit"),
-                       "_dense", "_rep")
+    # the key itself as plain numbers, and on which side of it the point stands
+    numbers = [key[s]["c"][i].alias(f"_k{s}{i}") for s in ("lo", "hi") for i in range(d)] + [key[s]["b"].alias(f"_k{s}b") for s in ("lo", "hi")]
+    side_of = F.when(me == other, BOTH).when(me == key["lo"], LOW).otherwise(HIGH).cast("int")
+    groups = nb.select(F.xxhash64(key).alias("_hash"), *numbers, "_id", "_x", side_of.alias("_side"), "_dense", "_rep")
     return groups, dense_points, len(offsets)
 
 
 def _split(pdf: pd.DataFrame):
-    key = pdf["_key"].iloc[0]
-    lo, hi = key["lo"], key["hi"]
-    units = pdf["_unit"].map(lambda u: (tuple(u["c"]), u["b"]))
-    lo_t, hi_t = (tuple(lo["c"]), lo["b"]), (tuple(hi["c"]), hi["b"])
-    a = pdf[units == lo_t]
-    b = pdf[units == hi_t]
-    return a, b, lo_t == hi_t
+    side = pdf["_side"].to_numpy()
+    if side[0] == BOTH:
+        return pdf, pdf, True
+    return pdf[side == LOW], pdf[side == HIGH], False
 
 
 def _is_dense(part: pd.DataFrame) -> bool:
@@ -119,12 +121,13 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
     groups, dense_points, n_off = _work_groups(pts, eps, d, max(block_rows, min_samples), min_samples, shortcut)
     # many small work groups share one pandas call: bucket = hash of the group key
     nbuckets = max(pts.sparkSession.sparkContext.defaultParallelism, -(-(n * n_off) // BUCKET_ROWS))
-    groups = groups.withColumn("_bkt", F.pmod(F.col("_wk"), F.lit(nbuckets))).checkpoint()
+    groups = groups.withColumn("_bkt", F.pmod(F.col("_hash"), F.lit(nbuckets))).checkpoint()
     e2 = float(eps) * float(eps)
 
     def per_group(fn, empty):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            outs = [fn(g) for _, g in pdf.groupby("_wk", sort=False)]
+            keys = [c for c in pdf.columns if c.startswith("_k")]
+            outs = [fn(g) for _, g in pdf.groupby(keys, sort=False)]
             outs = [o for o in outs if len(o)]
             return pd.concat(outs, ignore_index=True) if outs else empty()
         return run
