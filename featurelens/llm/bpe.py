@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from featurelens.llm.columns import letter_table, ranges_index, run_hashes, slices, utf8
 from featurelens.llm.staging import prepare
 
-CACHE_PIECES = 800_000
+CACHE_PIECES = 400_000
 
 # The white space of Unicode's White_Space property and the contractions of the pattern.
 WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),

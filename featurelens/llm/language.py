@@ -90,7 +90,7 @@ class Words:
             after[self.at[1:] - 1] = 0
         with np.errstate(over="ignore"):
             code = mix(before * np.uint64(0x9E3779B97F4A7C15) + letters * np.uint64(0xC2B2AE3D27D4EB4F) + after * np.uint64(0x165667B19E3779F9))
-        self.features = (code & np.uint64(FEATURES - 1)).astype(np.int64)
+        self.features = (code & np.uint64(FEATURES - 1)).astype(np.int32)
         if Words._scripts is None:
             Words._scripts = script_table()
         self.scripts = Words._scripts[points[where]]
@@ -109,7 +109,7 @@ def sample(labelled: DataFrame, id_col: str, size: int, seed: str) -> DataFrame:
     """About ``size`` rows, chosen by a digest of the id (all, where there are fewer)."""
     total = labelled.count()
     share = min(1.0, size / total) if total else 1.0
-    steps = 1 << 24
+    steps = 1 << 52  # fine enough for any table
     return labelled.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(steps)) < int(share * steps))
 
 
@@ -126,7 +126,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 words = Words(part.column(text_col))
                 names, codes = np.unique(np.array(part.column(lang_col).to_pylist(), dtype=object).astype(str), return_inverse=True)
                 lang = np.repeat(codes[words.row], words.lens)
-                for values, width, first in ((words.features, FEATURES, 0), (words.scripts.astype(np.int64), OTHER + 1, FEATURES)):
+                for values, width, first in ((words.features.astype(np.int64), FEATURES, 0), (words.scripts.astype(np.int64), OTHER + 1, FEATURES)):
                     counts = np.bincount(lang * width + values, minlength=1)
                     found = np.flatnonzero(counts)
                     yield pa.RecordBatch.from_pydict({
@@ -134,21 +134,22 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                         "feature": pa.array((found % width + first).astype(np.int32)), "n": pa.array(counts[found].astype(np.int64))})
 
     counts = (picked.select(text_col, lang_col).mapInArrow(count, "lang string, feature int, n long")
-              .groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas())
+              .groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow().to_pandas())
     languages = sorted(counts["lang"].unique())
     table = np.zeros((FEATURES + OTHER + 1, max(1, len(languages))))
     table[counts["feature"].to_numpy(np.int64), pd.Categorical(counts["lang"], languages).codes] = counts["n"].to_numpy()
     grams, scripts = table[:FEATURES], table[FEATURES:]
     weights = np.log((grams + smoothing) / (grams.sum(axis=0) + smoothing * FEATURES))
     allowed = scripts >= np.maximum(1, script_share * scripts.sum(axis=0))
-    return Model(languages, weights, allowed)
+    return Model(languages, np.asfortranarray(weights), allowed)
 
 
 def spans(words: Words, model: Model, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Language of every word, and letters of each language in every row."""
     k = len(model.languages)
-    sums = np.concatenate([np.zeros((1, k)), np.cumsum(model.weights[words.features], axis=0)])
-    scores = sums[words.at[1:]] - sums[words.at[:-1]]
+    scores = np.zeros((len(words.lens), k))
+    for j in range(k if len(words.lens) else 0):  # one language at a time keeps the arrays of letters small
+        scores[:, j] = np.add.reduceat(model.weights[:, j][words.features], words.at[:-1])
     # scripts of a word as bits; few combinations occur
     bits = np.bitwise_or.reduceat(np.left_shift(np.int64(1), words.scripts.astype(np.int64)), words.at[:-1]) if len(words.lens) else np.zeros(0, np.int64)
     for b in np.unique(bits):
