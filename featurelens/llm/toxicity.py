@@ -145,7 +145,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         at = np.flatnonzero(field.weights)
         return pd.DataFrame({"slot": np.r_[at, [-1], range(-5, -1)].astype(np.int64), "value": np.r_[field.weights[at], field.bias, field.transition.ravel()]})
 
-    rows = picked.groupBy(F.lit(0).alias("_g")).applyInPandas(run, "slot long, value double").toPandas()  # 2^18 weights at most
+    rows = picked.groupBy(F.lit(0).alias("_g")).applyInPandas(run, "slot long, value double").toArrow().to_pandas()  # 2^18 weights at most
     slots, values = rows["slot"].to_numpy(), rows["value"].to_numpy()
     weights = np.zeros(1 << BITS)
     weights[slots[slots >= 0]] = values[slots >= 0]
