@@ -49,12 +49,14 @@ from pyspark.sql import functions as F
 from featurelens.llm.columns import lower_ascii, mix, ranges_index, run_hashes, runs, slices, utf8
 from featurelens.llm.staging import cut, prepare, text_or_empty
 from featurelens.operators.density import connected_components
+from featurelens.operators.sizes import broadcast_if_small
 
 LEAST_IN_PART = 3
 HEAVY_BITS = 18
 PACK_GRAMS = 8_000_000
 BITMAP_WORDS = 64
 TILE_ROWS = 512
+FEW_VALUES = 4_000_000
 TILE_GRAMS = 1_000_000
 _K = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
@@ -260,9 +262,9 @@ def _heavy_buckets(texts: DataFrame, n: int) -> tuple[np.ndarray, int]:
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], names=["bucket", "n"])
 
-    rows = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2^18 at most
+    rows = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2^18 at most
     counts = np.zeros(1 << HEAVY_BITS, np.int64)
-    counts[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     middle = np.median(counts)
     spread = 1.4826 * np.median(np.abs(counts - middle))
     return counts > middle + 8 * spread + 20, int(counts.sum())
@@ -382,8 +384,9 @@ def _linked(df, sets, members, id_col, text_col, n, percent, tile_rows, tile_gra
     work = cut(small.unionByName(paired))
     rows = work.count()
     docs = df.select(F.col(id_col).alias("_k"), F.xxhash64(text_or_empty(text_col)).alias("_h"), text_or_empty(text_col).alias("_t"))
-    wanted = work.select("sid", "_doc").distinct()
-    texts = docs.join(wanted, (docs["_h"] == wanted["_doc._text"]) & docs["_k"].eqNullSafe(wanted["_doc._id"])).select("sid", "_t")
+    wanted = work.select("sid", F.col("_doc._text").alias("_text"), F.col("_doc._id").alias("_id")).distinct()
+    wanted = broadcast_if_small(wanted, limit=FEW_VALUES)  # names, never texts; beyond the limit both sides are shuffled
+    texts = docs.join(wanted, (F.col("_h") == F.col("_text")) & F.col("_k").eqNullSafe(F.col("_id"))).select("sid", "_t")
     groups = max(1, rows // 400)
     work = work.select("sid", "tile", "side", "whole").join(texts.dropDuplicates(["sid"]), "sid").withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(groups)))
 
@@ -413,5 +416,6 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     stays = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_text")).alias("_stay"))
     same = F.col("_id").eqNullSafe(F.col("_stay._id")) & (F.col("_text") == F.col("_stay._text"))
     gone = found.join(stays, "root").where(~same).select(F.col("_id").alias("_gone_id"), F.col("_text").alias("_gone_text")).distinct()
+    gone = broadcast_if_small(gone, limit=FEW_VALUES)
     match = (F.xxhash64(text_or_empty(text_col)) == F.col("_gone_text")) & F.col(id_col).eqNullSafe(F.col("_gone_id"))
     return df.join(gone, match, "left_anti")
