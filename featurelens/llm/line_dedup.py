@@ -29,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurelens.llm.staging import cut, prepare, text_or_empty, written
+from featurelens.operators.sizes import broadcast_if_small
 
 BUCKET_BITS = 16
+FEW_VALUES = 4_000_000
 
 
 def _buckets(token: Column) -> Column:
@@ -44,12 +46,15 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def with_tokens(lines: DataFrame, n: int) -> DataFrame:
-    """Add ``tokens``: distinct hashes of the runs of ``n`` words."""
-    words = F.filter(F.split(F.lower("line"), "[ \\t\\r\\f\\x0B]+"), lambda w: w != "")
-    hashed = lines.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
+    """Add ``tokens``: hashes of the runs of ``n`` words, repeated ones too."""
+    blank = " \t\r\f\x0b"
+    clean = lines.withColumn("_l", F.btrim(F.lower("line"), F.lit(blank)))
+    # most lines have single spaces only, for which splitting needs no pattern
+    odd = F.col("_l").rlike("  |[\\t\\r\\f\\x0B]")
+    words = clean.withColumn("_w", F.when(odd, F.split("_l", "[ \\t\\r\\f\\x0B]+")).otherwise(F.split("_l", " ")))
     runs = F.when(F.size("_w") < n, F.array(F.xxhash64("_w", F.size("_w")))).otherwise(
         F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.xxhash64(F.slice("_w", i, n))))
-    return hashed.withColumn("tokens", F.array_distinct(runs)).drop("_w")
+    return words.withColumn("tokens", runs).drop("_l", "_w")
 
 
 def bucket_ranks(lines: DataFrame) -> list[int]:
@@ -65,14 +70,14 @@ def bucket_ranks(lines: DataFrame) -> list[int]:
 
 
 def by_rarity(ranks: list[int]) -> Column:
-    """``tokens`` as sortable numbers: bucket rank above the hash's other bits."""
-    table = F.from_json(F.lit("[" + ",".join(map(str, ranks)) + "]"), "array<bigint>")  # folded to one constant
+    """Distinct ``tokens`` as sorted numbers: bucket rank above the hash's other bits."""
+    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded to one constant
 
     def key(t: Column) -> Column:
         rank = F.element_at(table, (_buckets(t) + 1).cast("int"))
         return F.shiftleft(rank, 47).bitwiseOR(F.shiftrightunsigned(t, BUCKET_BITS + 1))
 
-    return F.array_sort(F.array_distinct(F.transform("tokens", key)))
+    return F.sort_array(F.array_distinct(F.transform("tokens", key)))
 
 
 def _least(size: Column, percent: int) -> Column:
@@ -97,9 +102,11 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     prepare(df.sparkSession)
     with written(entries(df, id_col, text_col, n, percent), "line-sets") as table:
         lines = cut(table.select("doc", "line_no", "sid", "sid2"))
-        sets = table.groupBy("sid", "sid2").agg(F.min(F.struct("doc", "line_no")).alias("at"))
-        firsts = cut(sets)
-        pairs = cut(_candidates(table, percent))
+        sets = table.groupBy("sid", "sid2").agg(F.min(F.struct("doc", "line_no")).alias("at"), F.first("size").alias("size"),
+                                                F.first("prefix").alias("prefix"))
+        sets = cut(sets)
+    firsts = sets.select("sid", "sid2", "at")
+    pairs = cut(_candidates(sets, percent))
     similar = _verified(df, firsts, pairs, id_col, text_col, n, percent)
     earlier = similar.groupBy("sid", "sid2").agg(F.min("earlier").alias("earlier"))
     decided = firsts.join(earlier, ["sid", "sid2"], "left").select("sid", "sid2", F.coalesce(F.least("earlier", "at"), "at").alias("first"))
@@ -108,30 +115,35 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     return found.select("doc", "line_no", "first", (~same).alias("removed"))
 
 
-def _candidates(table: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of sets that pass the prefix, length and positional filters."""
-    tokens = table.select("sid", "sid2", "size", F.posexplode("prefix").alias("pos", "token")).groupBy("token", "sid", "sid2").agg(
-        F.first("size").alias("size"), F.first("pos").alias("pos"))
-    a = tokens.select("token", *[F.col(c).alias(f"a_{c}") for c in ("sid", "sid2", "size", "pos")])
-    b = tokens.select("token", *[F.col(c).alias(f"b_{c}") for c in ("sid", "sid2", "size", "pos")])
-    shorter = F.least("a_size", "b_size")
-    left = 1 + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) - 1
-    enough = left * (100 + percent) >= percent * (F.col("a_size") + F.col("b_size"))
-    ordered = (F.col("a_sid") < F.col("b_sid")) | ((F.col("a_sid") == F.col("b_sid")) & (F.col("a_sid2") < F.col("b_sid2")))
-    joined = a.join(b, "token").where(ordered & (shorter * 100 >= F.greatest("a_size", "b_size") * percent) & enough)
-    return joined.select("a_sid", "a_sid2", "b_sid", "b_sid2").distinct()
+def _candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of set names that pass the prefix, length and positional filters.
+
+    A row is a token, a name and size and position in one number. Names of 64
+    bits do here: sets that share one are told apart when pairs are verified.
+    """
+    tokens = sets.select("sid", F.shiftleft(F.col("size").cast("long"), 32).alias("_s"), F.posexplode("prefix").alias("_p", "token"))
+    tokens = tokens.select("token", "sid", (F.col("_s") + F.col("_p")).alias("at"))
+    a = tokens.select("token", F.col("sid").alias("a_sid"), F.col("at").alias("_a"))
+    b = tokens.select("token", F.col("sid").alias("b_sid"), F.col("at").alias("_b"))
+    a_size, b_size = F.shiftright("_a", 32), F.shiftright("_b", 32)
+    a_pos, b_pos = F.col("_a").bitwiseAND((1 << 32) - 1), F.col("_b").bitwiseAND((1 << 32) - 1)
+    left = F.least(a_size - a_pos, b_size - b_pos)  # this token and those after it
+    enough = left * (100 + percent) >= percent * (a_size + b_size)
+    lengths = F.least(a_size, b_size) * 100 >= F.greatest(a_size, b_size) * percent
+    joined = a.join(b, "token").where((F.col("a_sid") < F.col("b_sid")) & lengths & enough)
+    return joined.select("a_sid", "b_sid").distinct()
 
 
 def _verified(df, firsts, pairs, id_col, text_col, n, percent) -> DataFrame:
     """(sid, sid2, earlier) for sets with a similar one whose first line comes earlier."""
-    wanted = pairs.select(F.col("a_sid").alias("sid"), F.col("a_sid2").alias("sid2")).unionByName(
-        pairs.select(F.col("b_sid").alias("sid"), F.col("b_sid2").alias("sid2"))).distinct()
-    places = firsts.join(wanted, ["sid", "sid2"]).select("sid", "sid2", "at", F.col("at.doc").alias("_d"), F.col("at.line_no").alias("_l"))
+    wanted = pairs.select(F.col("a_sid").alias("sid")).unionByName(pairs.select(F.col("b_sid").alias("sid"))).distinct()
+    places = firsts.join(wanted, "sid").select("sid", "sid2", "at", F.col("at.doc").alias("_d"), F.col("at.line_no").alias("_l"))
+    places = broadcast_if_small(places, limit=FEW_VALUES)  # names and places, no texts; beyond the limit both sides are shuffled
     texts = lines_of(df, id_col, text_col)
     kept = texts.join(places, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l"))).select("sid", "sid2", "at", "line")
-    full = with_tokens(kept, n).select("sid", "sid2", "at", "tokens").dropDuplicates(["sid", "sid2"])
+    full = with_tokens(kept, n).select("sid", "sid2", "at", F.array_distinct("tokens").alias("tokens")).dropDuplicates(["sid", "sid2"])
     side = lambda p: full.select(*[F.col(c).alias(f"{p}_{c}") for c in ("sid", "sid2", "at", "tokens")])
-    both = pairs.join(side("a"), ["a_sid", "a_sid2"]).join(side("b"), ["b_sid", "b_sid2"])
+    both = pairs.join(side("a"), "a_sid").join(side("b"), "b_sid")
     overlap = F.size(F.array_intersect("a_tokens", "b_tokens"))
     total = F.size("a_tokens") + F.size("b_tokens")
     similar = both.withColumn("_o", overlap).where(F.col("_o") * (100 + percent) >= percent * total)
