@@ -30,8 +30,7 @@ def pieces_path() -> str:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id", F.lit(True).alias("is_target")).distinct()
-    models = lm_score.train(docs.join(good, "doc_id", "left"), "is_target")
+    models = lm_score.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1"))
     return lm_score.score(docs, models).drop("text")
 
 

@@ -13,7 +13,7 @@ its own counts before the shuffle, Spark sums them up. What is sent to tasks is
 the vocabulary and two tables of at most (vocab_size + 2)^2 numbers, a bound
 that does not depend on the data.
 
-Defined results: words are runs of other characters than space, tab and line
+Defined results: a document with a null id is background. Words are runs of other characters than space, tab and line
 ends, A-Z lower-cased. Null, empty and blank texts have no tokens and losses
 and score 0. Without any target document the target model is uniform over the
 vocabulary. Words of equal count rank by hash. Repeated rows count each time.
@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from featurelens.llm.columns import lower_ascii, run_hashes, runs, slices, utf8
 from featurelens.llm.staging import prepare
+from featurelens.operators.sizes import broadcast_if_small
 
 FLUSH_ENTRIES = 2_000_000
 
@@ -114,8 +115,13 @@ def vocabulary(df: DataFrame, text_col: str, vocab_size: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
 
 
-def train(df: DataFrame, target: str, text_col: str = "text", vocab_size: int = 2048, discount: float = 0.75) -> Models:
-    """Count and smooth both models; ``target`` names a boolean column (null is background)."""
+def train(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_size: int = 2048,
+          discount: float = 0.75) -> Models:
+    """Count and smooth both models; ``targets`` holds the ids (``id_col``) of the target documents.
+
+    The ids are sent to the tasks if a count shows that they are few, else both
+    sides are shuffled.
+    """
     prepare(df.sparkSession)
     words = vocabulary(df, text_col, vocab_size)
     shared = df.sparkSession.sparkContext.broadcast(words)  # vocab_size hashes
@@ -137,11 +143,14 @@ def train(df: DataFrame, target: str, text_col: str = "text", vocab_size: int =
         if sums.parts:
             yield out()
 
-    given = df.select(F.col(text_col).alias("_t"), F.coalesce(F.col(target).cast("boolean"), F.lit(False)).alias("_y"))
+    chosen = broadcast_if_small(targets.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lit(True).alias("_good")).distinct())
+    given = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(chosen, "_id", "left").select(
+        "_t", F.coalesce("_good", F.lit(False)).alias("_y"))
     counts = (given.mapInArrow(count, "code long, background long, target long")
-              .groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toPandas())  # (vocab_size + 2)^2 at most
+              .groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow())  # (vocab_size + 2)^2 rows at most
     width = len(words) + 2
-    tables = [_losses(counts["code"].to_numpy(np.int64), counts[c].to_numpy(np.float64), width, discount) for c in ("target", "background")]
+    codes = counts.column("code").to_numpy()
+    tables = [_losses(codes, counts.column(c).to_numpy(), width, discount) for c in ("target", "background")]
     return Models(words, *tables)
 
 

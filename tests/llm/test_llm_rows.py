@@ -93,7 +93,7 @@ def test_lm_losses_equal_plain_counts(spark):
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) for _ in range(40)] + [None, " \n"]
     flags = [i % 3 == 0 if i % 5 else None for i in range(len(texts))]
     df = spark.createDataFrame(list(zip(range(len(texts)), texts, flags)), "doc_id long, text string, good boolean").repartition(4)
-    models = lm_score.train(df, "good", vocab_size=4)
+    models = lm_score.train(df, df.where("good"), vocab_size=4)
     got = {r["doc_id"]: r for r in lm_score.score(df, models).collect()}
     low = [(t or "").replace("B", "b").split() for t in texts]
     counts = {w: sum(x.count(w) for x in low) for w in {w for x in low for w in x}}
