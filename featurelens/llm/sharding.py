@@ -7,8 +7,8 @@ are sorted by fraction, and the sorted list is cut into shards of equal counts
 sources in proportion to their sizes, so every shard holds the mixture.
 
 Ranks are exact and never gather a source in one task: the digest is uniform,
-so (source, digest range) buckets hold about ``bucket_rows`` rows whatever the
-sizes of the sources; counts per bucket, summed up, give each bucket its first
+so (source, digest range) buckets, as many as a source's size asks for, hold
+about ``bucket_rows`` rows; counts per bucket, summed up, give each bucket its first
 rank. The same holds for fractions, which are uniform by construction. Only
 slim rows are shuffled; texts stay in the scan.
 
@@ -45,7 +45,7 @@ def _ranked(rows: DataFrame, group: list[str], bucket: str, order: list, out: st
 
 
 def stratified_shards(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-                      seed: int = 17, bucket_rows: int = 20_000) -> DataFrame:
+                      seed: int = 17, bucket_rows: int = 2_000) -> DataFrame:
     """One row per document: id, source, size, text_crc32, ``position`` in the mixed order, shard and slot."""
     if shards < 1:
         raise ValueError(f"shards must be 1 or more: {shards}")
@@ -55,13 +55,14 @@ def stratified_shards(df: DataFrame, shards: int, id_col: str = "doc_id", source
         F.col(source_col).isNull().alias("_none"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), seeded_order(id_col, seed).alias("_h")))
     total = rows.count()
-    buckets = max(1, -(-total // bucket_rows))
-    width = -(-(1 << _BITS) // buckets)
     ties = ["_id", "text_crc32", "size"]
-    rows = rows.withColumn("_b", F.expr(f"_h div {width}L"))
-    ranked = _ranked(rows, ["_source", "_none"], "_b", ["_h", *ties], "_rank").drop("_b")
     sizes = rows.groupBy("_source", "_none").agg(F.count(F.lit(1)).alias("_of"))
-    ranked = ranked.join(sizes, ["_source", "_none"]).withColumn("_f", (2 * F.col("_rank") + 1) / (2 * F.col("_of")))
+    # as many buckets as the source's rows need; equal ranges of the digest
+    width = F.ceil(F.lit(float(1 << _BITS)) / F.ceil(F.col("_of") / bucket_rows)).cast("long")
+    rows = rows.join(sizes, ["_source", "_none"]).withColumn("_w", width).withColumn("_b", F.expr("_h div _w"))
+    ranked = _ranked(rows, ["_source", "_none"], "_b", ["_h", *ties], "_rank").drop("_b")
+    ranked = ranked.withColumn("_f", (2 * F.col("_rank") + 1) / (2 * F.col("_of")))
+    buckets = max(1, -(-total // bucket_rows))
     ranked = ranked.withColumns({"_b": F.floor(F.col("_f") * buckets).cast("long"), "_all": F.lit(0)})
     mixed = _ranked(ranked, ["_all"], "_b", ["_f", "_source", "_none", "_h", *ties], "position")
     shard = F.expr(f"(position * {shards}L) div {max(total, 1)}L")
