@@ -1,22 +1,27 @@
 """Cross-entropy difference of matched bigram models (operator 1).
 
-One vocabulary, the ``vocab_size`` most frequent words of all documents, is
-shared by two bigram models of the same form: one of the target documents,
-one of the background (all others). Rarer words are one unknown word, and a
-boundary symbol stands before and after each text. Probabilities are absolute
-discounting, interpolated with add-one unigram frequencies. Each document gets
-the mean loss a token in both models; the difference (target less background)
-is its score: the lower, the more like the target.
-
-Words and bigrams are counted over whole texts of all documents: each task sums
-its own counts before the shuffle, Spark sums them up. What is sent to tasks is
-the vocabulary and two tables of at most (vocab_size + 2)^2 numbers, a bound
-that does not depend on the data.
-
-Defined results: a document with a null id is background. Words are runs of other characters than space, tab and line
+Two bigram models of the same form over the same words: one of the target
+documents, one of the background (all others). Every word of the table is a
+symbol of its own, however rare, and a boundary symbol stands before and after
+each text. Probabilities are absolute discounting, interpolated with add-one
+unigram frequencies. Each document gets the mean loss a token in both models;
+the difference (target less background) is its score: the lower, the more like
+the target.
+
+Both models are distributed tables: the counts of every word and of every pair
+of neighbours, packed in parts by hash, whose number grows with the text. Tasks
+sum their own counts before the shuffle. To score, texts are put in blocks of
+``BLOCK_TOKENS``; a block asks each part for its distinct pairs and words, once
+however often it holds them, and sums the losses of its texts from the replies.
+So a common pair is asked for once a block, nothing of the tables reaches the
+driver but three totals, and no task holds more than its part or block.
+
+Defined results: a document with a null id is background. Words, and pairs of them, are told apart by hashes of 64 bits. Words are runs of other characters than space, tab and line
 ends, A-Z lower-cased. Null, empty and blank texts have no tokens and losses
 and score 0. Without any target document the target model is uniform over the
-vocabulary. Words of equal count rank by hash. Repeated rows count each time.
+words. A word that no training text has counts 0. Repeated rows count each time.
+``vocab_size`` folds all but so many most frequent words into one unknown word;
+words of equal count rank by hash then. It is off unless given.
 """
 
 from __future__ import annotations
@@ -28,20 +33,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from featurelens.llm.columns import lower_ascii, run_hashes, runs, slices, utf8
-from featurelens.llm.staging import prepare
+from featurelens.llm.columns import lower_ascii, mix, run_hashes, runs, slices, utf8
+from featurelens.llm.staging import cut, prepare, text_or_empty, written
 from featurelens.operators.sizes import broadcast_if_small
+from featurelens.session import remove_path, shared_dir
 
-FLUSH_ENTRIES = 2_000_000
+FLUSH_ENTRIES = 1_000_000
+BLOCK_TOKENS = 1_000_000
+PART_BYTES = 16 << 20  # text for each part of the tables
+FEW_VALUES = 4_000_000
+
+UNKNOWN, BOUNDARY = np.uint64(1), np.uint64(2)  # symbols beside the words' hashes
+PAIRS, WORDS, COUNTS = 0, 1, 2  # kinds of packs: names of pairs with two counts, words with counts and kinds of both models; pairs as counted
+KEYS, VALUES = (1, 1, 2), (2, 4, 2)
+PACK = "kind int, part int, block long, keys binary, values binary"
 
 
 @dataclass
 class Models:
-    words: np.ndarray  # sorted 64-bit hashes of the vocabulary
-    target: np.ndarray  # loss of word | previous word; the last two ids are unknown and boundary
-    background: np.ndarray
+    tables: DataFrame  # packs of pairs and words
+    parts: int
+    symbols: int  # words, unknown and boundary
+    tokens: tuple[int, int]  # of background and target
+    vocabulary: np.ndarray | None  # sorted hashes, if vocab_size was given
+    discount: float
+    paths: tuple[str, ...]
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,140 +69,285 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return run_hashes(low, starts, ends), row
 
 
-def bigrams(hashes: np.ndarray, row: np.ndarray, rows: int, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code (previous id * width + id) of every token, ends included, and its row; rows without words have none."""
-    v = len(vocabulary)
-    place = np.searchsorted(vocabulary, hashes)
-    place[place == v] = 0
-    ids = np.where(vocabulary[place] == hashes, place, v) if v else np.full(len(hashes), 0)
-    counts = np.bincount(row, minlength=rows)
-    full = np.flatnonzero(counts)
-    # every text with words becomes boundary, words, boundary
-    ends = np.cumsum(counts[full] + 2)
-    line = np.full(int(ends[-1]) if len(ends) else 0, v + 1, np.int64)
-    starts = ends - counts[full] - 2
-    line[np.arange(len(ids)) + np.repeat(starts + 1 - (np.cumsum(counts[full]) - counts[full]), counts[full])] = ids
-    first = np.zeros(len(line), bool)
-    first[starts] = True
-    second = np.flatnonzero(~first)
-    return line[second - 1] * (v + 2) + line[second], np.repeat(full, counts[full] + 1)
-
-
-class _Sums:
-    """Counts of codes gathered over the slices of a task."""
-
-    def __init__(self, columns: int):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.columns = columns
-
-    def add(self, codes: np.ndarray, flags: np.ndarray | None = None) -> None:
-        values, inverse = np.unique(codes, return_inverse=True)
-        sums = [np.bincount(inverse, minlength=len(values))] if flags is None else [
-            np.bincount(inverse, weights=flags == f, minlength=len(values)) for f in range(self.columns)]
-        self.parts.append((values, np.stack(sums, axis=1).astype(np.int64)))
-
-    def full(self) -> bool:
-        return sum(len(v) for v, _ in self.parts) > FLUSH_ENTRIES
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        values, inverse = np.unique(np.concatenate([v for v, _ in self.parts]), return_inverse=True)
-        sums = np.zeros((len(values), self.columns), np.int64)
-        np.add.at(sums, inverse, np.concatenate([s for _, s in self.parts]))
-        self.parts = []
-        return values, sums
+def symbols_of(column: pa.Array, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts with words, each between two boundaries, and the symbols a row has (0 without words)."""
+    hashes, row = words_of(column)
+    if vocabulary is not None:
+        place = np.searchsorted(vocabulary, hashes)
+        place[place == len(vocabulary)] = 0
+        hashes = np.where(vocabulary[place] == hashes, hashes, UNKNOWN) if len(vocabulary) else np.full(len(hashes), UNKNOWN)
+    counts = np.bincount(row, minlength=len(column))
+    full = counts[counts > 0]
+    line = np.full(len(hashes) + 2 * len(full), BOUNDARY, np.uint64)
+    line[np.arange(len(hashes)) + np.repeat(2 * np.arange(len(full)) + 1, full)] = hashes
+    return line, np.where(counts > 0, counts + 2, 0)
+
+
+def _seconds(lengths: np.ndarray) -> np.ndarray:
+    """Places of all symbols that have one before them in their text."""
+    first = np.zeros(int(lengths.sum()), bool)
+    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    return np.flatnonzero(~first)
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index of every distinct row of ``keys``, in their order, and the group of each row."""
+    order = np.lexsort(keys.T)
+    first = np.ones(len(keys), bool)
+    first[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+    group = np.empty(len(keys), np.int64)
+    group[order] = np.cumsum(first) - 1
+    return order[first], group
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first, group = _grouped(keys)
+    sums = np.stack([np.bincount(group, weights=v, minlength=len(first)) for v in values.T], axis=1).astype(np.int64)
+    return keys[first], sums
+
+
+def _named(pairs: np.ndarray) -> np.ndarray:
+    """Pairs of symbols by names of 64 bits, as words have."""
+    with np.errstate(over="ignore"):
+        return mix(mix(pairs[:, :1]) + pairs[:, 1:])
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(keys if keys.shape[1] == 1 else _named(keys))[:, 0] % np.uint64(parts)).astype(np.int64)
+
+
+def _bytes(values: np.ndarray) -> bytes:
+    return values.T.tobytes()  # a column after the other: they compress better
+
+
+def _matrix(data: bytes, columns: int, dtype: type) -> np.ndarray:
+    return np.frombuffer(data, dtype).reshape(columns, -1).T
+
+
+def _packs(kind: int, block: int, keys: np.ndarray, values: np.ndarray | None, parts: int) -> pa.RecordBatch:
+    """A row for each part that some keys belong to; keys stay in their order."""
+    part = _part(keys, parts)
+    order = np.argsort(part, kind="stable")
+    found, starts = np.unique(part[order], return_index=True)
+    cuts = list(zip(starts, [*starts[1:], len(order)]))
+    return _rows([(kind, int(p), block, _bytes(keys[order[a:b]]), None if values is None else _bytes(values[order[a:b]]))
+                  for p, (a, b) in zip(found, cuts)])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"kind": pa.int32(), "part": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "values": pa.binary()}
+    columns = list(zip(*rows)) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+
+def _unpacked(kind: int, keys: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return _matrix(keys, KEYS[kind], np.uint64), _matrix(values, VALUES[kind], np.int64)
+
+
+def _reduced(packs: DataFrame, parts: int) -> DataFrame:
+    """One pack a kind and part with the sums of all; counted pairs become named ones and packs of their first symbols."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict = {}
+        for batch in batches:
+            for kind, part, keys, values in zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "keys", "values"))):
+                got.setdefault((kind, part), []).append(_unpacked(kind, keys, values))
+        for kind, part in list(got):
+            keys, sums = _summed(*(np.concatenate(x) for x in zip(*got.pop((kind, part)))))
+            if kind == COUNTS:
+                # a symbol comes before another one as often as after one: its count is that of its pairs as the first
+                yield _packs(WORDS, 0, *_summed(keys[:, :1], np.concatenate([sums, sums > 0], axis=1)), parts)
+                kind, keys = PAIRS, _named(keys)
+            yield _rows([(kind, part, 0, _bytes(keys), _bytes(sums))])
+
+    return packs.repartition(parts, "kind", "part").mapInArrow(add, PACK)
 
 
 def vocabulary(df: DataFrame, text_col: str, vocab_size: int) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all documents."""
+    """Sorted hashes of the ``vocab_size`` most frequent words of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(1)
         for batch in batches:
             for part in slices(batch, "_t"):
-                sums.add(words_of(part.column("_t"))[0])
-                if sums.full():
-                    values, n = sums.take()
-                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n[:, 0])], names=["word", "n"])
-        if sums.parts:
-            values, n = sums.take()
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n[:, 0])], names=["word", "n"])
+                values, n = np.unique(words_of(part.column("_t"))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     counts = df.select(F.col(text_col).alias("_t")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(vocab_size).select("word").collect()  # the vocabulary: a parameter's size
+    top = counts.orderBy(F.desc("n"), "word").limit(vocab_size).select("word").collect()  # the parameter's size
     return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
 
 
-def train(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_size: int = 2048,
+def train(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_size: int | None = None,
           discount: float = 0.75) -> Models:
-    """Count and smooth both models; ``targets`` holds the ids (``id_col``) of the target documents.
+    """Count both models; ``targets`` holds the ids (``id_col``) of the target documents.
 
     The ids are sent to the tasks if a count shows that they are few, else both
-    sides are shuffled.
+    sides are shuffled. The tables stay in the shared folder for ``score`` until ``release``.
     """
-    prepare(df.sparkSession)
-    words = vocabulary(df, text_col, vocab_size)
-    shared = df.sparkSession.sparkContext.broadcast(words)  # vocab_size hashes
+    spark = df.sparkSession
+    prepare(spark)
+    kept = None if vocab_size is None else vocabulary(df, text_col, vocab_size)
+    size = df.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
+    parts = int(size // PART_BYTES) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(2)
+        keys, values, held = [], [], 0
+        for batch in batches:
+            for part in slices(batch, "_t"):
+                flag = part.column("_y").to_numpy(zero_copy_only=False)
+                line, lengths = symbols_of(part.column("_t"), kept)
+                second = _seconds(lengths)
+                if not len(second):
+                    continue
+                good = np.repeat(flag, lengths)[second]
+                k, v = _summed(np.stack([line[second - 1], line[second]], axis=1), np.stack([~good, good], axis=1))
+                keys.append(k)
+                values.append(v)
+                held += len(k)
+                if held > FLUSH_ENTRIES:
+                    yield _packs(COUNTS, 0, *_summed(np.concatenate(keys), np.concatenate(values)), parts)
+                    keys, values, held = [], [], 0
+        if keys:
+            yield _packs(COUNTS, 0, *_summed(np.concatenate(keys), np.concatenate(values)), parts)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, values in zip(batch.column("keys").to_pylist(), batch.column("values").to_pylist()):
+                k, v = _unpacked(WORDS, keys, values)
+                yield pa.RecordBatch.from_arrays([pa.array([int((k[:, 0] > BOUNDARY).sum())]), pa.array([int(v[:, 0].sum())]), pa.array([int(v[:, 1].sum())])],
+                                                 names=["words", "background", "target"])
+
+    chosen = broadcast_if_small(targets.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lit(True).alias("_good")).distinct())
+    given = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(chosen, "_id", "left").select(
+        "_t", F.coalesce("_good", F.lit(False)).alias("_y"))
+    path = shared_dir(spark, "lm-tables")
+    _reduced(given.mapInArrow(count, PACK), parts).write.parquet(path)
+    found = spark.read.schema(PACK).parquet(path)
+    _reduced(found.where(F.col("kind") == WORDS), parts).write.parquet(path + "-words")
+    spark._jvm.System.gc()  # lets Spark's cleaner remove the files of the counts' shuffle
+    words = spark.read.schema(PACK).parquet(path + "-words")
+    sums = words.mapInArrow(totals, "words long, background long, target long").agg(F.sum("words"), F.sum("background"), F.sum("target")).first()
+    known = (sums[0] or 0) if kept is None else len(kept)
+    return Models(found.where(F.col("kind") == PAIRS).unionByName(words), parts, known + 2, (sums[1] or 0, sums[2] or 0), kept, discount, (path, path + "-words"))
+
+
+def release(models: Models) -> None:
+    """Remove the tables; what ``score`` returned before stays valid."""
+    for path in models.paths:
+        remove_path(models.tables.sparkSession, path)
+
+
+def _blocks(texts: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
+    """Rows of about BLOCK_TOKENS symbols: names and lengths of texts, distinct symbols, and all symbols as their places."""
+    limit = BLOCK_TOKENS
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, lengths, lines, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            codes, n = sums.take()
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["code", "background", "target"])
+            words, ids = np.unique(np.concatenate(lines), return_inverse=True)
+            columns = [np.concatenate(names), np.concatenate(lengths), words, ids.astype("<i4").view(np.uint8).reshape(-1, 4).T]  # ids a byte after the other
+            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["names", "lengths", "words", "ids"])
 
         for batch in batches:
             for part in slices(batch, "_t"):
-                flag = part.column("_y").to_numpy(zero_copy_only=False).astype(np.int64)
-                codes, row = bigrams(*words_of(part.column("_t")), part.num_rows, shared.value)
-                sums.add(codes, flag[row])
-                if sums.full():
+                line, n = symbols_of(part.column("_t"), vocabulary)
+                name = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("_a", "_b")], axis=1)
+                names.append(name[n > 0])
+                lengths.append(n[n > 0].astype(np.int64))
+                lines.append(line)
+                held += len(line)
+                if held > limit:
                     yield out()
-        if sums.parts:
+                    names, lengths, lines, held = [], [], [], 0
+        if held:
             yield out()
 
-    chosen = broadcast_if_small(targets.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lit(True).alias("_good")).distinct())
-    given = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(chosen, "_id", "left").select(
-        "_t", F.coalesce("_good", F.lit(False)).alias("_y"))
-    counts = (given.mapInArrow(count, "code long, background long, target long")
-              .groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow())  # (vocab_size + 2)^2 rows at most
-    width = len(words) + 2
-    codes = counts.column("code").to_numpy()
-    tables = [_losses(codes, counts.column(c).to_numpy(), width, discount) for c in ("target", "background")]
-    return Models(words, *tables)
-
-
-def _losses(codes: np.ndarray, counts: np.ndarray, width: int, discount: float) -> np.ndarray:
-    previous, word = codes // width, codes % width
-    unigram = np.bincount(word, weights=counts, minlength=width) + 1.0
-    unigram /= unigram.sum()
-    total = np.bincount(previous, weights=counts, minlength=width)
-    kinds = np.bincount(previous, weights=counts > 0, minlength=width)
-    rest = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-    table = rest[:, None] * unigram[None, :]
-    seen = counts > 0
-    table[previous[seen], word[seen]] += (counts[seen] - discount) / total[previous[seen]]
-    return (-np.log(table)).astype(np.float32)
+    found = texts.mapInArrow(gather, "names binary, lengths binary, words binary, ids binary")
+    return found.withColumn("block", F.monotonically_increasing_id())
+
+
+def _distinct_pairs(words: np.ndarray, data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (first, second) of a block's distinct pairs, and of every pair which one it is."""
+    ids, second = np.ascontiguousarray(_matrix(data, 4, np.uint8)).view("<i4")[:, 0], _seconds(lengths)
+    codes, which = np.unique(ids[second - 1].astype(np.int64) * len(words) + ids[second], return_inverse=True)
+    return codes // len(words), codes % len(words), which
+
+
+def _looked_up(asked: DataFrame, models: Models) -> DataFrame:
+    """The values of all asked keys, in their order; 0 where a table lacks the key."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, wanted = {}, {}
+        for batch in batches:
+            for kind, part, block, keys, values in zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "block", "keys", "values"))):
+                if values is None:
+                    wanted.setdefault((kind, part), []).append((block, _matrix(keys, KEYS[kind], np.uint64)))
+                else:
+                    tables[kind, part] = _unpacked(kind, keys, values)
+        for (kind, part), asks in wanted.items():
+            have, values = tables.pop((kind, part), (np.zeros((0, KEYS[kind]), np.uint64), np.zeros((0, VALUES[kind]), np.int64)))
+            first, group = _grouped(np.concatenate([have, *(k for _, k in asks)]))
+            by_group = np.zeros((len(first), VALUES[kind]), np.int64)
+            by_group[group[:len(have)]] = values
+            at = len(have)
+            for block, keys in asks:
+                yield _rows([(kind, part, block, None, _bytes(by_group[group[at:at + len(keys)]]))])
+                at += len(keys)
+
+    return asked.unionByName(models.tables).repartition(models.parts, "kind", "part").mapInArrow(answer, PACK)
 
 
 def score(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
-    """Add ``n_tokens``, ``target_loss``, ``background_loss`` and ``score`` to every row."""
+    """Add ``n_tokens``, ``target_loss``, ``background_loss`` and ``score`` to every row.
+
+    A text is named by 128 bits of hash; equal texts have equal scores.
+    """
     prepare(df.sparkSession)
-    new = {"n_tokens": T.LongType(), "target_loss": T.DoubleType(), "background_loss": T.DoubleType(), "score": T.DoubleType()}
-    schema = T.StructType([f for f in df.schema.fields if f.name not in new] + [T.StructField(n, t) for n, t in new.items()])
-    names = schema.fieldNames()
-    shared = df.sparkSession.sparkContext.broadcast(models)  # two tables of (vocab_size + 2)^2
+    text = text_or_empty(text_col)
+    name = [F.xxhash64(text), F.xxhash64(F.lit(7), text)]
+    parts, symbols, tokens, discount = models.parts, models.symbols, models.tokens, models.discount
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                rows = part.num_rows
-                codes, row = bigrams(*words_of(part.column(text_col)), rows, models.words)
-                n = np.bincount(row, minlength=rows)
-                mean = [np.bincount(row, weights=t.ravel()[codes], minlength=rows) / np.maximum(n, 1) for t in (models.target, models.background)]
-                have = dict(zip(part.schema.names, part.columns))
-                have |= {"n_tokens": pa.array(n.astype(np.int64)), "target_loss": pa.array(mean[0]), "background_loss": pa.array(mean[1]),
-                         "score": pa.array(mean[0] - mean[1])}
-                yield pa.RecordBatch.from_arrays([have[c] for c in names], names=names)
-
-    return df.mapInArrow(run, schema)
+            for block, lengths, words, ids in zip(*(batch.column(c).to_pylist() for c in ("block", "lengths", "words", "ids"))):
+                words = np.frombuffer(words, np.uint64)
+                a, b, _ = _distinct_pairs(words, ids, np.frombuffer(lengths, np.int64))
+                yield _packs(PAIRS, block, _named(np.stack([words[a], words[b]], axis=1)), None, parts)
+                yield _packs(WORDS, block, words[:, None], None, parts)
+
+    def reply(keys: np.ndarray, packs: list[tuple[int, bytes]], kind: int) -> np.ndarray:
+        out = np.empty((len(keys), VALUES[kind]), np.int64)
+        out[np.argsort(_part(keys, parts), kind="stable")] = np.concatenate([_matrix(v, VALUES[kind], np.int64) for _, v in sorted(packs)])
+        return out
+
+    def finish(key: tuple, table: pa.Table) -> pa.Table:
+        kinds = np.array(table.column("kind").to_pylist())
+        own = table.slice(int(np.flatnonzero(kinds < 0)[0]), 1).to_pylist()[0]
+        packs = {k: [(r["part"], r["values"]) for r in table.filter(pa.array(kinds == k)).to_pylist()] for k in (PAIRS, WORDS)}
+        words, lengths = np.frombuffer(own["words"], np.uint64), np.frombuffer(own["lengths"], np.int64)
+        a, b, which = _distinct_pairs(words, own["ids"], lengths)
+        pairs = reply(_named(np.stack([words[a], words[b]], axis=1)), packs[PAIRS], PAIRS)
+        single = reply(words[:, None], packs[WORDS], WORDS)
+        row, n = np.repeat(np.arange(len(lengths)), lengths - 1), lengths - 1
+        names = np.frombuffer(own["names"], np.int64).reshape(-1, 2)
+        out = {"_a": pa.array(names[:, 0]), "_b": pa.array(names[:, 1]), "_n": pa.array(n)}
+        for side, column in ((1, "_target"), (0, "_background")):
+            count, kinds_of = single[:, side], single[:, 2 + side]
+            unigram = (count + 1.0) / (tokens[side] + symbols)
+            rest = np.where(count > 0, discount * kinds_of / np.maximum(count, 1), 1.0)
+            seen = np.maximum(pairs[:, side] - discount, 0) / np.maximum(count[a], 1)
+            loss = -np.log(rest[a] * unigram[b] + seen)
+            out[column] = pa.array(np.bincount(row, weights=loss[which], minlength=len(n)) / n)
+        return pa.table(out)
+
+    with written(_blocks(df.select(text.alias("_t"), name[0].alias("_a"), name[1].alias("_b")), models.vocabulary), "lm-blocks") as blocks:
+        replies = _looked_up(blocks.mapInArrow(ask, PACK), models).select("kind", "part", "block", "values")
+        whole = blocks.withColumn("kind", F.lit(-1)).unionByName(replies, allowMissingColumns=True)
+        found = whole.groupBy("block").applyInArrow(finish, "_a long, _b long, _n long, _target double, _background double")
+        found = cut(found.dropDuplicates(["_a", "_b"]))
+    found = broadcast_if_small(found, limit=FEW_VALUES)  # names and losses, no texts; beyond the limit both sides are shuffled
+    new = {"n_tokens": F.coalesce("_n", F.lit(0)), "target_loss": F.coalesce("_target", F.lit(0.0)),
+           "background_loss": F.coalesce("_background", F.lit(0.0)), "score": F.coalesce(F.col("_target") - F.col("_background"), F.lit(0.0))}
+    joined = df.join(found, (name[0] == F.col("_a")) & (name[1] == F.col("_b")), "left")
+    return joined.select(*[c for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])

@@ -1,6 +1,7 @@
 """Row-by-row operators against plain Python: BPE, token counts, LM scores, chains, language, toxicity."""
 
 import base64
+import collections
 import itertools
 import math
 import random
@@ -119,6 +120,44 @@ def test_lm_losses_equal_plain_counts(spark):
         assert got[i]["score"] == pytest.approx(losses[0][i] - losses[1][i], abs=1e-5)
 
 
+@pytest.mark.parametrize("block_tokens, part_bytes", [(300, 500), (2_000_000, 16 << 20)])
+def test_lm_keeps_every_word(spark, monkeypatch, block_tokens, part_bytes):
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", block_tokens)
+    monkeypatch.setattr(lm_score, "PART_BYTES", part_bytes)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(3000) if rng.random() < 0.7 else rng.randrange(9)}" for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    texts += ["hot pair " * 40] * 30 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    models = lm_score.train(df, df.where("doc_id % 3 = 0"))
+    lines = [["#", *(t or "").split(), "#"] if t else [] for t in texts]
+    vocabulary = {w for x in lines for w in x if w != "#"}
+    assert len(vocabulary) > 2048
+    sides = []
+    for target in (True, False):
+        pairs = collections.Counter(p for i, x in enumerate(lines) if (i % 3 == 0) == target for p in itertools.pairwise(x))
+        n, kinds = collections.Counter(), collections.Counter(a for a, _ in pairs)
+        for (a, _), c in pairs.items():
+            n[a] += c
+        sides.append((pairs, n, kinds, sum(n.values()) + len(vocabulary) + 2))
+
+    def loss(side, a, b):
+        pairs, n, kinds, total = side
+        rest = 0.75 * kinds[a] / n[a] if n[a] else 1.0
+        return -math.log(rest * (n[b] + 1) / total + (max(pairs[a, b] - 0.75, 0) / n[a] if n[a] else 0))
+
+    other = ["w1 never seen w2", "w5 w2999", None]
+    more = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(other)] + [(9, other[0], 9)], "doc_id long, text string, score int")
+    for frame, given in ((df, dict(enumerate(texts))), (more, dict(enumerate(other)) | {9: other[0]})):
+        got = {r["doc_id"]: r for r in lm_score.score(frame, models).collect()}
+        assert got.keys() == given.keys()
+        for i, t in given.items():
+            line = ["#", *t.split(), "#"] if t else []
+            want = [np.mean([loss(s, *p) for p in itertools.pairwise(line)]) if line else 0.0 for s in sides]
+            assert got[i]["n_tokens"] == max(len(line) - 1, 0)
+            assert (got[i]["target_loss"], got[i]["background_loss"]) == pytest.approx(tuple(want), rel=1e-9)
+            assert got[i]["score"] == pytest.approx(want[0] - want[1], abs=1e-9)
+
+
 @pytest.mark.parametrize("block", [1, 3, 256])
 def test_chains_equal_plain_recursions(block, monkeypatch):
     monkeypatch.setattr(chain, "BLOCK", block)
