@@ -9,7 +9,9 @@ prefixes (the first size - ceil(t * size) + 1 tokens) share a token, their
 sizes are within t of each other (length filter) and, at their first shared
 token, what is left suffices for the overlap (positional filter). Pairs that
 pass are verified on their full sets. A line goes if an earlier one
-(by document id, then line number) has Jaccard similarity t or more.
+has Jaccard similarity t or more. Lines are in order of document id, then the
+text's hash and the number of the copy (for ids that are null or repeat), then
+line number.
 
 DataFrame functions only. What is shuffled is prefix tokens, and texts of lines
 in candidate pairs; the broadcast is the 2^16 bucket ranks. Rows of a frequent
@@ -18,9 +20,9 @@ there however often they occur.
 
 Defined results: lines end at line feeds; blank lines and null or empty texts
 have no tokens and stay. Case and the kind of white space don't matter.
-Null ids come first in the order of documents. Rows that repeat an id and text
-are equal lines, of which the first stays; ties in (id, line) with different
-texts are told apart by the set only, and equal ones stay together.
+Null ids come first in the order of documents. A row is told by its id, a hash
+of its text and, among rows that agree in both, a number from 0 (``copy``): of
+such copies the lines of number 0 count as the earlier ones.
 """
 
 from __future__ import annotations
@@ -39,9 +41,22 @@ def _buckets(token: Column) -> Column:
     return token.bitwiseAND((1 << BUCKET_BITS) - 1)
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(text_or_empty(text_col))
+
+
+def _copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text_hash, n): how many rows agree in id and text."""
+    return df.groupBy(F.col(id_col).alias("doc"), _text_hash(text_col).alias("text_hash")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _numbers(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line_no, line) of every line that isn't blank."""
-    split = df.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"))
+    """(doc, text_hash, line_no, line) of every line that isn't blank."""
+    split = df.select(F.col(id_col).alias("doc"), _text_hash(text_col).alias("text_hash"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"))
     return split.where(F.col("line").rlike("[^ \\t\\r\\f\\x0B]"))
 
 
@@ -86,23 +101,23 @@ def _least(size: Column, percent: int) -> Column:
 
 
 def entries(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """One row per line: doc, line_no, set name (sid, sid2), size and prefix tokens in order of rarity."""
+    """One row per line: doc, text_hash, line_no, set name (sid, sid2), size and prefix tokens in order of rarity."""
     tokens = with_tokens(lines_of(df, id_col, text_col), n)
     ranks = bucket_ranks(tokens)
-    ordered = tokens.select("doc", "line_no", by_rarity(ranks).alias("tokens"))
+    ordered = tokens.select("doc", "text_hash", "line_no", by_rarity(ranks).alias("tokens"))
     size = F.size("tokens")
-    return ordered.select("doc", "line_no", F.xxhash64("tokens").alias("sid"), F.xxhash64(F.lit(7), "tokens").alias("sid2"), size.alias("size"),
+    return ordered.select("doc", "text_hash", "line_no", F.xxhash64("tokens").alias("sid"), F.xxhash64(F.lit(7), "tokens").alias("sid2"), size.alias("size"),
                           F.slice("tokens", F.lit(1), size - _least(size, percent) + 1).alias("prefix"))
 
 
 def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per line that isn't blank: doc, line_no, ``first`` (the earliest similar or equal line) and ``removed``."""
+    """One row per line that isn't blank: doc, text_hash, copy, line_no, ``first`` (the earliest similar or equal line, always of copy 0) and ``removed``."""
     if not 1 <= percent <= 100 or n < 1:
         raise ValueError(f"percent must be from 1 to 100 and n positive: {percent}, {n}")
     prepare(df.sparkSession)
     with written(entries(df, id_col, text_col, n, percent), "line-sets") as table:
-        lines = cut(table.select("doc", "line_no", "sid", "sid2"))
-        sets = table.groupBy("sid", "sid2").agg(F.min(F.struct("doc", "line_no")).alias("at"), F.first("size").alias("size"),
+        lines = cut(table.select("doc", "text_hash", "line_no", "sid", "sid2"))
+        sets = table.groupBy("sid", "sid2").agg(F.min(F.struct("doc", "text_hash", "line_no")).alias("at"), F.first("size").alias("size"),
                                                 F.first("prefix").alias("prefix"))
         sets = cut(sets)
     firsts = sets.select("sid", "sid2", "at")
@@ -110,9 +125,15 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     similar = _verified(df, firsts, pairs, id_col, text_col, n, percent)
     earlier = similar.groupBy("sid", "sid2").agg(F.min("earlier").alias("earlier"))
     decided = firsts.join(earlier, ["sid", "sid2"], "left").select("sid", "sid2", F.coalesce(F.least("earlier", "at"), "at").alias("first"))
-    found = lines.join(decided, ["sid", "sid2"])
-    same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("line_no") == F.col("first.line_no"))
-    return found.select("doc", "line_no", "first", (~same).alias("removed"))
+    # rows that agree in id and text have the same lines, which are kept once here and numbered again
+    repeated = broadcast_if_small(_copies(df, id_col, text_col).where("n > 1").select(F.col("doc").alias("_d"), F.col("text_hash").alias("_h"), "n"), limit=FEW_VALUES)
+    counted = lines.join(repeated, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left").drop("_d", "_h")
+    once = counted.where("n IS NOT NULL").dropDuplicates(["doc", "text_hash", "line_no"]).withColumn("copy", _numbers("n"))
+    rows = counted.where("n IS NULL").withColumn("copy", F.lit(0).cast("long")).unionByName(once)
+    found = rows.join(decided, ["sid", "sid2"])
+    place = F.struct("doc", "text_hash", "line_no")
+    same = place.eqNullSafe(F.col("first")) & (F.col("copy") == 0)
+    return found.select("doc", "text_hash", "copy", "line_no", "first", (~same).alias("removed"))
 
 
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
@@ -137,10 +158,12 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
 def _verified(df, firsts, pairs, id_col, text_col, n, percent) -> DataFrame:
     """(sid, sid2, earlier) for sets with a similar one whose first line comes earlier."""
     wanted = pairs.select(F.col("a_sid").alias("sid")).unionByName(pairs.select(F.col("b_sid").alias("sid"))).distinct()
-    places = firsts.join(wanted, "sid").select("sid", "sid2", "at", F.col("at.doc").alias("_d"), F.col("at.line_no").alias("_l"))
+    places = firsts.join(wanted, "sid").select("sid", "sid2", "at", F.col("at.doc").alias("_d"), F.col("at.text_hash").alias("_h"),
+                                                 F.col("at.line_no").alias("_l"))
     places = broadcast_if_small(places, limit=FEW_VALUES)  # names and places, no texts; beyond the limit both sides are shuffled
     texts = lines_of(df, id_col, text_col)
-    kept = texts.join(places, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l"))).select("sid", "sid2", "at", "line")
+    there = F.col("doc").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("line_no") == F.col("_l"))
+    kept = texts.join(places, there).select("sid", "sid2", "at", "line")
     full = with_tokens(kept, n).select("sid", "sid2", "at", F.array_distinct("tokens").alias("tokens")).dropDuplicates(["sid", "sid2"])
     side = lambda p: full.select(*[F.col(c).alias(f"{p}_{c}") for c in ("sid", "sid2", "at", "tokens")])
     both = pairs.join(side("a"), "a_sid").join(side("b"), "b_sid")
@@ -153,17 +176,25 @@ def _verified(df, firsts, pairs, id_col, text_col, n, percent) -> DataFrame:
 
 
 def per_document(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per id: lines that aren't blank and how many of them go."""
-    counts = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("removed").cast("long")).alias("n_removed"))
-    ids = df.select(F.col(id_col).alias("_id")).distinct()
-    return ids.join(counts, F.col("_id").eqNullSafe(F.col("doc")), "left").select(
-        F.col("_id").alias(id_col), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
+    """One row per row of ``df``: its id, lines that aren't blank and how many of them go."""
+    counts = found.groupBy(F.col("doc").alias("_d"), F.col("text_hash").alias("_h"), F.col("copy").alias("_c")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("removed").cast("long")).alias("n_removed"))
+    rows = _copies(df, id_col, text_col).withColumn("copy", _numbers("n"))
+    same = F.col("doc").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("copy") == F.col("_c"))
+    return rows.join(counts, same, "left").select(
+        F.col("doc").alias(id_col), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
 
 
 def without_removed(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the removed lines taken out of its texts (null stays null)."""
-    gone = found.where("removed").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = df.join(gone, F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+    # all copies after number 0 lose the same lines, so number 1 stands for them
+    gone = found.where("removed AND copy <= 1").groupBy(F.col("doc").alias("_d"), F.col("text_hash").alias("_h"), (F.col("copy") == 0).alias("_f")).agg(
+        F.collect_set("line_no").alias("_gone"))
+    rows = cut(df.withColumns({"_row": F.monotonically_increasing_id(), "_hash": _text_hash(text_col)}))
+    firsts = rows.groupBy(F.col(id_col).alias("_doc"), F.col("_hash").alias("_hash2")).agg(F.min("_row").alias("_first"))
+    marked = rows.join(firsts.select("_first"), F.col("_row") == F.col("_first"), "left").withColumn("_is_first", F.col("_first").isNotNull())
+    same = F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")) & (F.col("_is_first") == F.col("_f"))
+    joined = marked.join(gone, same, "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn(text_col, text).select(*df.columns)

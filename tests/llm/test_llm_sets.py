@@ -128,6 +128,39 @@ def test_line_dedup(spark):
     assert line_dedup.matches(table(spark, [])).count() == 0
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    lines = near_copies(11, 8, 6, 30, 4) + ["  ", "short line"]
+    rng = random.Random(12)
+    ids = [None] * 14 + [3] * 6 + list(range(5, 12))
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 5)))) for i in ids]
+    rows += [rows[0]] * 3 + [rows[15]] * 2 + [(20, rows[0][1]), (None, None), (None, ""), (3, None)]
+    hashes = {r["text"]: r["h"] for r in table(spark, rows).select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    copies, seen, removed = collections.Counter(), [], {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])):
+        key = (d, hashes[t], copies[d, hashes[t]])
+        copies[key[:2]] += 1
+        removed[key] = []
+        for k, line in enumerate((t or "").split("\n")):
+            s = grams(line.lower(), 5)
+            if s:
+                removed[key].append((k, any(100 * len(s & o) >= 80 * len(s | o) for o in seen)))
+                seen.append(s)
+    want = {(*key, k, gone) for key, marks in removed.items() for k, gone in marks}
+    texts = {h: t for t, h in hashes.items() if t is not None}
+    for parts in (2, 9):
+        df = table(spark, rows, parts)
+        found = line_dedup.matches(df)
+        got = [(r["doc"], r["text_hash"], r["copy"], r["line_no"], r["removed"]) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want)
+        per = collections.Counter((r["doc_id"], r["n_lines"], r["n_removed"]) for r in line_dedup.per_document(df, found).collect())
+        assert per == collections.Counter((d, len(marks), sum(g for _, g in marks)) for (d, _, _), marks in removed.items())
+        cleaned = collections.Counter((r["doc_id"], r["text"] or "") for r in line_dedup.without_removed(df, found).collect())
+        assert cleaned == collections.Counter((d, "\n".join(x for k, x in enumerate(texts[h].split("\n")) if (k, True) not in marks))
+                                              for (d, h, _), marks in removed.items())
+
+
 def test_sharding_law_and_mixture(spark):
     rng = random.Random(3)
     sources = ["hot"] * 400 + [f"s{i % 7}" for i in range(300)] + [None] * 50
