@@ -10,6 +10,9 @@
 3. Labels: micro-cluster -> cluster is a table of the summary's size joined back
    to the rows on the micro-cluster id; clusters are renumbered by their
    smallest member id.
+
+``ward_rows`` clusters the rows themselves: reciprocal nearest clusters merge in
+checkpointed Spark rounds on ``(n, mean)``, which is all that Ward's distance needs.
 """
 
 from __future__ import annotations
@@ -19,9 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featurelens.operators import blocks
 from featurelens.operators import cluster as km
+from featurelens.operators.density import connected_components
 
 LINKAGES = ("ward", "average", "complete", "single")
+ONE_TASK = 1000  # clusters whose remaining merges are made in one task, with the same result
 
 
 def _initial(centroids: np.ndarray, sizes: np.ndarray, linkage: str) -> np.ndarray:
@@ -148,3 +154,84 @@ def cut_by_heights(n: int, merges, k: int) -> np.ndarray:
         a, b, _h = merges[i]
         parent[find(leaf(a))] = find(leaf(b))
     return np.array([find(i) for i in range(n)])
+
+
+def _nearest(now: DataFrame, m: int, block_rows: int) -> DataFrame:
+    """(_c, near): the pair (squared height, smaller id, larger id) of every cluster with its nearest one."""
+    cells, nb = blocks.with_cells(now, "_c", m, block_rows)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y, n, k = blocks.stack(a["_x"]), blocks.stack(b["_x"]), a["_n"].to_numpy(float), b["_n"].to_numpy(float)
+        ia, ib, rows = a["_c"].to_numpy(), b["_c"].to_numpy(), []
+        for s in range(0, len(a), 128):
+            e = slice(s, s + 128)
+            d2 = ((x[e, None, :] - y[None, :, :]) ** 2).sum(axis=2) * (2.0 * n[e, None] * k[None, :] / (n[e, None] + k[None, :]))
+            d2[ia[e, None] == ib[None, :]] = np.inf
+            low = d2.min(axis=1)
+            # of equal distances the pair with the smallest ids, so that some pair is always reciprocal
+            other = np.where(d2 == low[:, None], ib[None, :], np.iinfo(np.int64).max).min(axis=1)
+            rows.append(pd.DataFrame({"_c": ia[e], "d2": low, "lo": np.minimum(ia[e], other), "hi": np.maximum(ia[e], other)}))
+        out = pd.concat(rows)
+        return out[np.isfinite(out["d2"])]
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = blocks.split_cell(pdf, nb)
+        if same:
+            return best(left, left)
+        none = pd.DataFrame({"_c": np.zeros(0, np.int64), "d2": np.zeros(0), "lo": np.zeros(0, np.int64), "hi": np.zeros(0, np.int64)})
+        return pd.concat([best(left, right), best(right, left)]) if len(left) and len(right) else none
+
+    found = cells.groupBy("_cell").applyInPandas(cell, "_c long, d2 double, lo long, hi long")
+    return found.groupBy("_c").agg(F.min(F.struct("d2", "lo", "hi")).alias("near"))
+
+
+def ward_rows(df: DataFrame, id_col: str, cols, k: int = 6, block_rows: int = blocks.DEFAULT_BLOCK_ROWS, one_task: int = ONE_TASK) -> DataFrame:
+    """(id, cluster) for ``k`` Ward clusters of the rows themselves.
+
+    Equal rows are one point with their count (they merge at height 0). Each
+    round finds every cluster's nearest one in blocks and merges the reciprocal
+    pairs; Ward's linkage is reducible, so these are merges of the greedy tree.
+    The last ``one_task`` clusters are merged in one task by the same distances.
+    The k - 1 highest merges are left out. Comparing all clusters is quadratic
+    in the number of distinct points, with bounded tasks. Ids must be unique;
+    rows with nulls are left out.
+    """
+    if k is None or k < 1:
+        raise ValueError("k must be a positive number of clusters")
+    cols = list(cols)
+    pts = df.select(F.col(id_col).cast("long").alias("_id"), F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols]).alias("_x")).where(
+        F.col("_id").isNotNull() & ~F.exists("_x", lambda v: v.isNull() | F.isnan(v))).checkpoint()
+    points = pts.groupBy("_x").agg(F.min("_id").alias("_c"), F.count(F.lit(1)).alias("_n")).checkpoint()
+    now, merges, level = points.select("_c", "_n", "_x"), None, 0
+    while (m := now.count()) > max(one_task, 1):
+        near = _nearest(now, m, block_rows)
+        pairs = near.groupBy("near").count().where("count = 2").select("near.*").withColumn("level", F.lit(level)).checkpoint()
+        moved = now.join(pairs.select(F.col("hi").alias("_c"), "lo"), "_c", "left").withColumn("_to", F.coalesce("lo", "_c"))
+        # a merged cluster has two rows: the smaller id's stays first, so that sums don't depend on partitions
+        both = moved.groupBy("_to").agg(F.sort_array(F.collect_list(F.struct("_c", "_n", "_x"))).alias("_p"))
+        first, last = F.col("_p")[0], F.element_at("_p", -1)
+        n = first["_n"] + last["_n"]
+        mean = F.zip_with(first["_x"], last["_x"], lambda a, b: (first["_n"] * a + last["_n"] * b) / n)
+        merged = F.size("_p") == 2
+        now = both.select(F.col("_to").alias("_c"), F.when(merged, n).otherwise(first["_n"]).alias("_n"),
+                          F.when(merged, mean).otherwise(first["_x"]).alias("_x")).checkpoint()
+        merges = pairs if merges is None else merges.unionByName(pairs)
+        level += 1
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_c", kind="stable")
+        ids, rows = list(pdf["_c"]), []
+        for i, (a, b, h) in enumerate(merge_tree(blocks.stack(pdf["_x"]), pdf["_n"].to_numpy(float), "ward")):
+            lo, hi = sorted((ids[a], ids[b]))
+            ids.append(lo)
+            rows.append((h * h, lo, hi, level + i))
+        return pd.DataFrame(rows, columns=["d2", "lo", "hi", "level"])
+
+    rest = now.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda key, pdf: finish(pdf), "d2 double, lo long, hi long, level int")
+    merges = (rest if merges is None else merges.unionByName(rest)).checkpoint()
+    cut_off = merges.orderBy(F.desc("d2"), F.desc("level"), "lo", "hi").limit(k - 1)  # the parameter's size
+    kept = merges.join(F.broadcast(cut_off.select("lo", "hi")), ["lo", "hi"], "left_anti") if k > 1 else merges
+    groups = connected_components(kept, "lo", "hi")
+    named = points.join(groups, F.col("_c") == F.col("_id"), "left").select("_x", F.coalesce("comp", "_c").alias("cluster"))
+    labels = pts.join(named, "_x").select("_id", "cluster").checkpoint()
+    return km.relabel_by_first(labels, "_id", "cluster").withColumnRenamed("_id", id_col)

@@ -11,7 +11,7 @@ from featurelens.functions.columns import rnd
 from featurelens.operators import cluster, features as feat
 from featurelens.operators.density import dbscan
 from featurelens.operators.forest import isolation_forest
-from featurelens.operators.hierarchy import agglomerative
+from featurelens.operators.hierarchy import ward_rows
 from featurelens.plans.catalogue import query
 from featurelens.sources.tables import ITEM_FEATURES, load, order_items
 
@@ -90,14 +90,13 @@ def q_dbscan_summary(spark, d):
 
 
 AGG_K = 6
-AGG_MICRO = 60
 
 
 @query("agglomerative")
 def q_agglomerative(spark, d):
-    """Ward clusters of the parts, merged from AGG_MICRO micro-clusters of all of them."""
+    """Ward clusters of all parts, merged from the rows themselves."""
     scaled, _ = feat.standardise(load(spark, d, "part"), ["p_size", "p_retailprice"], keep=["p_partkey"])
-    return agglomerative(scaled, "p_partkey", ["p_size", "p_retailprice"], AGG_K, "ward", micro_clusters=AGG_MICRO)
+    return ward_rows(scaled, "p_partkey", ["p_size", "p_retailprice"], AGG_K)
 
 
 UMAP_NEIGHBORS = 15

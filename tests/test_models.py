@@ -154,6 +154,22 @@ def test_agglomerative_from_few_micro_clusters(spark):
     assert (got == truth).all()                              # 40 k-means micro-clusters, then ward merges
 
 
+def test_ward_of_rows_equals_greedy_merging(spark):
+    from featurelens.operators.hierarchy import cut_by_heights, ward_rows
+
+    rng = np.random.default_rng(14)
+    x = np.vstack([rng.normal(size=(150, 2)), rng.uniform(-9, 9, size=(40, 2))])
+    x = np.vstack([x, x[:5], x[:1]])                         # equal rows
+    want = cut_by_heights(len(x), merge_tree(x, np.ones(len(x)), "ward"), 70)
+    first = {r: i for i, r in reversed(list(enumerate(want)))}
+    order = {r: i for i, r in enumerate(sorted(first, key=first.get))}
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "a": x[:, 0], "b": x[:, 1]}))
+    for parts, one_task in ((3, 30), (5, 1000)):
+        got = ward_rows(df.repartition(parts), "id", ["a", "b"], k=70, block_rows=64, one_task=one_task)
+        got = got.toPandas().sort_values("id")["cluster"].to_numpy()
+        assert (got == [order[r] for r in want]).all()       # 70 clusters, more than any fixed 60 centres
+
+
 def test_kmeans_is_identical_under_repartitioning(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(300, 2))
