@@ -111,7 +111,8 @@ class Bands:
     def __init__(self, percent: int, top: int):
         self.percent = percent
         edges = [1]
-        ratio = 1.5 if percent >= 90 else 1.25  # wide bands have fewer visitors, narrow ones larger parts
+        # wide bands have fewer visitors, narrow ones larger parts; linkable sizes are at most one band apart
+        ratio = 1.5 if percent >= 90 else max(1.25, 100 / percent)
         while edges[-1] <= top * 2:
             edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * ratio)))
         self.edges = np.array(edges, np.int64)

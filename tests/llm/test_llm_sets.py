@@ -107,6 +107,21 @@ def test_linked_sets_share_a_key():
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [50, 60, 75, 79, 80, 90])
+def test_subsets_of_the_least_size_share_a_key(percent):
+    import numpy as np
+
+    rng = random.Random(percent)
+    bands = ngram_join.Bands(percent, 1 << 10)
+    light = np.zeros(1 << 18, bool)
+    for size in [*range(2, 130), 300, 700]:
+        a = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], np.uint64))
+        b = np.sort(np.array(rng.sample(a.tolist(), -(-size * percent // 100)), np.uint64))
+        if len(b) < len(a):
+            keys, owner = bands.keys(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), light)
+            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()), (size, len(b))
+
+
 def test_line_dedup(spark):
     lines = near_copies(9, 10, 6, 30, 4) + ["short line", "Short  LINE", "a b c d e", "   "]
     rng = random.Random(8)
