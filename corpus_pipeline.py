@@ -15,15 +15,12 @@ from featurelens.llm.catalogue import ranks_path
 from featurelens.llm.staging import prepare
 from featurelens.session import shared_dir
 
-#: A document whose main language holds a smaller share of its letters goes, as does one without letters.
-LEAST_LANGUAGE_SHARE = 0.35
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told; one of several languages has a main one, whatever its share."""
     model = language.train(docs)
     found = language.identify(docs.withColumnsRenamed({"lang_pred": "_in_lang_pred", "score": "_in_score"}), model)
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE))
+    kept = found.where(F.col("lang_pred") != language.UNKNOWN)
     return kept.drop("lang_pred", "score").withColumnsRenamed({"_in_lang_pred": "lang_pred", "_in_score": "score"}).select(*docs.columns)
 
 

@@ -275,3 +275,16 @@ def test_sql_twins(spark):
         order = sorted(want.columns)
         got = QUERIES[name](spark, "/root/testdata/sf0.001").select(*order).collect()
         assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, con.sql(sql).project(", ".join(order)).fetchall())), name
+
+
+def test_pipeline_keeps_documents_of_several_languages(spark):
+    import corpus_pipeline
+
+    words = {"aa": "kato peki tiko", "bb": "mul nurz grub", "cc": "shey wyth flyx", "dd": "oua eio uai"}
+    rng = random.Random(7)
+    say = lambda lang, n: " ".join(rng.choice(words[lang].split()) for _ in range(n))
+    rows = [(i, say(lang, 12), lang) for i, lang in enumerate(sorted(words) * 10)]
+    rows += [(100 + i, " ".join(say(lang, 8) for lang in sorted(words)), "aa") for i in range(5)] + [(200, "12 34", "aa"), (201, None, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert got == {i for i, t, _ in rows if re.search(r"[^\W\d_]", t or "")}
