@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelens.llm import bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, ngram_join, sharding, token_counts, toxicity
+from featurelens.llm import bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, merkle, ngram_join, sharding, simhash, token_counts, toxicity, whitening
 
 SHARDS = 8
 
@@ -84,6 +84,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(documents(spark, sf_dir).select("doc_id", "text"), n=3, percent=90)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.verified(documents(spark, sf_dir), tampered)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,11 +114,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_ngram_join": op10_ngram_join,
+    "op11_whitening": op11_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_simhash": op13_simhash,
     "pipeline": pipeline,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_LOWER_OR_NULL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(*fields: str) -> str:
+    parts = [f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}::VARCHAR)::VARCHAR || ':' || {f}::VARCHAR END" for f in fields]
+    return f"sha256({' || '.join(parts)})"
+
+
 SQL: dict[str, str] = {
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
@@ -154,4 +178,38 @@ SQL: dict[str, str] = {
              r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
         SELECT g.doc_id, len(s)::BIGINT AS n_shingles, c.component_id FROM g
         JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE table256 AS (
+                 SELECT list(c ORDER BY i) AS t FROM (
+                     SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k:
+                         CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c
+                     FROM (SELECT unnest(range(256)) AS i))),
+             d AS (SELECT doc_id, lang, text, {_leaf("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+                          {_leaf("doc_id", "source", "lang", "n_chars", _LOWER_OR_NULL)} AS lowered,
+                          xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                              lambda a, v: xor(a // 256, t[xor(a % 256, v) + 1]))) % 3 = 0 AS tampered
+                   FROM documents, table256),
+             lone AS (SELECT coalesce('=' || lang, '') AS g, doc_id, CASE WHEN tampered THEN lowered ELSE leaf END AS claimed, 0 AS level,
+                             row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, leaf AS h FROM d),
+             low AS (SELECT g, level, i, n, h FROM lone UNION ALL
+                     SELECT g, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY g, level, i // 8, n),
+             subroots AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+             high AS (SELECT 0 AS level, i, n, subroot AS h FROM subroots UNION ALL
+                      SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 8, n),
+             nodes AS (SELECT g, level, i, n, h FROM low WHERE n > 1 UNION ALL
+                       SELECT '', 1000 + level, i, n, h FROM high WHERE n > 1),
+             steps AS (SELECT a.g, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l,
+                              coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r
+                       FROM nodes a JOIN nodes b ON a.g = b.g AND a.level = b.level AND a.i // 8 = b.i // 8 GROUP BY a.g, a.level, a.i),
+             places AS (SELECT o.doc_id, o.g, s.level, s.l, s.r FROM lone o JOIN steps s ON s.level < 1000 AND s.g = o.g AND s.i = o.i // (8 ** s.level)::BIGINT
+                        UNION ALL
+                        SELECT o.doc_id, o.g, s.level, s.l, s.r FROM lone o JOIN subroots u ON u.g = o.g
+                        JOIN steps s ON s.level >= 1000 AND s.i = u.i // (8 ** (s.level - 1000))::BIGINT),
+             lists AS (SELECT doc_id, list(l ORDER BY level) AS ls, list(r ORDER BY level) AS rs, string_agg(l || r, '' ORDER BY level) AS all_of FROM places GROUP BY doc_id),
+             folded AS (SELECT o.doc_id, o.g, o.h AS leaf, coalesce(all_of, '') AS all_of,
+                               list_reduce(list_prepend(o.claimed, coalesce(list_transform(range(1, len(ls) + 1), lambda k: ls[k] || '|' || rs[k]), [])),
+                                   lambda acc, step: sha256(split_part(step, '|', 1) || acc || split_part(step, '|', 2))) AS folded_root
+                        FROM lone o LEFT JOIN lists USING (doc_id))
+        SELECT f.doc_id, f.leaf, u.subroot, h.h AS root, sha256(f.all_of) AS proof_sha256, f.folded_root, f.folded_root = h.h AS verified
+        FROM folded f JOIN subroots u USING (g), high h WHERE h.n = 1""",
 }
