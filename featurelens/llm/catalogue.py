@@ -30,10 +30,7 @@ def pieces_path() -> str:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    models = lm_score.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1"))
-    found = lm_score.score(docs, models).drop("text")
-    lm_score.release(models)
-    return found
+    return lm_score.cross_entropy(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")).drop("text")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

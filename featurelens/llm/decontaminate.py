@@ -12,8 +12,8 @@ meet the bound are kept, and the item is aligned to the text within the band
 
 Items are read in blocks of about ``block_chars`` characters, each sent to the
 tasks (that is the bound of what is broadcast), whatever the size of the
-benchmark; documents are scanned once a block and never shuffled. Very
-frequent q-grams only make a slice be split further.
+benchmark; documents are scanned once a block and never shuffled. Hits of very
+frequent q-grams are laid out ``MATCH_HITS`` at a time and added up by band.
 
 Defined results: null and empty texts and items match nothing; items shorter
 than q match where they occur unchanged. Places of one item that overlap are
@@ -35,7 +35,8 @@ from featurelens.llm.bpe import WHITE_SPACE
 from featurelens.llm.columns import code_points, lower_table, mix, ranges_index, slices
 from featurelens.llm.staging import prepare
 
-MATCH_HITS = 4_000_000
+MATCH_HITS = 1_000_000
+ALIGN_BANDS = 2_048
 FILTER_BITS = 22
 _SEED = np.uint64(0xD1342543DE82EF95)
 
@@ -152,7 +153,7 @@ def find(points: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, in
         inside = spot + length <= at[row + 1]
         spot, code, row = spot[inside], code[inside], row[inside]
         counts = first[code + 1] - first[code]
-        # rows in groups of a bounded number of hits; a row beyond that goes by parts of the items
+        # rows in groups of a bounded number of hits; a row beyond that counts run after run of its places
         total = np.concatenate([[0], np.cumsum(counts)])
         cuts = np.searchsorted(row, np.arange(len(at)))
         a = 0
@@ -160,32 +161,31 @@ def find(points: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, in
             b = a + 1
             while b < len(at) - 1 and total[cuts[b + 1]] - total[cuts[a]] <= MATCH_HITS:
                 b += 1
-            s = slice(cuts[a], cuts[b])
-            hits = int(total[cuts[b]] - total[cuts[a]])
-            if hits:
-                parts = -(-hits // MATCH_HITS)
-                for p in range(parts):
-                    out += _bands(points, at, items, spot[s], row[s], code[s], counts[s], first, owner, place, p, parts)
+            if total[cuts[b]] > total[cuts[a]]:
+                out += _bands(points, at, items, *(x[cuts[a]:cuts[b]] for x in (spot, row, code, counts)), first, owner, place)
             a = b
     return out
 
 
-def _bands(points, at, items, spot, row, code, counts, first, owner, place, part, parts) -> list[tuple[int, int, int, int, int]]:
-    """Count hits of one part of the items in bands of diagonals and align those that meet the bound."""
-    index = ranges_index(first[code], counts)
-    item = owner[index]
-    diagonal = np.repeat(spot - at[row], counts) - place[index]
-    row = np.repeat(row, counts)
-    if parts > 1:
-        mine = item % parts == part
-        item, diagonal, row = item[mine], diagonal[mine], row[mine]
-    if not len(item):
-        return []
+def _bands(points, at, items, spot, row, code, counts, first, owner, place) -> list[tuple[int, int, int, int, int]]:
+    """Count hits in bands of diagonals and align those that meet the bound; hits are laid out for a run of places at a time."""
     width = 2 * items.k + 1
-    band = np.floor_divide(diagonal, width[item])
-    low = int(band.min()) - 1
-    span = int(band.max()) - low + 2
-    keys, n = np.unique((item * (len(at) - 1) + row) * span + (band - low), return_counts=True)
+    low = -int(items.m.max()) - 1
+    span = int(np.diff(at).max()) - 2 * low
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.cumsum(counts)
+    turns = -(-int(total[-1]) // MATCH_HITS)
+    cuts = np.r_[np.searchsorted(total, np.arange(1, turns) * MATCH_HITS) + 1, len(total)]
+    for a, b in zip(np.r_[0, cuts[:-1]], cuts):
+        c, times = code[a:b], counts[a:b]
+        index = ranges_index(first[c], times)
+        item = owner[index]
+        band = np.floor_divide(np.repeat(spot[a:b] - at[row[a:b]], times) - place[index], width[item])
+        found, more = np.unique((item * (len(at) - 1) + np.repeat(row[a:b], times)) * span + (band - low), return_counts=True)
+        if len(keys):
+            found, which = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            more = np.bincount(which, weights=np.concatenate([n, more])).astype(np.int64)
+        keys, n = found, more
     # a band of two widths begins at every width: its halves are neighbouring entries
     after = np.searchsorted(keys, keys + 1)
     after[after == len(keys)] = 0
@@ -205,29 +205,36 @@ def _bands(points, at, items, spot, row, code, counts, first, owner, place, part
 
 def _align(points, a, b, rows, item, k, first, number) -> list[tuple[int, int, int, int, int]]:
     """Align the item to each row's text [a, b) along the diagonals of the band that begins at ``first``."""
+    found = np.concatenate([_places(points, a[s], b[s], rows[s], item, k, first[s]) for s in (slice(i, i + ALIGN_BANDS) for i in range(0, len(first), ALIGN_BANDS))])
+    kept: list[tuple[int, int, int, int]] = []
+    for place in np.unique(found, axis=0):  # in order of row, start, end and edits
+        r, s, e, x = place.tolist()
+        if kept and kept[-1][0] == r and s < kept[-1][2]:  # overlapping places are one: the better stays
+            if x < kept[-1][3]:
+                kept[-1] = (r, s, e, x)
+        else:
+            kept.append((r, s, e, x))
+    return [(r, number, s, e, x) for r, s, e, x in kept]
+
+
+def _places(points, a, b, rows, item, k, first) -> np.ndarray:
+    """(row, start, end, edits) of the places in some bands."""
     m, width = len(item), 2 * k + 1
     diagonals = np.arange(-k, 2 * width + k)
     start = first[:, None] + diagonals  # where in the text the item begins on each diagonal
     # an unchanged occurrence needs no alignment
-    found, open_ = [], np.ones(len(first), bool)
+    found, open_ = [np.zeros((0, 4), np.int64)], np.ones(len(first), bool)
     for i in range(len(first)):
         at = start[i][(start[i] >= a[i]) & (start[i] + m <= b[i])]
         at = at[points[at] == item[0]]
         same = at[(points[at[:, None] + np.arange(m)] == item).all(axis=1)]
         if len(same):
             open_[i] = False
-            found += [(int(rows[i]), int(p), int(p) + m, 0) for p in same]
+            found.append(np.stack([np.full(len(same), rows[i]), same, same + m, np.zeros(len(same), np.int64)], axis=1))
     first, start, rows, a, b = first[open_], start[open_], rows[open_], a[open_], b[open_]
     if len(first):
-        found += _edited(points, a, b, rows, item, k, start, len(diagonals))
-    kept: list[tuple[int, int, int, int]] = []
-    for r, s, e, x in sorted(found):
-        if kept and kept[-1][0] == r and s < kept[-1][2]:  # overlapping places are one: the better stays
-            if x < kept[-1][3]:
-                kept[-1] = (r, s, e, x)
-        else:
-            kept.append((r, s, e, x))
-    return [(r, number, s, e, x) for r, s, e, x in kept]
+        found.append(np.array(_edited(points, a, b, rows, item, k, start, len(diagonals)), np.int64).reshape(-1, 4))
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def _edited(points, a, b, rows, item, k, start, width) -> list[tuple[int, int, int, int]]:

@@ -27,9 +27,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelens.llm.staging import cut, text_or_empty
+from featurelens.llm.staging import cut, fresh, text_or_empty
+from featurelens.operators.sizes import broadcast_if_small
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+FEW_VALUES = 4_000_000
 _ENTRY = ("digest", "n_bytes", "check")
 
 
@@ -87,12 +89,25 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fan_in: int = 8) -> DataFrame:
     """The rows of ``df`` that stay, with their columns.
 
-    Rows that agree in id and text are first reduced to one of them; then each
-    (id, digest) that stays finds its row by a join on that unique pair.
+    Rows are told by id and a 64-bit hash of the text as it is. Those that go are
+    taken out by an anti-join, with a broadcast if a count shows that they are few;
+    texts aren't shuffled then. Of rows that agree in id and text, which stay or go
+    together, one is kept (any, if other columns differ); only such rows are reduced.
     """
-    marked = classes(df, id_col, text_col, keep, fan_in).where("kept").select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_i"), F.col(id_col).isNull().alias("_n"),
-        F.unhex("text_sha256").alias("_d"))
-    keyed = df.withColumns({"_i": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_n": F.col(id_col).isNull(),
-                            "_d": F.unhex(F.sha2(normalised(text_col).cast("binary"), 256))})
-    return keyed.dropDuplicates(["_i", "_n", "_d"]).join(marked, ["_i", "_n", "_d"], "left_semi").select(*df.columns)
+    (raw,) = fresh(df, "_raw")
+    named = df.select(id_col, text_col, F.xxhash64(text_or_empty(text_col)).alias(raw))
+    rows = cut(digest_rows(named, id_col, text_col, extra=[raw]))
+    found = rows.join(merge_tree(rows, keep, fan_in), ["_run", *_ENTRY])
+    pairs = cut(found.groupBy("_id", raw).agg(F.max(F.col("_row") == F.col("best._row")).alias("_kept"), F.count(F.lit(1)).alias("_rows")))
+    name, there = fresh(df, "_gone_id", "_gone_raw")
+
+    def among(which: DataFrame, how: str) -> DataFrame:
+        known = broadcast_if_small(which.select(F.col("_id").alias(name), F.col(raw).alias(there)), limit=FEW_VALUES)
+        return df.join(known, (F.xxhash64(text_or_empty(text_col)) == F.col(there)) & F.col(id_col).eqNullSafe(F.col(name)), how)
+
+    again = pairs.where("_kept AND _rows > 1")
+    if again.isEmpty():
+        return among(pairs.where("NOT _kept"), "left_anti")
+    columns = F.struct(*[F.col(c) for c in df.columns])
+    one = among(again, "left_semi").groupBy(F.col(id_col).alias(name), F.xxhash64(text_or_empty(text_col)).alias(there)).agg(F.first(columns).alias(raw))
+    return among(pairs.where("NOT _kept OR _rows > 1"), "left_anti").unionByName(one.select(f"{raw}.*"))

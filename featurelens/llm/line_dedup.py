@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurelens.llm.staging import cut, prepare, text_or_empty, written
+from featurelens.llm.staging import cut, fresh, prepare, text_or_empty, written
 from featurelens.operators.sizes import broadcast_if_small
 
 BUCKET_BITS = 16
@@ -67,9 +67,11 @@ def with_tokens(lines: DataFrame, n: int) -> DataFrame:
     # most lines have single spaces only, for which splitting needs no pattern
     odd = F.col("_l").rlike("  |[\\t\\r\\f\\x0B]")
     words = clean.withColumn("_w", F.when(odd, F.split("_l", "[ \\t\\r\\f\\x0B]+")).otherwise(F.split("_l", " ")))
-    runs = F.when(F.size("_w") < n, F.array(F.xxhash64("_w", F.size("_w")))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.xxhash64(F.slice("_w", i, n))))
-    return words.withColumn("tokens", runs).drop("_l", "_w")
+    # a word is hashed once; a run is the hash of its words' numbers
+    hashed = words.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    runs = F.when(F.size("_h") < n, F.array(F.xxhash64("_h", F.size("_h")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size("_h") - n), lambda i: F.xxhash64(*[F.get("_h", i + j) for j in range(n)])))
+    return hashed.withColumn("tokens", runs).drop("_l", "_w", "_h")
 
 
 def bucket_ranks(lines: DataFrame) -> list[int]:
@@ -188,13 +190,16 @@ def per_document(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
 def without_removed(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the removed lines taken out of its texts (null stays null)."""
     # all copies after number 0 lose the same lines, so number 1 stands for them
-    gone = found.where("removed AND copy <= 1").groupBy(F.col("doc").alias("_d"), F.col("text_hash").alias("_h"), (F.col("copy") == 0).alias("_f")).agg(
-        F.collect_set("line_no").alias("_gone"))
-    rows = cut(df.withColumns({"_row": F.monotonically_increasing_id(), "_hash": _text_hash(text_col)}))
-    firsts = rows.groupBy(F.col(id_col).alias("_doc"), F.col("_hash").alias("_hash2")).agg(F.min("_row").alias("_first"))
-    marked = rows.join(firsts.select("_first"), F.col("_row") == F.col("_first"), "left").withColumn("_is_first", F.col("_first").isNotNull())
-    same = F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")) & (F.col("_is_first") == F.col("_f"))
+    row, name, doc, hashed, is_first, lines = fresh(df, "_row", "_hash", "_doc_of", "_hash_of", "_is_first", "_gone")
+    gone = found.where("removed AND copy <= 1").groupBy(F.col("doc").alias(doc), F.col("text_hash").alias(hashed), (F.col("copy") == 0).alias("_f")).agg(
+        F.collect_set("line_no").alias(lines))
+    rows = cut(df.withColumns({row: F.monotonically_increasing_id(), name: _text_hash(text_col)}))
+    firsts = rows.groupBy(F.col(id_col).alias(doc), F.col(name).alias(hashed)).agg(F.min(row).alias(is_first)).select(is_first)
+    marked = rows.join(firsts, F.col(row) == F.col(is_first), "left").withColumn(is_first, F.col(is_first).isNotNull())
+    (first,) = fresh(marked, "_f")
+    gone = gone.withColumnRenamed("_f", first)
+    same = F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(name) == F.col(hashed)) & (F.col(is_first) == F.col(first))
     joined = marked.join(gone, same, "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(lines, i))
+    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn(text_col, text).select(*df.columns)

@@ -26,7 +26,7 @@ words of equal count rank by hash then. It is off unless given.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,18 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelens.llm.columns import lower_ascii, mix, run_hashes, runs, slices, utf8
-from featurelens.llm.staging import cut, prepare, text_or_empty, written
+from featurelens.llm.staging import cut, fresh, prepare, text_or_empty, written
 from featurelens.operators.sizes import broadcast_if_small
 from featurelens.session import remove_path, shared_dir
 
 FLUSH_ENTRIES = 1_000_000
 BLOCK_TOKENS = 1_000_000
-PART_BYTES = 16 << 20  # text for each part of the tables
+PART_BYTES = 4 << 20  # text for each part of the tables
 FEW_VALUES = 4_000_000
 
 UNKNOWN, BOUNDARY = np.uint64(1), np.uint64(2)  # symbols beside the words' hashes
-PAIRS, WORDS, COUNTS = 0, 1, 2  # kinds of packs: names of pairs with two counts, words with counts and kinds of both models; pairs as counted
+PAIRS, WORDS, COUNTS, TOTALS = range(4)  # kinds of packs: names of pairs with two counts, words with counts and kinds of both models; pairs as counted
 KEYS, VALUES = (1, 1, 2), (2, 4, 2)
+BLOCK = ("names", "flags", "lengths", "words", "ids", "runs", "spots", "own")
 PACK = "kind int, part int, block long, keys binary, values binary"
 
 
@@ -274,6 +275,38 @@ def _distinct_pairs(words: np.ndarray, data: bytes, lengths: np.ndarray) -> tupl
     return codes // len(words), codes % len(words), which
 
 
+def _replied(part: np.ndarray, packs: list[tuple[int, bytes]], unpack: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    """Values of a block's keys, in their order, from the replies of all parts; ``part`` is that of each key."""
+    values = np.concatenate([unpack(v) for _, v in sorted(packs)])
+    out = np.empty_like(values)
+    out[np.argsort(part, kind="stable")] = values
+    return out
+
+
+def _losses(single, pairs, a, b, which, lengths, tokens, symbols, discount) -> list[np.ndarray]:
+    """Mean loss a token of every text in the background and in the target model."""
+    row, n, out = np.repeat(np.arange(len(lengths)), lengths - 1), lengths - 1, []
+    for side in (0, 1):
+        count, kinds_of = single[:, side], single[:, 2 + side]
+        unigram = (count + 1.0) / (tokens[side] + symbols)
+        rest = np.where(count > 0, discount * kinds_of / np.maximum(count, 1), 1.0)
+        seen = np.maximum(pairs[:, side] - discount, 0) / np.maximum(count[a], 1)
+        loss = -np.log(rest[a] * unigram[b] + seen)
+        out.append(np.bincount(row, weights=loss[which], minlength=len(n)) / n)
+    return out
+
+
+def _joined(df: DataFrame, found: DataFrame, name: list) -> DataFrame:
+    """The losses of named texts (_a, _b, _n, _target, _background) beside the rows of ``df``."""
+    own = {c: f for c, f in zip(found.columns, fresh(df, *found.columns))}
+    found = broadcast_if_small(found.withColumnsRenamed(own), limit=FEW_VALUES)  # names and losses, no texts; beyond the limit both sides are shuffled
+    at = {c: F.col(f) for c, f in own.items()}
+    new = {"n_tokens": F.coalesce(at["_n"], F.lit(0)), "target_loss": F.coalesce(at["_target"], F.lit(0.0)),
+           "background_loss": F.coalesce(at["_background"], F.lit(0.0)), "score": F.coalesce(at["_target"] - at["_background"], F.lit(0.0))}
+    joined = df.join(found, (name[0] == at["_a"]) & (name[1] == at["_b"]), "left")
+    return joined.select(*[c for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+
+
 def _looked_up(asked: DataFrame, models: Models) -> DataFrame:
     """The values of all asked keys, in their order; 0 where a table lacks the key."""
 
@@ -316,29 +349,17 @@ def score(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
                 yield _packs(PAIRS, block, _named(np.stack([words[a], words[b]], axis=1)), None, parts)
                 yield _packs(WORDS, block, words[:, None], None, parts)
 
-    def reply(keys: np.ndarray, packs: list[tuple[int, bytes]], kind: int) -> np.ndarray:
-        out = np.empty((len(keys), VALUES[kind]), np.int64)
-        out[np.argsort(_part(keys, parts), kind="stable")] = np.concatenate([_matrix(v, VALUES[kind], np.int64) for _, v in sorted(packs)])
-        return out
-
     def finish(key: tuple, table: pa.Table) -> pa.Table:
         kinds = np.array(table.column("kind").to_pylist())
         own = table.slice(int(np.flatnonzero(kinds < 0)[0]), 1).to_pylist()[0]
         packs = {k: [(r["part"], r["values"]) for r in table.filter(pa.array(kinds == k)).to_pylist()] for k in (PAIRS, WORDS)}
         words, lengths = np.frombuffer(own["words"], np.uint64), np.frombuffer(own["lengths"], np.int64)
         a, b, which = _distinct_pairs(words, own["ids"], lengths)
-        pairs = reply(_named(np.stack([words[a], words[b]], axis=1)), packs[PAIRS], PAIRS)
-        single = reply(words[:, None], packs[WORDS], WORDS)
-        row, n = np.repeat(np.arange(len(lengths)), lengths - 1), lengths - 1
+        pairs = _replied(_part(_named(np.stack([words[a], words[b]], axis=1)), parts), packs[PAIRS], lambda v: _matrix(v, VALUES[PAIRS], np.int64))
+        single = _replied(_part(words[:, None], parts), packs[WORDS], lambda v: _matrix(v, VALUES[WORDS], np.int64))
         names = np.frombuffer(own["names"], np.int64).reshape(-1, 2)
-        out = {"_a": pa.array(names[:, 0]), "_b": pa.array(names[:, 1]), "_n": pa.array(n)}
-        for side, column in ((1, "_target"), (0, "_background")):
-            count, kinds_of = single[:, side], single[:, 2 + side]
-            unigram = (count + 1.0) / (tokens[side] + symbols)
-            rest = np.where(count > 0, discount * kinds_of / np.maximum(count, 1), 1.0)
-            seen = np.maximum(pairs[:, side] - discount, 0) / np.maximum(count[a], 1)
-            loss = -np.log(rest[a] * unigram[b] + seen)
-            out[column] = pa.array(np.bincount(row, weights=loss[which], minlength=len(n)) / n)
+        found = _losses(single, pairs, a, b, which, lengths, tokens, symbols, discount)
+        out = {"_a": pa.array(names[:, 0]), "_b": pa.array(names[:, 1]), "_n": pa.array(lengths - 1), "_target": pa.array(found[1]), "_background": pa.array(found[0])}
         return pa.table(out)
 
     with written(_blocks(df.select(text.alias("_t"), name[0].alias("_a"), name[1].alias("_b")), models.vocabulary), "lm-blocks") as blocks:
@@ -346,8 +367,190 @@ def score(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
         whole = blocks.withColumn("kind", F.lit(-1)).unionByName(replies, allowMissingColumns=True)
         found = whole.groupBy("block").applyInArrow(finish, "_a long, _b long, _n long, _target double, _background double")
         found = cut(found.dropDuplicates(["_a", "_b"]))
-    found = broadcast_if_small(found, limit=FEW_VALUES)  # names and losses, no texts; beyond the limit both sides are shuffled
-    new = {"n_tokens": F.coalesce("_n", F.lit(0)), "target_loss": F.coalesce("_target", F.lit(0.0)),
-           "background_loss": F.coalesce("_background", F.lit(0.0)), "score": F.coalesce(F.col("_target") - F.col("_background"), F.lit(0.0))}
-    joined = df.join(found, (name[0] == F.col("_a")) & (name[1] == F.col("_b")), "left")
-    return joined.select(*[c for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    return _joined(df, found, name)
+
+
+# ---- both models of a table and the scores of that table, in one go
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs, a column after the other."""
+    size = next(n for n in (1, 2, 4, 8) if int(values.max(initial=0)) >> (8 * n) == 0)
+    return bytes([size]) + values.T.astype(f"<u{size}").tobytes()
+
+
+def _from_small(data: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).reshape(columns, -1).T.astype(np.int64)
+
+
+def _block_pairs(words: np.ndarray, ids: bytes, lengths: np.ndarray, flags: np.ndarray) -> tuple:
+    """Of a block's distinct pairs: first and second places, which one each pair is, names, and counts in background and target texts."""
+    a, b, which = _distinct_pairs(words, ids, lengths)
+    good = np.repeat(flags, lengths - 1)
+    counts = np.stack([np.bincount(which[~good], minlength=len(a)), np.bincount(which[good], minlength=len(a))], axis=1)
+    return a, b, which, _named(np.stack([words[a], words[b]], axis=1)), counts
+
+
+def _counted_blocks(texts: DataFrame, parts: int) -> DataFrame:
+    """Rows of about BLOCK_TOKENS symbols.
+
+    They hold names, kinds and lengths of texts, the distinct symbols and all symbols as
+    their places (ids); of the distinct pairs how many each symbol begins (runs) and
+    their parts (spots); and the counts of all symbols (own).
+    """
+    limit = BLOCK_TOKENS
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, flags, lengths, lines, held = [], [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            words, ids = np.unique(np.concatenate(lines), return_inverse=True)
+            size, kinds = np.concatenate(lengths), np.concatenate(flags)
+            ids = np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()  # a byte after the other
+            first, _, _, keys, counts = _block_pairs(words, ids, size, kinds)
+            own = np.stack([np.bincount(first, weights=c, minlength=len(words)) for c in counts.T], axis=1).astype(np.int64)
+            runs = np.bincount(first, minlength=len(words))
+            columns = [np.concatenate(names).tobytes(), kinds.tobytes(), size.tobytes(), words.tobytes(), ids,
+                       _small(runs[:, None]), _small(_part(keys, parts)[:, None]), _small(own)]
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=list(BLOCK))
+
+        for batch in batches:
+            for part in slices(batch, "_t"):
+                line, n = symbols_of(part.column("_t"), None)
+                name = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("_a", "_b")], axis=1)
+                names.append(name[n > 0])
+                flags.append(part.column("_y").to_numpy(zero_copy_only=False)[n > 0])
+                lengths.append(n[n > 0].astype(np.int64))
+                lines.append(line)
+                held += len(line)
+                if held > limit:
+                    yield out()
+                    names, flags, lengths, lines, held = [], [], [], [], 0
+        if held:
+            yield out()
+
+    found = texts.mapInArrow(gather, ", ".join(f"{c} binary" for c in BLOCK))
+    return found.withColumn("block", F.monotonically_increasing_id())
+
+
+def _grouped_packs(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, np.ndarray, bytes]]]:
+    """The packs of a task by part, in the order of blocks."""
+    got: dict[int, list] = {}
+    for batch in batches:
+        for part, block, keys, values in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "keys", "values"))):
+            got.setdefault(part, []).append((block, np.frombuffer(keys, np.uint64), values))
+    return {part: sorted(packs, key=lambda p: p[0]) for part, packs in got.items()}
+
+
+def cross_entropy(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75) -> DataFrame:
+    """``train`` on a table and ``score`` of the same table: equal columns and values, but each pair goes to its part once.
+
+    1. Blocks send their distinct pairs with both counts to parts by hash; a part adds
+       them up and replies with the sums. It also tells one block, for each model, that
+       the pair is its to count among the continuations of the first word.
+    2. Blocks send their words with their own counts and those continuations; parts add
+       up and reply.
+    3. A block has all that its texts' losses need.
+
+    Rows between stages are at most as many as the distinct pairs of the blocks.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    text = text_or_empty(text_col)
+    name = [F.xxhash64(text), F.xxhash64(F.lit(7), text)]
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = int(size // PART_BYTES) + 1
+    chosen = broadcast_if_small(targets.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lit(True).alias("_good")).distinct())
+    given = df.select(F.col(id_col).alias("_id"), text.alias("_t"), name[0].alias("_a"), name[1].alias("_b")).join(chosen, "_id", "left").select(
+        "_t", "_a", "_b", F.coalesce("_good", F.lit(False)).alias("_y"))
+
+    def packs(block: int, keys: np.ndarray, values: np.ndarray, kind: int) -> pa.RecordBatch:
+        part = _part(keys[:, None], parts)
+        order = np.argsort(part, kind="stable")
+        found, starts = np.unique(part[order], return_index=True)
+        return _rows([(kind, int(p), block, keys[order[a:b]].tobytes(), _small(values[order[a:b]])) for p, a, b in zip(found, starts, [*starts[1:], len(order)])])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.slice(i, 1).to_pylist()[0]
+                words, lengths, flags = (np.frombuffer(block[c], t) for c, t in (("words", np.uint64), ("lengths", np.int64), ("flags", bool)))
+                _, _, _, keys, counts = _block_pairs(words, block["ids"], lengths, flags)
+                yield packs(block["block"], keys[:, 0], counts, PAIRS)
+
+    def add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, got in _grouped_packs(batches).items():
+            keys, counts = np.concatenate([k for _, k, _ in got]), np.concatenate([_from_small(v, 2) for _, _, v in got])
+            order = np.argsort(keys, kind="stable")  # equal keys stay in the order of blocks
+            new = np.r_[True, keys[order[1:]] != keys[order[:-1]]]
+            starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+            out = np.zeros((len(keys), 3), np.int64)
+            for side in (0, 1):
+                own = counts[order, side]
+                out[order, side] = np.add.reduceat(own, starts)[group]
+                has = np.cumsum(own > 0)
+                before = (has - (own > 0))[starts][group]
+                out[order, 2] += ((own > 0) & (has - before == 1)).astype(np.int64) << side  # the first block that has it
+            at = 0
+            for block, k, _ in got:
+                yield _rows([(PAIRS, part, block, None, _small(out[at:at + len(k)]))])
+                at += len(k)
+
+    def tell_words(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["kind"] < 0)
+        words = np.frombuffer(own["words"], np.uint64)
+        sums = _replied(_from_small(own["spots"], 1)[:, 0], [(r["part"], r["values"]) for r in rows if r["kind"] == PAIRS], lambda v: _from_small(v, 3))
+        first = np.repeat(np.arange(len(words)), _from_small(own["runs"], 1)[:, 0])
+        kinds = [np.bincount(first, weights=sums[:, 2] >> side & 1, minlength=len(words)).astype(np.int64) for side in (0, 1)]
+        return pa.Table.from_batches([packs(own["block"], words, np.concatenate([_from_small(own["own"], 2), np.stack(kinds, axis=1)], axis=1), WORDS),
+                                      _rows([(PAIRS, 0, own["block"], None, _small(sums[:, :2]))])])
+
+    def add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, got in _grouped_packs(batches).items():
+            keys, counts = np.concatenate([k for _, k, _ in got]), np.concatenate([_from_small(v, 4) for _, _, v in got])
+            found, group = np.unique(keys, return_inverse=True)
+            sums = np.stack([np.bincount(group, weights=c, minlength=len(found)) for c in counts.T], axis=1).astype(np.int64)
+            at = 0
+            for block, k, _ in got:
+                yield _rows([(WORDS, part, block, None, _small(sums[group[at:at + len(k)]]))])
+                at += len(k)
+            yield _rows([(TOTALS, part, -1, None, np.array([int((found > BOUNDARY).sum()), *sums[:, :2].sum(axis=0)], np.int64).tobytes())])
+
+    with written(_counted_blocks(given, parts), "lm-blocks") as blocks:
+        asked = blocks.select("block", "words", "ids", "lengths", "flags").mapInArrow(ask, PACK)
+        with written(asked.repartition(parts, "part").mapInArrow(add_pairs, PACK), "lm-pairs") as replies:
+            _free(spark)
+            told = blocks.select("block", "words", "runs", "spots", "own").withColumn("kind", F.lit(-1)).unionByName(replies.drop("keys"), allowMissingColumns=True).groupBy("block").applyInArrow(tell_words, PACK)
+            path = shared_dir(spark, "lm-told")
+            told.write.parquet(path)
+        _free(spark)
+        told = spark.read.schema(PACK).parquet(path)
+        with written(told.where(F.col("kind") == WORDS).repartition(parts, "part").mapInArrow(add_words, PACK), "lm-words") as words:
+            sums = [np.frombuffer(r["values"], np.int64) for r in words.where(F.col("kind") == TOTALS).select("values").collect()]  # three numbers a part
+            known, *tokens = np.sum(sums, axis=0).tolist() if sums else (0, 0, 0)
+            symbols = known + 2
+
+            def finish(key: tuple, table: pa.Table) -> pa.Table:
+                rows = table.to_pylist()
+                own = next(r for r in rows if r["kind"] < 0)
+                words, lengths = np.frombuffer(own["words"], np.uint64), np.frombuffer(own["lengths"], np.int64)
+                a, b, which = _distinct_pairs(words, own["ids"], lengths)
+                pairs = _from_small(next(r["values"] for r in rows if r["kind"] == PAIRS), 2)
+                single = _replied(_part(words[:, None], parts), [(r["part"], r["values"]) for r in rows if r["kind"] == WORDS], lambda v: _from_small(v, 4))
+                found = _losses(single, pairs, a, b, which, lengths, tokens, symbols, discount)
+                names = np.frombuffer(own["names"], np.int64).reshape(-1, 2)
+                return pa.table({"_a": pa.array(names[:, 0]), "_b": pa.array(names[:, 1]), "_n": pa.array(lengths - 1),
+                                 "_target": pa.array(found[1]), "_background": pa.array(found[0])})
+
+            answers = told.where(F.col("kind") == PAIRS).unionByName(words.where(F.col("kind") == WORDS)).drop("keys")
+            whole = blocks.select("block", "names", "lengths", "words", "ids").withColumn("kind", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
+            found = whole.groupBy("block").applyInArrow(finish, "_a long, _b long, _n long, _target double, _background double")
+            found = cut(found.dropDuplicates(["_a", "_b"]))
+        remove_path(spark, path)
+    return _joined(df, found, name)
+
+
+def _free(spark) -> None:
+    """Let Spark's cleaner remove the files of shuffles that no table needs any more."""
+    spark._jvm.System.gc()

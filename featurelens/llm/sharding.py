@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featurelens.llm.staging import cut, text_or_empty
+from featurelens.operators.sizes import broadcast_if_small
 
 _BITS = 60
 
@@ -59,7 +60,9 @@ def stratified_shards(df: DataFrame, shards: int, id_col: str = "doc_id", source
     sizes = rows.groupBy("_source", "_none").agg(F.count(F.lit(1)).alias("_of"))
     # as many buckets as the source's rows need; equal ranges of the digest
     width = F.ceil(F.lit(float(1 << _BITS)) / F.ceil(F.col("_of") / bucket_rows)).cast("long")
-    rows = rows.join(sizes, ["_source", "_none"]).withColumn("_w", width).withColumn("_b", F.expr("_h div _w"))
+    # few sources are broadcast; if they are many the join deals rows by source, so they are dealt anew by bucket
+    rows = rows.join(broadcast_if_small(sizes), ["_source", "_none"]).withColumn("_w", width).withColumn("_b", F.expr("_h div _w"))
+    rows = rows.repartition("_source", "_none", "_b")
     ranked = _ranked(rows, ["_source", "_none"], "_b", ["_h", *ties], "_rank").drop("_b")
     ranked = ranked.withColumn("_f", (2 * F.col("_rank") + 1) / (2 * F.col("_of")))
     buckets = max(1, -(-total // bucket_rows))

@@ -38,5 +38,17 @@ def written(df: DataFrame, name: str):
         remove_path(spark, path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has (Spark doesn't tell them apart by case), made from ``names``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

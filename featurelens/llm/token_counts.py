@@ -15,7 +15,9 @@ Characters without a piece fall back to their UTF-8 bytes, one token a byte,
 each as likely as the piece beyond the last. Ties go to fewer tokens.
 
 The trie lives in a worker, is shared by its tasks and starts anew at
-``TRIE_NODES`` nodes (a bound of memory, without any effect on counts).
+``TRIE_NODES`` nodes (a bound of memory, without any effect on counts). Pre-tokens
+of more than ``LONG_WORD`` characters, such as texts of scripts without spaces,
+share no prefixes worth keeping: the same scores are computed in a rolling window.
 
 Defined results: null, empty and blank texts have no pre-tokens and count 0.
 Repeated rows and words count each time. Other columns stay as they are.
@@ -35,6 +37,7 @@ from featurelens.llm.columns import run_hashes, runs, slices, utf8
 from featurelens.llm.staging import prepare
 
 TRIE_NODES = 1_000_000
+LONG_WORD = 1_000
 MARK = "▁"  # fixed value: the vocabulary's sign for the start of a word
 
 
@@ -61,7 +64,7 @@ class Trie:
         self.children: dict[tuple[int, str], int] = {}
         self.score = [0.0]
         self.tokens = [0]
-        self.terminal: dict[int, int] = {}  # hash of a pre-token -> its last node
+        self.terminal: dict[int, tuple[int, float]] = {}  # hash of a pre-token -> its tokens and score
 
     def insert(self, word: str) -> int:
         """Add a pre-token; nodes that are there already are only walked."""
@@ -76,6 +79,25 @@ class Trie:
             path.append(node)
         return path[-1]
 
+    def rolling(self, word: str) -> tuple[int, float]:
+        """Tokens and score of a long pre-token; only as many scores are kept as the longest piece reaches back."""
+        score, tokens = [0.0], [0]
+        for end in range(1, len(word) + 1):
+            first = end - len(score)  # the prefix that the oldest kept score is of
+            own = len(word[end - 1].encode())
+            best, count = score[-1] + own * self.byte_score, tokens[-1] + own
+            for start in range(end - 1, first - 1, -1):
+                p = self.pieces.get(word[start:end])
+                if p is not None:
+                    s, n = score[start - first] + p, tokens[start - first] + 1
+                    if s > best + 1e-9 or (s > best - 1e-9 and n < count):
+                        best, count = s, n
+            score.append(best)
+            tokens.append(count)
+            if len(score) > self.longest:
+                del score[0], tokens[0]
+        return tokens[-1], score[-1]
+
     def _add(self, word: str, end: int, path: list[int]) -> None:
         own = len(word[end - 1].encode())
         best, count = self.score[path[end - 1]] + own * self.byte_score, self.tokens[path[end - 1]] + own
@@ -93,17 +115,20 @@ class Trie:
         data, offsets = utf8(column)
         starts, ends, row = runs((data != 0x20) & ((data < 0x09) | (data > 0x0D)), offsets)
         keys, sample, codes = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.score) > TRIE_NODES:
-            self.clear()
-        raw = data.tobytes()
-        nodes = np.zeros(len(keys), np.int64)
+        tokens, scores = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.float64)
         for i, (key, a, b) in enumerate(zip(keys.tolist(), starts[sample].tolist(), ends[sample].tolist())):
-            node = self.terminal.get(key)
-            if node is None:
-                node = self.terminal[key] = self.insert(MARK + raw[a:b].decode("utf-8"))
-            nodes[i] = node
-        tokens = np.array([self.tokens[n] for n in nodes.tolist()], np.int64)
-        scores = np.array([self.score[n] for n in nodes.tolist()], np.float64)
+            found = self.terminal.get(key)
+            if found is None:
+                if len(self.score) > TRIE_NODES:
+                    self.clear()
+                word = MARK + bytes(data[a:b]).decode("utf-8")
+                if len(word) > LONG_WORD:
+                    found = self.rolling(word)
+                else:
+                    node = self.insert(word)
+                    found = (self.tokens[node], self.score[node])
+                self.terminal[key] = found
+            tokens[i], scores[i] = found
         rows = len(column)
         per_row = [np.bincount(row, minlength=rows)] + [
             np.bincount(row, weights=x[codes], minlength=rows) if len(codes) else np.zeros(rows) for x in (tokens, scores)]

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featurelens.llm import merkle, simhash, whitening
+from featurelens.llm import decontaminate, exact_dedup, line_dedup, lm_score, merkle, ngram_join, sharding, simhash, token_counts, whitening
 
 # ---- operator 11 ----
 
@@ -261,3 +261,101 @@ def test_simhash_of_long_and_empty_tables(spark):
     text = " ".join(f"Word{i % 5_003}" for i in range(400_000))  # several pieces
     assert simhash.fingerprint(text.encode(), 4) == _plain_fingerprint(text)
     assert simhash.fingerprint((" " * 3_000_000 + "a b").encode(), 4) == _plain_fingerprint("a b")
+
+
+# ---- odd inputs of earlier operators
+
+
+def test_decontamination_of_one_repeated_character():
+    """A long text of one character against an item of the same: hits are counted in bounded runs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    items = decontaminate.Items([7], ["a" * 500], 8, 0.08)
+    points, at, _ = decontaminate.normalised(pa.array(["a" * 60_000, "b", "a" * 499 + "b" * 40]))
+    tracemalloc.start()
+    found = decontaminate.find(points, at, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6, peak
+    assert {f[0] for f in found} == {0, 2} and all(f[4] <= 40 for f in found)
+    ends = [(f[2], f[3]) for f in found if f[0] == 0]
+    assert ends == [(i, i + 500) for i in range(0, 59_501, 500)]
+
+
+def test_long_words_score_as_in_the_trie():
+    pieces = {"a": -1.0, "ab": -1.5, "▁a": -1.2, "b": -2.0, "abab": -2.1, "▁": -3.0}
+    trie = token_counts.Trie(pieces, -5.0)
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 2, 5, 17, 300):
+        word = "▁" + "".join(rng.choice(list("abc")) for _ in range(size))
+        node = trie.insert(word)
+        assert trie.rolling(word) == (trie.tokens[node], pytest.approx(trie.score[node]))
+
+
+def test_long_words_keep_no_nodes():
+    import pyarrow as pa
+
+    trie = token_counts.Trie({"x": -1.0, "xx": -1.1}, -4.0)
+    pretokens, tokens, _ = trie.count(pa.array(["x" * 300_000, "x x", None]))
+    assert pretokens.tolist() == [1, 2, 0] and tokens[0] == 150_000 + 3 and len(trie.score) < 10
+
+
+CLASHING = ("_raw", "_gone_id", "_gone_raw", "_gone_text", "_i", "_n", "_d", "_row", "_hash", "_f", "_gone", "_doc_of", "_first", "_a", "_b", "_ID", "_kept", "_rows")
+
+
+def test_clashing_names_come_back_as_they_were(spark):
+    rows = [(1, "a b c d e f\nx y z"), (2, "A b c d e f\nx y z"), (2, "A b c d e f\nx y z"), (None, None), (4, "q r s t u v w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in CLASHING})
+
+    def same(found, ids):
+        got = found.collect()
+        assert found.columns == df.columns and sorted(str(r["doc_id"]) for r in got) == sorted(map(str, ids))
+        for r in got:
+            assert all(r[c] == f"{c}-{'' if r['doc_id'] is None else r['doc_id']}" for c in CLASHING)
+
+    same(exact_dedup.distinct_documents(df, keep="max"), [2, None, 4])
+    same(exact_dedup.distinct_documents(df, keep="min"), [1, None, 4])
+    same(ngram_join.one_of_each(df, n=5, percent=80), [1, None, 4])
+    same(line_dedup.without_removed(df, line_dedup.matches(df)), [1, 2, 2, None, 4])
+    models = lm_score.train(df, df.where("doc_id = 1"))
+    scored = lm_score.score(df, models)
+    assert sorted(scored.columns) == sorted([*df.columns, "n_tokens", "target_loss", "background_loss", "score"])
+    assert {r["_a"] for r in scored.collect()} == {"_a-1", "_a-2", "_a-4", "_a-"}
+    lm_score.release(models)
+
+
+def test_sources_are_dealt_by_bucket_whatever_the_join(spark):
+    rows = [(i, "hot" if i % 10 else "cold", "t" * (i % 7)) for i in range(1_500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sharding.stratified_shards(df, 4, bucket_rows=50)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [_source" in plan and "_b#" in plan.split("RepartitionByExpression [_source")[1].split("]")[0]
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r["position"] for r in got) == list(range(1_500))
+    for shard in range(4):
+        assert sum(r["shard"] == shard and r["source"] == "cold" for r in got) in (37, 38)
+
+
+def test_cross_entropy_equals_training_and_scoring(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{int(rng.zipf(1.5)) % 60}" for _ in range(rng.integers(0, 40))) for _ in range(60)] + [None, "", " \n", "One ONE one", "w1", "w1"]
+    rows = [(i % 61 if i % 13 else None, t, str(i)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _a string").repartition(3)
+    monkeypatch.setattr(lm_score, "PART_BYTES", 700)
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 90)
+    for targets in (df.where("doc_id % 3 = 0"), df.where("doc_id = 0 OR doc_id IS NULL"), df.where("false")):
+        models = lm_score.train(df, targets)
+        wanted, got = lm_score.score(df, models), lm_score.cross_entropy(df, targets)
+        assert got.columns == wanted.columns
+        key = lambda r: r["_a"]
+        for x, y in zip(sorted(wanted.collect(), key=key), sorted(got.collect(), key=key), strict=True):
+            assert tuple(x)[:4] == tuple(y)[:4] and tuple(x)[4:] == pytest.approx(tuple(y)[4:], rel=1e-12, abs=1e-12)
+        lm_score.release(models)
+    assert lm_score.cross_entropy(df.where("false"), df).collect() == []

@@ -89,13 +89,22 @@ def test_ngram_components(spark, n, percent, tile_rows):
         assert ngram_join.components(table(spark, [])).count() == 0
 
 
+def _passing(a, b, percent, classes):
+    """Whether the prefixes of two sets lead to an edge between them."""
+    import numpy as np
+
+    keys, owner, places = ngram_join.prefixes(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), classes, percent)
+    sizes = np.array([len(a), len(b)])
+    return len(ngram_join.candidates(keys, owner + 1, sizes[owner], places, percent)) == 1
+
+
 def test_linked_sets_share_a_key():
     import numpy as np
 
     rng = random.Random(4)
-    heavies = [np.zeros(1 << 18, bool), np.arange(1 << 18) % 2 == 0, np.ones(1 << 18, bool)]
+    noise = np.random.default_rng(4)
+    classes = [np.zeros(1 << 20, np.uint8), noise.integers(0, 2, 1 << 20).astype(np.uint8), noise.integers(0, 256, 1 << 20).astype(np.uint8)]
     for percent in (80, 90):
-        bands = ngram_join.Bands(percent, 1 << 12)
         for size in [*range(1, 60), 150, 400, 1500]:
             a = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], np.uint64))
             drop = rng.randrange(size * (100 - percent) // 100 + 1)
@@ -103,8 +112,7 @@ def test_linked_sets_share_a_key():
             both = len(np.intersect1d(a, b))
             if np.array_equal(a, b) or 100 * both < percent * (len(a) + len(b) - both):
                 continue
-            keys, owner = bands.keys(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), rng.choice(heavies))
-            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+            assert _passing(a, b, percent, rng.choice(classes))
 
 
 @pytest.mark.parametrize("percent", [50, 60, 75, 79, 80, 90])
@@ -112,14 +120,42 @@ def test_subsets_of_the_least_size_share_a_key(percent):
     import numpy as np
 
     rng = random.Random(percent)
-    bands = ngram_join.Bands(percent, 1 << 10)
-    light = np.zeros(1 << 18, bool)
+    classes = np.random.default_rng(percent).integers(0, 30, 1 << 20).astype(np.uint8)
     for size in [*range(2, 130), 300, 700]:
         a = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], np.uint64))
         b = np.sort(np.array(rng.sample(a.tolist(), -(-size * percent // 100)), np.uint64))
         if len(b) < len(a):
-            keys, owner = bands.keys(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), light)
-            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()), (size, len(b))
+            assert _passing(a, b, percent, classes), (size, len(b))
+
+
+def test_common_passages_are_no_candidates():
+    """Sets that share a frequent passage and little else aren't paired, whatever their number."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    sets = [np.unique(np.r_[passage, rng.integers(0, 1 << 63, 40).astype(np.uint64)]) for _ in range(1_500)]
+    classes = np.zeros(1 << 20, np.uint8)
+    classes[(passage >> np.uint64(44)).astype(np.int64)] = 60
+    at = np.cumsum([0, *map(len, sets)])
+    keys, owner, places = ngram_join.prefixes(np.concatenate(sets), at, classes, 80)
+    assert len(ngram_join.candidates(keys, owner, np.diff(at)[owner], places, 80)) == 0
+
+
+@pytest.mark.parametrize("n", range(1, 7))
+def test_sets_of_tiny_slices(n):
+    import pyarrow as pa
+
+    for words in range(7):
+        texts = ["a b c d e f"[:max(0, 2 * words - 1)]]
+        for texts in (texts, [None, *texts, ""]):
+            values, at = ngram_join.gram_sets(pa.array(texts, pa.string()), n)
+            assert at.tolist()[-1] == len(values) == (0 if words == 0 else max(1, words - n + 1))
+
+
+def test_one_of_each_on_a_slice_of_three_words(spark):
+    rows = [(1, "a b c")]
+    assert [r["doc_id"] for r in ngram_join.one_of_each(table(spark, rows), n=5, percent=80).collect()] == [1]
 
 
 def test_line_dedup(spark):
