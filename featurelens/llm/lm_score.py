@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelens.llm.columns import lower_ascii, mix, run_hashes, runs, slices, utf8
-from featurelens.llm.staging import cut, fresh, prepare, text_or_empty, written
+from featurelens.llm.staging import cut, free_shuffles, fresh, prepare, text_or_empty, written
 from featurelens.operators.sizes import broadcast_if_small
 from featurelens.session import remove_path, shared_dir
 
@@ -225,7 +225,7 @@ def train(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     _reduced(given.mapInArrow(count, PACK), parts).write.parquet(path)
     found = spark.read.schema(PACK).parquet(path)
     _reduced(found.where(F.col("kind") == WORDS), parts).write.parquet(path + "-words")
-    spark._jvm.System.gc()  # lets Spark's cleaner remove the files of the counts' shuffle
+    free_shuffles(spark)
     words = spark.read.schema(PACK).parquet(path + "-words")
     sums = words.mapInArrow(totals, "words long, background long, target long").agg(F.sum("words"), F.sum("background"), F.sum("target")).first()
     known = (sums[0] or 0) if kept is None else len(kept)
@@ -518,18 +518,19 @@ def cross_entropy(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
             yield _rows([(TOTALS, part, -1, None, np.array([int((found > BOUNDARY).sum()), *sums[:, :2].sum(axis=0)], np.int64).tobytes())])
 
     with written(_counted_blocks(given, parts), "lm-blocks") as blocks:
-        asked = blocks.select("block", "words", "ids", "lengths", "flags").mapInArrow(ask, PACK)
-        with written(asked.repartition(parts, "part").mapInArrow(add_pairs, PACK), "lm-pairs") as replies:
-            _free(spark)
+        with written(blocks.select("block", "words", "ids", "lengths", "flags").mapInArrow(ask, PACK).repartition(parts, "part").mapInArrow(add_pairs, PACK), "lm-pairs") as replies:
+            free_shuffles(spark)
             told = blocks.select("block", "words", "runs", "spots", "own").withColumn("kind", F.lit(-1)).unionByName(replies.drop("keys"), allowMissingColumns=True).groupBy("block").applyInArrow(tell_words, PACK)
             path = shared_dir(spark, "lm-told")
             told.write.parquet(path)
-        _free(spark)
+        del told
+        free_shuffles(spark)
         told = spark.read.schema(PACK).parquet(path)
         with written(told.where(F.col("kind") == WORDS).repartition(parts, "part").mapInArrow(add_words, PACK), "lm-words") as words:
             sums = [np.frombuffer(r["values"], np.int64) for r in words.where(F.col("kind") == TOTALS).select("values").collect()]  # three numbers a part
             known, *tokens = np.sum(sums, axis=0).tolist() if sums else (0, 0, 0)
             symbols = known + 2
+            free_shuffles(spark)
 
             def finish(key: tuple, table: pa.Table) -> pa.Table:
                 rows = table.to_pylist()
@@ -550,7 +551,3 @@ def cross_entropy(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
         remove_path(spark, path)
     return _joined(df, found, name)
 
-
-def _free(spark) -> None:
-    """Let Spark's cleaner remove the files of shuffles that no table needs any more."""
-    spark._jvm.System.gc()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,16 +29,23 @@ def written(df: DataFrame, name: str):
 
     For what only intermediate jobs read; the files are removed at the end.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     prepare(spark)
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    del df  # or its shuffle files stay
     try:
-        yield spark.read.schema(df.schema).parquet(path)
+        yield spark.read.schema(schema).parquet(path)
     finally:
         remove_path(spark, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the files of shuffles that no DataFrame refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of ``df`` has (Spark doesn't tell them apart by case), made from ``names``."""
     taken = {c.lower() for c in df.columns}
