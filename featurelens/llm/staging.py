@@ -43,6 +43,7 @@ def written(df: DataFrame, name: str):
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the files of shuffles that no DataFrame refers to any more."""
     gc.collect()
+    spark.range(1).count()  # the session refers to its last query until it has run another
     spark._jvm.System.gc()
 
 
