@@ -47,7 +47,7 @@ FEW_VALUES = 4_000_000
 UNKNOWN, BOUNDARY = np.uint64(1), np.uint64(2)  # symbols beside the words' hashes
 PAIRS, WORDS, COUNTS, TOTALS = range(4)  # kinds of packs: names of pairs with two counts, words with counts and kinds of both models; pairs as counted
 KEYS, VALUES = (1, 1, 2), (2, 4, 2)
-BLOCK = ("names", "flags", "lengths", "words", "ids", "runs", "spots", "own")
+BLOCK = ("names", "flags", "lengths", "words", "ids", "runs", "spots", "homes", "own")
 PACK = "kind int, part int, block long, keys binary, values binary"
 
 
@@ -396,7 +396,7 @@ def _counted_blocks(texts: DataFrame, parts: int) -> DataFrame:
 
     They hold names, kinds and lengths of texts, the distinct symbols and all symbols as
     their places (ids); of the distinct pairs how many each symbol begins (runs) and
-    their parts (spots); and the counts of all symbols (own).
+    their parts (spots); and of all symbols the parts (homes) and the counts (own).
     """
     limit = BLOCK_TOKENS
 
@@ -411,7 +411,7 @@ def _counted_blocks(texts: DataFrame, parts: int) -> DataFrame:
             own = np.stack([np.bincount(first, weights=c, minlength=len(words)) for c in counts.T], axis=1).astype(np.int64)
             runs = np.bincount(first, minlength=len(words))
             columns = [np.concatenate(names).tobytes(), kinds.tobytes(), size.tobytes(), words.tobytes(), ids,
-                       _small(runs[:, None]), _small(_part(keys, parts)[:, None]), _small(own)]
+                       _small(runs[:, None]), _small(_part(keys, parts)[:, None]), _small(_part(words[:, None], parts)[:, None]), _small(own)]
             return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=list(BLOCK))
 
         for batch in batches:
@@ -522,11 +522,13 @@ def cross_entropy(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
             free_shuffles(spark)
             told = blocks.select("block", "words", "runs", "spots", "own").withColumn("kind", F.lit(-1)).unionByName(replies.drop("keys"), allowMissingColumns=True).groupBy("block").applyInArrow(tell_words, PACK)
             path = shared_dir(spark, "lm-told")
-            told.write.parquet(path)
+            told.write.partitionBy("kind").parquet(path)
         del told
         free_shuffles(spark)
-        told = spark.read.schema(PACK).parquet(path)
-        with written(told.where(F.col("kind") == WORDS).repartition(parts, "part").mapInArrow(add_words, PACK), "lm-words") as words:
+        some = not blocks.isEmpty()  # else no part was written
+        told = {kind: spark.read.schema(PACK).parquet(f"{path}/kind={kind}") if some else spark.createDataFrame([], PACK) for kind in (PAIRS, WORDS)}
+        with written(told[WORDS].repartition(parts, "part").mapInArrow(add_words, PACK), "lm-words") as words:
+            remove_path(spark, f"{path}/kind={WORDS}")
             sums = [np.frombuffer(r["values"], np.int64) for r in words.where(F.col("kind") == TOTALS).select("values").collect()]  # three numbers a part
             known, *tokens = np.sum(sums, axis=0).tolist() if sums else (0, 0, 0)
             symbols = known + 2
@@ -535,17 +537,17 @@ def cross_entropy(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
             def finish(key: tuple, table: pa.Table) -> pa.Table:
                 rows = table.to_pylist()
                 own = next(r for r in rows if r["kind"] < 0)
-                words, lengths = np.frombuffer(own["words"], np.uint64), np.frombuffer(own["lengths"], np.int64)
-                a, b, which = _distinct_pairs(words, own["ids"], lengths)
+                homes, lengths = _from_small(own["homes"], 1)[:, 0], np.frombuffer(own["lengths"], np.int64)
+                a, b, which = _distinct_pairs(homes, own["ids"], lengths)
                 pairs = _from_small(next(r["values"] for r in rows if r["kind"] == PAIRS), 2)
-                single = _replied(_part(words[:, None], parts), [(r["part"], r["values"]) for r in rows if r["kind"] == WORDS], lambda v: _from_small(v, 4))
+                single = _replied(homes, [(r["part"], r["values"]) for r in rows if r["kind"] == WORDS], lambda v: _from_small(v, 4))
                 found = _losses(single, pairs, a, b, which, lengths, tokens, symbols, discount)
                 names = np.frombuffer(own["names"], np.int64).reshape(-1, 2)
                 return pa.table({"_a": pa.array(names[:, 0]), "_b": pa.array(names[:, 1]), "_n": pa.array(lengths - 1),
                                  "_target": pa.array(found[1]), "_background": pa.array(found[0])})
 
-            answers = told.where(F.col("kind") == PAIRS).unionByName(words.where(F.col("kind") == WORDS)).drop("keys")
-            whole = blocks.select("block", "names", "lengths", "words", "ids").withColumn("kind", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
+            answers = told[PAIRS].withColumn("kind", F.lit(PAIRS)).unionByName(words.where(F.col("kind") == WORDS)).drop("keys")
+            whole = blocks.select("block", "names", "lengths", "homes", "ids").withColumn("kind", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
             found = whole.groupBy("block").applyInArrow(finish, "_a long, _b long, _n long, _target double, _background double")
             found = cut(found.dropDuplicates(["_a", "_b"]))
         remove_path(spark, path)

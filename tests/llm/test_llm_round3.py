@@ -359,3 +359,5 @@ def test_cross_entropy_equals_training_and_scoring(spark, monkeypatch):
             assert tuple(x)[:4] == tuple(y)[:4] and tuple(x)[4:] == pytest.approx(tuple(y)[4:], rel=1e-12, abs=1e-12)
         lm_score.release(models)
     assert lm_score.cross_entropy(df.where("false"), df).collect() == []
+    blank = spark.createDataFrame([(1, " "), (2, None)], "doc_id long, text string")
+    assert [(r["n_tokens"], r["score"]) for r in lm_score.cross_entropy(blank, blank).collect()] == [(0, 0.0)] * 2
