@@ -1,18 +1,29 @@
 """2-D neighbour-graph embedding (M6), built from Spark joins and groupBys.
 
 1. k nearest neighbours (exact, blocked cells; euclidean / manhattan / cosine).
+   Of equally near rows those that follow in the order of ids count first (the
+   order is a ring), so that equal rows make a ring and no hub.
 2. Per row: rho = distance to the nearest neighbour, sigma by a fixed
    64-step bisection so that sum_j exp(-max(0, d_ij - rho)/sigma) = log2(k+1);
    both are column expressions over the row's k distances (no UDF).
 3. Edge weights exp(-max(0, d - rho)/sigma), symmetrised with the reversed
    edge: w = a + b - a*b (full outer join on the edge key).
-4. Start: centred PCA coordinates scaled to +-10.
-5. ``n_epochs`` rounds: every edge pulls its ends together, every row is
-   pushed from ``negatives`` partners chosen by a hash of (seed, epoch, row,
-   slot); contributions are summed with ``groupBy(row)``, clipped, scaled by
-   a linearly falling rate, rounded to 9 decimals (repeatable under any
-   partitioning) and applied; lineage is cut every ``checkpoint_every``
-   rounds by writing the positions as a table in the shared folder.
+4. Start: smallest eigenvectors of the graph's normalised Laplacian, by block power
+   iteration from the principal components. A matrix-vector product is a join of the
+   edges with the vectors and a groupBy; a few products go into a job, then the block
+   is orthonormalised by its (3 x 3) Gram matrix.
+5. Layout: rows are cut into blocks of ``block_rows`` along the first coordinate of
+   the start. A job gives each block its edges, the positions of their ends and a
+   pool of rows chosen by hash, and plays ``rounds_per_job`` rounds; the positions of
+   other blocks' rows stand still meanwhile. An edge of weight w acts every max(w)/w
+   rounds and pulls its head; each acting edge draws ``negatives`` rows of the pool by
+   hash, which push it away. A row moves by the mean over its acting edges, times a
+   rate that falls linearly. Positions are written to the shared folder after each
+   job (rounded to 9 decimals), so a lost executor costs at most one job.
+   It ends after ``n_epochs`` rounds (500 up to 10,000 rows, else 200), or when rows
+   move less than ``tolerance`` in the mean.
+What a task holds is a block's rows, edges and pool. Draws depend on ids and rounds
+only, and sums run in order of ids: any partitioning gives the same layout.
 The curve parameters (a, b) are fitted once from ``min_dist``.
 """
 
@@ -22,13 +33,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurelens.functions.columns import to_double_array
 from featurelens.operators import blocks
 from featurelens.operators.positions import dense_index
-from featurelens.session import remove_path, shared_dir
+from featurelens.session import ensure_code, remove_path, shared_dir
 
 METRICS = ("euclidean", "manhattan", "cosine")
 
@@ -54,7 +66,7 @@ def fit_ab(min_dist: float = 0.1, spread: float = 1.0) -> tuple[float, float]:
 
 def knn_distances(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "euclidean",
                   block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """(id, nbr, dist): the ``k`` nearest other rows (ties by neighbour id)."""
+    """(id, nbr, dist): the ``k`` nearest other rows (of equally near ones those whose ids follow, in a ring)."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     data = df.select(F.col(id_col).cast("long").alias("_id"), to_double_array(vec_col).alias("_v")).dropna()
@@ -83,7 +95,9 @@ def knn_distances(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str
             order = np.argsort(idb, kind="stable")
             d = d[:, order]
             kk = min(k, len(b))
-            top = np.argsort(d, axis=1, kind="stable")[:, :kk]
+            first = np.searchsorted(idb[order], ida)
+            ring = (first[:, None] + np.arange(len(b))[None, :]) % len(b)
+            top = np.take_along_axis(ring, np.argsort(np.take_along_axis(d, ring, axis=1), axis=1, kind="stable")[:, :kk], axis=1)
             vals = np.take_along_axis(d, top, axis=1).ravel()
             keep = np.isfinite(vals)
             out.append(pd.DataFrame({"_id": np.repeat(ida, kk)[keep], "nbr": idb[order][top].ravel()[keep],
@@ -95,7 +109,7 @@ def knn_distances(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str
 
     from pyspark.sql import Window
     cand = cells.groupBy("_cell").applyInPandas(per_cell, "_id long, nbr long, dist double")
-    w = Window.partitionBy("_id").orderBy(F.col("dist").asc(), F.col("nbr").asc())
+    w = Window.partitionBy("_id").orderBy(F.col("dist").asc(), (F.col("nbr") < F.col("_id")).asc(), F.col("nbr").asc())
     top = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
     return top.withColumnRenamed("_id", id_col)
 
@@ -129,10 +143,172 @@ def fuzzy_graph(knn: DataFrame, id_col: str, k: int) -> DataFrame:
     return sym.select("i", "j", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("w"))
 
 
+EXACT = "decimal(38,18)"  # sums that don't depend on the order of their terms
+
+
+def _exact_sum(value) -> Column:
+    return F.sum(value.cast(EXACT)).cast("double")
+
+
+def spectral_start(graph: DataFrame, start: DataFrame, jobs: int = 3, products: int = 4) -> DataFrame:
+    """(i, x, y): eigenvectors of the largest eigenvalues of D^-1/2 W D^-1/2 but the trivial one, scaled to +-10.
+
+    ``graph`` holds (i, j, w) in both directions, ``start`` (i, x, y). Ties in
+    the spectrum (several components) give some basis of the eigenspace.
+    """
+    degree = graph.groupBy("i").agg(_exact_sum(F.col("w")).alias("g")).checkpoint()
+    other = degree.select(F.col("i").alias("j"), F.col("g").alias("h"))
+    edges = graph.join(degree, "i").join(other, "j").select("i", "j", (F.col("w") / F.sqrt(F.col("g") * F.col("h"))).alias("m")).checkpoint()
+    third = (F.pmod(F.xxhash64(F.lit(1), "i"), F.lit(2001)) / 1000.0 - 1.0)
+    block = start.join(degree, "i", "left").select("i", "x", "y", third.alias("z"), F.sqrt(F.coalesce("g", F.lit(0.0))).alias("t"))
+
+    def combined(now: DataFrame, weights: np.ndarray, out=("x", "y", "z")) -> DataFrame:
+        given = ("x", "y", "z", "t")
+        return now.select("i", *[F.round(sum((F.col(c) * float(w) for c, w in zip(given, row)), F.lit(0.0)), 12).alias(o) for o, row in zip(out, weights)], "t")
+
+    def gram(now: DataFrame, pairs) -> list[float]:
+        return list(now.agg(*[_exact_sum(a * b).alias(f"s{k}") for k, (a, b) in enumerate(pairs)]).first())
+
+    def orthonormal(now: DataFrame) -> DataFrame:
+        """Vectors without their share of the trivial one, orthonormal; those that add nothing become 0."""
+        names = ("x", "y", "z", "t")
+        columns = [F.col(c) for c in names]
+        pairs = [(columns[a], columns[b]) for a in range(4) for b in range(a, 4)]
+        q = np.zeros((4, 4))
+        q[np.triu_indices(4)] = [v or 0.0 for v in gram(now, pairs)]
+        q = q + np.triu(q, 1).T
+        weights = np.eye(4)[:3]
+        if q[3, 3] > 0:
+            weights = weights - np.outer(q[:3, 3] / q[3, 3], np.eye(4)[3])
+        kept: list[np.ndarray] = []
+        for w in weights:
+            length = max(float(w @ q @ w), 0.0)
+            for _ in range(2):
+                for k in kept:
+                    w = w - (w @ q @ k) * k
+            rest = float(w @ q @ w)
+            kept.append(w / math.sqrt(rest) if rest > 1e-18 + 1e-12 * length else np.zeros(4))
+        return combined(now, np.array(kept))
+
+    now = orthonormal(block.checkpoint()).checkpoint()
+    for _ in range(jobs):
+        for _ in range(products):
+            pulled = edges.join(now.select(F.col("i").alias("j"), "x", "y", "z"), "j").groupBy("i").agg(
+                *[_exact_sum(F.col("m") * F.col(c)).alias(f"{c}_") for c in ("x", "y", "z")])
+            # half of the product and half of the vector: no negative eigenvalue comes first
+            now = now.join(pulled, "i", "left").select("i", *[((F.col(c) + F.coalesce(f"{c}_", F.lit(0.0))) / 2.0).alias(c) for c in ("x", "y", "z")], "t")
+        now = orthonormal(now.checkpoint()).checkpoint()
+    pulled = edges.join(now.select(F.col("i").alias("j"), *[F.col(c).alias(f"{c}_") for c in ("x", "y", "z")]), "j").join(now, "i")
+    pairs = [(F.col("m") * F.col(a), F.col(f"{b}_")) for a in ("x", "y", "z") for b in ("x", "y", "z")]
+    small = np.array([v or 0.0 for v in gram(pulled, pairs)]).reshape(3, 3)
+    _, rotate = np.linalg.eigh((small + small.T) / 2)
+    rotate = rotate[:, ::-1][:, :2]
+    rotate = rotate * np.where(rotate[np.abs(rotate).argmax(axis=0), [0, 1]] < 0, -1.0, 1.0)
+    found = combined(now, np.hstack([rotate.T, np.zeros((2, 1))]), ("x", "y")).checkpoint()
+    scale = found.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 1.0
+    return found.select("i", *[F.round(F.col(c) * 10.0 / scale, 9).alias(c) for c in ("x", "y")])
+
+
+def _mixed(*parts) -> np.ndarray:
+    """64 uniform bits from whole numbers."""
+    out = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            out = (out ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            out = out ^ (out >> np.uint64(29))
+            out = out * np.uint64(0x94D049BB133111EB)
+            out = out ^ (out >> np.uint64(32))
+    return out
+
+
+def play(nodes: np.ndarray, at: np.ndarray, own: np.ndarray, heads: np.ndarray, tails: np.ndarray, every: np.ndarray, pool: np.ndarray,
+         first: int, rounds: int, total: int, a: float, b: float, negatives: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions after some rounds, and how far each row went in the last one; only ``own`` rows move.
+
+    ``heads``, ``tails`` and ``pool`` are places in ``nodes``; edges act every ``every`` rounds.
+    """
+    at, moved = at.copy(), np.zeros(len(at))
+    for turn in range(first, first + rounds):
+        acting = np.floor((turn + 1) / every) > np.floor(turn / every)
+        h, t = heads[acting], tails[acting]
+        if not len(h):
+            continue
+        away = at[h] - at[t]
+        d2 = (away ** 2).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            pull = np.where(d2 > 0, (-2.0 * a * b) * d2 ** (b - 1.0) / (1.0 + a * d2 ** b), 0.0)
+        step = np.clip(pull[:, None] * away, -4.0, 4.0)
+        sums = np.stack([np.bincount(h, weights=step[:, c], minlength=len(at)) for c in (0, 1)], axis=1)
+        for s in range(negatives if len(pool) else 0):
+            drawn = pool[(_mixed(seed, turn, nodes[h], nodes[t], s) % np.uint64(len(pool))).astype(np.int64)]
+            away = at[h] - at[drawn]
+            d2 = (away ** 2).sum(axis=1)
+            push = np.where(nodes[drawn] != nodes[h], (2.0 * b) / ((0.001 + d2) * (1.0 + a * d2 ** b)), 0.0)
+            step = np.clip(push[:, None] * away, -4.0, 4.0)
+            sums += np.stack([np.bincount(h, weights=step[:, c], minlength=len(at)) for c in (0, 1)], axis=1)
+        count = np.maximum(np.bincount(h, minlength=len(at)), 1)
+        go = np.where(own[:, None], (1.0 - turn / total) * sums / count[:, None], 0.0)
+        at += go
+        moved = np.sqrt((go ** 2).sum(axis=1))
+    return at, moved
+
+
+def layout(graph: DataFrame, start: DataFrame, n_epochs: int, a: float, b: float, negatives: int = 5, seed: int = 42,
+           rounds_per_job: int = 25, block_rows: int = 4_096, pool_rows: int = 2_048, tolerance: float = 1e-4) -> DataFrame:
+    """(i, x, y) after the rounds of step 5; the last table stays in the shared folder, earlier ones are removed."""
+    spark = graph.sparkSession
+    ensure_code(spark)
+    scratch = shared_dir(spark, "embed-positions")
+    rows = dense_index(start, "x", out="p", tiebreak=("i",)).checkpoint()
+    n = rows.count()
+    blocks_n = max(1, math.ceil(n / block_rows))
+    names = rows.select("i", "p")
+    top = graph.agg(F.max("w").alias("w")).first()["w"] or 1.0
+    block = F.expr(f"cast(h div {block_rows} as int)").alias("block")
+    # edges that would not act once are left out
+    edges = graph.where(F.col("w") * max(n_epochs, 1) >= top).join(names.select("i", F.col("p").alias("h")), "i").join(
+        names.select(F.col("i").alias("j"), F.col("p").alias("t")), "j").select(block, "h", "t", (F.lit(top) / F.col("w")).alias("every")).checkpoint()
+    needed = edges.select("block", F.col("t").alias("p")).unionByName(rows.select(F.expr(f"cast(p div {block_rows} as int)").alias("block"), "p")).distinct().checkpoint()
+    now = rows.select("p", "x", "y")
+
+    def job(first: int, rounds: int):
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            number = key[0].as_py()
+            p, x, y, drawn = (right.column(c).to_numpy() for c in ("p", "x", "y", "drawn"))
+            nodes, once = np.unique(p, return_index=True)
+            at = np.stack([x[once], y[once]], axis=1)
+            pool = np.searchsorted(nodes, np.sort(p[drawn]))
+            h, t, every = (left.column(c).to_numpy() for c in ("h", "t", "every"))
+            order = np.lexsort((t, h))
+            own = nodes // block_rows == number
+            at, moved = play(nodes, at, own, np.searchsorted(nodes, h[order]), np.searchsorted(nodes, t[order]), every[order], pool,
+                             first, rounds, n_epochs, a, b, negatives, seed)
+            return pa.table({"p": nodes[own], "x": at[own, 0].round(9), "y": at[own, 1].round(9), "moved": moved[own]})
+        return run
+
+    done, last = 0, None
+    while done < n_epochs and n > 1:
+        rounds = min(rounds_per_job, n_epochs - done)
+        pool = spark.range(blocks_n * pool_rows).select(
+            F.expr(f"cast(id div {pool_rows} as int)").alias("block"), F.pmod(F.xxhash64(F.lit(seed), F.lit(done), "id"), F.lit(n)).alias("p"), F.lit(True).alias("drawn"))
+        wanted = needed.withColumn("drawn", F.lit(False)).unionByName(pool)
+        given = wanted.join(now.select("p", "x", "y"), "p").select(F.col("block").alias("to"), "p", "x", "y", "drawn")
+        moved = edges.groupBy("block").cogroup(given.groupBy("to")).applyInArrow(job(done, rounds), "p long, x double, y double, moved double")
+        path = f"{scratch}/after{done + rounds}"
+        moved.write.mode("overwrite").parquet(path)
+        now = spark.read.schema("p long, x double, y double, moved double").parquet(path)
+        if last is not None:
+            remove_path(spark, last)  # superseded positions
+        done, last = done + rounds, path
+        if (now.agg(F.avg("moved").alias("m")).first()["m"] or 0.0) < tolerance:
+            break
+    return names.join(now.select("p", "x", "y"), "p").select("i", "x", "y")
+
+
 def embed_2d(df: DataFrame, id_col: str, vec_col: str, n_neighbors: int = 15, min_dist: float = 0.1,
-             metric: str = "euclidean", seed: int = 42, n_epochs: int = 20, negatives: int = 5,
-             checkpoint_every: int = 1, progress=None, exact_sums: bool = True) -> DataFrame:
-    """M6: (id, umap_x, umap_y)."""
+             metric: str = "euclidean", seed: int = 42, n_epochs: int | None = None, negatives: int = 5,
+             rounds_per_job: int = 25, block_rows: int = 4_096, tolerance: float = 1e-4) -> DataFrame:
+    """M6: (id, umap_x, umap_y); ids must be unique. ``n_epochs`` None: 500 rounds up to 10,000 rows, else 200."""
     from featurelens.operators.features import pca
 
     if n_neighbors is None or n_neighbors < 2:
@@ -141,50 +317,12 @@ def embed_2d(df: DataFrame, id_col: str, vec_col: str, n_neighbors: int = 15, mi
         raise ValueError("min_dist must be >= 0")
     a, b = fit_ab(min_dist)
     k = n_neighbors - 1
-    knn = knn_distances(df, id_col, vec_col, k, metric)
-    graph = fuzzy_graph(knn, id_col, k).checkpoint()
+    graph = fuzzy_graph(knn_distances(df, id_col, vec_col, k, metric), id_col, k).select("i", "j", F.round("w", 12).alias("w")).checkpoint()
     coords, _, _ = pca(df, k=2, keep=(id_col,), vec_col=vec_col)
     scale = coords.agg(F.max(F.greatest(F.abs("pc1"), F.abs("pc2"))).alias("m")).first()["m"] or 1.0
-    pos = coords.select(F.col(id_col).alias("i"), (F.col("pc1") * 10.0 / scale).alias("x"),
-                        (F.col("pc2") * 10.0 / scale).alias("y"))
-    pos = dense_index(pos, "i", out="idx").checkpoint()
-    n = pos.count()
-    spark = df.sparkSession
-    scratch = shared_dir(spark, "embed-positions")
-    last = None
-    for epoch in range(n_epochs):
-        lr = 1.0 - epoch / n_epochs
-        pj = pos.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
-        pix = pos.select(F.col("idx").alias("jdx"), F.col("i").alias("j"), F.col("x").alias("xj"),
-                         F.col("y").alias("yj"))
-        att = graph.join(pos.select("i", "x", "y"), "i").join(pj, "j")
-        dx, dy = F.col("x") - F.col("xj"), F.col("y") - F.col("yj")
-        d2 = dx * dx + dy * dy
-        ca = F.when(d2 > 0, (-2.0 * a * b) * F.pow(d2, b - 1.0) / (1.0 + a * F.pow(d2, b))).otherwise(0.0)
-        att = att.select("i", (F.col("w") * F.least(F.greatest(ca * dx, F.lit(-4.0)), F.lit(4.0))).alias("gx"),
-                         (F.col("w") * F.least(F.greatest(ca * dy, F.lit(-4.0)), F.lit(4.0))).alias("gy"))
-        neg = pos.select("i", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("s"))
-        neg = neg.withColumn("jdx", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col("i"), F.col("s")), F.lit(n)))
-        neg = neg.join(pix, "jdx").filter(F.col("j") != F.col("i"))
-        cr = (2.0 * b) / ((0.001 + d2) * (1.0 + a * F.pow(d2, b)))
-        rep = neg.select("i", F.least(F.greatest(cr * dx, F.lit(-4.0)), F.lit(4.0)).alias("gx"),
-                         F.least(F.greatest(cr * dy, F.lit(-4.0)), F.lit(4.0)).alias("gy"))
-        # exact DECIMAL sums: the same seed gives the same layout under any partitioning
-        dec = "decimal(38,18)"
-        gx, gy = (F.col("gx").cast(dec), F.col("gy").cast(dec)) if exact_sums else (F.col("gx"), F.col("gy"))
-        grad = att.unionByName(rep).groupBy("i").agg(F.sum(gx).cast("double").alias("gx"),
-                                                     F.sum(gy).cast("double").alias("gy"))
-        pos = pos.join(grad, "i", "left").select(
-            "i", "idx",
-            F.round(F.col("x") + F.lit(lr) * F.coalesce("gx", F.lit(0.0)), 9).alias("x"),
-            F.round(F.col("y") + F.lit(lr) * F.coalesce("gy", F.lit(0.0)), 9).alias("y"))
-        if (epoch + 1) % checkpoint_every == 0:
-            # a written table cuts lineage and gives the next round a fresh file relation
-            pos.write.mode("overwrite").parquet(f"{scratch}/e{epoch}")
-            pos = spark.read.parquet(f"{scratch}/e{epoch}")
-            if last is not None:
-                remove_path(spark, last)                      # superseded positions
-            last = f"{scratch}/e{epoch}"
-        if progress:
-            progress(epoch, pos)
-    return pos.select(F.col("i").alias(id_col), F.col("x").alias("umap_x"), F.col("y").alias("umap_y"))
+    start = coords.select(F.col(id_col).alias("i"), *[F.round(F.col(c) * 10.0 / scale, 6).alias(o) for c, o in (("pc1", "x"), ("pc2", "y"))]).checkpoint()
+    start = spectral_start(graph, start).checkpoint()
+    if n_epochs is None:
+        n_epochs = 500 if start.count() <= 10_000 else 200
+    found = layout(graph, start, n_epochs, a, b, negatives, seed, rounds_per_job, block_rows, tolerance=tolerance)
+    return found.select(F.col("i").alias(id_col), F.col("x").alias("umap_x"), F.col("y").alias("umap_y"))

@@ -11,8 +11,20 @@
    to the rows on the micro-cluster id; clusters are renumbered by their
    smallest member id.
 
-``ward_rows`` clusters the rows themselves: reciprocal nearest clusters merge in
-checkpointed Spark rounds on ``(n, mean)``, which is all that Ward's distance needs.
+``linkage_rows`` clusters the rows themselves, without any summary:
+
+* ``ward_rows``: reciprocal nearest clusters merge in checkpointed Spark rounds on
+  ``(n, mean)``, which is all that Ward's distance needs.
+* ``single_rows``: minimum spanning tree in Boruvka rounds. In a round every
+  component finds its shortest edge to another one, in blocks; components at least
+  halve, so there are at most log2(n) rounds. The k - 1 longest edges are cut.
+* ``pair_rows`` (average, complete): a distributed table of cluster pairs. A pair's
+  distance is the sum (over the product of sizes) or the greatest of the distances of
+  its points, so a merge is a groupBy of relabelled pairs that adds up or takes the
+  maximum, which is what the Lance-Williams formulas come to for these linkages.
+  Reciprocal nearest clusters merge in rounds; both linkages are reducible, so these
+  are merges of the greedy tree. It holds n (n - 1) / 2 pairs of about 32 bytes in the
+  shared folder: 16 n bytes a row.
 """
 
 from __future__ import annotations
@@ -39,15 +51,16 @@ def _initial(centroids: np.ndarray, sizes: np.ndarray, linkage: str) -> np.ndarr
     return np.sqrt(d2)
 
 
-def merge_tree(centroids: np.ndarray, sizes: np.ndarray, linkage: str = "ward") -> list[tuple[int, int, float]]:
+def merge_tree(centroids: np.ndarray, sizes: np.ndarray, linkage: str = "ward", distances: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """All merges ``(a, b, height)`` in creation order: the i-th merge creates
-    dendrogram id ``L + i``; ``a``/``b`` are leaf ids (< L) or earlier merges."""
+    dendrogram id ``L + i``; ``a``/``b`` are leaf ids (< L) or earlier merges.
+    ``distances`` (squared for ward) stand for those between the centroids."""
     if linkage not in LINKAGES:
         raise ValueError(f"linkage must be one of {LINKAGES}")
     n = len(sizes)
     if n < 2:
         return []
-    dist = _initial(np.asarray(centroids, float), np.asarray(sizes, float), linkage)
+    dist = _initial(np.asarray(centroids, float), np.asarray(sizes, float), linkage) if distances is None else distances.copy()
     np.fill_diagonal(dist, np.inf)
     size = np.asarray(sizes, float).copy()
     alive = np.ones(n, bool)
@@ -156,6 +169,181 @@ def cut_by_heights(n: int, merges, k: int) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
+def _points(df: DataFrame, id_col: str, cols) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _x) without nulls, and their distinct points (_c: smallest id, _n, _x)."""
+    pts = df.select(F.col(id_col).cast("long").alias("_id"), F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols]).alias("_x")).where(
+        F.col("_id").isNotNull() & ~F.exists("_x", lambda v: v.isNull() | F.isnan(v))).checkpoint()
+    return pts, pts.groupBy("_x").agg(F.min("_id").alias("_c"), F.count(F.lit(1)).alias("_n")).checkpoint()
+
+
+def _labelled(pts: DataFrame, points: DataFrame, merges: DataFrame, k: int, id_col: str) -> DataFrame:
+    """(id, cluster) after all merges (d2, level, lo, hi) but the last k - 1 in order of height."""
+    cut_off = merges.orderBy(F.desc("d2"), F.desc("level"), F.desc("lo"), F.desc("hi")).limit(k - 1)  # the parameter's size
+    kept = merges.join(F.broadcast(cut_off.select("lo", "hi")), ["lo", "hi"], "left_anti") if k > 1 else merges
+    groups = connected_components(kept, "lo", "hi")
+    named = points.join(groups, F.col("_c") == F.col("_id"), "left").select("_x", F.coalesce("comp", "_c").alias("cluster"))
+    labels = pts.join(named, "_x").select("_id", "cluster").checkpoint()
+    return km.relabel_by_first(labels, "_id", "cluster").withColumnRenamed("_id", id_col)
+
+
+def _checked_k(k: int | None) -> int:
+    if k is None or k < 1:
+        raise ValueError("k must be a positive number of clusters")
+    return k
+
+
+def spanning_tree(points: DataFrame, block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(d2, lo, hi): minimum spanning tree of distinct points (_c, _x) by squared distance, ties by ids.
+
+    Each round compares all blocks of points and keeps the shortest outgoing edge of
+    a component in every block pair; only those are shuffled.
+    """
+    n = points.count()
+    none = points.sparkSession.createDataFrame([], "d2 double, lo long, hi long")
+    now, tree = points.select("_c", "_x", F.col("_c").alias("_k")), None
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y, ia, ib, ka, kb = blocks.stack(a["_x"]), blocks.stack(b["_x"]), *(f[c].to_numpy() for c in ("_c", "_k") for f in (a, b))
+        rows, order = [], np.argsort(ib, kind="stable")
+        for s in range(0, len(a), 128):
+            e = slice(s, s + 128)
+            d2 = ((x[e, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+            d2[ka[e, None] == kb[None, :]] = np.inf
+            low = d2.min(axis=1)
+            # of equal distances the pair with the smallest ids: a total order of edges, so no cycle arises
+            lo, hi = np.minimum(ia[e, None], ib[None, :]), np.maximum(ia[e, None], ib[None, :])
+            worst = np.iinfo(np.int64).max
+            least = np.where(d2 == low[:, None], lo, worst).min(axis=1)
+            other = np.where((d2 == low[:, None]) & (lo == least[:, None]), hi, worst).min(axis=1)
+            there = order[np.searchsorted(ib[order], np.where(least == ia[e], other, least)).clip(0, len(b) - 1)]
+            rows.append(pd.DataFrame({"_k": ka[e], "d2": low, "lo": least, "hi": other, "_to": kb[there]}))
+        out = pd.concat(rows)
+        out = out[np.isfinite(out["d2"])].sort_values(["_k", "d2", "lo", "hi"], kind="stable")
+        return out.drop_duplicates("_k")
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = blocks.split_cell(pdf, nb)
+        if same:
+            return best(left, left)
+        empty = pd.DataFrame({c: np.zeros(0, np.float64 if c == "d2" else np.int64) for c in ("_k", "d2", "lo", "hi", "_to")})
+        return pd.concat([best(left, right), best(right, left)]) if len(left) and len(right) else empty
+
+    for _ in range(max(n, 2).bit_length()):
+        cells, nb = blocks.with_cells(now, "_c", n, block_rows)
+        shortest = cells.groupBy("_cell").applyInPandas(cell, "_k long, d2 double, lo long, hi long, _to long").groupBy("_k").agg(
+            F.min(F.struct("d2", "lo", "hi", "_to")).alias("e")).select("_k", "e.*").checkpoint()
+        edges = shortest.select("d2", "lo", "hi").distinct().checkpoint()
+        if edges.isEmpty():
+            break
+        tree = edges if tree is None else tree.unionByName(edges)
+        roots = _roots(shortest.select("_k", "_to"))
+        now = now.join(roots, "_k").select("_c", "_x", F.col("_root").alias("_k")).checkpoint()
+    return none if tree is None else tree
+
+
+def _roots(chosen: DataFrame) -> DataFrame:
+    """(_k, _root): where the components' choices lead, by pointer jumping.
+
+    Each component chose one other; two that chose each other are the only cycle, and
+    the smaller of them is the root.
+    """
+    back = chosen.select(F.col("_k").alias("_to"), F.col("_to").alias("_back"))
+    to = chosen.join(back, "_to", "left").select("_k", F.when((F.col("_back") == F.col("_k")) & (F.col("_k") < F.col("_to")), F.col("_k")).otherwise(F.col("_to")).alias("_root"))
+    while True:
+        to = to.checkpoint()
+        further = to.select(F.col("_k").alias("_root"), F.col("_root").alias("_next"))
+        onward = to.join(further, "_root").select("_k", F.col("_next").alias("_root"), (F.col("_next") != F.col("_root")).alias("_moved")).checkpoint()
+        to = onward.select("_k", "_root")
+        if onward.where("_moved").isEmpty():
+            return to
+
+
+def single_rows(df: DataFrame, id_col: str, cols, k: int = 6, block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(id, cluster) for ``k`` single-linkage clusters of the rows themselves (of equal edges those with larger ids are cut first)."""
+    _checked_k(k)
+    pts, points = _points(df, id_col, list(cols))
+    tree = spanning_tree(points, block_rows).withColumn("level", F.lit(0))
+    return _labelled(pts, points, tree.checkpoint(), k, id_col)
+
+
+def pair_rows(df: DataFrame, id_col: str, cols, k: int = 6, linkage: str = "average", block_rows: int = blocks.DEFAULT_BLOCK_ROWS,
+              one_task: int = ONE_TASK) -> DataFrame:
+    """(id, cluster) for ``k`` average- or complete-linkage clusters of the rows themselves.
+
+    The last ``one_task`` clusters are merged in one task from their pairs, with the same result.
+    """
+    _checked_k(k)
+    if linkage not in ("average", "complete"):
+        raise ValueError(f"linkage must be average or complete: {linkage!r}")
+    pts, points = _points(df, id_col, list(cols))
+    size = points.select("_c", F.col("_n").cast("long").alias("_n")).checkpoint()
+    together = F.sum if linkage == "average" else F.max
+    cells, nb = blocks.with_cells(points, "_c", points.count(), block_rows)
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = blocks.split_cell(pdf, nb)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"lo": np.zeros(0, np.int64), "hi": np.zeros(0, np.int64), "v": np.zeros(0)})
+        d = blocks.euclidean(blocks.stack(left["_x"]), blocks.stack(right["_x"]))
+        if linkage == "average":  # the sum over all rows of both points
+            d = d * (left["_n"].to_numpy(float)[:, None] * right["_n"].to_numpy(float)[None, :])
+        a, b = np.broadcast_arrays(left["_c"].to_numpy()[:, None], right["_c"].to_numpy()[None, :])
+        keep = (a < b) if same else np.ones(a.shape, bool)
+        return pd.DataFrame({"lo": np.minimum(a, b)[keep], "hi": np.maximum(a, b)[keep], "v": d[keep]})
+
+    def heights(table: DataFrame) -> DataFrame:
+        if linkage == "complete":
+            return table.withColumn("d2", F.col("v"))
+        sizes = size.select(F.col("_c").alias("lo"), F.col("_n").alias("_a")), size.select(F.col("_c").alias("hi"), F.col("_n").alias("_b"))
+        return table.join(sizes[0], "lo").join(sizes[1], "hi").withColumn("d2", F.col("v") / (F.col("_a") * F.col("_b"))).drop("_a", "_b")
+
+    pairs = cells.groupBy("_cell").applyInPandas(cell, "lo long, hi long, v double").checkpoint()
+    merges, level = None, 0
+    while size.count() > max(one_task, 1):
+        away = heights(pairs)
+        ends = away.select(F.col("lo").alias("_c"), F.struct("d2", "lo", "hi").alias("e")).unionByName(away.select(F.col("hi").alias("_c"), F.struct("d2", "lo", "hi").alias("e")))
+        near = ends.groupBy("_c").agg(F.min("e").alias("e"))
+        done = near.groupBy("e").count().where("count = 2").select("e.*").withColumn("level", F.lit(level)).checkpoint()
+        merges = done if merges is None else merges.unionByName(done)
+        to = done.select(F.col("hi").alias("_c"), F.col("lo").alias("_to"))
+        size = size.join(to, "_c", "left").groupBy(F.coalesce("_to", "_c").alias("_c")).agg(F.sum("_n").alias("_n")).checkpoint()
+        moved = pairs.join(to.withColumnsRenamed({"_c": "lo", "_to": "_lo"}), "lo", "left").join(to.withColumnsRenamed({"_c": "hi", "_to": "_hi"}), "hi", "left")
+        moved = moved.select(F.coalesce("_lo", "lo").alias("_a"), F.coalesce("_hi", "hi").alias("_b"), "v").where("_a <> _b")
+        pairs = moved.groupBy(F.least("_a", "_b").alias("lo"), F.greatest("_a", "_b").alias("hi")).agg(together("v").alias("v")).checkpoint()
+        level += 1
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, codes = np.unique(np.concatenate([pdf["lo"].to_numpy(), pdf["hi"].to_numpy()]), return_inverse=True)
+        m, rows = len(ids), []
+        lo, hi = codes[:len(pdf)], codes[len(pdf):]
+        dist = np.full((m, m), np.inf)
+        dist[lo, hi] = dist[hi, lo] = pdf["d2"].to_numpy()
+        n = np.zeros(m)
+        n[lo], n[hi] = pdf["_a"].to_numpy(), pdf["_b"].to_numpy()
+        names = ids.tolist()
+        for i, (a, b, h) in enumerate(merge_tree(np.zeros((m, 1)), n, linkage, dist)):
+            first, last = sorted((names[a], names[b]))
+            names.append(first)
+            rows.append((h, first, last, level + i))
+        return pd.DataFrame(rows, columns=["d2", "lo", "hi", "level"])
+
+    sized = heights(pairs).join(size.select(F.col("_c").alias("lo"), F.col("_n").alias("_a")), "lo").join(size.select(F.col("_c").alias("hi"), F.col("_n").alias("_b")), "hi")
+    rest = sized.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda key, pdf: finish(pdf), "d2 double, lo long, hi long, level int")
+    merges = (rest if merges is None else merges.select("d2", "lo", "hi", "level").unionByName(rest)).checkpoint()
+    return _labelled(pts, points, merges, k, id_col)
+
+
+def linkage_rows(df: DataFrame, id_col: str, cols, k: int = 6, linkage: str = "ward", **options) -> DataFrame:
+    """(id, cluster) for ``k`` clusters of the rows themselves under any of the four linkages."""
+    if linkage == "ward":
+        return ward_rows(df, id_col, cols, k, **options)
+    if linkage == "single":
+        return single_rows(df, id_col, cols, k, **options)
+    if linkage in LINKAGES:
+        return pair_rows(df, id_col, cols, k, linkage, **options)
+    raise ValueError(f"linkage must be one of {LINKAGES}")
+
+
 def _nearest(now: DataFrame, m: int, block_rows: int) -> DataFrame:
     """(_c, near): the pair (squared height, smaller id, larger id) of every cluster with its nearest one."""
     cells, nb = blocks.with_cells(now, "_c", m, block_rows)
@@ -196,12 +384,8 @@ def ward_rows(df: DataFrame, id_col: str, cols, k: int = 6, block_rows: int = bl
     in the number of distinct points, with bounded tasks. Ids must be unique;
     rows with nulls are left out.
     """
-    if k is None or k < 1:
-        raise ValueError("k must be a positive number of clusters")
-    cols = list(cols)
-    pts = df.select(F.col(id_col).cast("long").alias("_id"), F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols]).alias("_x")).where(
-        F.col("_id").isNotNull() & ~F.exists("_x", lambda v: v.isNull() | F.isnan(v))).checkpoint()
-    points = pts.groupBy("_x").agg(F.min("_id").alias("_c"), F.count(F.lit(1)).alias("_n")).checkpoint()
+    _checked_k(k)
+    pts, points = _points(df, id_col, list(cols))
     now, merges, level = points.select("_c", "_n", "_x"), None, 0
     while (m := now.count()) > max(one_task, 1):
         near = _nearest(now, m, block_rows)
@@ -229,9 +413,4 @@ def ward_rows(df: DataFrame, id_col: str, cols, k: int = 6, block_rows: int = bl
 
     rest = now.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda key, pdf: finish(pdf), "d2 double, lo long, hi long, level int")
     merges = (rest if merges is None else merges.unionByName(rest)).checkpoint()
-    cut_off = merges.orderBy(F.desc("d2"), F.desc("level"), "lo", "hi").limit(k - 1)  # the parameter's size
-    kept = merges.join(F.broadcast(cut_off.select("lo", "hi")), ["lo", "hi"], "left_anti") if k > 1 else merges
-    groups = connected_components(kept, "lo", "hi")
-    named = points.join(groups, F.col("_c") == F.col("_id"), "left").select("_x", F.coalesce("comp", "_c").alias("cluster"))
-    labels = pts.join(named, "_x").select("_id", "cluster").checkpoint()
-    return km.relabel_by_first(labels, "_id", "cluster").withColumnRenamed("_id", id_col)
+    return _labelled(pts, points, merges, k, id_col)

@@ -66,14 +66,52 @@ def cluster_profile(df: DataFrame, features, cluster="cluster", decimals: int =
 
 
 def cluster_table(df: DataFrame, features, cluster="cluster", name="name", artist="artist",
-                  pos="pos", decimals: int = 3, separator: str = " — ") -> DataFrame:
-    """A5 + F6 + W6: clusters without noise; size, means and first member as label."""
+                  pos="pos", decimals: int = 3, separator: str = " — ", dominant_of: tuple[str, str, str] | None = None) -> DataFrame:
+    """A5 + F6 + W6: clusters without noise; size, means and first member as label.
+
+    ``dominant_of`` = (category, label, code) adds the columns of ``dominant_labels``,
+    unless no row has a category.
+    """
     label = F.concat_ws(separator, F.col(name), F.col(artist))
-    return (df.filter(F.col(cluster) != -1)
-            .groupBy(cluster)
-            .agg(F.count(F.lit(1)).alias("size"),
-                 *[rnd(F.avg(f), decimals).alias(f"{f}_mean") for f in features],
-                 F.min_by(label, F.col(pos)).alias("representative")))
+    kept = df.filter(F.col(cluster) != -1)
+    table = (kept.groupBy(cluster)
+             .agg(F.count(F.lit(1)).alias("size"),
+                  *[rnd(F.avg(f), decimals).alias(f"{f}_mean") for f in features],
+                  F.min_by(label, F.col(pos)).alias("representative")))
+    if dominant_of is None or df.filter(F.col(dominant_of[0]).cast("string") != "?").isEmpty():
+        return table
+    return table.join(dominant_labels(kept, cluster, *dominant_of), cluster)
+
+
+def dominant_labels(df: DataFrame, group: str, category: str, label: str, code: str, sentinel: str = "?") -> DataFrame:
+    """(group, dominant_category, dominant_code).
+
+    ``dominant_category`` is the most frequent category, a space and the most
+    frequent ``label`` over all rows of the group that have a category;
+    ``dominant_code`` is the most frequent ``code`` among the rows with the top
+    category, codes equal to the sentinel left out. The sentinel stands for what a
+    group lacks. Nulls count as the sentinel in category and code, and are
+    left out of labels; ties go to the smallest value.
+
+    Counts of (group, category, label, code) are combined once; everything else is
+    an aggregation of that small table.
+    """
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(sentinel))
+    cells = df.select(F.col(group).alias("_g"), value(category).alias("_c"), F.col(label).cast("string").alias("_l"), value(code).alias("_k")) \
+        .groupBy("_g", "_c", "_l", "_k").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    valid = cells.where(F.col("_c") != sentinel)
+
+    def mode(table: DataFrame, column: str, out: str) -> DataFrame:
+        counts = table.groupBy("_g", column).agg(F.sum("_n").alias("_n"))
+        return counts.groupBy("_g").agg(F.min_by(F.col(column), F.struct(-F.col("_n"), F.col(column))).alias(out))
+
+    top = mode(valid, "_c", "_top")
+    labels = mode(valid.where("_l IS NOT NULL"), "_l", "_label")
+    codes = mode(valid.join(top, "_g").where((F.col("_c") == F.col("_top")) & (F.col("_k") != sentinel)), "_k", "_code")
+    found = cells.select("_g").distinct().join(top, "_g", "left").join(labels, "_g", "left").join(codes, "_g", "left")
+    both = F.concat_ws(" ", "_top", F.coalesce("_label", F.lit(sentinel)))
+    return found.select(F.col("_g").alias(group), F.when(F.col("_top").isNull(), F.lit(sentinel)).otherwise(both).alias("dominant_category"),
+                        F.coalesce("_code", F.lit(sentinel)).alias("dominant_code"))
 
 
 def correlation_long(df: DataFrame, columns, decimals: int = 2) -> DataFrame:

@@ -25,7 +25,7 @@ from featurelens.operators import features as feat
 from featurelens.operators.density import dbscan
 from featurelens.operators.embed import embed_2d
 from featurelens.operators.forest import isolation_forest
-from featurelens.operators.hierarchy import agglomerative
+from featurelens.operators.hierarchy import agglomerative, linkage_rows
 from featurelens.sources import sinks
 from featurelens.session import shared_dir
 
@@ -34,12 +34,13 @@ ALGOS = ("kmeans", "dbscan", "hierarchical")
 
 def analyse_collection(items: DataFrame, core, *, meta=("release_year",), include_meta: bool = True,
                        algo: str = "kmeans", n_clusters: int = 6, eps: float = 0.5, min_samples: int = 3,
-                       linkage: str = "ward", micro_clusters: int = 500, n_neighbors: int = 15, min_dist: float = 0.1,
+                       linkage: str = "ward", micro_clusters: int | None = None, n_neighbors: int = 15, min_dist: float = 0.1,
                        metric: str = "euclidean", contamination: float = 0.05, seed: int = 42,
                        stats_columns: dict | None = None, profile_columns=None, export: bool = False,
-                       stage_dir: str | None = None, n_epochs: int = 20) -> dict:
+                       stage_dir: str | None = None, n_epochs: int | None = None) -> dict:
     """Run the whole analysis on ``items`` (needs ``row_id``, ``pos``, ``name``,
-    ``artist`` and the ``core`` feature columns)."""
+    ``artist`` and the ``core`` feature columns). ``hierarchical`` clusters the rows
+    themselves; with ``micro_clusters`` it merges so many k-means centres instead."""
     if algo not in ALGOS:
         raise ValueError(f"algo must be one of {ALGOS}")
     spark = items.sparkSession
@@ -75,7 +76,9 @@ def analyse_collection(items: DataFrame, core, *, meta=("release_year",), includ
     elif algo == "dbscan":
         labels = dbscan(emb, "row_id", ["umap_x", "umap_y"], eps, min_samples)
     else:
-        labels = agglomerative(emb, "row_id", ["umap_x", "umap_y"], n_clusters, linkage, micro_clusters=micro_clusters)
+        axes = ["umap_x", "umap_y"]
+        labels = linkage_rows(emb, "row_id", axes, n_clusters, linkage) if micro_clusters is None else \
+            agglomerative(emb, "row_id", axes, n_clusters, linkage, micro_clusters=micro_clusters)
     labels = stage("labels", labels)
 
     # 4. outliers on the usable core features, summaries

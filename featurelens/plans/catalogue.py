@@ -106,6 +106,16 @@ def q_cluster_table(spark, d):
     return profile.cluster_table(oi, ["qty", "price", "total"])
 
 
+@query("cluster_table_keys")
+def q_cluster_table_keys(spark, d):
+    """The cluster table with dominant labels: brand, type over the rows with a brand, size among those of the top brand."""
+    part = load(spark, d, "part").withColumns({
+        "cluster": (F.col("p_size") % 7 - 1).cast("int"),
+        "brand": F.when(F.col("p_partkey") % 5 == 0, F.lit("?")).otherwise(F.col("p_brand")),
+        "code": F.when(F.col("p_partkey") % 3 == 0, F.lit("?")).otherwise(F.col("p_size").cast("string"))})
+    return profile.cluster_table(part, ["p_retailprice"], name="p_name", artist="p_type", pos="p_partkey", dominant_of=("brand", "p_type", "code"))
+
+
 @query("correlation_long")
 def q_correlation_long(spark, d):
     oi = order_items(spark, d).withColumn("const", F.lit(1.0))

@@ -11,7 +11,7 @@ from featurelens.functions.columns import rnd
 from featurelens.operators import cluster, features as feat
 from featurelens.operators.density import dbscan
 from featurelens.operators.forest import isolation_forest
-from featurelens.operators.hierarchy import ward_rows
+from featurelens.operators.hierarchy import linkage_rows, ward_rows
 from featurelens.plans.catalogue import query
 from featurelens.sources.tables import ITEM_FEATURES, load, order_items
 
@@ -99,6 +99,21 @@ def q_agglomerative(spark, d):
     return ward_rows(scaled, "p_partkey", ["p_size", "p_retailprice"], AGG_K)
 
 
+def supplier_points(spark, d):
+    scaled, _ = feat.standardise(load(spark, d, "supplier"), ["s_acctbal", "s_nationkey"], keep=["s_suppkey"])
+    return scaled
+
+
+def _linkage_query(linkage):
+    def run(spark, d):
+        return linkage_rows(supplier_points(spark, d), "s_suppkey", ["s_acctbal", "s_nationkey"], AGG_K, linkage)
+    return run
+
+
+for _linkage in ("single", "average", "complete"):
+    query(f"linkage_{_linkage}")(_linkage_query(_linkage))
+
+
 UMAP_NEIGHBORS = 15
 UMAP_MIN_DIST = 0.1
 UMAP_METRIC = "euclidean"

@@ -136,6 +136,20 @@ SELECT cluster, count(*) AS size, {', '.join(f"{R(f'avg({c})', 3)} AS {c}_mean"
 FROM oi WHERE cluster <> -1 GROUP BY cluster"""
 
 
+SQL["cluster_table_keys"] = f"""WITH p AS (SELECT *, CAST(p_size % 7 - 1 AS INTEGER) AS cluster,
+       CASE WHEN p_partkey % 5 = 0 THEN '?' ELSE p_brand END AS brand, CASE WHEN p_partkey % 3 = 0 THEN '?' ELSE p_size::VARCHAR END AS code FROM part),
+t AS (SELECT cluster, count(*) AS size, {R('avg(p_retailprice)', 3)} AS p_retailprice_mean,
+             arg_min(p_name || ' — ' || p_type, p_partkey) AS representative FROM p WHERE cluster <> -1 GROUP BY cluster),
+k AS (SELECT cluster, brand FROM (SELECT cluster, brand, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, brand) AS r
+      FROM p WHERE brand IS NOT NULL AND brand <> '?' GROUP BY cluster, brand) WHERE r = 1),
+l AS (SELECT cluster, p_type FROM (SELECT cluster, p_type, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, p_type) AS r
+      FROM p WHERE brand IS NOT NULL AND brand <> '?' AND p_type IS NOT NULL GROUP BY cluster, p_type) WHERE r = 1),
+c AS (SELECT cluster, code FROM (SELECT p.cluster, p.code, row_number() OVER (PARTITION BY p.cluster ORDER BY count(*) DESC, p.code) AS r
+      FROM p JOIN k ON p.cluster = k.cluster AND p.brand = k.brand WHERE p.code IS NOT NULL AND p.code <> '?' GROUP BY p.cluster, p.code) WHERE r = 1)
+SELECT t.*, CASE WHEN k.brand IS NULL THEN '?' ELSE k.brand || ' ' || coalesce(l.p_type, '?') END AS dominant_category, coalesce(c.code, '?') AS dominant_code
+FROM t LEFT JOIN k USING (cluster) LEFT JOIN l USING (cluster) LEFT JOIN c USING (cluster)"""
+
+
 @_sql("correlation_long")
 def _():
     cols = ["qty", "price", "disc", "tax", "lines", "total", "bal", "const"]
