@@ -373,13 +373,23 @@ def score(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
 # ---- both models of a table and the scores of that table, in one go
 
 
+def _packed(data: bytes) -> bytes:
+    """Compressed, with the length in front: what is shuffled and written is mostly small counts."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked_bytes(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _small(values: np.ndarray) -> bytes:
-    """Counts in as few bytes as the largest needs, a column after the other."""
+    """Counts in as few bytes as the largest needs, a column after the other, compressed."""
     size = next(n for n in (1, 2, 4, 8) if int(values.max(initial=0)) >> (8 * n) == 0)
-    return bytes([size]) + values.T.astype(f"<u{size}").tobytes()
+    return _packed(bytes([size]) + values.T.astype(f"<u{size}").tobytes())
 
 
 def _from_small(data: bytes, columns: int) -> np.ndarray:
+    data = _unpacked_bytes(data)
     return np.frombuffer(data, f"<u{data[0]}", offset=1).reshape(columns, -1).T.astype(np.int64)
 
 
@@ -410,7 +420,7 @@ def _counted_blocks(texts: DataFrame, parts: int) -> DataFrame:
             first, _, _, keys, counts = _block_pairs(words, ids, size, kinds)
             own = np.stack([np.bincount(first, weights=c, minlength=len(words)) for c in counts.T], axis=1).astype(np.int64)
             runs = np.bincount(first, minlength=len(words))
-            columns = [np.concatenate(names).tobytes(), kinds.tobytes(), size.tobytes(), words.tobytes(), ids,
+            columns = [np.concatenate(names).tobytes(), kinds.tobytes(), size.tobytes(), words.tobytes(), _packed(ids),
                        _small(runs[:, None]), _small(_part(keys, parts)[:, None]), _small(_part(words[:, None], parts)[:, None]), _small(own)]
             return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=list(BLOCK))
 
@@ -475,7 +485,7 @@ def cross_entropy(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
             for i in range(batch.num_rows):
                 block = batch.slice(i, 1).to_pylist()[0]
                 words, lengths, flags = (np.frombuffer(block[c], t) for c, t in (("words", np.uint64), ("lengths", np.int64), ("flags", bool)))
-                _, _, _, keys, counts = _block_pairs(words, block["ids"], lengths, flags)
+                _, _, _, keys, counts = _block_pairs(words, _unpacked_bytes(block["ids"]), lengths, flags)
                 yield packs(block["block"], keys[:, 0], counts, PAIRS)
 
     def add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -538,7 +548,7 @@ def cross_entropy(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
                 rows = table.to_pylist()
                 own = next(r for r in rows if r["kind"] < 0)
                 homes, lengths = _from_small(own["homes"], 1)[:, 0], np.frombuffer(own["lengths"], np.int64)
-                a, b, which = _distinct_pairs(homes, own["ids"], lengths)
+                a, b, which = _distinct_pairs(homes, _unpacked_bytes(own["ids"]), lengths)
                 pairs = _from_small(next(r["values"] for r in rows if r["kind"] == PAIRS), 2)
                 single = _replied(homes, [(r["part"], r["values"]) for r in rows if r["kind"] == WORDS], lambda v: _from_small(v, 4))
                 found = _losses(single, pairs, a, b, which, lengths, tokens, symbols, discount)
