@@ -4,17 +4,28 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Two
 documents link when Jaccard similarity is at least ``percent`` / 100; the
 result is each document's component under links.
 
-1. *Prefixes.* Elements are put in order of rarity: classes of the logarithm of
+Two exact filters make candidate clusters, by ``percent``:
+
+1a. *Bands and parts* (from ``PARTS_FROM`` percent, where parts hold many elements).
+   Sets go into size bands; those that can link into the next band visit it too.
+   Linked sets of a band differ in at most H elements, so of H + 1 + z parts of the
+   hash space at least z + 1 are equal. A set gives a key (band, part, hash of the
+   part) for each part that is not small (fewer than up to ``LEAST_IN_PART``
+   elements, by band). Elements that very many sets share (found by counts of 2^18
+   hash buckets over all documents) are left out of these parts. A set with more
+   than z small parts also gives keys of parts with all elements, and for small ones
+   too if more than z are small again. So linked sets always share a key. Keys are
+   combined per slice before they are shuffled.
+1b. *Prefixes* (below). Elements are put in order of rarity: classes of the logarithm of
    the count of 2^20 hash buckets over all documents, then the hash. Of two sets
    that can link, the first size - ceil(percent * size) + 1 elements (prefixes) share
    one. At an element shared by prefixes, two sets are held against the length
    filter and the positional filter (what is left of both must suffice). A passage
    that many documents share comes late in this order, so only sets that hold
-   little else have it in their prefixes.
-2. *Clusters.* Prefixes are packed per slice and dealt out by element; each task
-   sends the connected sets of its passing pairs, as one edge a set (at elements of
-   more than 1,024 sets all of them count as connected, which only makes a cluster
-   larger). Edges join sets into candidate clusters; links exist only inside.
+   little else have it in their prefixes. Each task sends the connected sets of its
+   passing pairs, as one edge a set (at elements of more than 1,024 sets all of them
+   count as connected, which only makes a cluster larger).
+2. *Clusters.* Edges join sets into candidate clusters; links exist only inside.
 3. *Tiles.* A cluster is cut into tiles by size band and slot so that a tile
    holds a bounded number of rows and n-grams; each pair of tiles whose sizes
    can link is compared once. In a tile every set has a hashed bitmap:
@@ -49,6 +60,10 @@ from featurelens.llm.staging import cut, fresh, prepare, text_or_empty
 from featurelens.operators.density import connected_components
 from featurelens.operators.sizes import broadcast_if_small
 
+PARTS_FROM = 90
+LEAST_IN_PART = 3
+HEAVY_BITS = 18
+PACK_GRAMS = 8_000_000
 RARITY_BITS = 20
 RARITY_CHUNKS = 64
 PACK_ENTRIES = 2_000_000
@@ -105,6 +120,79 @@ def set_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+class Bands:
+    """Size bands and, for each, how many parts its sets are cut into."""
+
+    def __init__(self, percent: int, top: int):
+        self.percent = percent
+        edges = [1]
+        # wide bands have fewer visitors, narrow ones larger parts; linkable sizes are at most one band apart
+        ratio = 1.5 if percent >= 90 else max(1.25, 100 / percent)
+        while edges[-1] <= top * 2:
+            edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * ratio)))
+        self.edges = np.array(edges, np.int64)
+        plan = [self._plan(int(a), int(b) - 1) for a, b in zip(edges[:-1], edges[1:])]
+        self.parts, self.spare, self.least = (np.array(x, np.int64) for x in zip(*plan))
+
+    def _plan(self, low: int, high: int) -> tuple[int, int, int]:
+        """Parts, how many small parts a set may have before it must give keys for them, and what is small.
+
+        As large a least size as lets but one set in about 10,000 have more.
+        """
+        differ = 2 * high * (100 - self.percent) // (100 + self.percent)
+        for least in range(LEAST_IN_PART, 0, -1):
+            for spare in range(differ + 2 if differ else 0):
+                parts = differ + 1 + spare
+                mean = low * self.percent / 100 / parts
+                small = parts * sum(math.exp(-mean) * mean ** i / math.factorial(i) for i in range(least))
+                if small + 4 * math.sqrt(small) <= spare + 0.05:
+                    return parts, spare, least
+        return differ + 1, 0, 1
+
+    def of(self, sizes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, sizes, side="right") - 1
+
+    def keys(self, values: np.ndarray, at: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all sets and the set each belongs to; ``heavy`` marks buckets of very common elements.
+
+        Where linked sets cannot differ (H = 0) they have one name and need no key.
+        """
+        sizes = np.diff(at)
+        rows = np.flatnonzero(sizes)
+        own = self.of(sizes[rows])
+        visit = sizes[rows] * 100 // self.percent >= self.edges[own + 1]
+        rows, band = np.concatenate([rows, rows[visit]]), np.concatenate([own, own[visit] + 1])
+        several = self.parts[band] > 1
+        rows, band = rows[several], band[several]
+        light = ~heavy[(values >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)]
+        light_at = np.concatenate([[0], np.cumsum(light)])[at]
+        keys, owner, many = self._parts(values[light], light_at, rows, band, 0)
+        again, its, _ = self._parts(values, at, rows[many], band[many], 1)
+        return np.concatenate([keys, again]), np.concatenate([owner, its])
+
+    def _parts(self, values, at, rows, band, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, their sets, and which entries have too many small parts (of kind 1 these give keys for them)."""
+        if not len(rows):
+            return np.zeros(0, np.uint64), rows, np.zeros(0, bool)
+        parts, lens = self.parts[band], np.diff(at)[rows]
+        base = np.cumsum(parts) - parts
+        element = mix(values[ranges_index(at[rows], lens)] ^ np.repeat(mix(band.astype(np.uint64) + _K[1]), lens))
+        slot = np.repeat(base, lens) + ((element >> np.uint64(33)).astype(np.int64) % np.repeat(parts, lens))
+        total = int(parts.sum())
+        count = np.bincount(slot, minlength=total)
+        sums = np.zeros(total, np.uint64)
+        with np.errstate(over="ignore"):
+            np.add.at(sums, slot, mix(element ^ _K[2]))
+            entry = np.repeat(np.arange(len(rows)), parts)
+            number = np.arange(total) - np.repeat(base, parts)
+            small = count < np.repeat(self.least[band], parts)
+            many = np.bincount(entry[small], minlength=len(rows)) > self.spare[band]
+            emit = ~small | many[entry] if kind else ~small
+            name = mix((band.astype(np.uint64) << np.uint64(32))[entry] + number.astype(np.uint64) + _K[3 - kind])
+            keys = mix(sums + name * _K[4])
+        return keys[emit], rows[entry[emit]], many
+
+
 def prefixes(values: np.ndarray, at: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of the elements in each set's prefix, the set each belongs to and its place in order of rarity."""
     keys = (classes[(values >> np.uint64(64 - RARITY_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
@@ -265,7 +353,84 @@ def _rarity(texts: DataFrame, n: int) -> np.ndarray:
     return classes.ravel()
 
 
-def _clusters(df: DataFrame, sets: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
+def _heavy_buckets(texts: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Hash buckets with far more elements than most, and the number of elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << HEAVY_BITS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "_t"):
+                values, _ = gram_sets(part.column("_t"), n)
+                counts += np.bincount((values >> np.uint64(64 - HEAVY_BITS)).astype(np.int64), minlength=len(counts))
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], names=["bucket", "n"])
+
+    rows = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2^18 at most
+    counts = np.zeros(1 << HEAVY_BITS, np.int64)
+    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    middle = np.median(counts)
+    spread = 1.4826 * np.median(np.abs(counts - middle))
+    return counts > middle + 8 * spread + 20, int(counts.sum())
+
+
+def _part_clusters(df: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
+    """(sid, cluster) of all sets that share a key with another set."""
+    spark = df.sparkSession
+    texts = df.select(text_or_empty(text_col).alias("_t"))
+    heavy, grams = _heavy_buckets(texts, n)
+    shared = spark.sparkContext.broadcast(heavy)  # 2^18 flags
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grams // PACK_GRAMS)
+    bits = max(4, (4 * partitions - 1).bit_length())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, turn = None, 0
+        for batch in batches:
+            for part in slices(batch, "_t"):
+                values, at = gram_sets(part.column("_t"), n)
+                top = int(np.diff(at).max(initial=1))
+                if bands is None or bands.edges[-1] <= top * 2:
+                    bands = Bands(percent, max(top, 1 << 16))
+                keys, owner = bands.keys(values, at, shared.value)
+                keys, sids, edges = _combined(keys, set_ids(values, at).view(np.int64)[owner])
+                ends = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(1, (1 << bits) + 1).astype(np.uint64))
+                rows = [(i, False, keys[a:b].tobytes(), sids[a:b].tobytes()) for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)) if b > a]
+                if len(edges):
+                    turn += 1
+                    rows.append((turn * 7919 % (1 << bits), True, edges[:, 0].tobytes(), edges[:, 1].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary()))],
+                                                 names=["part", "edge", "keys", "sids"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sids, edges = [], [], []
+        for batch in batches:
+            for edge, k, v in zip(batch.column("edge").to_pylist(), batch.column("keys").to_pylist(), batch.column("sids").to_pylist()):
+                if edge:
+                    edges.append(np.stack([np.frombuffer(k, np.int64), np.frombuffer(v, np.int64)], axis=1))
+                else:
+                    keys.append(np.frombuffer(k, np.uint64))
+                    sids.append(np.frombuffer(v, np.int64))
+        if keys:
+            edges.append(_combined(np.concatenate(keys), np.concatenate(sids))[2])
+        found = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    packs = texts.mapInArrow(pack, "part int, edge boolean, keys binary, sids binary")
+    edges = packs.repartition(partitions, "part").mapInArrow(match, "a long, b long").distinct()
+    return cut(connected_components(edges, "a", "b").select(F.col("_id").alias("sid"), F.col("comp").alias("cluster")))
+
+
+def _combined(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted keys with their smallest set, and edges from the other sets of a key to that one."""
+    order = np.lexsort((sids, keys))
+    keys, sids = keys[order], sids[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    head = sids[first][np.cumsum(first) - 1] if len(keys) else sids
+    other = head != sids
+    return keys[first], sids[first], np.unique(np.stack([sids[other], head[other]], axis=1), axis=0)
+
+
+def _prefix_clusters(df: DataFrame, sets: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
     """(sid, cluster) of all sets that pass the filters with another set at an element of their prefixes."""
     spark = df.sparkSession
     texts = df.select(text_or_empty(text_col).alias("_t"))
@@ -313,7 +478,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, ti
         raise ValueError(f"percent must be from 50 to 100: {percent}")
     prepare(df.sparkSession)
     sets = cut(_named(df, id_col, text_col, n))
-    members = _clusters(df, sets, text_col, n, percent)
+    members = _part_clusters(df, text_col, n, percent) if percent >= PARTS_FROM else _prefix_clusters(df, sets, text_col, n, percent)
     roots = _linked(df, sets, members, id_col, text_col, n, percent, tile_rows, tile_grams)
     full = sets.where("n > 0")
     least = full.groupBy("sid").agg(F.min("_id").alias("_least")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -89,6 +89,39 @@ def test_ngram_components(spark, n, percent, tile_rows):
         assert ngram_join.components(table(spark, [])).count() == 0
 
 
+def test_linked_sets_share_a_key():
+    import numpy as np
+
+    rng = random.Random(4)
+    heavies = [np.zeros(1 << 18, bool), np.arange(1 << 18) % 2 == 0, np.ones(1 << 18, bool)]
+    for percent in (80, 90):
+        bands = ngram_join.Bands(percent, 1 << 12)
+        for size in [*range(1, 60), 150, 400, 1500]:
+            a = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], np.uint64))
+            drop = rng.randrange(size * (100 - percent) // 100 + 1)
+            b = np.unique(np.r_[a[drop:], np.array([rng.getrandbits(64) for _ in range(size * (100 - percent) // 100 - drop)], np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if np.array_equal(a, b) or 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            keys, owner = bands.keys(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), rng.choice(heavies))
+            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+
+
+@pytest.mark.parametrize("percent", [50, 60, 75, 79, 80, 90])
+def test_subsets_of_the_least_size_share_a_key(percent):
+    import numpy as np
+
+    rng = random.Random(percent)
+    bands = ngram_join.Bands(percent, 1 << 10)
+    light = np.zeros(1 << 18, bool)
+    for size in [*range(2, 130), 300, 700]:
+        a = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], np.uint64))
+        b = np.sort(np.array(rng.sample(a.tolist(), -(-size * percent // 100)), np.uint64))
+        if len(b) < len(a):
+            keys, owner = bands.keys(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), light)
+            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()), (size, len(b))
+
+
 def _passing(a, b, percent, classes):
     """Whether the prefixes of two sets lead to an edge between them."""
     import numpy as np
@@ -98,7 +131,7 @@ def _passing(a, b, percent, classes):
     return len(ngram_join.candidates(keys, owner + 1, sizes[owner], places, percent)) == 1
 
 
-def test_linked_sets_share_a_key():
+def test_prefixes_of_linked_sets_pass():
     import numpy as np
 
     rng = random.Random(4)
@@ -116,7 +149,7 @@ def test_linked_sets_share_a_key():
 
 
 @pytest.mark.parametrize("percent", [50, 60, 75, 79, 80, 90])
-def test_subsets_of_the_least_size_share_a_key(percent):
+def test_prefixes_of_the_smallest_subsets_pass(percent):
     import numpy as np
 
     rng = random.Random(percent)
