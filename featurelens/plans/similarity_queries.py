@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featurelens.functions.columns import rnd
-from featurelens.operators import explore, features as feat, outliers, positions, quality, similarity
+from featurelens.operators import explore, features as feat, neighbours, outliers, positions, quality, similarity
 from featurelens.plans.catalogue import query
 from featurelens.sources.tables import ITEM_FEATURES, load, order_items
 
@@ -52,7 +52,7 @@ def q_similar_by_name(spark, d):
 
 @query("knn_all")
 def q_knn_all(spark, d):
-    return similarity.knn_all(embeddings(spark, d), "vec_id", "embedding", K)
+    return neighbours.nearest(embeddings(spark, d), "vec_id", "embedding", K)
 
 
 @query("representatives")
