@@ -198,10 +198,17 @@ def kmeans(df: DataFrame, id_col: str, cols, k: int = 6, n_init: int = 12, seed:
     return relabel_by_first(labels, "_id", "cluster").withColumnRenamed("_id", id_col)
 
 
-def optimal_k(df: DataFrame, id_col: str, cols, ks=range(2, 11), n_init: int = 12, seed: int = 42) -> DataFrame:
+def optimal_k(df: DataFrame, id_col: str, cols, ks=range(2, 11), n_init: int = 12, seed: int = 42,
+              measure: str = "silhouette") -> DataFrame:
     """M10 + T6: per k the silhouette, Davies-Bouldin and inertia of the best
-    restart; ``best`` marks the k with the highest silhouette (first on ties)."""
-    from featurelens.operators.quality import davies_bouldin, silhouette
+    restart; ``best`` marks the k with the highest silhouette (first on ties).
+
+    ``measure="silhouette_squared"`` takes the closed form, linear in the rows,
+    for tables where all pairs are out of reach; the column has its name."""
+    from featurelens.operators.quality import davies_bouldin, silhouette, silhouette_squared
+
+    if measure not in ("silhouette", "silhouette_squared"):
+        raise ValueError(f"no such measure: {measure}")
 
     ks = list(ks)
     best, pts = kmeans_runs(df, id_col, cols, ks, n_init, seed)
@@ -213,14 +220,15 @@ def optimal_k(df: DataFrame, id_col: str, cols, ks=range(2, 11), n_init: int = 1
     usable = [k for k in ks if counts[f"k{k}"] >= 2]
     spark = df.sparkSession
     if not usable:
-        return spark.createDataFrame([], "k int, silhouette double, davies_bouldin double, inertia double, best boolean")
+        return spark.createDataFrame([], f"k int, {measure} double, davies_bouldin double, inertia double, best boolean")
     names = [f"k{k}" for k in usable]
-    sil = {r["labelling"]: r["silhouette"] for r in silhouette(labelled, "_id", names, "_x").collect()}
+    judge = silhouette if measure == "silhouette" else silhouette_squared
+    sil = {r["labelling"]: r[measure] for r in judge(labelled, "_id", names, "_x").collect()}
     dbi = {r["labelling"]: r["davies_bouldin"] for r in davies_bouldin(labelled, names, "_x").collect()}
     rows = []
     for k in usable:
         inertia = float(np.rint(best[k][1] * 100) / 100)
         rows.append((k, sil[f"k{k}"], dbi[f"k{k}"], inertia))
-    res = spark.createDataFrame(rows, "k int, silhouette double, davies_bouldin double, inertia double")
+    res = spark.createDataFrame(rows, f"k int, {measure} double, davies_bouldin double, inertia double")
     top = max(rows, key=lambda r: (r[1] if r[1] is not None else -math.inf, -r[0]))[0]
     return res.withColumn("best", F.col("k") == F.lit(top))

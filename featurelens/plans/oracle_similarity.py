@@ -109,6 +109,9 @@ s AS (SELECT CASE WHEN sz.n <= 1 THEN 0.0::DOUBLE
              r.b FROM r JOIN sz ON r.own = sz.label)
 SELECT CASE WHEN count(b) > 0 THEN {R('avg(s)', 4)} END AS silhouette FROM s"""
 
+SQL["silhouette_squared"] = SQL["silhouette_exact"].replace(
+    "list_distance(a.v, b.v) AS dist", "pow(list_distance(a.v, b.v), 2) AS dist").replace("AS silhouette FROM s", "AS silhouette_squared FROM s")
+
 
 def _scores():
     cols = ITEM_FEATURES

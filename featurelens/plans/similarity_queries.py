@@ -90,6 +90,11 @@ def q_silhouette_exact(spark, d):
     return quality.silhouette(embeddings(spark, d), "vec_id", ["label"], "embedding").select("silhouette")
 
 
+@query("silhouette_squared")
+def q_silhouette_squared(spark, d):
+    return quality.silhouette_squared(embeddings(spark, d), "vec_id", ["label"], "embedding").select("silhouette_squared")
+
+
 def item_scores(spark, d):
     """score = -sum(z^2) over the median-filled, standardised item features."""
     matrix, cols = feat.outlier_matrix(order_items(spark, d), ITEM_FEATURES, keep=("row_id",))
