@@ -14,6 +14,8 @@ point itself, noise -1) as Spark jobs.
   neighbours for the border rule.
 * Components over the star edges: min-label propagation with pointer
   jumping, checkpointed every round, capped and failing loudly.
+* Above three dimensions, rings around pivots take the place of the grid
+  (``dbscan_vectors``).
 * Cluster numbers follow the smallest member id; a border point takes the
   smallest cluster number among its core neighbours.
 """
@@ -28,7 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featurelens.functions.columns import to_double_array
 from featurelens.operators import blocks
+from featurelens.operators.neighbours import Meetings
 from featurelens.operators.positions import dense_index
 from featurelens.session import ensure_code, remove_path, shared_dir
 
@@ -36,6 +40,8 @@ MAX_ROUNDS = 60
 BUCKET_ROWS = 50_000     # rows per pandas call when batching small work groups
 
 
+GRID_DIMENSIONS = 3      # beyond these a cell has too many neighbours (3^d)
+
 LOW, HIGH, BOTH = 0, 1, 2
 
 
@@ -114,6 +120,9 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
         raise ValueError("eps must be > 0 and min_samples >= 1")
     cols = list(cols)
     d = len(cols)
+    if d > GRID_DIMENSIONS:
+        one = df.select(F.col(id_col), F.array(*[F.col(c).cast("double") for c in cols]).alias("_row"))
+        return dbscan_vectors(one.where(F.forall("_row", lambda x: x.isNotNull())), id_col, "_row", eps, min_samples, block_rows)
     pts = df.select(F.col(id_col).cast("long").alias("_id"),
                     F.array(*[F.col(c).cast("double") for c in cols]).alias("_x")).dropna().checkpoint()
     n = pts.count()
@@ -238,6 +247,88 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
     return out
 
 
+def _near(guest: pd.DataFrame, host: pd.DataFrame, eps: float) -> np.ndarray:
+    return blocks.euclidean(blocks.stack(guest["_v"]), blocks.stack(host["_v"]), 32) ** 2 <= eps * eps
+
+
+def _local_edges(eps: float):
+    """Group function on core flags: core rows -> smallest id of their component here (kind 0), border rows -> core rows (kind 1)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        guest, host = pdf[pdf["_guest"]], pdf[~pdf["_guest"] & pdf["_core"]]
+        none = pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "kind": np.zeros(0, np.int32)})
+        if not len(guest) or not len(host):
+            return none
+        near, core = _near(guest, host, eps), guest["_core"].to_numpy()
+        gid, hid = guest["_id"].to_numpy(), host["_id"].to_numpy()
+        row, col = np.nonzero(near[~core])
+        border = (gid[~core][row], hid[col])
+        gid, near = gid[core], near[core]
+        inner, outer = near.any(axis=1), near.any(axis=0)
+        gid, hid, near = gid[inner], hid[outer], near[np.ix_(inner, outer)]
+        most = np.iinfo(np.int64).max
+        glab, hlab = gid, hid
+        while len(gid):
+            glab = np.minimum(glab, np.where(near, hlab[None, :], most).min(axis=1))
+            new = np.minimum(hlab, np.where(near, glab[:, None], most).min(axis=0))
+            if np.array_equal(new, hlab):
+                break
+            hlab = new
+        src, dst = np.concatenate([gid, hid, border[0]]), np.concatenate([glab, hlab, border[1]])
+        return pd.DataFrame({"src": src, "dst": dst, "kind": np.repeat([0, 1], [len(gid) + len(hid), len(row)]).astype(np.int32)})
+
+    return run
+
+
+def dbscan_vectors(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_samples: int = 3,
+                   block_rows: int = 1024, max_pivots: int = 1024) -> DataFrame:
+    """M8 + J7 for vectors of any width: (id, cluster) with noise as -1.
+
+    Neighbours meet in rings around pivots (``neighbours.Meetings``) instead
+    of adjacent cells, whose number grows as 3^d. Equal vectors are one point
+    with a weight, so any number of copies costs no pairs.
+
+    Ids are distinct whole numbers. Rows with a null id, a null vector or an
+    entry that is null or not finite are left out; an empty table gives an
+    empty result. A border row takes the smallest cluster number among its
+    core neighbours.
+    """
+    if eps is None or eps <= 0 or min_samples is None or min_samples < 1:
+        raise ValueError("eps must be > 0 and min_samples >= 1")
+    ensure_code(df.sparkSession)
+    usable = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
+    pts = df.select(F.col(id_col).cast("long").alias("_key"), to_double_array(vec_col).alias("_v")).where("_key IS NOT NULL")
+    # 0.0 + x makes both zeros one
+    pts = pts.where(F.coalesce(usable, F.lit(False))).withColumn("_v", F.transform("_v", lambda x: x + F.lit(0.0))).checkpoint()
+    places = pts.groupBy("_v").agg(F.min("_key").alias("_id"), F.count(F.lit(1)).alias("_w")).checkpoint()
+    n = places.count()
+    if not n:
+        return pts.select(F.col("_key").alias(id_col), F.lit(-1).alias("cluster"))
+    meetings = Meetings(places.select("_id", "_v"), n, eps, "euclidean", block_rows, max_pivots)
+    eps = float(eps)
+
+    def degrees(pdf: pd.DataFrame) -> pd.DataFrame:
+        guest, host = pdf[pdf["_guest"]], pdf[~pdf["_guest"]]
+        if not len(guest) or not len(host):
+            return pd.DataFrame({"_id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+        return pd.DataFrame({"_id": guest["_id"].to_numpy(), "n": _near(guest, host, eps) @ host["_w"].to_numpy()})
+
+    weighted = meetings.rows.join(places.select("_id", "_w"), "_id").checkpoint()
+    degree = meetings.groups(weighted, ["_w"]).groupBy("_zone", "_part", "_group").applyInPandas(degrees, "_id long, n long")
+    core = degree.groupBy("_id").agg((F.sum("n") >= min_samples).alias("_core"))
+    flagged = weighted.drop("_w").join(core, "_id").checkpoint()
+    edges = meetings.groups(flagged, ["_core"]).groupBy("_zone", "_part", "_group").applyInPandas(
+        _local_edges(eps), "src long, dst long, kind int").checkpoint()
+    comp = connected_components(edges.where("kind = 0").select("src", "dst").distinct())
+    firsts = comp.groupBy("comp").agg(F.min("_id").alias("_first"))
+    numbered = dense_index(firsts, "_first", out="cluster").select("comp", F.col("cluster").cast("int"))
+    labels = comp.join(numbered, "comp").select("_id", "cluster")
+    border = edges.where("kind = 1").select(F.col("src").alias("_b"), F.col("dst").alias("_id")).join(labels, "_id") \
+        .groupBy(F.col("_b").alias("_id")).agg(F.min("cluster").alias("cluster"))
+    known = places.select("_id", F.col("_v")).join(labels.unionByName(border), "_id").drop("_id")
+    return pts.join(known, "_v", "left").select(F.col("_key").alias(id_col), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(``_id``, ``comp`` = smallest id in the component) for every node of ``edges``.
 

@@ -127,8 +127,11 @@ def _own(k: int, metric: str):
     return run
 
 
-def _routes(pivots: np.ndarray, zones: pd.DataFrame, k: int, metric: str):
-    """Function from a batch of rows to pieces of (row number, zone) that must be visited."""
+def _routes(pivots: np.ndarray, zones: pd.DataFrame, k: float, metric: str, home: bool = False):
+    """Function from a batch of rows to pieces of (row number, zone) that must be visited.
+
+    With ``home`` that includes a row's own zone where it has one part only.
+    """
     cell, lo, hi = zones["_cell"].to_numpy(), zones["lo"].to_numpy(), zones["hi"].to_numpy()
     many, single = zones["n"].to_numpy() > k, zones["parts"].to_numpy() == 1
     step = max(1, CHUNK_VALUES // max(len(zones), pivots.size, 1))
@@ -143,8 +146,8 @@ def _routes(pivots: np.ndarray, zones: pd.DataFrame, k: int, metric: str):
             to = away[:, cell]
             least = np.maximum(np.maximum(to - hi, lo - to), (to - away.min(axis=1)[:, None]) / 2)
             visit = least <= (bound + _slack(metric, bound) + _slack(metric, away.max(axis=1)))[:, None]
-            home = piece["_zone"].to_numpy()
-            visit[np.arange(len(piece)), home] = ~single[home]
+            own = piece["_zone"].to_numpy()
+            visit[np.arange(len(piece)), own] = home | ~single[own]
             row, zone = np.nonzero(visit)
             yield row + s, zone
 
@@ -167,14 +170,11 @@ def _guests(k: int, metric: str):
     return run
 
 
-def _pruned(data: DataFrame, n: int, k: int, metric: str, block_rows: int, max_pivots: int, figures: dict) -> DataFrame:
-    """(_id, nbr, cost): candidates that hold the ``k`` nearest of every row of ``data``."""
-    pivots = _pivots(data, metric, min(max_pivots, math.ceil(n / block_rows)))
-    homed, zones = _with_zones(data, pivots, metric, block_rows)
-    first = homed.groupBy("_zone", "_part").applyInPandas(
-        _own(k, metric), "_id long, _v array<double>, _zone int, _part int, _nbrs array<long>, _costs array<double>, _bound double").checkpoint()
-    own = first.select("_id", F.explode(F.arrays_zip(F.col("_nbrs").alias("nbr"), F.col("_costs").alias("cost"))).alias("o")).select("_id", "o.*")
-    routes = _routes(pivots, zones, k, metric)
+def _meet(first: DataFrame, routes, zones: pd.DataFrame, block_rows: int, figures: dict, keep, home: bool = False) -> DataFrame:
+    """Groups (_zone, _part, _group) of a part's rows and the visitors (``_guest``) it gets, counted first.
+
+    With ``home`` rows visit their own part too.
+    """
 
     def counted(batches):
         total = np.zeros(len(zones), np.int64)
@@ -190,35 +190,64 @@ def _pruned(data: DataFrame, n: int, k: int, metric: str, block_rows: int, max_p
     parts = zones["parts"].to_numpy()
     groups = np.maximum(1, np.ceil(visitors / block_rows)).astype(np.int64)
     figures["copies"] = int((visitors * parts).sum() + (zones["n"].to_numpy() * groups * (visitors > 0)).sum())
-    figures["pivots"] = len(pivots)
-    if not visitors.any():
-        return own
+    sizes = pd.DataFrame({"_zone": zones["_zone"], "_parts": parts, "_groups": groups, "_any": visitors > 0})
+    sizes = F.broadcast(first.sparkSession.createDataFrame(sizes, "_zone int, _parts int, _groups long, _any boolean"))  # a row a zone
+    carried = ["_id", "_v", *keep]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.select(*carried).schema)
 
     def sent(batches):
         for pdf in batches:
             for row, zone in routes(pdf):
                 for s in range(0, len(row), _EMIT_ROWS):
                     at = pdf.iloc[row[s:s + _EMIT_ROWS]]
-                    yield pd.DataFrame({"_id": at["_id"].to_numpy(), "_v": at["_v"].to_numpy(), "_bound": at["_bound"].to_numpy(),
-                                        "_hzone": at["_zone"].to_numpy(), "_hpart": at["_part"].to_numpy(),
-                                        "_zone": zone[s:s + _EMIT_ROWS].astype(np.int32)})
+                    yield at[carried].assign(_hzone=at["_zone"], _hpart=at["_part"], _zone=zone[s:s + _EMIT_ROWS].astype(np.int32))
 
-    spark = data.sparkSession
-    sizes = pd.DataFrame({"_zone": zones["_zone"], "_parts": parts, "_groups": groups, "_any": visitors > 0})
-    sizes = F.broadcast(spark.createDataFrame(sizes, "_zone int, _parts int, _groups long, _any boolean"))  # a row a zone
     upto = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    guests = first.select("_id", "_v", "_bound", "_zone", "_part").mapInPandas(
-        sent, "_id long, _v array<double>, _bound double, _hzone int, _hpart int, _zone int")
+    guests = first.mapInPandas(sent, f"{schema}, _hzone int, _hpart int, _zone int")
     guests = guests.join(sizes, "_zone").withColumn("_part", upto("_parts"))
-    guests = guests.where((F.col("_zone") != F.col("_hzone")) | (F.col("_part") != F.col("_hpart"))).withColumn(
-        "_group", F.pmod(F.xxhash64("_id", F.lit(17)), F.col("_groups")).cast("int"))
+    if not home:
+        guests = guests.where((F.col("_zone") != F.col("_hzone")) | (F.col("_part") != F.col("_hpart")))
+    guests = guests.withColumn("_group", F.pmod(F.xxhash64("_id", F.lit(17)), F.col("_groups")).cast("int"))
     hosts = first.join(sizes, "_zone").where("_any").withColumn("_group", upto("_groups"))
-    both = guests.select("_id", "_v", "_bound", "_zone", "_part", "_group", F.lit(True).alias("_guest")).unionByName(
-        hosts.select("_id", "_v", "_bound", "_zone", "_part", "_group", F.lit(False).alias("_guest")))
+    side = lambda rows, guest: rows.select(*carried, "_zone", "_part", "_group", F.lit(guest).alias("_guest"))
+    return side(guests, True).unionByName(side(hosts, False))
+
+
+def _pruned(data: DataFrame, n: int, k: int, metric: str, block_rows: int, max_pivots: int, figures: dict) -> DataFrame:
+    """(_id, nbr, cost): candidates that hold the ``k`` nearest of every row of ``data``."""
+    pivots = _pivots(data, metric, min(max_pivots, math.ceil(n / block_rows)))
+    homed, zones = _with_zones(data, pivots, metric, block_rows)
+    first = homed.groupBy("_zone", "_part").applyInPandas(
+        _own(k, metric), "_id long, _v array<double>, _zone int, _part int, _nbrs array<long>, _costs array<double>, _bound double").checkpoint()
+    own = first.select("_id", F.explode(F.arrays_zip(F.col("_nbrs").alias("nbr"), F.col("_costs").alias("cost"))).alias("o")).select("_id", "o.*")
+    routes = _routes(pivots, zones, k, metric)
+
+    both = _meet(first, routes, zones, block_rows, figures, ["_bound"])
+    figures["pivots"] = len(pivots)
     found = both.groupBy("_zone", "_part", "_group").applyInPandas(_guests(k, metric), "_id long, nbr long, cost double")
     return own.unionByName(found)
 
 
+class Meetings:
+    """Groups in which all pairs of rows within ``radius`` of each other meet.
+
+    ``data`` has distinct ``_id`` and finite vectors ``_v``. A row is a guest
+    of every part that may hold such a row, its own part included.
+    """
+
+    def __init__(self, data: DataFrame, n: int, radius: float, metric: str = "euclidean", block_rows: int = blocks.DEFAULT_BLOCK_ROWS, max_pivots: int = 1024):
+        self.figures: dict = {}
+        self.block_rows = block_rows
+        pivots = _pivots(data, metric, min(max_pivots, math.ceil(n / block_rows)))
+        homed, self.zones = _with_zones(data, pivots, metric, block_rows)
+        self.rows = homed.withColumn("_bound", F.lit(float(radius))).checkpoint()
+        self.routes = _routes(pivots, self.zones, math.inf, metric, home=True)
+
+    def groups(self, rows: DataFrame | None = None, keep=()) -> DataFrame:
+        """(_id, _v, *keep, _zone, _part, _group, _guest) for ``self.rows``, or a form of it with further columns."""
+        return _meet(self.rows if rows is None else rows, self.routes, self.zones, self.block_rows, self.figures, list(keep), home=True)
+
+
 def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, metric: str = "cosine", zero_norm: float = 0.0,
             block_rows: int = blocks.DEFAULT_BLOCK_ROWS, max_pivots: int = 1024, figures: dict | None = None) -> DataFrame:
     """Exact ``k`` nearest other rows of every row: (id, rank, nbr, similarity or distance).

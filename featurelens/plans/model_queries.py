@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from featurelens.functions.columns import rnd
 from featurelens.operators import cluster, features as feat
-from featurelens.operators.density import dbscan
+from featurelens.operators.density import dbscan, dbscan_vectors
 from featurelens.operators.forest import isolation_forest
 from featurelens.operators.hierarchy import linkage_rows, ward_rows
 from featurelens.plans.catalogue import query
@@ -82,6 +82,15 @@ def q_dbscan(spark, d):
     return dbscan(part_points(spark, d), "p_partkey", ["p_size", "p_retailprice"], DBSCAN_EPS, DBSCAN_MIN)
 
 
+VECTOR_EPS = 1.12
+
+
+@query("dbscan_vectors")
+def q_dbscan_vectors(spark, d):
+    """Density clusters of the whole vectors."""
+    return dbscan_vectors(load(spark, d, "embeddings"), "vec_id", "embedding", VECTOR_EPS, DBSCAN_MIN)
+
+
 @query("dbscan_summary")
 def q_dbscan_summary(spark, d):
     lab = dbscan(part_points(spark, d), "p_partkey", ["p_size", "p_retailprice"], DBSCAN_EPS, DBSCAN_MIN)

@@ -3,7 +3,7 @@ closure over core-core edges (feasible at the check scale only)."""
 
 from __future__ import annotations
 
-from featurelens.plans.model_queries import DBSCAN_EPS, DBSCAN_MIN
+from featurelens.plans.model_queries import DBSCAN_EPS, DBSCAN_MIN, VECTOR_EPS
 from featurelens.plans.oracle import D, SQL
 
 _Z = {c: f"(CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in ("p_size", "p_retailprice")}
@@ -27,3 +27,8 @@ SQL["dbscan"] = f"{DBSCAN_BASE}\nSELECT p_partkey, cluster FROM lab"
 SQL["dbscan_summary"] = f"""{DBSCAN_BASE}
 SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters,
        count(*) FILTER (WHERE cluster = -1) AS n_noise FROM lab"""
+
+SQL["dbscan_vectors"] = DBSCAN_BASE.replace(DBSCAN_BASE[:DBSCAN_BASE.index("deg AS")], f"""WITH RECURSIVE p AS (
+    SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+near AS (SELECT x.id AS src, y.id AS dst FROM p x JOIN p y ON list_distance(x.v, y.v) <= {D(VECTOR_EPS)}),
+""").replace("p_partkey", "vec_id") + "\nSELECT vec_id, cluster FROM lab"

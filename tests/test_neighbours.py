@@ -3,8 +3,11 @@
 import numpy as np
 import pytest
 
+from featurelens.operators.density import dbscan, dbscan_vectors
 from featurelens.operators.neighbours import METRICS, nearest
 
+from test_models import brute_dbscan
+
 
 def frame(spark, vectors, ids=None):
     ids = range(len(vectors)) if ids is None else ids
@@ -79,3 +82,30 @@ def test_zero_vectors_nulls_and_empty_tables(spark):
         nearest(holes, "id", "v", 0)
     with pytest.raises(ValueError):
         nearest(holes, "id", "v", 1, "hamming")
+
+
+def labels(df):
+    return [r["cluster"] for r in sorted(df.collect(), key=lambda r: r["id"])]
+
+
+def test_density_clusters_of_wide_vectors_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    chain = np.zeros((60, 9))
+    chain[:, 4] = 30 + np.arange(60) * 0.09  # one cluster over many rings and parts
+    vectors = np.vstack([clustered(200, 9, centres=6), chain, rng.uniform(-15, 15, (25, 9)), np.full((40, 9), 2.5)])
+    vectors = vectors[rng.permutation(len(vectors))]
+    for block, min_samples in ((16, 3), (64, 5)):
+        got = dbscan_vectors(frame(spark, vectors).repartition(6), "id", "v", 0.12, min_samples, block_rows=block, max_pivots=20)
+        assert labels(got) == list(brute_dbscan(vectors, 0.12, min_samples))
+
+
+def test_density_clusters_of_many_columns_and_edges(spark):
+    x = clustered(90, 5, centres=4)
+    cols = [f"c{i}" for i in range(5)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(1000, None, 0.0, 0.0, 0.0, 0.0)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    assert labels(dbscan(df, "id", cols, 0.2, 4, block_rows=32)) == list(brute_dbscan(x, 0.2, 4))
+    assert dbscan_vectors(frame(spark, []), "id", "v").count() == 0
+    holes = frame(spark, [[0.0, -0.0], [0.0, 0.0], [9, 9], None, [float("nan"), 0]])
+    assert labels(dbscan_vectors(holes, "id", "v", 0.1, 2)) == [0, 0, -1]
+    with pytest.raises(ValueError):
+        dbscan_vectors(holes, "id", "v", 0)
