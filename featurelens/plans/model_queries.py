@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from featurelens.functions.columns import rnd
 from featurelens.operators import cluster, features as feat
+from featurelens.operators.bisecting import bisecting_tree
 from featurelens.operators.density import dbscan, dbscan_vectors
 from featurelens.operators.forest import isolation_forest
 from featurelens.operators.hierarchy import linkage_rows, ward_rows
@@ -83,6 +84,7 @@ def q_dbscan(spark, d):
 
 
 VECTOR_EPS = 1.12
+BISECT_K = 10
 
 
 @query("dbscan_vectors")
@@ -134,3 +136,10 @@ def q_embed2d(spark, d):
     res = embed_2d(load(spark, d, "embeddings"), "vec_id", "embedding", UMAP_NEIGHBORS, UMAP_MIN_DIST, UMAP_METRIC,
                    seed=SEED)
     return res.select("vec_id", rnd("umap_x", 6).alias("umap_x"), rnd("umap_y", 6).alias("umap_y"))
+
+
+@query("bisecting_tree")
+def q_bisecting_tree(spark, d):
+    """Top-down clusters of all vectors."""
+    labels, _ = bisecting_tree(load(spark, d, "embeddings"), "vec_id", "embedding", BISECT_K)
+    return labels

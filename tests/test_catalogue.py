@@ -46,7 +46,7 @@ def test_every_query_has_a_key_and_most_have_sql():
     assert set(SQL) <= set(QUERIES)
     no_sql = set(QUERIES) - set(SQL)
     assert no_sql <= {"pca", "pca_variance", "kmeans", "optimal_k", "dbscan", "dbscan_summary", "agglomerative", "linkage_single", "linkage_average", "linkage_complete",
-                      "isolation_forest", "embed2d"}
+                      "isolation_forest", "embed2d", "bisecting_tree"}
 
 
 @pytest.mark.parametrize("key", sorted(SQL))
