@@ -31,18 +31,48 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def input_files(spark: SparkSession, paths) -> DataFrame:
+    """(path, length, modified) of every file under ``paths``, listed by Spark; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
 def fingerprint(spark: SparkSession, paths) -> str:
-    """Hash of (path, length, modification time) of every file under ``paths``."""
+    """Hash of (path, length, modification time) of every file under ``paths``: sums over the files, whatever their order."""
+    one = [F.xxhash64(F.lit(seed), "path", "length", "modified").cast("decimal(38,0)") for seed in (1, 2)]
+    sums = input_files(spark, paths).agg(F.count(F.lit(1)), *[F.sum(h) for h in one]).first()
+    return hashlib.sha1("|".join(map(str, sums)).encode()).hexdigest()[:16]
+
+
+MANIFEST = "_inputs"     # readers of a stage pass over names that begin with "_"
+
+
+def publish(spark: SparkSession, path: str, write, done: str = "_SUCCESS", inputs=()) -> None:
+    """Have ``write`` fill the folder ``path``, unless that was done before (its file ``done`` exists).
+
+    The files of ``inputs`` are listed in a table ``MANIFEST`` that appears with the stage.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    items = []
-    for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        fs = hp.getFileSystem(conf)
-        it = fs.listFiles(hp, True)
-        while it.hasNext():
-            st = it.next()
-            items.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
-    return hashlib.sha1("\n".join(sorted(items)).encode()).hexdigest()[:16]
+    Path = jvm.org.apache.hadoop.fs.Path
+    target = Path(path)
+    fs = target.getFileSystem(conf)
+    if not fs.exists(Path(f"{path}/{done}")):
+        # write aside, then publish with one rename; a concurrent writer that
+        # lost the race simply reads the published table
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+        write(tmp)
+        if inputs:
+            input_files(spark, inputs).write.parquet(f"{tmp}/{MANIFEST}")
+        if fs.exists(target) and not fs.exists(Path(f"{path}/{done}")):
+            fs.delete(target, True)                       # leftover of an interrupted publish
+        if not fs.rename(Path(tmp), target):
+            fs.delete(Path(tmp), True)
+
+
+def stage_path(spark: SparkSession, name: str, inputs, definition: str) -> str:
+    """Folder of a stage that is keyed by its input files and a text that defines it."""
+    key = hashlib.sha1((fingerprint(spark, inputs) + definition).encode()).hexdigest()[:16]
+    return f"{shared_dir(spark).rstrip('/')}/featurelens/stage/{name}-{key}"
 
 
 def staged(spark: SparkSession, name: str, inputs, build) -> DataFrame:
@@ -54,35 +84,24 @@ def staged(spark: SparkSession, name: str, inputs, build) -> DataFrame:
     percentile passes) then read compact Parquet instead of re-running the
     aggregation over the raw tables each time.
     """
-    base = shared_dir(spark)
     plan = build()
     # the key covers the inputs and the plan itself (expression ids removed), so a
     # changed definition never reuses an old table
     text = re.sub(r"#\d+L?", "", plan._jdf.queryExecution().analyzed().toString())
-    key = hashlib.sha1((fingerprint(spark, inputs) + text).encode()).hexdigest()[:16]
-    path = f"{base.rstrip('/')}/featurelens/stage/{name}-{key}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    Path = jvm.org.apache.hadoop.fs.Path
-    target = Path(path)
-    fs = target.getFileSystem(conf)
-    if not fs.exists(Path(f"{path}/_SUCCESS")):
-        # write aside, then publish with one rename; a concurrent writer that
-        # lost the race simply reads the published table
-        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
-        plan.write.mode("overwrite").parquet(tmp)
-        if fs.exists(target) and not fs.exists(Path(f"{path}/_SUCCESS")):
-            fs.delete(target, True)                       # leftover of an interrupted publish
-        if not fs.rename(Path(tmp), target):
-            fs.delete(Path(tmp), True)
+    path = stage_path(spark, name, inputs, text)
+    publish(spark, path, lambda tmp: plan.write.mode("overwrite").parquet(tmp), inputs=inputs)
     return spark.read.parquet(path)
 
 
+def order_item_inputs(sf_dir: str) -> list[str]:
+    return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders", "customer", "nation")]
+
+
 def order_items(spark: SparkSession, sf_dir: str, stage: bool = True) -> DataFrame:
     """The item view; materialised once per input version as a stage table."""
     if not stage:
         return order_items_plan(spark, sf_dir)
-    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders", "customer", "nation")]
-    return staged(spark, "order_items", inputs, lambda: order_items_plan(spark, sf_dir))
+    return staged(spark, "order_items", order_item_inputs(sf_dir), lambda: order_items_plan(spark, sf_dir))
 
 
 def order_items_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,37 @@ def test_stage_table_is_reused_and_invalidated(spark, tmp_path):
     assert "thrice" in d.columns and len(published() - before) == 3             # new definition
 
 
+def test_stage_follows_changed_added_and_removed_files(spark, tmp_path):
+    from pathlib import Path
+
+    from featurelens.sources.tables import MANIFEST, fingerprint
+
+    src = tmp_path / "files"
+    spark.range(4).coalesce(1).write.parquet(str(src / "a"))
+    spark.range(5).coalesce(1).write.parquet(str(src / "b"))
+
+    def read():
+        return spark.read.option("recursiveFileLookup", "true").parquet(str(src))
+
+    def now():
+        spark.catalog.clearCache()
+        return staged(spark, "follow", [str(src)], read)
+
+    first = now()
+    assert first.count() == 9 and fingerprint(spark, [str(src)]) == fingerprint(spark, [str(src)])
+    manifest = spark.read.parquet(os.path.dirname(first.inputFiles()[0].replace("file://", "")) + f"/{MANIFEST}")
+    listed = {(Path(r["path"]).name, r["length"]) for r in manifest.collect()}
+    assert listed == {(f.name, f.stat().st_size) for f in src.rglob("part-*.parquet")}
+    spark.range(7).coalesce(1).write.parquet(str(src / "c"))  # added
+    assert now().count() == 16
+    (gone,) = (src / "a").glob("part-*.parquet")
+    gone.unlink()  # removed
+    assert now().count() == 12
+    time.sleep(1.1)
+    spark.range(9).coalesce(1).write.mode("overwrite").parquet(str(src / "b"))  # changed
+    assert now().count() == 16
+
+
 def test_csv_and_report_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b", 0.5, None), (2, "c", None, 3)], "id long, name string, x double, c int")
     out = sinks.export_clustered_csv(df, base=str(tmp_path), ts="20240101_000000")
