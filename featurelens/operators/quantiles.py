@@ -103,6 +103,34 @@ def exact_percentiles(df: DataFrame, value: str, probs, group_cols=(), buckets:
     return res.groupBy(*group_cols, "n").agg(*aggs)
 
 
+def values_at(data: DataFrame, ranks, lo: float, hi: float, below: int, cnt: int, buckets: int = 4096, max_collect: int = 20_000) -> dict:
+    """Order statistics of the column ``_v``: {rank: value} for ranks all inside the bracket
+    [lo, hi], which holds ``cnt`` values and has ``below`` before it."""
+    for _ in range(MAX_PASSES):
+        if lo == hi:
+            return {r: lo for r in ranks}
+        inside = data.filter((F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi)))
+        if cnt <= max_collect:
+            vals = sorted(r[0] for r in inside.collect())
+            return {r: vals[r - below] for r in ranks}
+        b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(hi - lo) * buckets), F.lit(buckets - 1))
+        hist = inside.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("bmn"),
+                                                F.max("_v").alias("bmx")).orderBy("b").collect()
+        homes, cum = {}, below
+        for h in hist:
+            for r in ranks:
+                if cum <= r < cum + h["c"]:
+                    homes[r] = (float(h["bmn"]), float(h["bmx"]), cum, int(h["c"]))
+            cum += h["c"]
+        if len(set(homes.values())) > 1:        # ranks now in different slices: go on separately
+            out: dict = {}
+            for r in ranks:
+                out.update(values_at(data, [r], *homes[r], buckets, max_collect))
+            return out
+        lo, hi, below, cnt = homes[ranks[0]]
+    raise RuntimeError("exact_percentiles did not converge")
+
+
 def _global_percentiles(df: DataFrame, value: str, probs, buckets: int, max_collect: int,
                         prefix: str) -> DataFrame:
     """Ungrouped case: the brackets are plain literals, so each pass is one
@@ -114,37 +142,11 @@ def _global_percentiles(df: DataFrame, value: str, probs, buckets: int, max_coll
     n = int(st["n"])
     if n == 0:
         return spark.createDataFrame([], schema)
-    def narrow(ranks, lo, hi, below, cnt) -> dict:
-        """Values at the given ranks (all inside the bracket [lo, hi])."""
-        for _ in range(MAX_PASSES):
-            if lo == hi:
-                return {r: lo for r in ranks}
-            inside = data.filter((F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi)))
-            if cnt <= max_collect:
-                vals = sorted(r[0] for r in inside.collect())
-                return {r: vals[r - below] for r in ranks}
-            b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(hi - lo) * buckets), F.lit(buckets - 1))
-            hist = inside.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("bmn"),
-                                                    F.max("_v").alias("bmx")).orderBy("b").collect()
-            homes, cum = {}, below
-            for h in hist:
-                for r in ranks:
-                    if cum <= r < cum + h["c"]:
-                        homes[r] = (float(h["bmn"]), float(h["bmx"]), cum, int(h["c"]))
-                cum += h["c"]
-            if len(set(homes.values())) > 1:        # ranks now in different slices: go on separately
-                out: dict = {}
-                for r in ranks:
-                    out.update(narrow([r], *homes[r]))
-                return out
-            lo, hi, below, cnt = homes[ranks[0]]
-        raise RuntimeError("exact_percentiles did not converge")
-
     row = [n]
     for p in probs:
         r = p * (n - 1)
         rlo, rhi = math.floor(r), math.ceil(r)
-        got = narrow(sorted({rlo, rhi}), float(st["mn"]), float(st["mx"]), 0, n)
+        got = values_at(data, sorted({rlo, rhi}), float(st["mn"]), float(st["mx"]), 0, n, buckets, max_collect)
         vlo, vhi = got[rlo], got[rhi]
         row.append(vlo + (vhi - vlo) * (r - rlo))
     return spark.createDataFrame([tuple(row)], schema)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from featurelens.functions.columns import rnd
 from featurelens.operators import explore, features as feat, neighbours, outliers, positions, quality, similarity
+from featurelens.operators.score_index import ScoreIndex, write_index
 from featurelens.plans.catalogue import query
-from featurelens.sources.tables import ITEM_FEATURES, load, order_items
+from featurelens.sources.tables import ITEM_FEATURES, load, order_item_inputs, order_items, publish, stage_path
 
 QUERY_VEC = 0          # vec_id of the query row
 K = 5
@@ -105,9 +106,16 @@ def item_scores(spark, d):
     return matrix.select("row_id", (-score).alias("anomaly_score"))
 
 
+def score_index(spark, d):
+    """The items' scores, computed and stored once per version of the tables."""
+    path = stage_path(spark, "item_scores", order_item_inputs(d), f"sum of squares of {ITEM_FEATURES}")
+    publish(spark, path, lambda tmp: write_index(item_scores(spark, d), "row_id", "anomaly_score", tmp), done="counts/_SUCCESS", inputs=order_item_inputs(d))
+    return ScoreIndex(spark, path, "anomaly_score")
+
+
 @query("rethreshold")
 def q_rethreshold(spark, d):
-    scored = outliers.rethreshold(item_scores(spark, d), "anomaly_score", PCT)
+    scored = score_index(spark, d).labelled(PCT)
     return scored.select("row_id", rnd("anomaly_score", 6).alias("anomaly_score"), "outlier_label")
 
 
