@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featurelens.functions.columns import rnd
-from featurelens.operators import explore, timeline
+from featurelens.operators import explore, sketches, timeline
 from featurelens.plans.catalogue import _timeline_items, query
 from featurelens.sources.tables import load, order_items
 
@@ -14,6 +14,7 @@ FLAGS = ["A", "N"]
 DOMAIN_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 SEARCH = "  Blue B.lt "
 TOP_N = 20
+SKETCH_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
 @query("range_filter")
@@ -85,3 +86,13 @@ def q_mood_quadrant(spark, d):
                        ((F.col("disc") - F.lit(b["ld"])) / F.lit(b["hd"] - b["ld"])).alias("sx"),
                        ((F.col("qty") - F.lit(b["lq"])) / F.lit(b["hq"] - b["lq"])).alias("sy"))
     return timeline.mood_points(scaled, "sx", "sy")
+
+
+@query("quantile_sketch")
+def q_quantile_sketch(spark, d):
+    """Sketches by flag and status, merged by flag; are their quantiles' ranks within the bound?"""
+    li = load(spark, d, "lineitem")
+    fine = sketches.sketch_columns(li, DOMAIN_COLUMNS, ["l_returnflag", "l_linestatus"])
+    found = sketches.sketch_quantiles(sketches.merge_sketches(fine, ["l_returnflag"]), SKETCH_PROBS)
+    errors = sketches.rank_errors(li, found, DOMAIN_COLUMNS, ["l_returnflag"])
+    return errors.select("l_returnflag", "feature", "n", "p", (F.col("error") <= sketches.RANK_ERROR).alias("within_bound"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from featurelens.operators.explore import ACCENT, ACCENT_RED, CLUSTER_PALETTE
-from featurelens.plans.explore_queries import DOMAIN_COLUMNS, FLAGS, RANGES, SEARCH, TOP_N
+from featurelens.plans.explore_queries import DOMAIN_COLUMNS, FLAGS, RANGES, SEARCH, SKETCH_PROBS, TOP_N
 from featurelens.plans.oracle import D, R, SQL, TIMELINE, WITH_ITEMS
 
 PAL = "[" + ", ".join(f"'{p}'" for p in CLUSTER_PALETTE) + "]"
@@ -72,3 +72,7 @@ SELECT row_id, year, {R(_QX, 6)} AS x, {R(_QY, 6)} AS y,
             WHEN {_QX} >= 0.5 AND {_QY} < 0.5 THEN 'Happy & Calm'
             ELSE 'Dark & Calm' END AS quadrant
 FROM s"""
+
+_COUNTS = " UNION ALL ".join(f"SELECT l_returnflag, '{c}' AS feature, count({c}) AS n FROM lineitem GROUP BY l_returnflag" for c in DOMAIN_COLUMNS)
+SQL["quantile_sketch"] = f"""SELECT l_returnflag, feature, n, p, true AS within_bound
+FROM ({_COUNTS}), (SELECT unnest([{', '.join(D(p) for p in SKETCH_PROBS)}]) AS p) WHERE n > 0"""
