@@ -71,9 +71,11 @@ def filter_domain(df: DataFrame, columns, year_col: str | None = None, year_expr
 def continuous_index(df: DataFrame, column: str, default: float = 0.0, steps: int = CONTINUOUS_STEPS,
                      out: str = "num_idx") -> DataFrame:
     """Presentation value (NULL -> default, 4 decimals) rescaled by the
-    global min/max to a palette index ``int((v-lo)/(hi-lo+1e-9)*(steps-1))``."""
+    global min/max to a palette index ``int((v-lo)/(hi-lo+1e-9)*(steps-1))``. An empty table stays empty."""
     v = rnd(F.coalesce(F.col(column).cast("double"), F.lit(float(default))), 4)
     b = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    if b["lo"] is None:
+        return df.withColumn(out, F.lit(None).cast("int"))
     lo, hi = float(b["lo"]), float(b["hi"])
     idx = F.floor((v - F.lit(lo)) / F.lit(hi - lo + 1e-9) * F.lit(steps - 1)).cast("int")
     return df.withColumn(out, idx)

@@ -144,13 +144,17 @@ def pca(df: DataFrame, columns=None, k: int = 2, keep=("row_id",), vec_col: str
     projects uncentred rows, so the projection here subtracts the column
     means first; it is one flat array expression with literal weights.
     Component signs are fixed so the largest-magnitude loading is positive.
+    Without rows there are no coordinates and no ratios, and the loadings are 0.
     """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
     arr = F.col(vec_col).cast("array<double>") if vec_col else F.array(*[F.col(c).cast("double") for c in columns])
     data = df.select(*keep, arr.alias("_arr")).filter(F.col("_arr").isNotNull())
-    d = len(columns) if columns else len(data.select("_arr").first()["_arr"])
+    one = data.select("_arr").first()
+    if one is None:
+        return data.select(*keep, *[F.lit(0.0).alias(f"pc{j + 1}") for j in range(k)]), [], np.zeros((len(columns or []), k))
+    d = len(one["_arr"])
     means = data.select(*[F.avg(F.col("_arr")[i]).alias(f"m{i}") for i in range(d)]).first()
     mean = np.array([float(means[f"m{i}"]) for i in range(d)])
     model = PCA(k=k, inputCol="_vec").fit(data.select(array_to_vector("_arr").alias("_vec")))

@@ -146,7 +146,11 @@ def score_forest(df: DataFrame, id_col: str, cols, nodes: DataFrame, psi: int) -
 
 def isolation_forest(df: DataFrame, id_col: str, cols, n_trees: int = 200, max_samples: int = 256,
                      contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """(id, raw_score, anomaly_score, outlier_label) with label -1 for anomalies."""
+    """(id, raw_score, anomaly_score, outlier_label) with label -1 for anomalies.
+
+    Rows with a null feature are left out; without any other the result is empty."""
+    if df.select(*cols).dropna().isEmpty():
+        return df.select(F.col(id_col).cast("long").alias(id_col), F.lit(0.0).alias("raw_score"), F.lit(0.0).alias("anomaly_score"), F.lit(1).alias("outlier_label")).limit(0)
     nodes, psi = fit_forest(df, id_col, cols, n_trees, max_samples, seed)
     scored = score_forest(df, id_col, cols, nodes, psi).checkpoint()
     offset = exact_percentile_scalars(scored, "score", [100.0 * contamination / 100.0])[0]

@@ -78,3 +78,20 @@ def test_yearly_trend_group_filters(spark):
     assert abs(out[2000].band_lo - max(0.0, round(0.3, 3) - math.sqrt(0.02))) < 1e-6
     single = spark.createDataFrame([(2000, 0.2), (2000, 0.4)], "year int, f double")
     assert timeline.yearly_trend(single, ["f"]).count() == 0   # fewer than two usable years
+
+
+def test_models_of_empty_tables(spark):
+    from featurelens.operators import explore, features
+    from featurelens.operators.forest import isolation_forest
+
+    none = spark.createDataFrame([], "id long, a double, b double")
+    holes = spark.createDataFrame([(1, None, 2.0)], "id long, a double, b double")
+    full = spark.createDataFrame([(i, float(i), float(i * i)) for i in range(8)], "id long, a double, b double")
+    want = isolation_forest(full, "id", ["a", "b"], n_trees=3).schema
+    for df in (none, holes):
+        got = isolation_forest(df, "id", ["a", "b"], n_trees=3)
+        assert got.count() == 0 and [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want]
+    coloured = explore.continuous_index(none, "a")
+    assert coloured.count() == 0 and coloured.columns == ["id", "a", "b", "num_idx"]
+    coords, ratio, loadings = features.pca(none, ["a", "b"], keep=("id",))
+    assert coords.count() == 0 and coords.columns == ["id", "pc1", "pc2"] and ratio == [] and loadings.shape == (2, 2)
