@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -117,6 +117,19 @@ def ensure_code(spark: SparkSession) -> None:
     sc._featurelens_code = out
 
 
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written as a Parquet table below ``folder`` and read again; the caller removes the folder.
+
+    For what goes from round to round: a checkpoint keeps what Spark knows of the plan
+    (how joined sides are partitioned), which doubles with every round's joins until
+    planning takes minutes. A table read from files has none of it.
+    """
+    path = os.path.join(folder, uuid.uuid4().hex[:12])
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder written by an earlier round (works on any Hadoop filesystem)."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -45,6 +45,41 @@ def test_spanning_tree_of_a_chain_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 6
 
 
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+def test_few_pairs_of_clusters_are_measured_and_the_nearest_are_among_them(spark, linkage):
+    """Neither a table of all pairs of rows nor one of all pairs of clusters."""
+    rng = np.random.default_rng(11)
+    x = rng.uniform(0, 30, (240, 2))
+    of = np.concatenate([np.arange(80), rng.integers(0, 80, 160)])  # clusters of several points, some of one
+    x = x[of % 80] + rng.normal(0, 0.5, x.shape)
+    w = rng.integers(1, 4, len(x))
+    members = spark.createDataFrame([(i, int(w[i]), x[i].tolist(), int(of[i])) for i in range(len(x))], "_c long, _n long, _x array<double>, _k long")
+    found = {(r["lo"], r["hi"]): r["d2"] for r in hierarchy._near_pairs(members.repartition(4), linkage, 16).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    every = np.full((80, 80), np.inf)
+    for a in range(80):
+        for b in range(80):
+            if a != b:
+                part, weight = d[np.ix_(of == a, of == b)], np.outer(w[of == a], w[of == b])
+                every[a, b] = part.max() if linkage == "complete" else (part * weight).sum() / weight.sum()
+    for a in range(80):
+        b = int(every[a].argmin())
+        assert abs(found[min(a, b), max(a, b)] - every[a, b]) < 1e-9
+    assert all(abs(v - every[k]) < 1e-9 for k, v in found.items())
+    assert len(found) < 80 * 79 / 2 / 3
+
+
+def test_spanning_tree_from_few_candidate_edges(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.4, (90, 2)) for c in ((0, 0), (6, 1), (2, 9))] + [np.stack(np.meshgrid(range(7), range(7)), -1).reshape(-1, 2) + 20.0])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_c long, _x array<double>").repartition(3)
+    assert hierarchy._candidate_edges(points, len(x), 24).count() < 12 * len(x)  # all pairs in blocks: far more comparisons than that a round
+    d2, i, j = hierarchy._plain_tree(np.arange(len(x)), x)
+    want = sorted(zip(d2, np.minimum(i, j), np.maximum(i, j)))
+    for few in (20, 100_000):  # with and without rounds
+        assert sorted(map(tuple, hierarchy.spanning_tree(points, block_rows=24, few_edges=few).collect())) == want
+
+
 def test_linkage_of_empty_and_tiny_tables(spark):
     schema = "id long, a double"
     for linkage, rows in (("single", []), ("single", [(4, 1.0), (5, 1.0)]), ("average", []), ("complete", [(4, 1.0), (5, 1.0)])):
