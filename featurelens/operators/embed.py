@@ -1,6 +1,6 @@
 """2-D neighbour-graph embedding (M6), built from Spark joins and groupBys.
 
-1. k nearest neighbours (exact, blocked cells; euclidean / manhattan / cosine).
+1. k nearest neighbours (exact; all rows go by each block; euclidean / manhattan / cosine).
    Of equally near rows those that follow in the order of ids count first (the
    order is a ring), so that equal rows make a ring and no hub.
 2. Per row: rho = distance to the nearest neighbour, sigma by a fixed
@@ -64,51 +64,69 @@ def fit_ab(min_dist: float = 0.1, spread: float = 1.0) -> tuple[float, float]:
     return best[1], best[2]
 
 
+def _nearer(best: dict, k: int, row: np.ndarray, nbr: np.ndarray, dist: np.ndarray) -> None:
+    """Take candidates (row, nbr, dist) into the rows' ``k`` best, in the order of distance and then the ring of ids."""
+    some = np.unique(row)
+    r = np.concatenate([np.repeat(some, k), row])
+    to, d = np.concatenate([best["nbr"][some].ravel(), nbr]), np.concatenate([best["dist"][some].ravel(), dist])
+    there = np.isfinite(d)
+    r, to, d = r[there], to[there], d[there]
+    order = np.lexsort((to, to < best["id"][r], d, r))
+    r, to, d = r[order], to[order], d[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    first = rank < k
+    best["nbr"][r[first], rank[first]], best["dist"][r[first], rank[first]] = to[first], d[first]
+
+
 def knn_distances(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "euclidean",
-                  block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                  block_rows: int | None = None) -> DataFrame:
     """(id, nbr, dist): the ``k`` nearest other rows (of equally near ones those whose ids follow, in a ring)."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     data = df.select(F.col(id_col).cast("long").alias("_id"), to_double_array(vec_col).alias("_v")).dropna()
-    n = data.count()
-    cells, nb = blocks.with_cells(data, "_id", n, block_rows)
+    both, _ = blocks.streamed(data, "_id", data.count(), block_rows)
 
-    def dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def rough(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+        """Distances (euclidean: squared), and how far they may be off."""
         if metric == "euclidean":
-            return blocks.euclidean(a, b)
+            d2, error = blocks.squared(a, b)
+            return (d2, error) if np.isfinite(error) else (np.nan_to_num(blocks.euclidean(a, b) ** 2, nan=np.inf), 0.0)
         if metric == "cosine":
-            return 1.0 - blocks.unit_rows(a) @ blocks.unit_rows(b).T
+            return 1.0 - blocks.unit_rows(a) @ blocks.unit_rows(b).T, 0.0
         out = np.empty((a.shape[0], b.shape[0]))
-        for s in range(0, a.shape[0], 128):
-            out[s:s + 128] = np.abs(a[s:s + 128, None, :] - b[None, :, :]).sum(axis=2)
-        return out
-
-    def per_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = blocks.split_cell(pdf, nb)
-        out = []
-        for a, b in ([(left, right)] if same else [(left, right), (right, left)]):
-            if len(a) == 0 or len(b) == 0:
-                continue
-            d = dist(blocks.stack(a["_v"]), blocks.stack(b["_v"]))
-            ida, idb = a["_id"].to_numpy(), b["_id"].to_numpy()
-            d[ida[:, None] == idb[None, :]] = np.inf
-            order = np.argsort(idb, kind="stable")
-            d = d[:, order]
-            kk = min(k, len(b))
-            first = np.searchsorted(idb[order], ida)
-            ring = (first[:, None] + np.arange(len(b))[None, :]) % len(b)
-            top = np.take_along_axis(ring, np.argsort(np.take_along_axis(d, ring, axis=1), axis=1, kind="stable")[:, :kk], axis=1)
-            vals = np.take_along_axis(d, top, axis=1).ravel()
-            keep = np.isfinite(vals)
-            out.append(pd.DataFrame({"_id": np.repeat(ida, kk)[keep], "nbr": idb[order][top].ravel()[keep],
-                                     "dist": vals[keep]}))
-        if not out:
-            return pd.DataFrame({"_id": pd.Series(dtype="int64"), "nbr": pd.Series(dtype="int64"),
-                                 "dist": pd.Series(dtype="float64")})
-        return pd.concat(out, ignore_index=True)
+        for s in range(0, a.shape[0], 16):
+            out[s:s + 16] = np.abs(a[s:s + 16, None, :] - b[None, :, :]).sum(axis=2)
+        return out, 0.0
+
+    def start(hosts: list[pd.DataFrame]) -> dict:
+        ids = np.concatenate([p["_id"].to_numpy() for p in hosts])
+        return {"id": ids, "x": np.vstack([blocks.stack(p["_v"]) for p in hosts]), "nbr": np.zeros((len(ids), k), np.int64), "dist": np.full((len(ids), k), np.inf)}
+
+    def feed(state: dict, part: pd.DataFrame) -> None:
+        y, ids, x = blocks.stack(part["_v"]), part["_id"].to_numpy(), state["x"]
+        # the k nearest others are among so many nearest, the row itself (and rows of its id) included
+        place = min(k + np.unique(ids, return_counts=True)[1].max() - 1, len(ids) - 1)
+        step = max(1, 2_000_000 // len(y))
+        for h in range(0, len(x), step):
+            d, error = rough(x[h:h + step], y)
+            cut = state["dist"][h:h + step, -1]
+            cut = cut * cut * (1 + 1e-12) + error if metric == "euclidean" else cut
+            over = d <= cut[:, None]
+            if over.sum() > 4 * k * len(d):
+                least = np.partition(d, place, axis=1)[:, place]
+                over = d <= np.minimum(cut, least * (1 + 1e-12) + 2 * error)[:, None]
+            row, col = np.nonzero(over)
+            other = state["id"][row + h] != ids[col]
+            row, col = row[other], col[other]
+            if len(row):
+                _nearer(state, k, row + h, ids[col], blocks.between(x[h:h + step], y, row, col) if metric == "euclidean" else d[row, col])
+
+    def finish(state: dict):
+        row, at = np.nonzero(np.isfinite(state["dist"]))
+        yield pd.DataFrame({"_id": state["id"][row], "nbr": state["nbr"][row, at], "dist": state["dist"][row, at]})
 
     from pyspark.sql import Window
-    cand = cells.groupBy("_cell").applyInPandas(per_cell, "_id long, nbr long, dist double")
+    cand = both.mapInPandas(lambda batches: blocks.each_block(batches, start, feed, finish), "_id long, nbr long, dist double")
     w = Window.partitionBy("_id").orderBy(F.col("dist").asc(), (F.col("nbr") < F.col("_id")).asc(), F.col("nbr").asc())
     top = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
     return top.withColumnRenamed("_id", id_col)
