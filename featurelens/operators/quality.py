@@ -3,7 +3,7 @@
 * inertia, Davies-Bouldin: centroids are a (group, dim) partial aggregate;
   row-to-own-centroid distances are an equi-join on the label; the k x k
   centroid comparison is an equi-join over an exploded label list (k rows).
-* silhouette (exact, Euclidean): blocked cells, per-row per-cluster distance
+* silhouette (exact, Euclidean): all rows go by each block in a stream, per-row per-cluster distance
   sums, no pair is materialised.
 * silhouette (squared Euclidean): closed form from cluster sums, its own name.
 * ANOVA F: closed form from per-(feature, cluster) count, mean and variance.
@@ -75,44 +75,55 @@ def davies_bouldin(df: DataFrame, label, vec_col: str, decimals: int = 4) -> Dat
 
 
 def silhouette_sums(df: DataFrame, id_col: str, label_cols, vec_col: str,
-                    block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                    block_rows: int | None = None) -> DataFrame:
     """Per (row, labelling, other cluster): sum of Euclidean distances and count.
 
-    Several labellings (``label_cols``) share one pass over the cells.
+    Several labellings (``label_cols``) share one pass over the pairs of rows.
     """
     labels = list(label_cols)
     data = df.select(F.col(id_col).cast("long").alias("_id"), to_double_array(vec_col).alias("_v"),
                      *[F.col(c).cast("long").alias(f"_l{i}") for i, c in enumerate(labels)])
-    n = data.count()
-    cells, nb = blocks.with_cells(data, "_id", n, block_rows)
+    both, _ = blocks.streamed(data, "_id", data.count(), block_rows)
     nl = len(labels)
 
-    def per_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = blocks.split_cell(pdf, nb)
-        out = []
-        pairs = [(left, right)] if same else [(left, right), (right, left)]
-        for a, b in pairs:
-            if len(a) == 0 or len(b) == 0:
-                continue
-            dist = blocks.euclidean(blocks.stack(a["_v"]), blocks.stack(b["_v"]))
+    def start(hosts: list[pd.DataFrame]) -> dict:
+        # hosts of each batch become a matrix, so that their rows are held once
+        return {"id": np.concatenate([p["_id"].to_numpy() for p in hosts]), "x": np.vstack([blocks.stack(p["_v"]) for p in hosts]), "sums": {}, "n": {}}
+
+    def feed(state: dict, part: pd.DataFrame) -> None:
+        x = state["x"]
+        for s in range(0, len(part), 1024):
+            piece = part.iloc[s:s + 1024]
+            y, groups, marks = blocks.stack(piece["_v"]), [], []
             for li in range(nl):
-                lb = b[f"_l{li}"].to_numpy()
+                lb = piece[f"_l{li}"].to_numpy()
                 for lab in np.unique(lb):
-                    m = lb == lab
-                    out.append(pd.DataFrame({"_id": a["_id"].to_numpy(), "lab": li, "other": int(lab),
-                                             "dsum": dist[:, m].sum(axis=1), "cnt": int(m.sum())}))
-        if not out:
-            return pd.DataFrame({"_id": pd.Series(dtype="int64"), "lab": pd.Series(dtype="int64"),
-                                 "other": pd.Series(dtype="int64"), "dsum": pd.Series(dtype="float64"),
-                                 "cnt": pd.Series(dtype="int64")})
-        return pd.concat(out, ignore_index=True)
-
-    part = cells.groupBy("_cell").applyInPandas(per_cell, "_id long, lab long, other long, dsum double, cnt long")
+                    groups.append((li, int(lab)))
+                    marks.append(lb == lab)
+            for g, m in zip(groups, marks):
+                state["n"][g] = state["n"].get(g, 0) + int(m.sum())
+                if g not in state["sums"]:
+                    state["sums"][g] = np.zeros(len(x))
+            member = np.stack(marks, axis=1)
+            for h in range(0, len(x), 2048):
+                dist = blocks.distances(x[h:h + 2048], y)
+                if len(groups) <= 128 and np.isfinite(dist).all():
+                    added = (dist @ member.astype(float)).T
+                else:
+                    added = (dist[:, m].sum(axis=1) for m in marks)
+                for g, v in zip(groups, added):
+                    state["sums"][g][h:h + 2048] += v
+
+    def finish(state: dict):
+        for (li, lab), v in state["sums"].items():
+            yield pd.DataFrame({"_id": state["id"], "lab": li, "other": lab, "dsum": v, "cnt": state["n"][li, lab]})
+
+    part = both.mapInPandas(lambda batches: blocks.each_block(batches, start, feed, finish), "_id long, lab long, other long, dsum double, cnt long")
     return part.groupBy("_id", "lab", "other").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt")), data
 
 
 def silhouette(df: DataFrame, id_col: str, label_cols, vec_col: str,
-               block_rows: int = blocks.DEFAULT_BLOCK_ROWS, decimals: int = 4) -> DataFrame:
+               block_rows: int | None = None, decimals: int = 4) -> DataFrame:
     """Exact mean silhouette (Euclidean) for each labelling in ``label_cols``.
 
     ``a`` = mean distance to the other members of the own cluster, ``b`` = the
