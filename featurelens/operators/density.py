@@ -1,19 +1,14 @@
 """Density-based clustering (DBSCAN semantics: eps, min_samples counting the
 point itself, noise -1) as Spark jobs.
 
-* Grid join (J7): cells of side ``eps``, so every neighbour of a point lies
-  in one of the 3^d adjacent cells. A dense cell is split into hashed
-  sub-blocks of about ``block_rows`` points; a work group is an unordered
-  pair of adjacent (cell, sub-block) units, so no group exceeds ~2 *
-  block_rows points even when one cell holds a third of the data.
-* Pass 1 counts neighbours per point inside each group (numpy distance
-  matrix); summing gives the degree; core = degree >= min_samples.
-* Pass 2 links core points: each group computes its local components and
-  emits one "star" edge per core point (point -> local minimum id), never
-  the pairs; non-core points emit their (few, < min_samples) core
-  neighbours for the border rule.
-* Components over the star edges: min-label propagation with pointer
-  jumping, checkpointed every round, capped and failing loudly.
+* Grid join (J7): cells of side ``eps`` / sqrt(d), so that rows of a cell are
+  within ``eps`` of each other. A cell of ``min_samples`` rows or more is all
+  core and one node; it is linked with others by its outermost points, and by
+  its rows only where these don't decide.
+* Rows of sparse cells are joined with the rows of the cells around: their
+  degrees, and their links with core rows (a dense cell counts as one).
+* Components over these links: min-label propagation, checkpointed every
+  round, capped and failing loudly.
 * Above three dimensions, rings around pivots take the place of the grid
   (``dbscan_vectors``).
 * Cluster numbers follow the smallest member id; a border point takes the
@@ -37,84 +32,54 @@ from featurelens.operators.positions import dense_index
 from featurelens.session import ensure_code, remove_path, shared_dir
 
 MAX_ROUNDS = 60
-BUCKET_ROWS = 50_000     # rows per pandas call when batching small work groups
-
-
 GRID_DIMENSIONS = 3      # beyond these a cell has too many neighbours (3^d)
 
-LOW, HIGH, BOTH = 0, 1, 2
-
-
-def _fine_side(eps: float, d: int) -> float:
-    return float(eps) / math.sqrt(d)
-
+def _within(a, b, eps: float):
+    """Whether two points (arrays) are at most ``eps`` apart."""
+    away = F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+    return away * away <= F.lit(eps * eps)
 
-def needs_dense_cells(pts: DataFrame, eps: float, d: int, limit: int) -> bool:
-    """True when some cell of side eps/sqrt(d) holds more than ``limit`` points
-    (a hot spot whose pair work would be quadratic on the plain eps grid)."""
-    if d > 3:
-        return False
-    side = _fine_side(eps, d)
-    cell = F.array(*[F.floor(F.col("_x")[i] / F.lit(side)).cast("long") for i in range(d)])
-    top = pts.groupBy(cell.alias("_c")).count().agg(F.max("count").alias("m")).first()["m"]
-    return bool(top and top > limit)
 
+def _dense_links(p: DataFrame, cells: DataFrame, offsets: list, eps: float) -> DataFrame:
+    """(src, dst): dense cells, by their smallest ids, that hold rows within ``eps`` of each other.
 
-def _work_groups(pts: DataFrame, eps: float, d: int, block_rows: int, min_samples: int, shortcut: bool):
-    """Rows (work key, point, unit, flags): each point once per work group it joins.
-
-    Plain mode: cells of side eps and 3^d neighbour cells. Dense-cell mode
-    (``shortcut``): cells of side eps/sqrt(d), so every pair inside a cell is
-    within eps; a cell with at least ``min_samples`` points is all core and
-    one connected unit and needs no pair work at all.
-    Returns ``(groups, dense_points, n_offsets)`` where ``dense_points`` lists
-    points of dense cells with their cell representative (smallest id).
+    Most are linked by their outermost points. Only cells that are near, not linked so and
+    not in one component anyway have their rows compared, those near the other's box.
     """
-    side = _fine_side(eps, d) if shortcut else float(eps)
-    r = math.ceil(math.sqrt(d)) if shortcut else 1
-    cell = F.array(*[F.floor(F.col("_x")[i] / F.lit(side)).cast("long") for i in range(d)])
-    p = pts.withColumn("_cell", cell)
-    cells = (p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_rep"))
-             .withColumn("_dense", F.lit(shortcut) & (F.col("_n") >= min_samples))
-             .withColumn("_nblk", F.ceil(F.col("_n") / F.lit(block_rows)).cast("long")).drop("_n"))
-    p = p.join(cells, "_cell").withColumn("_sb", F.pmod(F.xxhash64("_id"), F.col("_nblk")))
-    dense_points = p.filter("_dense").select("_id", "_rep")
-    # neighbour cells that can hold a point within eps (boundary distance <= eps)
-    offsets = [o for o in itertools.product(range(-r, r + 1), repeat=d)
-               if side * side * sum(max(abs(v) - 1, 0) ** 2 for v in o) <= float(eps) ** 2 * (1 + 1e-12)]
-    off = F.explode(F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in offsets]))
-    nb = p.withColumn("_off", off).withColumn("_ncell", F.zip_with("_cell", "_off", lambda a, b: a + b))
-    nb = nb.join(cells.select(F.col("_cell").alias("_ncell"), F.col("_nblk").alias("_nnblk")), "_ncell")
-    # inside a dense cell every pair is within eps: no work group is needed there
-    nb = nb.filter(~(F.col("_dense") & (F.col("_ncell") == F.col("_cell"))))
-    nb = nb.withColumn("_nsb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nnblk") - 1)))
-    me = F.struct(F.col("_cell").alias("c"), F.col("_sb").alias("b"))
-    other = F.struct(F.col("_ncell").alias("c"), F.col("_nsb").alias("b"))
-    key = F.struct(F.least(me, other).alias("lo"), F.greatest(me, other).alias("hi"))
-    # the key itself as plain numbers, and on which side of it the point stands
-    numbers = [key[s]["c"][i].alias(f"_k{s}{i}") for s in ("lo", "hi") for i in range(d)] + [key[s]["b"].alias(f"_k{s}b") for s in ("lo", "hi")]
-    side_of = F.when(me == other, BOTH).when(me == key["lo"], LOW).otherwise(HIGH).cast("int")
-    groups = nb.select(F.xxhash64(key).alias("_hash"), *numbers, "_id", "_x", side_of.alias("_side"), "_dense", "_rep")
-    return groups, dense_points, len(offsets)
-
-
-def _split(pdf: pd.DataFrame):
-    side = pdf["_side"].to_numpy()
-    if side[0] == BOTH:
-        return pdf, pdf, True
-    return pdf[side == LOW], pdf[side == HIGH], False
-
-
-def _is_dense(part: pd.DataFrame) -> bool:
-    return bool(len(part)) and bool(part["_dense"].iloc[0])
+    half = [o for o in offsets if o > (0,) * len(o)]
+    off = F.explode(F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in half]))
+    side = lambda name: cells.select(*[F.col(c).alias(f"{name}{c}") for c in ("_cell", "_rep", "_lo", "_hi", "_ends")])
+    first = side("a").withColumn("_off", off).withColumn("b_cell", F.zip_with("a_cell", "_off", lambda x, y: x + y)).drop("_off")
+    linked = F.exists("a_ends", lambda x: F.exists("b_ends", lambda y: _within(x, y, eps)))
+    pairs = first.join(side("b"), "b_cell").withColumn("_linked", linked).checkpoint()
+    sure = pairs.where("_linked").select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst"))
+    zero = F.lit(0.0)
+    gap = F.zip_with(F.zip_with("a_lo", "b_hi", lambda x, y: x - y), F.zip_with("b_lo", "a_hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, zero))
+    room = F.lit(eps * eps * (1 + 1e-9))
+    rest = pairs.where(~F.col("_linked") & (F.aggregate(gap, zero, lambda s, v: s + v * v) <= room))
+    if rest.isEmpty():
+        return sure
+    groups = connected_components(sure.unionByName(cells.select(F.col("_rep").alias("src"), F.col("_rep").alias("dst"))))
+    for name in ("a", "b"):
+        rest = rest.join(groups.select(F.col("_id").alias(f"{name}_rep"), F.col("comp").alias(f"{name}_comp")), f"{name}_rep")
+    rest = rest.where("a_comp <> b_comp").select("a_cell", "a_rep", "a_lo", "a_hi", "b_cell", "b_rep", "b_lo", "b_hi").checkpoint()
+
+    def near(name: str, other: str) -> DataFrame:
+        rows = p.select(F.col("_cell").alias(f"{name}_cell"), F.col("_x").alias(f"{name}_x")).join(rest, f"{name}_cell")
+        out = F.zip_with(F.zip_with(f"{other}_lo", f"{name}_x", lambda x, y: x - y), F.zip_with(f"{name}_x", f"{other}_hi", lambda x, y: x - y),
+                         lambda x, y: F.greatest(x, y, zero))
+        return rows.where(F.aggregate(out, zero, lambda s, v: s + v * v) <= room).select("a_rep", "b_rep", f"{name}_x").distinct()
+
+    met = near("a", "b").join(near("b", "a"), ["a_rep", "b_rep"]).where(_within("a_x", "b_x", eps))
+    return sure.unionByName(met.select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst")).distinct())
 
 
 def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int = 3,
            block_rows: int = 1024, dense_cells: bool | None = None) -> DataFrame:
     """M8 + J7: (id, cluster) with noise as -1.
 
-    ``dense_cells`` forces the dense-cell mode on or off (default: chosen from
-    the data by ``needs_dense_cells``)."""
+    ``dense_cells=False`` compares all rows of cells of side ``eps`` instead.
+    ``block_rows`` is for more than three columns."""
     ensure_code(df.sparkSession)
     if eps is None or eps <= 0 or min_samples is None or min_samples < 1:
         raise ValueError("eps must be > 0 and min_samples >= 1")
@@ -123,128 +88,52 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
     if d > GRID_DIMENSIONS:
         one = df.select(F.col(id_col), F.array(*[F.col(c).cast("double") for c in cols]).alias("_row"))
         return dbscan_vectors(one.where(F.forall("_row", lambda x: x.isNotNull())), id_col, "_row", eps, min_samples, block_rows)
-    pts = df.select(F.col(id_col).cast("long").alias("_id"),
-                    F.array(*[F.col(c).cast("double") for c in cols]).alias("_x")).dropna().checkpoint()
-    n = pts.count()
-    shortcut = needs_dense_cells(pts, eps, d, block_rows) if dense_cells is None else (dense_cells and d <= 3)
-    groups, dense_points, n_off = _work_groups(pts, eps, d, max(block_rows, min_samples), min_samples, shortcut)
-    # many small work groups share one pandas call: bucket = hash of the group key
-    nbuckets = max(pts.sparkSession.sparkContext.defaultParallelism, -(-(n * n_off) // BUCKET_ROWS))
-    groups = groups.withColumn("_bkt", F.pmod(F.col("_hash"), F.lit(nbuckets))).checkpoint()
-    e2 = float(eps) * float(eps)
-
-    def per_group(fn, empty):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            keys = [c for c in pdf.columns if c.startswith("_k")]
-            outs = [fn(g) for _, g in pdf.groupby(keys, sort=False)]
-            outs = [o for o in outs if len(o)]
-            return pd.concat(outs, ignore_index=True) if outs else empty()
-        return run
-
-    no_deg = lambda: pd.DataFrame({"_id": pd.Series(dtype="int64"), "cnt": pd.Series(dtype="int64")})
+    eps = float(eps)
+    pts = df.select(F.col(id_col).cast("long").alias("_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x")).dropna()
+    usable = F.forall("_x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
+    dense_mode = dense_cells is None or dense_cells
+    side = eps / math.sqrt(d) if dense_mode else eps
+    r = math.ceil(math.sqrt(d)) if dense_mode else 1
+    cell = F.transform("_x", lambda x: F.floor(x / F.lit(side)).cast("long"))
+    pts = pts.withColumn("_ok", F.coalesce(usable, F.lit(False))).withColumn("_cell", F.when(F.col("_ok"), cell)).checkpoint()
+    p = pts.where("_ok").drop("_ok")
+    x = [F.col("_x")[i] for i in range(d)]
+    ways = [w for w in itertools.product((-1, 0, 1), repeat=d) if any(w)]
+    ends = F.array(*[F.max_by("_x", sum((v * float(k) for v, k in zip(x, w)), F.lit(0.0))) for w in ways])
+    cells = p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_rep"), F.array(*[F.min(v) for v in x]).alias("_lo"),
+                                   F.array(*[F.max(v) for v in x]).alias("_hi"), ends.alias("_ends"))
+    cells = cells.withColumn("_dense", F.lit(dense_mode) & (F.col("_n") >= min_samples)).checkpoint()
+    # neighbour cells that can hold a point within eps (boundary distance <= eps)
+    offsets = [o for o in itertools.product(range(-r, r + 1), repeat=d)
+               if side * side * sum(max(abs(v) - 1, 0) ** 2 for v in o) <= eps ** 2 * (1 + 1e-12)]
+    homed = p.join(cells.select("_cell", "_rep", "_dense"), "_cell").checkpoint()
 
-    def degrees(pdf: pd.DataFrame) -> pd.DataFrame:
-        # only points of sparse cells need a degree: dense-cell points are core
-        a, b, same = _split(pdf)
-        da, db = _is_dense(a), _is_dense(b)
-        if (da and db) or len(a) == 0 or len(b) == 0:
-            return no_deg()
-        xa, xb = blocks.stack(a["_x"]), blocks.stack(b["_x"])
-        near = blocks.euclidean(xa, xb) ** 2 <= e2
-        out = []
-        if not da:
-            out.append(pd.DataFrame({"_id": a["_id"].to_numpy(), "cnt": near.sum(axis=1)}))
-        if not db and not same:
-            out.append(pd.DataFrame({"_id": b["_id"].to_numpy(), "cnt": near.sum(axis=0)}))
-        return pd.concat(out, ignore_index=True) if out else no_deg()
-
-    deg = groups.groupBy("_bkt").applyInPandas(per_group(degrees, no_deg), "_id long, cnt long") \
-        .groupBy("_id").agg(F.sum("cnt").alias("deg"))
-    if shortcut:
-        flags = groups.select("_id", "_dense").distinct()
-        core = flags.join(deg, "_id", "left").select(
-            "_id", (F.col("_dense") | (F.coalesce(F.col("deg"), F.lit(0)) >= min_samples)).alias("_core"))
-    else:
-        core = deg.select("_id", (F.col("deg") >= min_samples).alias("_core"))
-    core = core.checkpoint()
-    g2 = groups.join(core, "_id")
-    no_edge = lambda: pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"),
-                                    "kind": pd.Series(dtype="int32")})
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, same = _split(pdf)
-        da, db = _is_dense(a), _is_dense(b)
-        if len(a) == 0 or len(b) == 0:
-            return no_edge()
-        if da and db:
-            # two dense cells: one edge between their representatives if any pair is close
-            xa, xb = blocks.stack(a["_x"]), blocks.stack(b["_x"])
-            for s0 in range(0, len(xa), 256):
-                if (blocks.euclidean(xa[s0:s0 + 256], xb) ** 2 <= e2).any():
-                    return pd.DataFrame({"src": [int(a["_rep"].iloc[0])], "dst": [int(b["_rep"].iloc[0])],
-                                         "kind": np.array([0], dtype=np.int32)})
-            return no_edge()
-        allp = a if same else pd.concat([a, b], ignore_index=True)
-        x = blocks.stack(allp["_x"])
-        ids = allp["_id"].to_numpy()
-        is_core = allp["_core"].to_numpy().astype(bool)
-        near = blocks.euclidean(x, x) ** 2 <= e2
-        na = len(a)
-        in_a = np.arange(len(allp)) < na
-        dense_mask = (in_a & da) | (~in_a & db)
-        if not same:
-            near[:na, :na] = False          # pairs inside one unit belong to that unit's own group
-            near[na:, na:] = False
-        out_src, out_dst, kinds = [], [], []
-        ci = np.flatnonzero(is_core)
-        if len(ci):
-            adj = near[np.ix_(ci, ci)]
-            lab = np.where(dense_mask[ci], allp["_rep"].fillna(-1).to_numpy().astype(np.int64)[ci], ids[ci])
-            dm = dense_mask[ci]
-            for _ in range(len(ci) + 1):
-                new = np.where(adj, lab[None, :], np.iinfo(np.int64).max).min(axis=1)
-                new = np.minimum(new, lab)
-                if dm.any():
-                    new[dm] = new[dm].min()          # a dense cell is one connected unit
-                if np.array_equal(new, lab):
-                    break
-                lab = new
-            sparse_core = ~dm
-            out_src += list(ids[ci][sparse_core])
-            out_dst += list(lab[sparse_core])
-            kinds += [0] * int(sparse_core.sum())
-            if dm.any():
-                rep = int(allp["_rep"].to_numpy()[ci][dm][0])
-                out_src.append(rep)
-                out_dst.append(int(lab[dm][0]))
-                kinds.append(0)
-        nc = np.flatnonzero(~is_core)
-        if len(nc) and len(ci):
-            sub = near[np.ix_(nc, ci)]
-            r_, c_ = np.nonzero(sub)
-            out_src += list(ids[nc][r_])
-            out_dst += list(ids[ci][c_])
-            kinds += [1] * len(r_)
-        return pd.DataFrame({"src": np.asarray(out_src, dtype=np.int64), "dst": np.asarray(out_dst, dtype=np.int64),
-                             "kind": np.asarray(kinds, dtype=np.int32)})
-
-    edges = g2.groupBy("_bkt").applyInPandas(per_group(links, no_edge), "src long, dst long, kind int").checkpoint()
-    # every point of a dense cell hangs off its cell representative (one edge per point)
-    star = edges.filter("kind = 0").select("src", "dst")
-    if shortcut:
-        star = star.unionByName(dense_points.select(F.col("_id").alias("src"), F.col("_rep").alias("dst")))
-    star = star.distinct()
-    border = edges.filter("kind = 1").select(F.col("src").alias("_id"), F.col("dst").alias("core_id")).distinct()
-    comp = connected_components(star)
+    # rows of sparse cells meet the rows of the cells around; dense cells count as one node there
+    sparse = homed.where("NOT _dense").select(F.col("_id").alias("_s"), F.col("_x").alias("_sx"), "_cell")
+    off = F.explode(F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in offsets]))
+    sparse = sparse.withColumn("_off", off).select("_s", "_sx", F.zip_with("_cell", "_off", lambda a, b: a + b).alias("_cell"))
+    node = F.when(F.col("_dense"), F.col("_rep")).otherwise(F.col("_id"))
+    met = sparse.join(homed, "_cell").where(_within("_sx", "_x", eps)).groupBy("_s", node.alias("_node"), "_dense").agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
+    # an id of several rows is one point in several places
+    twice = p.groupBy("_id").count().where("count > 1").select("_id")
+    placed = homed.where("_dense").join(twice, "_id").select("_id", "_rep").distinct().checkpoint()
+    core = met.groupBy("_s").agg(F.sum("cnt").alias("deg")).where(F.col("deg") >= min_samples).select(F.col("_s").alias("_id"))
+    core = core.unionByName(placed.select("_id").join(met.select(F.col("_s").alias("_id")), "_id", "left_semi")).distinct().checkpoint()
+    to_core = met.where("_dense").select("_s", "_node").unionByName(
+        met.where("NOT _dense").join(core.withColumnRenamed("_id", "_node"), "_node", "left_semi").select("_s", "_node"))
+    from_core = to_core.join(core.withColumnRenamed("_id", "_s"), "_s", "left_semi")
+    border = to_core.join(core.withColumnRenamed("_id", "_s"), "_s", "left_anti")
+    dense = cells.where("_dense")
+    pair = lambda t, a, b: t.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    star = pair(dense, "_rep", "_rep").unionByName(pair(core, "_id", "_id")).unionByName(pair(from_core, "_s", "_node")).unionByName(pair(placed, "_id", "_rep"))
+    comp = connected_components(star.unionByName(_dense_links(p, dense, offsets, eps)).distinct())
     firsts = comp.groupBy("comp").agg(F.min("_id").alias("_first"))
     numbered = dense_index(firsts, "_first", out="cluster").select("comp", F.col("cluster").cast("int"))
-    core_lab = comp.join(numbered, "comp").select("_id", "cluster")
-    border_lab = border.join(core_lab.select(F.col("_id").alias("core_id"), "cluster"), "core_id") \
-        .groupBy("_id").agg(F.min("cluster").alias("cluster"))
-    labelled = core_lab.unionByName(border_lab.join(core_lab.select("_id"), "_id", "left_anti"))
-    out = pts.select("_id").join(labelled, "_id", "left") \
-        .select(F.col("_id").alias(id_col), F.coalesce(F.col("cluster"), F.lit(-1)).cast("int").alias("cluster"))
-    return out
+    labels = comp.join(numbered, "comp").select(F.col("_id").alias("_node"), "cluster").checkpoint()
+    border = border.join(labels, "_node").groupBy(F.col("_s").alias("_id")).agg(F.min("cluster").alias("_border"))
+    rows = homed.select("_id", node.alias("_node")).unionByName(pts.where("NOT _ok").select("_id", F.lit(None).cast("long").alias("_node")))
+    return rows.join(labels, "_node", "left").join(border, "_id", "left").select(
+        F.col("_id").alias(id_col), F.coalesce("cluster", "_border", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def _near(guest: pd.DataFrame, host: pd.DataFrame, eps: float) -> np.ndarray:

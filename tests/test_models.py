@@ -55,6 +55,18 @@ def test_dbscan_equals_brute_force_with_tiny_blocks(spark):
         assert (got == want).all()
 
 
+def test_dense_cells_linked_by_inner_rows_only(spark):
+    """Hot cells, some of whose outermost points are apart while other rows are near, and rows without a place."""
+    rng = np.random.default_rng(2)
+    hot = np.concatenate([rng.uniform(0, 1, (900, 2)) * (0.06, 0.2) + c for c in ((0, 0), (0.155, 0.0), (0.5, 0.5))])
+    x = np.concatenate([hot, rng.uniform(-0.5, 1.2, (150, 2)), np.zeros((40, 2))])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(5000, None, 0.0), (5001, float("nan"), 0.0), (5002, None, 0.0), (5003, None, 0.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(5)
+    for eps, ms in ((0.1, 4), (0.0955, 3), (0.03, 8)):
+        got = dbscan(df, "id", ["a", "b"], eps, ms).toPandas().sort_values("id")["cluster"].to_numpy()
+        assert (got == np.concatenate([brute_dbscan(x, eps, ms), [-1] * 4])).all()
+
+
 def test_merge_heights_equal_brute_force():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(30, 2))
