@@ -67,6 +67,26 @@ def test_dense_cells_linked_by_inner_rows_only(spark):
         assert (got == np.concatenate([brute_dbscan(x, eps, ms), [-1] * 4])).all()
 
 
+def test_streamed_rows_meet_every_block_once_and_few_copies_are_made(spark):
+    """Blocks of a large table hold many rows, so that a row is sent to few of them; near rows far from the origin keep their distances."""
+    from featurelens.operators.embed import knn_distances
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, (150, 4)), 1e4 + rng.normal(0, 1e-3, (60, 4)), np.full((12, 4), 3.0)])
+    pdf = pd.DataFrame({"id": np.arange(len(x)), "v": list(x), "l": np.arange(len(x)) % 3})
+    df = spark.createDataFrame(pdf).repartition(4)
+    both, strips = blocks.streamed(df.select("id"), "id", 100_000)
+    assert strips == 1 and both.where("NOT _host").count() == len(x) * 24 and both.where("_host").count() == len(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    got = {(r["id"], r["nbr"]): r["dist"] for r in knn_distances(df, "id", "v", 5, block_rows=40).collect()}
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == 5 * len(x)
+    for i in range(len(x)):
+        want = sorted(range(len(x)), key=lambda j: (d[i, j], j < i, j))[:5]
+        assert {j for a, j in got if a == i} == set(want)
+    assert all(got[k] == d[k] or abs(got[k] - d[k]) < 1e-12 for k in got)
+
+
 def test_merge_heights_equal_brute_force():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(30, 2))
