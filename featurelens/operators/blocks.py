@@ -63,13 +63,24 @@ def euclidean(a: np.ndarray, b: np.ndarray, chunk: int = 128) -> np.ndarray:
     return out
 
 
+def squared_to(b: np.ndarray):
+    """Function from rows to their squared distances to the rows ``b`` by one matrix product, and how far they may be off (not finite: of no use)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        qb = np.einsum("ij,ij->i", b, b)
+        right = np.hstack([-2.0 * b, np.ones((len(b), 1)), qb[:, None]]).T
+
+    def run(a: np.ndarray) -> tuple[np.ndarray, float]:
+        with np.errstate(over="ignore", invalid="ignore"):
+            qa = np.einsum("ij,ij->i", a, a)
+            d2 = np.hstack([a, qa[:, None], np.ones((len(a), 1))]) @ right
+            return d2, float(8 * np.finfo(float).eps * (a.shape[1] + 8) * (qa.max(initial=0.0) + qb.max(initial=0.0)))
+
+    return run
+
+
 def squared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     """Squared distances by one matrix product, and how far they may be off (not finite: of no use)."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        qa, qb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
-        left = np.hstack([a, qa[:, None], np.ones((len(a), 1))])
-        d2 = left @ np.hstack([-2.0 * b, np.ones((len(b), 1)), qb[:, None]]).T
-        return d2, float(8 * np.finfo(float).eps * (a.shape[1] + 8) * (qa.max(initial=0.0) + qb.max(initial=0.0)))
+    return squared_to(b)(a)
 
 
 def between(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray, chunk: int = 50_000) -> np.ndarray:

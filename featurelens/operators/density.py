@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from featurelens.functions.columns import to_double_array
 from featurelens.operators import blocks
-from featurelens.operators.neighbours import Meetings
+from featurelens.operators.neighbours import CHUNK_VALUES, Meetings, columns_of
 from featurelens.operators.positions import dense_index
 from featurelens.session import ensure_code, remove_path, shared_dir
 
 MAX_ROUNDS = 60
+FIRST_GUESTS = 256       # core rows of a bundle that link it with others first
 GRID_DIMENSIONS = 3      # beyond these a cell has too many neighbours (3^d)
 
 def _within(a, b, eps: float):
@@ -136,51 +137,107 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
         F.col("_id").alias(id_col), F.coalesce("cluster", "_border", F.lit(-1)).cast("int").alias("cluster"))
 
 
-def _near(guest: pd.DataFrame, host: pd.DataFrame, eps: float) -> np.ndarray:
-    return blocks.euclidean(blocks.stack(guest["_v"]), blocks.stack(host["_v"]), 32) ** 2 <= eps * eps
+def _near(a: np.ndarray, b: np.ndarray, eps: float):
+    """Pieces (first row, whether the rows of ``a`` from there on are within ``eps`` of those of ``b``); distances at the limit are by differences."""
+    rough, room = blocks.squared_to(b), eps * eps
+    step = max(1, CHUNK_VALUES // max(1, len(b)))
+    for s in range(0, len(a), step):
+        rows = a[s:s + step]
+        d2, error = rough(rows)
+        if not np.isfinite(error):
+            yield s, blocks.euclidean(rows, b, max(1, CHUNK_VALUES // max(1, b.size))) ** 2 <= room
+            continue
+        near = d2 <= room * (1 + 1e-12) + error
+        sure = d2 <= room * (1 - 1e-12) - error
+        if np.count_nonzero(near) > np.count_nonzero(sure):
+            row, col = np.nonzero(near & ~sure)
+            near[row, col] = blocks.between(rows, b, row, col) ** 2 <= room
+        yield s, near
+
+
+def _degrees(a: np.ndarray, b: np.ndarray, weights: np.ndarray, eps: float) -> np.ndarray:
+    """Weight of the rows of ``b`` within ``eps`` of every row of ``a``."""
+    out = np.zeros(len(a), np.int64)
+    for s, near in _near(a, b, eps):
+        row, col = np.nonzero(near)
+        out[s:s + len(near)] = _sums(row, weights[col], len(near))
+    return out
+
+
+def _sums(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by row (sorted)."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.searchsorted(row, np.arange(n + 1))
+    return total[ends[1:]] - total[ends[:-1]]
+
+
+def _components(x: np.ndarray, eps: float) -> np.ndarray:
+    """For every row the first row of its component under links of at most ``eps``."""
+    parent = np.arange(len(x))
+    for s, near in _near(x, x, eps):
+        row, col = np.nonzero(near)
+        a, b = parent[row + s], parent[col]
+        while len(other := np.flatnonzero(a != b)):
+            a, b = a[other], b[other]
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := parent[parent], parent):
+                parent = up
+            a, b = parent[a], parent[b]
+    return parent
+
+
+def _local(eps: float):
+    """Group function on core rows of a bundle: (_id, node), the node being the smallest id of the component here."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_id")
+        ids = pdf["_id"].to_numpy()
+        return pd.DataFrame({"_id": ids, "_node": ids[_components(blocks.stack(pdf["_v"]), eps)]})
+
+    return run
 
-def _local_edges(eps: float):
-    """Group function on core flags: core rows -> smallest id of their component here (kind 0), border rows -> core rows (kind 1)."""
+
+def _links(eps: float):
+    """Group function on rows with their ``_node`` (null: not core): (src, dst), distinct, a guest's node (or, not core, its id) and another node of core rows within ``eps`` of it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        guest, host = pdf[pdf["_guest"]], pdf[~pdf["_guest"] & pdf["_core"]]
-        none = pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "kind": np.zeros(0, np.int32)})
-        if not len(guest) or not len(host):
-            return none
-        near, core = _near(guest, host, eps), guest["_core"].to_numpy()
-        gid, hid = guest["_id"].to_numpy(), host["_id"].to_numpy()
-        row, col = np.nonzero(near[~core])
-        border = (gid[~core][row], hid[col])
-        gid, near = gid[core], near[core]
-        inner, outer = near.any(axis=1), near.any(axis=0)
-        gid, hid, near = gid[inner], hid[outer], near[np.ix_(inner, outer)]
-        most = np.iinfo(np.int64).max
-        glab, hlab = gid, hid
-        while len(gid):
-            glab = np.minimum(glab, np.where(near, hlab[None, :], most).min(axis=1))
-            new = np.minimum(hlab, np.where(near, glab[:, None], most).min(axis=0))
-            if np.array_equal(new, hlab):
-                break
-            hlab = new
-        src, dst = np.concatenate([gid, hid, border[0]]), np.concatenate([glab, hlab, border[1]])
-        return pd.DataFrame({"src": src, "dst": dst, "kind": np.repeat([0, 1], [len(gid) + len(hid), len(row)]).astype(np.int32)})
+        guest, host = pdf[pdf["_guest"]], pdf[~pdf["_guest"]]
+        found = [np.zeros((0, 3), np.int64)]
+        if len(guest) and len(host):
+            names, of = np.unique(host["_node"].to_numpy().astype(np.int64), return_inverse=True)
+            core = guest["_core"].to_numpy()
+            src = np.where(core, guest["_node"].fillna(0).to_numpy().astype(np.int64), guest["_id"].to_numpy())
+            for s, near in _near(blocks.stack(guest["_v"]), blocks.stack(host["_v"]), eps):
+                row, col = np.nonzero(near)
+                pairs = np.unique(row * len(names) + of[col])  # a row and a node once
+                row, dst = pairs // len(names) + s, names[pairs % len(names)]
+                other = ~core[row] | (src[row] != dst)
+                found.append(np.stack([src[row], dst, core[row].astype(np.int64)], axis=1)[other])
+        out = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"src": out[:, 0], "dst": out[:, 1], "core": out[:, 2] == 1})
 
     return run
 
 
 def dbscan_vectors(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_samples: int = 3,
-                   block_rows: int = 1024, max_pivots: int = 1024) -> DataFrame:
+                   block_rows: int = 1024, max_pivots: int = 1024, figures: dict | None = None) -> DataFrame:
     """M8 + J7 for vectors of any width: (id, cluster) with noise as -1.
 
     Neighbours meet in rings around pivots (``neighbours.Meetings``) instead
     of adjacent cells, whose number grows as 3^d. Equal vectors are one point
     with a weight, so any number of copies costs no pairs.
 
+    Rows meet their own bundle first. Those with ``min_samples`` neighbours
+    there are core and visit no others to be counted; components there are
+    nodes. A few core rows of every bundle then link nodes of different
+    bundles. After that only rows outside the largest component visit all
+    bundles in reach: of two core rows of different components one is
+    outside, so no link is missed.
+
     Ids are distinct whole numbers. Rows with a null id, a null vector or an
     entry that is null or not finite are left out; an empty table gives an
     empty result. A border row takes the smallest cluster number among its
-    core neighbours.
+    core neighbours. ``figures`` receives the number of row copies.
     """
     if eps is None or eps <= 0 or min_samples is None or min_samples < 1:
         raise ValueError("eps must be > 0 and min_samples >= 1")
@@ -193,27 +250,56 @@ def dbscan_vectors(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, m
     n = places.count()
     if not n:
         return pts.select(F.col("_key").alias(id_col), F.lit(-1).alias("cluster"))
-    meetings = Meetings(places.select("_id", "_v"), n, eps, "euclidean", block_rows, max_pivots)
     eps = float(eps)
+    meetings = Meetings(places.select("_id", "_v", "_w"), n, eps, "euclidean", block_rows, max_pivots)
+    piece, group = ["_bundle", "_piece"], ["_bundle", "_piece", "_group"]
 
-    def degrees(pdf: pd.DataFrame) -> pd.DataFrame:
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = blocks.stack(pdf["_v"])
+        return pdf.assign(_n=_degrees(x, x, pdf["_w"].to_numpy(), eps))
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
         guest, host = pdf[pdf["_guest"]], pdf[~pdf["_guest"]]
         if not len(guest) or not len(host):
             return pd.DataFrame({"_id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-        return pd.DataFrame({"_id": guest["_id"].to_numpy(), "n": _near(guest, host, eps) @ host["_w"].to_numpy()})
-
-    weighted = meetings.rows.join(places.select("_id", "_w"), "_id").checkpoint()
-    degree = meetings.groups(weighted, ["_w"]).groupBy("_zone", "_part", "_group").applyInPandas(degrees, "_id long, n long")
-    core = degree.groupBy("_id").agg((F.sum("n") >= min_samples).alias("_core"))
-    flagged = weighted.drop("_w").join(core, "_id").checkpoint()
-    edges = meetings.groups(flagged, ["_core"]).groupBy("_zone", "_part", "_group").applyInPandas(
-        _local_edges(eps), "src long, dst long, kind int").checkpoint()
-    comp = connected_components(edges.where("kind = 0").select("src", "dst").distinct())
-    firsts = comp.groupBy("comp").agg(F.min("_id").alias("_first"))
+        return pd.DataFrame({"_id": guest["_id"].to_numpy(), "n": _degrees(blocks.stack(guest["_v"]), blocks.stack(host["_v"]), host["_w"].to_numpy(), eps)})
+
+    rows = meetings.rows
+    rows = rows.groupBy(*piece).applyInPandas(counted, f"{columns_of(rows)}, _n long").checkpoint()
+    if meetings.bundles > 1:
+        poor = meetings.groups(rows.where(F.col("_n") < min_samples), rows, ["_w"], home=False)
+        more = poor.groupBy(*group).applyInPandas(added, "_id long, n long").groupBy("_id").agg(F.sum("n").alias("_more"))
+        rows = rows.join(more, "_id", "left").withColumn("_n", F.col("_n") + F.coalesce("_more", F.lit(0))).drop("_more")
+    rows = rows.withColumn("_core", F.col("_n") >= min_samples).drop("_n", "_w").checkpoint()
+    local = rows.where("_core").groupBy(*piece).applyInPandas(_local(eps), "_id long, _node long")
+    rows = rows.join(local, "_id", "left").checkpoint()
+
+    def linked(guests: DataFrame, hosts: DataFrame) -> DataFrame:
+        return meetings.groups(guests, hosts, ["_core", "_node"]).groupBy(*group).applyInPandas(_links(eps), "src long, dst long, core boolean").checkpoint()
+
+    def joined(rows: DataFrame, links: DataFrame) -> DataFrame:
+        nodes = rows.where("_core").select(F.col("_node").alias("src"), F.col("_node").alias("dst"))
+        comp = connected_components(nodes.unionByName(links.where("core").select("src", "dst")).distinct())
+        return rows.join(comp.select(F.col("_id").alias("_node"), "comp"), "_node", "left").withColumn("_node", F.col("comp")).drop("comp").checkpoint()
+
+    if meetings.bundles > 1:
+        some = F.pmod(F.xxhash64("_id", F.lit(29)), F.lit(max(1, n // (meetings.bundles * FIRST_GUESTS)))) == 0
+        rows = joined(rows, linked(rows.where("_core").where(some), rows.where("_core")))
+        largest = rows.where("_core").groupBy("_node").count().orderBy(F.desc("count"), "_node").limit(1).collect()
+        outside = rows.where(~F.col("_core") | (F.col("_node") != F.lit(largest[0]["_node"] if largest else None)))
+        links = linked(outside, rows.where("_core"))
+        final = joined(rows, links)
+    else:
+        links = linked(rows.where("NOT _core"), rows.where("_core"))
+        final = rows
+    if figures is not None:
+        figures.update(meetings.figures)
+    # a node that a border row was linked with has another name where components were joined since
+    names = rows.where("_core").select("_id", F.col("_node").alias("dst")).join(final.select("_id", F.col("_node").alias("comp")), "_id").select("dst", "comp").distinct()
+    firsts = final.where("_core").groupBy(F.col("_node").alias("comp")).agg(F.min("_id").alias("_first"))
     numbered = dense_index(firsts, "_first", out="cluster").select("comp", F.col("cluster").cast("int"))
-    labels = comp.join(numbered, "comp").select("_id", "cluster")
-    border = edges.where("kind = 1").select(F.col("src").alias("_b"), F.col("dst").alias("_id")).join(labels, "_id") \
-        .groupBy(F.col("_b").alias("_id")).agg(F.min("cluster").alias("cluster"))
+    labels = final.where("_core").select("_id", F.col("_node").alias("comp")).join(numbered, "comp").select("_id", "cluster")
+    border = links.where("NOT core").join(names, "dst").join(numbered, "comp").groupBy(F.col("src").alias("_id")).agg(F.min("cluster").alias("cluster"))
     known = places.select("_id", F.col("_v")).join(labels.unionByName(border), "_id").drop("_id")
     return pts.join(known, "_v", "left").select(F.col("_key").alias(id_col), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
