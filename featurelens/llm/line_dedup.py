@@ -13,7 +13,8 @@ has Jaccard similarity t or more. Lines are in order of document id, then the
 text's hash and the number of the copy (for ids that are null or repeat), then
 line number.
 
-DataFrame functions only. What is shuffled is prefix tokens, and texts of lines
+DataFrame functions only. Tokens are computed once and stored until the sets
+are. What is shuffled is prefix tokens, and texts of lines
 in candidate pairs; the broadcast is the 2^16 bucket ranks. Rows of a frequent
 prefix token are split by the adaptive skew join; equal lines count as one
 there however often they occur.
@@ -27,6 +28,10 @@ such copies the lines of number 0 count as the earlier ones.
 
 from __future__ import annotations
 
+import functools
+import operator
+from contextlib import ExitStack
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +70,7 @@ def with_tokens(lines: DataFrame, n: int) -> DataFrame:
     blank = " \t\r\f\x0b"
     clean = lines.withColumn("_l", F.btrim(F.lower("line"), F.lit(blank)))
     # most lines have single spaces only, for which splitting needs no pattern
-    odd = F.col("_l").rlike("  |[\\t\\r\\f\\x0B]")
+    odd = functools.reduce(operator.or_, [F.col("_l").contains(x) for x in ("  ", "\t", "\r", "\f", "\x0b")])
     words = clean.withColumn("_w", F.when(odd, F.split("_l", "[ \\t\\r\\f\\x0B]+")).otherwise(F.split("_l", " ")))
     # a word is hashed once; a run is the hash of its words' numbers
     hashed = words.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
@@ -102,9 +107,8 @@ def _least(size: Column, percent: int) -> Column:
     return F.floor((size * percent + 99) / 100).cast("int")
 
 
-def entries(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+def entries(tokens: DataFrame, percent: int) -> DataFrame:
     """One row per line: doc, text_hash, line_no, set name (sid, sid2), size and prefix tokens in order of rarity."""
-    tokens = with_tokens(lines_of(df, id_col, text_col), n)
     ranks = bucket_ranks(tokens)
     ordered = tokens.select("doc", "text_hash", "line_no", by_rarity(ranks).alias("tokens"))
     size = F.size("tokens")
@@ -117,7 +121,11 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     if not 1 <= percent <= 100 or n < 1:
         raise ValueError(f"percent must be from 1 to 100 and n positive: {percent}, {n}")
     prepare(df.sparkSession)
-    with written(entries(df, id_col, text_col, n, percent), "line-sets") as table:
+    with ExitStack() as stored:
+        # read for the counts and again for the sets; hashes don't compress
+        hashed = with_tokens(lines_of(df, id_col, text_col), n).select("doc", "text_hash", "line_no", "tokens")
+        with written(hashed, "line-tokens", **{"compression": "uncompressed", "parquet.enable.dictionary": "false"}) as tokens:
+            table = stored.enter_context(written(entries(tokens, percent), "line-sets"))
         lines = cut(table.select("doc", "text_hash", "line_no", "sid", "sid2"))
         sets = table.groupBy("sid", "sid2").agg(F.min(F.struct("doc", "text_hash", "line_no")).alias("at"), F.first("size").alias("size"),
                                                 F.first("prefix").alias("prefix"))

@@ -24,7 +24,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def written(df: DataFrame, name: str):
+def written(df: DataFrame, name: str, **options: str):
     """A Parquet table in the shared folder for the time of the block.
 
     For what only intermediate jobs read; the files are removed at the end.
@@ -32,7 +32,7 @@ def written(df: DataFrame, name: str):
     spark, schema = df.sparkSession, df.schema
     prepare(spark)
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     del df  # or its shuffle files stay
     try:
         yield spark.read.schema(schema).parquet(path)

@@ -357,3 +357,13 @@ def test_pipeline_keeps_documents_of_several_languages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert got == {i for i, t, _ in rows if re.search(r"[^\W\d_]", t or "")}
+
+
+def test_line_tokens_are_computed_once(spark, monkeypatch):
+    """op5: counts and sets read stored tokens, which were computed for each of the two."""
+    read, real = [], line_dedup.bucket_ranks
+    monkeypatch.setattr(line_dedup, "bucket_ranks", lambda lines: read.extend(lines.inputFiles()) or real(lines))
+    df = spark.createDataFrame([(1, "a  b\tc d e f\n\nx"), (2, " A b c d e f "), (3, None)], "doc_id long, text string")
+    found = line_dedup.per_document(df, line_dedup.matches(df)).collect()
+    assert read and all("line-tokens" in f for f in read)
+    assert sorted(tuple(r) for r in found) == [(1, 2, 0), (2, 1, 1), (3, 0, 0)]
