@@ -17,18 +17,24 @@ Two exact filters make candidate clusters, by ``percent``:
    too if more than z are small again. So linked sets always share a key. Keys are
    combined per slice before they are shuffled.
 1b. *Prefixes* (below). Elements are put in order of rarity: classes of the logarithm of
-   the count of 2^20 hash buckets over all documents, then the hash. Of two sets
-   that can link, the first size - ceil(percent * size) + 1 elements (prefixes) share
-   one. At an element shared by prefixes, two sets are held against the length
+   the number of documents that hold them, then the hash. Of two sets that can link, the
+   first size - ceil(percent * size) + 1 elements (prefixes) share one. Blocks of documents
+   send their elements (40 bits of the hash, so a count may be too large, alike for all)
+   to parts by hash; the parts count them and reply with those that two documents hold at
+   least. Only these can be shared, so a prefix of elements found once sends nothing more.
+   At an element shared by prefixes, two sets are held against the length
    filter and the positional filter (what is left of both must suffice). A passage
    that many documents share comes late in this order, so only sets that hold
    little else have it in their prefixes. Each task sends the connected sets of its
    passing pairs, as one edge a set (at elements of more than 1,024 sets all of them
    count as connected, which only makes a cluster larger).
 2. *Clusters.* Edges join sets into candidate clusters; links exist only inside.
-3. *Tiles.* A cluster is cut into tiles by size band and slot so that a tile
-   holds a bounded number of rows and n-grams; each pair of tiles whose sizes
-   can link is compared once. In a tile every set has a hashed bitmap:
+3. *Tiles.* A cluster of few rows and n-grams is a tile. With parts, larger ones are cut
+   into tiles by size band and slot, and each pair of tiles whose sizes can link is
+   compared once. With prefixes, each tile is compared within itself and with a few
+   leaders of the cluster, so texts aren't copied for pairs of tiles; this
+   connects near copies of one text. Then the sets of pairs that pass the filters and
+   aren't connected are compared, in rounds. In a tile every set has a hashed bitmap:
    overlap <= (a + b - bits that differ) / 2. Pairs that pass this bound and
    are not yet connected are verified by intersecting the sorted hash arrays.
    A tile gives the edges of a spanning forest, never all pairs.
@@ -52,11 +58,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelens.llm.columns import lower_ascii, mix, ranges_index, run_hashes, runs, slices, utf8
-from featurelens.llm.staging import cut, fresh, prepare, text_or_empty
+from featurelens.llm.staging import cut, free_shuffles, fresh, prepare, text_or_empty, written
 from featurelens.operators.density import connected_components
 from featurelens.operators.sizes import broadcast_if_small
 
@@ -65,8 +72,15 @@ LEAST_IN_PART = 3
 HEAVY_BITS = 18
 PACK_GRAMS = 8_000_000
 RARITY_BITS = 20
-RARITY_CHUNKS = 64
+KEY_BITS = 40
+BLOCK_GRAMS = 1_000_000
+BLOCK_DOCS = 60_000
+REPLIES = 256
 PACK_ENTRIES = 2_000_000
+LEADERS = 8
+PAIRS_IN_TILE = 256
+PAIRS_A_ROUND = 100_000
+FIRST_PAIRS = 10_000
 MANY_SETS = 1_024
 FLUSH_PAIRS = 4_000_000
 BITMAP_WORDS = 64
@@ -194,15 +208,43 @@ class Bands:
 
 
 def prefixes(values: np.ndarray, at: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of the elements in each set's prefix, the set each belongs to and its place in order of rarity."""
-    keys = (classes[(values >> np.uint64(64 - RARITY_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        keys[a:b].sort()
-    sizes = np.diff(at)
-    lens = np.where(sizes > 0, sizes - (sizes * percent + 99) // 100 + 1, 0)
-    index = ranges_index(at[:-1], lens)
-    owner = np.repeat(np.arange(len(sizes)), lens)
-    return mix(keys[index]), owner, index - at[:-1][owner]
+    """Names of the elements in each set's prefix, the set each belongs to and its place in order of rarity.
+
+    ``classes`` has the rarity of hash buckets.
+    """
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return rarest(owner, classes[(values >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], values >> np.uint64(8), np.diff(at), percent)
+
+
+def rarest(owner: np.ndarray, classes: np.ndarray, keys: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``prefixes``, of elements with a set (``owner``), a class and a key of up to 56 bits each.
+
+    Elements of a set that are not given come before all given ones.
+    """
+    names = (classes.astype(np.uint64) << np.uint64(56)) | keys
+    order = np.lexsort((names, owner))
+    names, owner = names[order], owner[order]
+    given = np.bincount(owner, minlength=len(sizes))
+    first = np.cumsum(given) - given
+    place = np.arange(len(owner)) - first[owner] + (sizes - given)[owner]
+    inside = place < (sizes - (sizes * percent + 99) // 100 + 1)[owner]
+    return mix(names[inside]), owner[inside], place[inside]
+
+
+def pressed(values: np.ndarray) -> bytes:
+    """Bytes of an array, by place in a value, compressed."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpressed(data: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, n).T).view(kind).reshape(n)
+
+
+def gaps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences."""
+    return np.diff(keys, prepend=np.zeros(1, keys.dtype))
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,30 +267,75 @@ def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def candidates(keys: np.ndarray, sids: np.ndarray, sizes: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
     """Edges (set, smallest set of its component) of the pairs that pass the filters at a shared element."""
+    order, group = _shared(keys, sids)
+    keys, sids = keys[order], sids[order]
+    crowd = group > MANY_SETS
+    head = sids[np.maximum.accumulate(np.where(np.r_[True, keys[1:] != keys[:-1]], np.arange(len(keys)), 0))] if len(keys) else sids
+    found, held = [stars(sids[crowd], head[crowd])], 0
+    for pairs in _passing(keys, sids, sizes[order], places[order], np.flatnonzero((group > 1) & ~crowd), percent):
+        found.append(pairs)
+        held += len(pairs)
+        if held > FLUSH_PAIRS:
+            pairs = np.concatenate(found)
+            found, held = [stars(pairs[:, 0], pairs[:, 1])], 0
+    pairs = np.concatenate(found)
+    return stars(pairs[:, 0], pairs[:, 1])
+
+
+def apart(keys: np.ndarray, sids: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """The pairs of sets with different roots that pass the filters at a shared element, in runs without repeats."""
+    order, _ = _shared(keys, sids)
+    if not len(order):
+        return
+    # the sets of a key's most common root come last: pairs start from the others only
+    order = order[np.lexsort((roots[order], keys[order]))]
+    key, root = keys[order], roots[order]
+    first = np.r_[True, (key[1:] != key[:-1]) | (root[1:] != root[:-1])]
+    starts, run = np.flatnonzero(first), np.cumsum(first) - 1
+    ranked = np.lexsort((np.diff(np.r_[starts, len(key)]), key[starts]))
+    largest = np.zeros(len(starts), bool)
+    largest[ranked[np.r_[key[starts][ranked][1:] != key[starts][ranked][:-1], True]]] = True
+    last = np.lexsort((largest[run], key))
+    others = np.flatnonzero(~largest[run][last])
+    order = order[last]
+    keys, sids, roots = keys[order], sids[order], roots[order]
+    found, held = [np.zeros((0, 2), np.int64)], 0
+    for pairs in _passing(keys, sids, sizes[order], places[order], others, percent, roots):
+        found.append(np.sort(pairs, axis=1))
+        held += len(pairs)
+        if held > FLUSH_PAIRS:
+            found, held = [np.unique(np.concatenate(found), axis=0)], 0
+            if len(found[0]) > FLUSH_PAIRS // 2:
+                yield found.pop()
+    if found:
+        yield np.unique(np.concatenate(found), axis=0)
+
+
+def _shared(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key and set, each pair of them once (the first given), and how many sets the key of each has."""
     order = np.lexsort((sids, keys))
     order = order[np.r_[True, (keys[order[1:]] != keys[order[:-1]]) | (sids[order[1:]] != sids[order[:-1]])]] if len(order) else order
-    keys, sids, sizes, places = keys[order], sids[order], sizes[order].astype(np.int64), places[order]
+    keys = keys[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     counts = np.diff(np.r_[starts, len(keys)])
-    group = np.repeat(counts, counts)
-    crowd = group > MANY_SETS
-    head = np.repeat(starts, counts)[crowd]
-    found = [stars(sids[crowd], sids[head])]
-    at, step, held = np.flatnonzero((group > 1) & ~crowd), 1, 0
+    return order, np.repeat(counts, counts)
+
+
+def _passing(keys, sids, sizes, places, at: np.ndarray, percent: int, roots: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Pairs of sets at a key that pass the length and the positional filter; ``at``: places to start from."""
+    sizes, step = sizes.astype(np.int64), 1
     while len(at):
         at = at[at + step < len(keys)]
         at = at[keys[at + step] == keys[at]]
-        a, b = sizes[at], sizes[at + step]
-        left = np.minimum(a - places[at], b - places[at + step])  # this element and those after it
-        passing = at[(np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (left * (100 + percent) >= percent * (a + b))]
-        found.append(np.stack([sids[passing], sids[passing + step]], axis=1))
+        for some in np.array_split(at, len(at) // FLUSH_PAIRS + 1):
+            a, b = sizes[some], sizes[some + step]
+            left = np.minimum(a - places[some], b - places[some + step])  # this element and those after it
+            passing = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (left * (100 + percent) >= percent * (a + b))
+            if roots is not None:
+                passing &= roots[some] != roots[some + step]
+            some = some[passing]
+            yield np.stack([sids[some], sids[some + step]], axis=1)
         step += 1
-        held += len(passing)
-        if held > FLUSH_PAIRS:
-            pairs = np.concatenate(found)
-            found, held = [stars(pairs[:, 0], pairs[:, 1])], 0
-    pairs = np.concatenate(found)
-    return stars(pairs[:, 0], pairs[:, 1])
 
 
 def compare(texts: pa.Array, sids: np.ndarray, tiles: np.ndarray, sides: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -324,35 +411,6 @@ def _named(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, _text long, n long, sid long")
 
 
-def _rarity(texts: DataFrame, n: int) -> np.ndarray:
-    """Class of the count of elements in every hash bucket: the lower, the rarer."""
-    width = (1 << RARITY_BITS) // RARITY_CHUNKS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << RARITY_BITS, np.int64)
-        for batch in batches:
-            for part in slices(batch, "_t"):
-                values, _ = gram_sets(part.column("_t"), n)
-                counts += np.bincount((values >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
-        kept = np.minimum(counts, 65_535).astype(np.uint16).reshape(RARITY_CHUNKS, width)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARITY_CHUNKS, dtype=np.int32)), pa.array([c.tobytes() for c in kept], pa.binary())], names=["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
-        classes = {k: np.floor(6 * np.log2(v + 1)).clip(0, 255).astype(np.uint8).tobytes() for k, v in total.items()}
-        yield pa.RecordBatch.from_arrays([pa.array(list(classes), pa.int32()), pa.array(list(classes.values()), pa.binary())], names=["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    rows = texts.mapInArrow(count, schema).repartition(RARITY_CHUNKS, "chunk").mapInArrow(add, schema).collect()  # 2^20 bytes
-    classes = np.zeros((RARITY_CHUNKS, width), np.uint8)
-    for row in rows:
-        classes[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
-    return classes.ravel()
-
-
 def _heavy_buckets(texts: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """Hash buckets with far more elements than most, and the number of elements."""
 
@@ -430,46 +488,151 @@ def _combined(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], sids[first], np.unique(np.stack([sids[other], head[other]], axis=1), axis=0)
 
 
-def _prefix_clusters(df: DataFrame, sets: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """(sid, cluster) of all sets that pass the filters with another set at an element of their prefixes."""
-    spark = df.sparkSession
+ENTRIES = "part int, keys binary, sids binary, sizes binary, places binary"
+KINDS = {"keys": np.uint64, "sids": np.int64, "sizes": np.int32, "places": np.int32}
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, t in enumerate(types)], names=list(names))
+
+
+def _entries(df: DataFrame, text_col: str, n: int, percent: int, parts: int) -> DataFrame:
+    """Packs of the elements in prefixes that two documents hold at least, with set, size and place."""
     texts = df.select(text_or_empty(text_col).alias("_t"))
-    shared = spark.sparkContext.broadcast(_rarity(texts, n))  # 2^20 bytes
-    grams = sets.agg(F.sum("n")).first()[0] or 0
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grams * (100 - percent) // 100 // PACK_ENTRIES)
-    bits = max(4, (4 * partitions - 1).bit_length())
+    bits = max(4, (parts - 1).bit_length())
+    asked = "part int, block long, n int, keys binary, docs binary"
+    replied = "block long, n int, keys binary, docs binary, classes binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, turn, held = TaskContext.get().partitionId(), 0, []
+
+        def block() -> pa.RecordBatch:
+            values, sizes = np.concatenate([v for v, _, _ in held]), np.concatenate([x for _, x, _ in held])
+            docs = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            order = np.argsort(values)
+            values, docs = values[order], docs[order]
+            part = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            ends = np.searchsorted(part, np.arange(1, parts + 1).astype(np.uint64))
+            keys, name = values >> np.uint64(64 - KEY_BITS), (task << 32) + turn
+            rows = [(i, name, b - a, pressed(gaps(keys[a:b])), pressed(docs[a:b])) for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())) if b > a]
+            rows.append((name % parts, name, -len(sizes), np.concatenate([x for _, _, x in held]).tobytes(), sizes.astype(np.int32).tobytes()))
+            held.clear()
+            return _batch(asked, rows)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_t"):
                 values, at = gram_sets(part.column("_t"), n)
-                names, once = np.unique(set_ids(values, at), return_index=True)
-                one = np.zeros(len(at) - 1, bool)  # equal sets give one prefix a slice
-                one[once[names != 0]] = True
-                keys, owner, places = prefixes(values, at, shared.value, percent)
-                kept = one[owner]
-                keys, owner, places = keys[kept], owner[kept], places[kept]
-                order = np.argsort(keys)
-                keys, owner = keys[order], owner[order]
-                columns = (keys, set_ids(values, at).view(np.int64)[owner], np.diff(at)[owner].astype(np.int32), places[order].astype(np.int32))
-                ends = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(1, (1 << bits) + 1).astype(np.uint64))
-                cuts = [(i, a, b) for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in cuts], pa.int32())] + [pa.array([c[a:b].tobytes() for _, a, b in cuts], pa.binary()) for c in columns],
-                                                 names=["part", "keys", "sids", "sizes", "places"])
+                sids = set_ids(values, at)
+                names, once = np.unique(sids, return_index=True)
+                kept = np.sort(once[names != 0])  # equal sets give one prefix a slice
+                for a in range(0, len(kept), BLOCK_DOCS):
+                    some = kept[a:a + BLOCK_DOCS]
+                    if held and (sum(len(v) for v, _, _ in held) > BLOCK_GRAMS or sum(len(x) for _, x, _ in held) + len(some) > BLOCK_DOCS):
+                        yield block()
+                        turn += 1
+                    held.append((values[ranges_index(at[some], np.diff(at)[some])], np.diff(at)[some], sids[some].view(np.int64)))
+        if held:
+            yield block()
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, known = [], []
+        for batch in batches:
+            for part, block, m, keys, docs in zip(*(c.to_pylist() for c in batch.columns)):
+                if m < 0:
+                    known.append((block, m, keys, docs, None))
+                else:
+                    rows.append((block, m, np.cumsum(unpressed(keys, m, np.uint64), dtype=np.uint64), docs))
+        if known:
+            yield _batch(replied, known)
+        if not rows:
+            return
+        keys = np.concatenate([k for _, _, k, _ in rows])
+        order = np.argsort(keys)
+        starts = np.flatnonzero(np.r_[True, np.diff(keys[order]) > 0])
+        counts = np.diff(np.r_[starts, len(keys)])
+        classes = np.zeros(len(keys), np.uint8)
+        classes[order] = np.repeat(np.floor(6 * np.log2(counts)).clip(0, 255).astype(np.uint8), counts)  # 0: held once
+        at, out = 0, []
+        for block, m, own, docs in rows:
+            rank = classes[at:at + m]
+            at += m
+            some = rank > 0
+            if some.any():
+                out.append((block, int(some.sum()), pressed(gaps(own[some])), pressed(unpressed(docs, m, np.uint16)[some]), pressed(rank[some])))
+            if len(out) == REPLIES:
+                yield _batch(replied, out)
+                out = []
+        if out:
+            yield _batch(replied, out)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list] = {}
+        for batch in batches:
+            for block, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                blocks.setdefault(block, []).append(row)
+        found = []
+        for block in list(blocks):
+            rows = blocks.pop(block)
+            sids, sizes = next((np.frombuffer(k, np.int64), np.frombuffer(d, np.int32).astype(np.int64)) for m, k, d, _ in rows if m < 0)
+            rows = [r for r in rows if r[0] > 0]
+            if rows:
+                docs = np.concatenate([unpressed(d, m, np.uint16) for m, _, d, _ in rows])
+                classes = np.concatenate([unpressed(c, m, np.uint8) for m, _, _, c in rows])
+                keys = np.concatenate([np.cumsum(unpressed(k, m, np.uint64), dtype=np.uint64) for m, k, _, _ in rows])
+                keys, owner, places = rarest(docs.astype(np.int64), classes, keys, sizes, percent)
+                found.append((keys, sids[owner], sizes[owner].astype(np.int32), places.astype(np.int32)))
+        if found:
+            columns = [np.concatenate(x) for x in zip(*found)]
+            order = np.argsort(columns[0], kind="stable")
+            columns = [x[order] for x in columns]
+            ends = np.searchsorted(columns[0] >> np.uint64(64 - bits), np.arange(1, (1 << bits) + 1).astype(np.uint64))
+            yield _batch(ENTRIES, [(i, *(c[a:b].tobytes() for c in columns)) for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)) if b > a])
+
+    replies = texts.mapInArrow(ask, asked).repartition(parts, "part").mapInArrow(reply, replied)
+    return replies.repartition(parts, "block").mapInArrow(pack, ENTRIES)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    got: dict[str, list] = {name: [np.zeros(0, kind)] for name, kind in KINDS.items()}
+    for batch in batches:
+        for name, rows in got.items():
+            rows += [np.frombuffer(x, KINDS[name]) for x in batch.column(name).to_pylist()]
+    return [np.concatenate(got.pop(name)) for name in KINDS]
+
+
+def _prefix_clusters(entries: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(sid, cluster) of all sets that pass the filters with another set at an element of their prefixes."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[str, list] = {"keys": [], "sids": [], "sizes": [], "places": []}
-        kinds = {"keys": np.uint64, "sids": np.int64, "sizes": np.int32, "places": np.int32}
+        found = candidates(*_unpacked(batches), percent)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    edges = entries.repartition(parts, "part").mapInArrow(match, "a long, b long").distinct()
+    return cut(connected_components(edges, "a", "b").select(F.col("_id").alias("sid"), F.col("comp").alias("cluster")))
+
+
+def _pairs_apart(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b), once each: sets of ``roots`` (sid, root) with different roots that pass the filters at an element of their prefixes."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, rows in got.items():
-                rows += [np.frombuffer(x, kinds[name]) for x in batch.column(name).to_pylist()]
-        if got["keys"]:
-            found = candidates(*(np.concatenate(got.pop(name)) for name in kinds), percent)
+            keys, *columns = _unpacked(iter([batch]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), *columns)], names=["key", "sid", "size", "place"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        order = np.argsort(table.column("place").to_numpy(), kind="stable")
+        for found in apart(*(table.column(c).to_numpy()[order] for c in ("key", "sid", "size", "place", "root")), percent):
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    packs = texts.mapInArrow(pack, "part int, keys binary, sids binary, sizes binary, places binary")
-    edges = packs.repartition(partitions, "part").mapInArrow(match, "a long, b long").distinct()
-    return cut(connected_components(edges, "a", "b").select(F.col("_id").alias("sid"), F.col("comp").alias("cluster")))
+    rows = entries.mapInArrow(unpack, "key long, sid long, size int, place int").join(broadcast_if_small(roots, limit=FEW_VALUES), "sid")
+    rows = rows.select("key", "sid", "size", "place", "root").repartition("key")
+    return cut(rows.mapInArrow(match, "a long, b long").distinct())
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, tile_rows: int, tile_grams: int) -> DataFrame:
@@ -478,8 +641,17 @@ def _classes(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, ti
         raise ValueError(f"percent must be from 50 to 100: {percent}")
     prepare(df.sparkSession)
     sets = cut(_named(df, id_col, text_col, n))
-    members = _part_clusters(df, text_col, n, percent) if percent >= PARTS_FROM else _prefix_clusters(df, sets, text_col, n, percent)
-    roots = _linked(df, sets, members, id_col, text_col, n, percent, tile_rows, tile_grams)
+    if percent >= PARTS_FROM:
+        members = _part_clusters(df, text_col, n, percent)
+        roots = _linked(df, sets, members, None, id_col, text_col, n, percent, tile_rows, tile_grams)
+    else:
+        grams = sets.agg(F.sum("n")).first()[0] or 0
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), grams // PACK_ENTRIES)
+        with written(_entries(df, text_col, n, percent, parts), "ngram-entries") as entries:
+            free_shuffles(df.sparkSession)
+            members = _prefix_clusters(entries, percent, parts)
+            free_shuffles(df.sparkSession)
+            roots = _linked(df, sets, members, entries, id_col, text_col, n, percent, tile_rows, tile_grams)
     full = sets.where("n > 0")
     least = full.groupBy("sid").agg(F.min("_id").alias("_least")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = cut(least)
@@ -497,7 +669,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                         F.when(F.col("root").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _linked(df, sets, members, id_col, text_col, n, percent, tile_rows, tile_grams) -> DataFrame:
+def _linked(df, sets, members, entries, id_col, text_col, n, percent, tile_rows, tile_grams) -> DataFrame:
     """(sid, root) of all sets that link with another one."""
     one = sets.where("n > 0").join(members, "sid").groupBy("sid", "cluster", "n").agg(F.min(F.struct("_text", "_id")).alias("_doc"))
     one = cut(one.withColumn("band", F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent)) if percent < 100 else F.col("n")).cast("long")))
@@ -505,10 +677,81 @@ def _linked(df, sets, members, id_col, text_col, n, percent, tile_rows, tile_gra
     whole = (F.col("_rows") <= tile_rows) & (F.col("_grams") <= tile_grams)
     sizes = sizes.withColumn("_whole", whole)
     small = one.join(sizes.where("_whole"), "cluster").select("sid", "_doc", F.xxhash64("cluster").alias("tile"), F.lit(-1).alias("side"), F.lit(True).alias("whole"))
-    # larger clusters: (band, slot) tiles; each pair of tiles in the same or neighbouring bands once
     wide = one.join(sizes.where("NOT _whole").select("cluster"), "cluster")
-    slots = wide.groupBy("cluster", "band").agg(F.greatest(F.ceil(2 * F.count(F.lit(1)) / tile_rows), F.ceil(2 * F.sum("n") / tile_grams)).cast("long").alias("_slots"))
-    placed = wide.join(slots, ["cluster", "band"]).withColumn("slot", F.pmod(F.xxhash64(F.lit("slot"), "sid"), F.col("_slots")))
+    if entries is not None:
+        wide = cut(wide)
+    paired = _led(wide, tile_rows, tile_grams) if entries is not None else _tile_pairs(wide, tile_rows, tile_grams)
+    edges = _compared(df, small.unionByName(paired), id_col, text_col, n, percent)
+    # a whole cluster's edges lead to its root; those of tiles of larger ones are joined up here
+    found = edges.where("whole").select(F.col("a").alias("sid"), F.col("b").alias("root"))
+    links = edges.where("NOT whole").select("a", "b")
+    if entries is not None and not wide.isEmpty():
+        links = _rest_linked(df, sets, wide, entries, links, id_col, text_col, n, percent)
+    if not links.isEmpty():
+        joined = connected_components(links, "a", "b")
+        found = found.unionByName(joined.select(F.col("_id").alias("sid"), F.col("comp").alias("root")))
+    return found
+
+
+def _slots(wide: DataFrame, tile_rows: int, tile_grams: int) -> tuple[DataFrame, DataFrame]:
+    """How many tiles every (cluster, band) has, and the sets of larger clusters with the slot each goes to."""
+    slots = wide.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("_in_band"), F.greatest(F.ceil(2 * F.count(F.lit(1)) / tile_rows), F.ceil(2 * F.sum("n") / tile_grams)).cast("long").alias("_slots"))
+    return slots, wide.join(slots, ["cluster", "band"]).withColumn("slot", F.pmod(F.xxhash64(F.lit("slot"), "sid"), F.col("_slots")))
+
+
+def _led(wide: DataFrame, tile_rows: int, tile_grams: int) -> DataFrame:
+    """Tiles of larger clusters, once each set: those of its (cluster, band, slot), which a few leaders of this and the next bands visit."""
+    slots, placed = _slots(wide, tile_rows, tile_grams)
+    tile = F.xxhash64("cluster", "band", "slot").alias("tile")
+    others = slots.select("cluster", F.col("band").alias("_at"), F.col("_slots").alias("_there"))
+    leads = F.pmod(F.xxhash64(F.lit("leads"), "sid"), F.ceil(F.col("_in_band") / LEADERS).cast("long")) == 0
+    near = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("_at")
+    leaders = placed.where(leads).select("sid", "_doc", "cluster", near).join(others, ["cluster", "_at"]).select(
+        "sid", "_doc", "cluster", F.col("_at").alias("band"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_there") - 1)).alias("slot"))
+    rows = placed.select("sid", "_doc", tile).unionByName(leaders.select("sid", "_doc", tile)).distinct()
+    return rows.select("sid", "_doc", "tile", F.lit(-1).alias("side"), F.lit(False).alias("whole"))
+
+
+def _rest_linked(df, sets, wide, entries, links, id_col, text_col, n, percent) -> DataFrame:
+    """Links of larger clusters: those given and those of the pairs that pass the filters and aren't connected yet.
+
+    Pairs are verified in rounds, from few to as many as there are sets; after each,
+    pairs of sets that are connected by now are left out.
+    """
+
+    def joined(links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return wide.select("sid", F.col("sid").alias("root"))
+        roots = connected_components(links, "a", "b").select(F.col("_id").alias("sid"), F.col("comp").alias("root"))
+        return cut(wide.select("sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+
+    roots = joined(links)
+    pairs = _pairs_apart(entries, roots, percent)
+    total, most, named = pairs.count(), max(PAIRS_A_ROUND, sets.count()), wide.select("sid", "_doc")
+    turn = F.pmod(F.xxhash64(F.lit("round"), "a", "b"), F.lit(total))
+    done, size = 0, min(most, max(FIRST_PAIRS, LEADERS * named.count()))
+    while done < total:
+        if done:
+            roots = joined(links)
+        some = pairs.where((turn >= done) & (turn < done + size))
+        done, size = done + size, min(2 * size, most)
+        for side in ("a", "b"):
+            some = some.join(roots.select(F.col("sid").alias(side), F.col("root").alias(f"_{side}")), side)
+        some = cut(some.where("_a != _b").select("a", "b"))
+        degree = some.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_IN_TILE).cast("long").alias("_tiles"))
+        dealt = some.join(degree, "a").withColumn("tile", F.xxhash64("a", F.pmod(F.xxhash64(F.lit("deal"), "b"), F.col("_tiles"))))
+        sides = dealt.select(F.col("a").alias("sid"), "tile", F.lit(0).alias("side")).distinct().unionByName(
+            dealt.select(F.col("b").alias("sid"), "tile", F.lit(1).alias("side")))
+        work = sides.join(named, "sid").select("sid", "_doc", "tile", "side", F.lit(False).alias("whole"))
+        links = links.unionByName(_compared(df, work, id_col, text_col, n, percent).select("a", "b"))
+        del work, sides, dealt, degree, some
+        free_shuffles(df.sparkSession)
+    return links
+
+
+def _tile_pairs(wide: DataFrame, tile_rows: int, tile_grams: int) -> DataFrame:
+    """Tiles of larger clusters: (band, slot); each pair of tiles in the same or neighbouring bands once."""
+    slots, placed = _slots(wide, tile_rows, tile_grams)
     above = slots.select("cluster", (F.col("band") - 1).alias("band"), F.col("_slots").alias("_above"))
     below = slots.select("cluster", (F.col("band") + 1).alias("band"), F.col("_slots").alias("_below"))
     placed = placed.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left")
@@ -524,9 +767,13 @@ def _linked(df, sets, members, id_col, text_col, n, percent, tile_rows, tile_gra
     down = F.when(F.col("_below").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("_below") - 1), lambda j: pair(
         F.col("band") - 1, j, F.col("band"), F.col("slot"), F.lit(1))))
     none = F.array().cast("array<struct<tile:bigint,side:int>>")
-    paired = placed.select("sid", "_doc", F.explode(F.concat(own, F.coalesce(up, none), F.coalesce(down, none))).alias("_p")).select(
+    return placed.select("sid", "_doc", F.explode(F.concat(own, F.coalesce(up, none), F.coalesce(down, none))).alias("_p")).select(
         "sid", "_doc", "_p.tile", "_p.side", F.lit(False).alias("whole"))
-    work = cut(small.unionByName(paired))
+
+
+def _compared(df: DataFrame, work: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Edges (a, b, whole) of the links within the tiles of ``work`` (sid, _doc, tile, side, whole)."""
+    work = cut(work)
     rows = work.count()
     docs = df.select(F.col(id_col).alias("_k"), F.xxhash64(text_or_empty(text_col)).alias("_h"), text_or_empty(text_col).alias("_t"))
     wanted = work.select("sid", F.col("_doc._text").alias("_text"), F.col("_doc._id").alias("_id")).distinct()
@@ -543,13 +790,7 @@ def _linked(df, sets, members, id_col, text_col, n, percent, tile_rows, tile_gra
         whole = np.isin(tile, tiles[table.column("whole").to_numpy()])
         return pa.table({"a": pa.array(a), "b": pa.array(b), "whole": pa.array(whole)})
 
-    edges = cut(work.groupBy("bucket").applyInArrow(run, "a long, b long, whole boolean"))
-    # a whole cluster's edges lead to its root; those of pairs of tiles are joined up here
-    found = edges.where("whole").select(F.col("a").alias("sid"), F.col("b").alias("root"))
-    if not edges.where("NOT whole").isEmpty():
-        joined = connected_components(edges.where("NOT whole"), "a", "b")
-        found = found.unionByName(joined.select(F.col("_id").alias("sid"), F.col("comp").alias("root")))
-    return found
+    return cut(work.groupBy("bucket").applyInArrow(run, "a long, b long, whole boolean"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

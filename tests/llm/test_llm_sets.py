@@ -175,6 +175,82 @@ def test_common_passages_are_no_candidates():
     assert len(ngram_join.candidates(keys, owner, np.diff(at)[owner], places, 80)) == 0
 
 
+def _near_and_less_near(rng, copies, edits):
+    """Texts made from one: most with few words changed, some with so many that they link with some copies only."""
+    base = [rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(120)]
+    texts = []
+    for i in range(copies):
+        t = list(base)
+        for _ in range(rng.randrange(0, edits[i % len(edits)])):
+            t[rng.randrange(len(t))] = rng.choice(WORDS)
+        texts.append(" ".join(t))
+    return texts
+
+
+def _moved(monkeypatch):
+    """Receives how many texts each table of tiles asks for."""
+    counts, cut = [], ngram_join.cut
+
+    def counted(df):
+        df = cut(df)
+        if "tile" in df.columns:
+            counts.append(df.count())
+        return df
+
+    monkeypatch.setattr(ngram_join, "cut", counted)
+    return counts
+
+
+def test_texts_of_a_large_cluster_are_moved_a_few_times(spark, monkeypatch):
+    """Each pair of tiles had a copy of every text in them, so copies grew with the square of a cluster."""
+    rows = list(enumerate(_near_and_less_near(random.Random(2), 240, [2])))
+    counts = _moved(monkeypatch)
+    got = ngram_join.components(table(spark, rows), n=5, percent=80, tile_rows=16).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 5, 80)
+    assert sum(counts) <= 5 * len(rows), counts
+
+
+def test_sets_that_no_leader_links_are_compared_in_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = list(enumerate(t for g in range(3) for t in _near_and_less_near(rng, 40, [3, 8, 14])))
+    monkeypatch.setattr(ngram_join, "LEADERS", 0.001)
+    monkeypatch.setattr(ngram_join, "PAIRS_IN_TILE", 5)
+    monkeypatch.setattr(ngram_join, "PAIRS_A_ROUND", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 700)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 7)
+    counts = _moved(monkeypatch)
+    got = ngram_join.components(table(spark, rows), n=5, percent=80, tile_rows=3).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 5, 80)
+    assert len(counts) > 2
+
+
+def test_only_elements_of_several_documents_in_prefixes_are_sent(spark):
+    """A passage of 60 words in all, 40 words of its own in each: the own elements fill the prefixes."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = [" ".join(f"w{d}x{i}" for i in range(40)) for d in range(30)]
+    rows = [(d, f"{passage} {t}") for d, t in enumerate(own)]
+    assert ngram_join._entries(table(spark, rows), "text", 5, 80, 4).count() == 0
+    near = [*rows, (99, f"{passage} {own[3]} end")]
+    found = ngram_join._entries(table(spark, near), "text", 5, 80, 4)
+    assert ngram_join._prefix_clusters(found, 80, 4).count() == 2
+
+
+def test_pairs_apart_are_all_that_pass_with_different_roots():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for many in (1, 6, 60):
+        keys, sids = rng.integers(0, 12, 400), rng.integers(0, 90, 400)
+        sizes, places, roots = rng.integers(20, 30, 90)[sids], np.zeros(400, np.int64), rng.integers(0, many, 90)[sids]
+        root, size = dict(zip(sids.tolist(), roots.tolist())), dict(zip(sids.tolist(), sizes.tolist()))
+        want = set()
+        for k in range(12):
+            own = sorted(set(sids[keys == k].tolist()))
+            want |= {(a, b) for a in own for b in own if a < b and root[a] != root[b] and 10 * min(size[a], size[b]) >= 8 * max(size[a], size[b])}
+        got = [tuple(sorted(p)) for found in ngram_join.apart(keys, sids, sizes, places, roots, 80) for p in found.tolist()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("n", range(1, 7))
 def test_sets_of_tiny_slices(n):
     import pyarrow as pa
