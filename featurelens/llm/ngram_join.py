@@ -613,14 +613,21 @@ def _prefix_clusters(entries: DataFrame, percent: int, parts: int) -> DataFrame:
     return cut(connected_components(edges, "a", "b").select(F.col("_id").alias("sid"), F.col("comp").alias("cluster")))
 
 
-def _pairs_apart(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b), once each: sets of ``roots`` (sid, root) with different roots that pass the filters at an element of their prefixes."""
+def _places(entries: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(key, sid, size, place) of the entries of sets in larger clusters."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, *columns = _unpacked(iter([batch]))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), *columns)], names=["key", "sid", "size", "place"])
 
+    wide = broadcast_if_small(clusters.where("NOT whole").select("sid"), limit=FEW_VALUES)
+    return cut(entries.mapInArrow(unpack, "key long, sid long, size int, place int").join(wide, "sid"))
+
+
+def _pairs_apart(places: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b), once each: sets of ``roots`` (sid, root) with different roots that pass the filters at an element of their prefixes."""
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
         if not batches:
@@ -630,9 +637,8 @@ def _pairs_apart(entries: DataFrame, roots: DataFrame, percent: int) -> DataFram
         for found in apart(*(table.column(c).to_numpy()[order] for c in ("key", "sid", "size", "place", "root")), percent):
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    rows = entries.mapInArrow(unpack, "key long, sid long, size int, place int").join(broadcast_if_small(roots, limit=FEW_VALUES), "sid")
-    rows = rows.select("key", "sid", "size", "place", "root").repartition("key")
-    return cut(rows.mapInArrow(match, "a long, b long").distinct())
+    rows = places.join(broadcast_if_small(roots, limit=FEW_VALUES), "sid").select("key", "sid", "size", "place", "root")
+    return cut(rows.repartition("key").mapInArrow(match, "a long, b long").distinct())
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, tile_rows: int, tile_grams: int) -> DataFrame:
@@ -642,16 +648,16 @@ def _classes(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, ti
     prepare(df.sparkSession)
     sets = cut(_named(df, id_col, text_col, n))
     if percent >= PARTS_FROM:
-        members = _part_clusters(df, text_col, n, percent)
-        roots = _linked(df, sets, members, None, id_col, text_col, n, percent, tile_rows, tile_grams)
+        places, clusters = None, _sized(sets, _part_clusters(df, text_col, n, percent), percent, tile_rows, tile_grams)
     else:
         grams = sets.agg(F.sum("n")).first()[0] or 0
         parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), grams // PACK_ENTRIES)
         with written(_entries(df, text_col, n, percent, parts), "ngram-entries") as entries:
             free_shuffles(df.sparkSession)
-            members = _prefix_clusters(entries, percent, parts)
+            clusters = _sized(sets, _prefix_clusters(entries, percent, parts), percent, tile_rows, tile_grams)
+            places = _places(entries, clusters)
             free_shuffles(df.sparkSession)
-            roots = _linked(df, sets, members, entries, id_col, text_col, n, percent, tile_rows, tile_grams)
+    roots = _linked(df, sets, clusters, places, id_col, text_col, n, percent, tile_rows, tile_grams)
     full = sets.where("n > 0")
     least = full.groupBy("sid").agg(F.min("_id").alias("_least")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = cut(least)
@@ -669,24 +675,29 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                         F.when(F.col("root").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _linked(df, sets, members, entries, id_col, text_col, n, percent, tile_rows, tile_grams) -> DataFrame:
-    """(sid, root) of all sets that link with another one."""
+def _sized(sets: DataFrame, members: DataFrame, percent: int, tile_rows: int, tile_grams: int) -> DataFrame:
+    """Each set once: sid, cluster, n, size band, one document and whether its cluster is small enough to be a tile (``whole``)."""
     one = sets.where("n > 0").join(members, "sid").groupBy("sid", "cluster", "n").agg(F.min(F.struct("_text", "_id")).alias("_doc"))
     one = cut(one.withColumn("band", F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent)) if percent < 100 else F.col("n")).cast("long")))
     sizes = one.groupBy("cluster").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_grams"))
-    whole = (F.col("_rows") <= tile_rows) & (F.col("_grams") <= tile_grams)
-    sizes = sizes.withColumn("_whole", whole)
-    small = one.join(sizes.where("_whole"), "cluster").select("sid", "_doc", F.xxhash64("cluster").alias("tile"), F.lit(-1).alias("side"), F.lit(True).alias("whole"))
-    wide = one.join(sizes.where("NOT _whole").select("cluster"), "cluster")
-    if entries is not None:
+    return one.join(sizes.select("cluster", ((F.col("_rows") <= tile_rows) & (F.col("_grams") <= tile_grams)).alias("whole")), "cluster")
+
+
+def _linked(df, sets, clusters, places, id_col, text_col, n, percent, tile_rows, tile_grams) -> DataFrame:
+    """(sid, root) of all sets that link with another one; ``places``: of prefixes, as ``_places`` gives them, else None."""
+    small = clusters.where("whole").select("sid", "_doc", F.xxhash64("cluster").alias("tile"), F.lit(-1).alias("side"), F.lit(True).alias("whole"))
+    wide = clusters.where("NOT whole").drop("whole")
+    if places is None:
+        paired = _tile_pairs(wide, tile_rows, tile_grams)
+    else:
         wide = cut(wide)
-    paired = _led(wide, tile_rows, tile_grams) if entries is not None else _tile_pairs(wide, tile_rows, tile_grams)
+        paired = _led(wide, tile_rows, tile_grams)
     edges = _compared(df, small.unionByName(paired), id_col, text_col, n, percent)
     # a whole cluster's edges lead to its root; those of tiles of larger ones are joined up here
     found = edges.where("whole").select(F.col("a").alias("sid"), F.col("b").alias("root"))
     links = edges.where("NOT whole").select("a", "b")
-    if entries is not None and not wide.isEmpty():
-        links = _rest_linked(df, sets, wide, entries, links, id_col, text_col, n, percent)
+    if places is not None and not wide.isEmpty():
+        links = _rest_linked(df, sets, wide, places, links, id_col, text_col, n, percent)
     if not links.isEmpty():
         joined = connected_components(links, "a", "b")
         found = found.unionByName(joined.select(F.col("_id").alias("sid"), F.col("comp").alias("root")))
@@ -712,7 +723,7 @@ def _led(wide: DataFrame, tile_rows: int, tile_grams: int) -> DataFrame:
     return rows.select("sid", "_doc", "tile", F.lit(-1).alias("side"), F.lit(False).alias("whole"))
 
 
-def _rest_linked(df, sets, wide, entries, links, id_col, text_col, n, percent) -> DataFrame:
+def _rest_linked(df, sets, wide, places, links, id_col, text_col, n, percent) -> DataFrame:
     """Links of larger clusters: those given and those of the pairs that pass the filters and aren't connected yet.
 
     Pairs are verified in rounds, from few to as many as there are sets; after each,
@@ -726,7 +737,7 @@ def _rest_linked(df, sets, wide, entries, links, id_col, text_col, n, percent) -
         return cut(wide.select("sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
 
     roots = joined(links)
-    pairs = _pairs_apart(entries, roots, percent)
+    pairs = _pairs_apart(places, roots, percent)
     total, most, named = pairs.count(), max(PAIRS_A_ROUND, sets.count()), wide.select("sid", "_doc")
     turn = F.pmod(F.xxhash64(F.lit("round"), "a", "b"), F.lit(total))
     done, size = 0, min(most, max(FIRST_PAIRS, LEADERS * named.count()))
