@@ -81,6 +81,7 @@ LEADERS = 8
 PAIRS_IN_TILE = 256
 PAIRS_A_ROUND = 100_000
 FIRST_PAIRS = 10_000
+FEW_LINKS = 500_000
 MANY_SETS = 1_024
 FLUSH_PAIRS = 4_000_000
 BITMAP_WORDS = 64
@@ -699,11 +700,23 @@ def _linked(df, sets, clusters, places, id_col, text_col, n, percent, tile_rows,
     if places is not None and not wide.isEmpty():
         links = _rest_linked(df, sets, wide, places, links, id_col, text_col, n, percent)
     if not links.isEmpty():
-        joined = connected_components(links, "a", "b")
-        found = found.unionByName(joined.select(F.col("_id").alias("sid"), F.col("comp").alias("root")))
+        found = found.unionByName(_roots(links))
     return found
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """(sid, root) of links' sets; those that aren't given are their own root. Few links are joined up in one task."""
+    if links.count() > FEW_LINKS:
+        return connected_components(links, "a", "b").select(F.col("_id").alias("sid"), F.col("comp").alias("root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *((b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches)]
+        found = stars(*(np.concatenate(x) for x in zip(*ends)))
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["sid", "root"])
+
+    return cut(links.coalesce(1).mapInArrow(run, "sid long, root long"))
+
+
 def _slots(wide: DataFrame, tile_rows: int, tile_grams: int) -> tuple[DataFrame, DataFrame]:
     """How many tiles every (cluster, band) has, and the sets of larger clusters with the slot each goes to."""
     slots = wide.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("_in_band"), F.greatest(F.ceil(2 * F.count(F.lit(1)) / tile_rows), F.ceil(2 * F.sum("n") / tile_grams)).cast("long").alias("_slots"))
@@ -733,8 +746,7 @@ def _rest_linked(df, sets, wide, places, links, id_col, text_col, n, percent) ->
     def joined(links: DataFrame) -> DataFrame:
         if links.isEmpty():
             return wide.select("sid", F.col("sid").alias("root"))
-        roots = connected_components(links, "a", "b").select(F.col("_id").alias("sid"), F.col("comp").alias("root"))
-        return cut(wide.select("sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+        return cut(wide.select("sid").join(_roots(links), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
 
     roots = joined(links)
     pairs = _pairs_apart(places, roots, percent)
